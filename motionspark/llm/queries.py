@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from motionspark.llm import secret_scan, secret_scan_sql
 from motionspark.llm.jaccard_join import ngram_jaccard_join
 
 
@@ -11,15 +13,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secret_scan.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("secrets")
+    base = F.filter(spans, lambda s: s["rank"] < secret_scan.KINDS.index(secret_scan.CLASSES[0].kind))
+    return scanned.select(
+        "doc_id",
+        *(secret_scan.count_kind(spans, k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(secret_scan.spans_text(base), 256).alias("base_sha256"),
+        secret_scan.spans_text(spans).alias("spans"),
+    )
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
     "op5_ngram_jaccard": op5_ngram_jaccard,
 }
 
 ORACLE_SQL = {
+    "op2_secret_scan": secret_scan_sql.oracle(),
     "op5_ngram_jaccard": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
