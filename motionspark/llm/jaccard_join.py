@@ -11,9 +11,13 @@ puts shingles that are frequent somewhere last; it steers cost only, any order g
 sets large enough to link with a heavy one enter the lists too.  The boundary is the one of least estimated
 cost over the histogram of set sizes.
 
-Candidates of a list are compared in two rounds: everyone against the list's first member, then, after the
-links found join into components, members of different components only.  A large group of near copies thus
-never expands into all its pairs, while no link between different components is lost.
+Candidates of lists are compared in three rounds: each set with the one smallest head of its lists, then with
+the other heads, then with everyone.  Links found join into components after each round, and the next one
+looks only at lists and pairs that hold different components.  A large group of near copies thus never
+expands into all its pairs, while no link between different components is lost.
+
+Before texts are fetched, a sketch bounds each pair: elements fall into parts by hash, and sets that differ in
+more parts than the threshold allows differing elements cannot be linked.
 """
 
 from __future__ import annotations
@@ -31,9 +35,9 @@ from motionspark.llm import shared
 from motionspark.llm.text import MASK, WordHash, mix, rows, shingles
 
 MAX_LIGHT = 32  # sets below this size are stored whole, so that the boundary can lie anywhere up to it
-HOT_LIMIT = 400_000  # most frequent shingles that the order knows of: 3.6 MB broadcast at most
-BLOCK = 3_000_000  # shingles counted together within a task
-LOCAL_HOT = 4  # a shingle in this many sets of one block counts as frequent
+HOT_LIMIT = 1_500_000  # most frequent shingles that the order knows of: 13.5 MB broadcast at most
+BLOCK = 4_000_000  # shingles counted together within a task
+LOCAL_HOT = 2  # a shingle in this many sets of one block counts as frequent
 
 
 def overlap(s: int, t: int, percent: int) -> int:
@@ -57,6 +61,20 @@ def subset_sizes(s: int, percent: int) -> list[int]:
     return sorted({overlap(s, t, percent) for t in range(smallest(s, percent), largest(s, percent) + 1)} & set(range(1, s + 1)))
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """A byte for each of a power of two of parts: the sum of a byte of each element in it."""
+    parts = 1 << max(4, (len(s) // 4).bit_length())
+    total = np.bincount((s & np.uint64(parts - 1)).astype(np.int64), weights=(s >> np.uint64(40) & np.uint64(255)).astype(np.float64), minlength=parts)
+    return total.astype(np.int64).astype(np.uint8)
+
+
+def parts_apart(a: np.ndarray, b: np.ndarray) -> int:
+    """Parts in which two sketches differ, at most the number of elements in which their sets do."""
+    n = min(len(a), len(b))
+    a, b = (x.reshape(-1, n).sum(axis=0, dtype=np.uint8) for x in (a, b))
+    return int(np.count_nonzero(a != b))
+
+
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, np.ndarray]]:
     cache = WordHash()
     for doc_id, data in rows(batches):
@@ -95,7 +113,7 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, elements): the whole set below MAX_LIGHT, else its prefix; both in order."""
+    """(doc_id, n_shingles, set_hash, sketch, elements): the whole set below MAX_LIGHT, else its prefix; both in order."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
 
     def sign(batches):
@@ -103,18 +121,19 @@ def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
         def flush():
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(signs, pa.binary()), pa.array(parts, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_hash", "elements"],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(signs, pa.binary()), pa.array(sketches, pa.binary()), pa.array(parts, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "set_hash", "sketch", "elements"],
             )
 
         import xxhash
 
-        ids, sizes, signs, parts = [], [], [], []
+        ids, sizes, signs, sketches, parts = [], [], [], [], []
         for doc_id, s in _sets(batches, width):
             n = len(s)
             ids.append(doc_id)
             sizes.append(n)
             signs.append(xxhash.xxh3_128_digest(s.tobytes()))
+            sketches.append(sketch(s).tobytes())
             if n and len(hot):
                 at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
                 rank = np.where(hot[at] == s, level[at], 0)
@@ -122,11 +141,11 @@ def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
             parts.append((s if n < MAX_LIGHT else s[: prefix_length(n, percent)]).view(np.int64))
             if len(ids) >= 2000:
                 yield flush()
-                ids, sizes, signs, parts = [], [], [], []
+                ids, sizes, signs, sketches, parts = [], [], [], [], []
         if ids:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles int, set_hash binary, elements array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles int, set_hash binary, sketch binary, elements array<long>")
 
 
 def boundary(histogram: dict[int, int], mean_list: float, percent: int) -> int:
@@ -196,6 +215,26 @@ def _possible(a: str, b: str, percent: int):
     return (small * 100 >= big * percent) & (F.col(f"{a}.light") | (rest >= 1) & (need <= small))
 
 
+def _close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The (u, v) pairs that their sketches do not rule out."""
+
+    def check(batches):
+        for b in batches:
+            us, vs, nu, nv = (b.column(i).to_pylist() for i in range(4))
+            su, sv = (b.column(i) for i in (4, 5))
+            keep = []
+            for i in range(len(us)):
+                apart = parts_apart(np.frombuffer(su[i].as_buffer(), np.uint8), np.frombuffer(sv[i].as_buffer(), np.uint8))
+                if apart <= nu[i] + nv[i] - 2 * overlap(nu[i], nv[i], percent):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.int64()) for x in (us, vs)], ["u", "v"])
+
+    left = sketches.select(F.col("doc_id").alias("u"), F.col("n_shingles").alias("nu"), F.col("sketch").alias("su"))
+    right = sketches.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("nv"), F.col("sketch").alias("sv"))
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", "nu", "nv", "su", "sv")
+    return both.mapInArrow(check, "u long, v long")
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The (u, v) pairs whose whole sets reach the threshold, by the texts themselves."""
 
@@ -232,7 +271,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     whole = signed.where("n_shingles > 0 and doc_id is not null")
     sets = whole.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = whole.join(sets.select("set_hash", F.col("rep").alias("doc_id")), ["set_hash", "doc_id"]).dropDuplicates(["set_hash"])
-    reps = reps.select("doc_id", "n_shingles", "elements")
+    reps = reps.select("doc_id", "n_shingles", "sketch", "elements")
     histogram = {r[0]: r[1] for r in reps.where(f"n_shingles < {MAX_LIGHT}").groupBy("n_shingles").count().collect()}
 
     lists = shared.keep(_keys(reps, 1, percent).where("not light"), "lists") if not histogram else None
@@ -243,16 +282,36 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
 
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     lists = lists.withColumn("band", F.when(F.col("light"), 0).otherwise(step))
-    first = lists.groupBy("key", "light", "band").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last")
-    star = lists.join(first, ["key", "light", "band"]).where("doc_id <> head")
-    star = star.select("light", F.col("head").alias("u"), F.col("doc_id").alias("v"))
-    star = shared.keep(star.groupBy("u", "v").agg(F.max("light").alias("light")), "star")
-    texts = docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if _repeats(signed) else docs.where("doc_id is not null")
-    links = star.where("light").select("u", "v").unionByName(_verify(star.where("not light").select("u", "v"), texts, width, percent))
-    links = shared.keep(links, "links")
+    first = lists.groupBy("key", "light", "band").agg(F.min(F.struct("doc_id", "n", "light", "at")).alias("h"), F.max("doc_id").alias("last"))
+    first = first.where("h.doc_id < last").select("key", "light", "band", "h")
+    star = lists.join(first, ["key", "light", "band"]).where("doc_id <> h.doc_id").alias("e")
+    star = star.withColumn("e", F.struct("n", "light", "at")).where(_possible("h", "e", percent))
+    star = star.groupBy(F.col("h.doc_id").alias("u"), F.col("doc_id").alias("v")).agg(F.max("light").alias("light"))
+    star = shared.keep(star, "star")
+
+    texts = docs.where("doc_id is not null")
+    texts = texts.dropDuplicates(["doc_id"]) if _repeats(signed) else texts
+    sketches = reps.select("doc_id", "n_shingles", "sketch")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        close = shared.keep(_close(pairs, sketches, percent), "close")
+        return shared.keep(_verify(close, texts, width, percent), "links")
+
+    heads = star.where("not light")
+    nearest = shared.keep(heads.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "nearest")
+    links = star.where("light").select("u", "v").unionByName(linked(nearest))
+    joined = shared.keep(shared.components(links), "joined")
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Pairs whose ends are in different components so far."""
+        cu = joined.select(F.col("node").alias("u"), F.col("component").alias("cu"))
+        cv = joined.select(F.col("node").alias("v"), F.col("component").alias("cv"))
+        both = pairs.join(cu, "u", "left").join(cv, "v", "left")
+        return both.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+
+    links = links.unionByName(linked(apart(heads.select("u", "v").join(nearest, ["u", "v"], "left_anti"))))
     joined = shared.keep(shared.components(links), "joined")
 
-    # Second round: lists that still hold more than one component.
     named = lists.where("not light").join(joined, lists.doc_id == joined.node, "left")
     named = named.select("key", "light", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("comp"))
     mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
@@ -260,8 +319,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     a, b = rest.alias("a"), rest.alias("b")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.comp") != F.col("b.comp")) & _possible("a", "b", percent))
     pairs = pairs.select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct()
-    pairs = pairs.join(star.select("u", "v"), ["u", "v"], "left_anti")
-    more = shared.keep(_verify(pairs, texts, width, percent), "more")
+    more = linked(pairs.join(star.select("u", "v"), ["u", "v"], "left_anti"))
     if not more.isEmpty():
         joined = shared.components(links.unionByName(more))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionspark.llm import secret_scan, secret_scan_sql
+from motionspark.llm import mixing, secret_scan, secret_scan_sql, sharding, shared, token_store, toxicity
 from motionspark.llm.jaccard_join import ngram_jaccard_join
 
 
@@ -25,13 +27,47 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{shared.shared_dir(spark)}/motionspark/tokens-{uuid.uuid4().hex}"
+    token_store.write_token_store(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_store.document_digests(token_store.open_token_store(spark, path))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    predicted = F.when(F.col("score") >= toxicity.TOXIC_FROM, 1).otherwise(0)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op7_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    narrow = _table(spark, sf_dir, "documents").select(
+        "doc_id", "text", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    placed = sharding.shard_rows(narrow, shards=8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), block=16)
+    return mixed.select("doc_id", "source", "block", "block_slot", "mix_position")
+
+
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_token_store": op3_token_store,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_toxicity": op6_toxicity,
+    "op7_hypergeometric_sharding": op7_hypergeometric_sharding,
+    "op8_pfair_mixing": op8_pfair_mixing,
 }
 
 ORACLE_SQL = {
