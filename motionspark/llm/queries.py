@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionspark.llm import mixing, secret_scan, secret_scan_sql, sharding, shared, token_store, toxicity
+from motionspark.llm import decontamination, fertility, mixing, secret_scan, secret_scan_sql, sharding, shared, token_store, toxicity
 from motionspark.llm.jaccard_join import ngram_jaccard_join
 
 
@@ -61,6 +61,20 @@ def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "block", "block_slot", "mix_position")
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as p
+
+    judged = fertility.quality_rules(
+        _table(spark, sf_dir, "documents"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN, p.path("piece_bpe_32k.model")
+    )
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select("doc_id", *base, *(F.round(c, 6).alias(c) for c in fertility.MEASURES))
+
+
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_token_store": op3_token_store,
@@ -68,6 +82,8 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_hypergeometric_sharding": op7_hypergeometric_sharding,
     "op8_pfair_mixing": op8_pfair_mixing,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_fertility_rules": op10_fertility_rules,
 }
 
 ORACLE_SQL = {
