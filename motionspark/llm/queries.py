@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionspark.llm import decontamination, fertility, mixing, secret_scan, secret_scan_sql, sharding, shared, token_store, toxicity
+from motionspark.llm import decontamination, fertility, line_dedup, mixing, secret_scan, secret_scan_sql, sharding, shared, token_store, toxicity
 from motionspark.llm.jaccard_join import ngram_jaccard_join
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secret_scan.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("secrets")
@@ -76,6 +80,7 @@ def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_token_store": op3_token_store,
     "op5_ngram_jaccard": op5_ngram_jaccard,
@@ -87,6 +92,22 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_line_dedup": r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS s FROM d),
+b AS (SELECT * FROM l WHERE trim(s, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> ''),
+f AS MATERIALIZED (SELECT s, min({'d': doc_id, 'i': i}) AS p, length(s) AS n FROM b GROUP BY s),
+v AS MATERIALIZED (SELECT s, p, n, k, substr(s, 1, k) || substr(s, k + 2) AS v FROM (SELECT s, p, n, unnest(range(n)) AS k FROM f WHERE n >= 20)),
+near AS (SELECT s FROM (SELECT s, p, min(p) OVER (PARTITION BY v, k) AS q FROM v) WHERE q < p
+  UNION SELECT v.s FROM v JOIN f ON v.v = f.s WHERE f.n >= 20 AND f.p < v.p
+  UNION SELECT f.s FROM v JOIN f ON v.v = f.s WHERE f.n >= 20 AND v.p < f.p),
+m AS (SELECT b.doc_id, b.i, near.s IS NOT NULL AS near, f.p <> {'d': b.doc_id, 'i': b.i} AS again
+  FROM b JOIN f ON b.s = f.s LEFT JOIN near ON near.s = b.s),
+c AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (again AND NOT near) AS n_exact, count(*) FILTER (near) AS n_near FROM m GROUP BY 1),
+t AS (SELECT l.doc_id, string_agg(l.s, chr(10) ORDER BY l.i) FILTER (NOT coalesce(m.near OR m.again, false)) AS text FROM l LEFT JOIN m ON m.doc_id = l.doc_id AND m.i = l.i GROUP BY 1)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text, coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_exact, 0) AS n_exact, coalesce(c.n_near, 0) AS n_near
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+""",
     "op2_secret_scan": secret_scan_sql.oracle(),
     "op5_ngram_jaccard": r"""
 WITH RECURSIVE w AS (
