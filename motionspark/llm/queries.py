@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motionspark.llm import decontamination, fertility, line_dedup, mixing, secret_scan, secret_scan_sql, sharding, shared, token_store, toxicity
+from motionspark.llm import cotraining, decontamination, fertility, line_dedup, mixing, secret_scan, secret_scan_sql, sharding, shared, token_store, toxicity
 from motionspark.llm.jaccard_join import ngram_jaccard_join
 
 
@@ -39,6 +39,11 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.document_digests(token_store.open_token_store(spark, path))
 
 
+def op4_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = cotraining.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "score", (F.col("score") >= cotraining.KEPT_FROM).alias("kept"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -83,6 +88,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_token_store": op3_token_store,
+    "op4_cotraining_quality": op4_cotraining_quality,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_toxicity": op6_toxicity,
     "op7_hypergeometric_sharding": op7_hypergeometric_sharding,
