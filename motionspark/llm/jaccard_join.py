@@ -16,8 +16,9 @@ the other heads, then with everyone.  Links found join into components after eac
 looks only at lists and pairs that hold different components.  A large group of near copies thus never
 expands into all its pairs, while no link between different components is lost.
 
-Before texts are fetched, a sketch bounds each pair: elements fall into parts by hash, and sets that differ in
-more parts than the threshold allows differing elements cannot be linked.
+Before texts are fetched, sketches bound each pair: elements fall into parts by hash, and sets that differ in
+more parts than the threshold allows differing elements cannot be linked.  The join of the last round itself
+compares the parities of the counts in 256 parts, the rest of the pairs one byte for each of more parts.
 """
 
 from __future__ import annotations
@@ -68,6 +69,12 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return total.astype(np.int64).astype(np.uint8)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """256 bits in four longs: whether the number of elements in each of 256 parts is odd."""
+    odd = np.bincount((s >> np.uint64(20) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def parts_apart(a: np.ndarray, b: np.ndarray) -> int:
     """Parts in which two sketches differ, at most the number of elements in which their sets do."""
     n = min(len(a), len(b))
@@ -113,7 +120,7 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, sketch, elements): the whole set below MAX_LIGHT, else its prefix; both in order."""
+    """(doc_id, n_shingles, set_hash, sketch, parity, elements): the whole set below MAX_LIGHT, else its prefix; both in order."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
 
     def sign(batches):
@@ -121,19 +128,20 @@ def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
         def flush():
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(signs, pa.binary()), pa.array(sketches, pa.binary()), pa.array(parts, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_hash", "sketch", "elements"],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(signs, pa.binary()), pa.array(sketches, pa.binary()), pa.array(parities, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "set_hash", "sketch", "parity", "elements"],
             )
 
         import xxhash
 
-        ids, sizes, signs, sketches, parts = [], [], [], [], []
+        ids, sizes, signs, sketches, parities, parts = [], [], [], [], [], []
         for doc_id, s in _sets(batches, width):
             n = len(s)
             ids.append(doc_id)
             sizes.append(n)
             signs.append(xxhash.xxh3_128_digest(s.tobytes()))
             sketches.append(sketch(s).tobytes())
+            parities.append(parity(s))
             if n and len(hot):
                 at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
                 rank = np.where(hot[at] == s, level[at], 0)
@@ -141,11 +149,11 @@ def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
             parts.append((s if n < MAX_LIGHT else s[: prefix_length(n, percent)]).view(np.int64))
             if len(ids) >= 2000:
                 yield flush()
-                ids, sizes, signs, sketches, parts = [], [], [], [], []
+                ids, sizes, signs, sketches, parities, parts = [], [], [], [], [], []
         if ids:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles int, set_hash binary, sketch binary, elements array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles int, set_hash binary, sketch binary, parity array<long>, elements array<long>")
 
 
 def boundary(histogram: dict[int, int], mean_list: float, percent: int) -> int:
@@ -215,6 +223,13 @@ def _possible(a: str, b: str, percent: int):
     return (small * 100 >= big * percent) & (F.col(f"{a}.light") | (rest >= 1) & (need <= small))
 
 
+def _few_odd(a: str, b: str, percent: int):
+    """Parities differ in no more parts than linked sets may differ in elements."""
+    need = F.ceil(F.lit(percent) * (F.col(f"{a}.n") + F.col(f"{b}.n")) / F.lit(100 + percent))
+    apart = [F.bit_count(F.get(F.col(f"{a}.parity"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{b}.parity"), F.lit(i)))) for i in range(4)]
+    return apart[0] + apart[1] + apart[2] + apart[3] <= F.col(f"{a}.n") + F.col(f"{b}.n") - 2 * need
+
+
 def _close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The (u, v) pairs that their sketches do not rule out."""
 
@@ -271,7 +286,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     whole = signed.where("n_shingles > 0 and doc_id is not null")
     sets = whole.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = whole.join(sets.select("set_hash", F.col("rep").alias("doc_id")), ["set_hash", "doc_id"]).dropDuplicates(["set_hash"])
-    reps = reps.select("doc_id", "n_shingles", "sketch", "elements")
+    reps = reps.select("doc_id", "n_shingles", "sketch", "parity", "elements")
     histogram = {r[0]: r[1] for r in reps.where(f"n_shingles < {MAX_LIGHT}").groupBy("n_shingles").count().collect()}
 
     lists = shared.keep(_keys(reps, 1, percent).where("not light"), "lists") if not histogram else None
@@ -315,9 +330,9 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     named = lists.where("not light").join(joined, lists.doc_id == joined.node, "left")
     named = named.select("key", "light", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("comp"))
     mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = shared.keep(named.join(mixed, "key"), "rest")
+    rest = shared.keep(named.join(mixed, "key").join(reps.select("doc_id", "parity"), "doc_id"), "rest")
     a, b = rest.alias("a"), rest.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.comp") != F.col("b.comp")) & _possible("a", "b", percent))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.comp") != F.col("b.comp")) & _possible("a", "b", percent) & _few_odd("a", "b", percent))
     pairs = pairs.select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct()
     more = linked(pairs.join(star.select("u", "v"), ["u", "v"], "left_anti"))
     if not more.isEmpty():
