@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from motionspark.functions import quat as Q
+from motionspark.operators import asof
 
 BY = ("recording_id",)
 
@@ -95,10 +96,10 @@ def convolve(df: DataFrame, value: str, kernel: list[float], on: str = "frame",
     return df.withColumn(out, total).drop("_n", "_all", "_first", "_last")
 
 
-def gaussian_over_known(df: DataFrame, value: str, window: int, strength: float, on: str = "frame", out: str = "smoothed") -> DataFrame:
+def gaussian_over_known(df: DataFrame, value: str, window: int, strength: float, on: str = "frame", out: str = "smoothed", sigma: float | None = None) -> DataFrame:
     """Gaussian mean of the known values around a row, blended with the value itself by ``strength``; unknown stays unknown."""
     h = (window | 1) // 2
-    sigma = max(1e-9, (window / 6) * (1 + 2 * strength))
+    sigma = sigma or max(1e-9, (window / 6) * (1 + 2 * strength))
     w = ordered(on=on)
     near = [(F.lag(value, -k).over(w) if k < 0 else F.lead(value, k).over(w), math.exp(-(k * k) / (2 * sigma * sigma))) for k in range(-h, h + 1)]
     top, bottom = F.lit(0.0), F.lit(0.0)
@@ -110,8 +111,15 @@ def gaussian_over_known(df: DataFrame, value: str, window: int, strength: float,
 def median_trailing(df: DataFrame, value: str, size: int, on: str = "ts_us", out: str = "median") -> DataFrame:
     """Median of the last ``size`` rows forward, then the same backward over the result; short windows at the ends."""
     up, down = ordered(on=on), Window.partitionBy(*BY).orderBy(F.desc(on))
-    once = df.withColumn("_m", F.median(value).over(up.rowsBetween(-(size - 1), 0)))
-    return once.withColumn(out, F.median("_m").over(down.rowsBetween(-(size - 1), 0))).drop("_m")
+
+    def middle(values: Column) -> Column:
+        n = F.size(values)
+        return (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2
+
+    def over(c: str, w: WindowSpec) -> Column:
+        return middle(F.array_sort(F.collect_list(c).over(w.rowsBetween(-(size - 1), 0))))
+
+    return df.withColumn("_m", over(value, up)).withColumn(out, over("_m", down)).drop("_m")
 
 
 def gap_ranges(df: DataFrame, gap_us: int = 100_000, on: str = "ts_us") -> DataFrame:
@@ -123,6 +131,21 @@ def gap_ranges(df: DataFrame, gap_us: int = 100_000, on: str = "ts_us") -> DataF
     return out.where("from_us <> to_us").drop("_run")
 
 
+def merge_flags(df: DataFrame, gap_us: int, on: str = "ts_us") -> DataFrame:
+    """(lo, hi, n) of flagged rows that lie no more than ``gap_us`` apart; one alone is a range too."""
+    w = ordered(on=on)
+    start = F.when(F.coalesce(F.col(on) - F.lag(on).over(w) > gap_us, F.lit(False)), 1).otherwise(0)
+    runs = df.withColumn("_new", start).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*BY, "_run").agg(F.min(on).alias("lo"), F.max(on).alias("hi"), F.count(F.lit(1)).alias("n")).drop("_run")
+
+
+def resample(df: DataFrame, value: str, step_us: int, on: str = "ts_us") -> DataFrame:
+    """Values at even steps from the first to the last key, on straight lines."""
+    ends = df.groupBy(*BY).agg(F.min(on).alias("_a"), F.max(on).alias("_b"))
+    grid = ends.select(*BY, F.explode(F.sequence("_a", "_b", F.lit(step_us))).alias(on))
+    return asof.interpolate(grid, df.select(*BY, on, value), value, edge="hold", on=on)
+
+
 def merge_intervals(df: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
     """Overlapping or adjacent whole-number intervals become one."""
     w = Window.partitionBy(*BY).orderBy(lo, hi)

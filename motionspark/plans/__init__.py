@@ -1,8 +1,8 @@
 """Registered queries: the operators applied to the driver's tables, with their DuckDB SQL."""
 
-from motionspark.plans import joins
+from motionspark.plans import joins, windows
 from motionspark.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "j03_bracket_slerp"
 
-__all__ = ["FLAGSHIP", "QUERIES", "SQL", "joins"]
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "joins", "windows"]
