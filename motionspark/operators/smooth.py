@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motionspark.functions import quat as Q
+from motionspark.operators import recurrence as R
 
 BY = ("recording_id",)
+FASTEST = 500.0  # degrees a second at smoothness 1
 
 
 def max_angles(raw: DataFrame, smooth: DataFrame, where=None) -> DataFrame:
@@ -16,3 +21,96 @@ def max_angles(raw: DataFrame, smooth: DataFrame, where=None) -> DataFrame:
     both = both.where(where) if where is not None else both
     e = both.select(*BY, Q.to_euler(Q.multiply(Q.conjugate(F.col("a")), F.col("b"))).alias("e"))
     return e.groupBy(*BY).agg(*(F.max(F.abs(F.degrees(F.col(f"e.{c}")))).alias(c) for c in ("pitch", "yaw", "roll")))
+
+
+def quaternions(df: DataFrame, f: Callable[[np.ndarray, dict[str, np.ndarray]], np.ndarray], extra: Sequence[str] = (), on: str = "ts_us") -> DataFrame:
+    """(recording_id, key, q) with ``f`` of each recording's ordered quaternions and extra columns."""
+    flat = df.select(*BY, on, *(F.col(f"q.{c}").alias(c) for c in "wxyz"), *extra)
+
+    def run(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        q = f(np.column_stack([c[k] for k in "wxyz"]).astype(float), c)
+        return dict(zip("wxyz", q.T, strict=True))
+
+    out = R.per_recording(flat, [*"wxyz", *extra], run, list("wxyz"), on)
+    return out.select(*BY, on, F.struct(*"wxyz").alias("q"))
+
+
+def smooth_plain(df: DataFrame, time_constant_s: float, rate: float) -> DataFrame:
+    """Spherical exponential average in both directions."""
+    a = R.alpha(time_constant_s, rate) if time_constant_s > 0 else 1.0
+    return quaternions(df, lambda q, _: R.slerp_ema(q, a))
+
+
+def dampened(q: np.ndarray, rate: float, smoothness: float = 0.5, longest_s: float = 1.0, shortest_s: float = 0.1, fov_ratio: float = 1.0, second_pass: bool = True) -> np.ndarray:
+    """Smooths still stretches more than moving ones.
+
+    The time constant falls from ``longest_s`` to ``shortest_s`` as the smoothed velocity rises to the
+    fastest that the smoothness allows.  A second pass takes it down where the first one went far from the
+    original; a series without any distance keeps the first pass (there the ratio has no value).
+    """
+    slow, fast = R.alpha(longest_s, rate), R.alpha(shortest_s, rate)
+    top = FASTEST * smoothness * fov_ratio * (0.5 if second_pass else 1.0)
+    velocity = np.concatenate([[0.0], np.degrees(R.turn(R.product(R.inverse(q[:-1]), q[1:]))) * rate])
+    ratio = R.ema(velocity, fast) / top
+    once = R.slerp_ema(q, slow * (1 - ratio) + fast * ratio)
+    if not second_pass:
+        return once
+    distance = R.turn(R.product(R.inverse(q), once))
+    if not distance.max() > 0:
+        return once
+    distance = distance / distance.max()
+    distance = R.ema(np.where(distance < 0.5, 0.0, distance), fast)
+    if distance.max() > 0:
+        distance = distance / distance.max()
+    ratio = ratio * (distance + 1) / 2
+    return R.slerp_ema(q, slow * (1 - ratio) + fast * ratio)
+
+
+def smooth_dampened(df: DataFrame, rate: float, **params: float) -> DataFrame:
+    return quaternions(df, lambda q, _: dampened(q, rate, **params))
+
+
+def smooth_fixed(df: DataFrame, roll: float, pitch: float, yaw: float) -> DataFrame:
+    """A camera that looks one way; angles in degrees."""
+    r = lambda v: F.radians(F.lit(float(v)))
+    return df.withColumn("q", Q.from_euler(r(pitch), r(yaw), r(roll)))
+
+
+def lock_horizon(df: DataFrame, percent: float, roll_deg: float = 0.0) -> DataFrame:
+    """Rebuilds each orientation from its yaw and pitch with the given roll, blended in by ``percent``."""
+
+    def level(q):
+        return Q.let(Q.to_euler(q), lambda e: Q.slerp(q, Q.from_euler(F.radians(F.lit(roll_deg)), e["pitch"], e["yaw"]), F.lit(percent / 100.0)))
+
+    return df.withColumn("q", level(F.col("q")))
+
+
+def correction(raw: DataFrame, smooth: DataFrame) -> DataFrame:
+    """smooth^-1 raw at each key."""
+    both = raw.join(smooth.select(*BY, "ts_us", F.col("q").alias("_s")), [*BY, "ts_us"])
+    return both.withColumn("q", Q.multiply(Q.conjugate(F.col("_s")), F.col("q"))).drop("_s")
+
+
+# name -> (DataFrame, rate) -> DataFrame; others can be added.
+ALGORITHMS: dict[str, Callable[..., DataFrame]] = {
+    "none": lambda df, rate: df,
+    "plain": lambda df, rate, time_constant_s=0.25: smooth_plain(df, time_constant_s, rate),
+    "dampened": smooth_dampened,
+    "fixed": lambda df, rate, roll=0.0, pitch=0.0, yaw=0.0: smooth_fixed(df, roll, pitch, yaw),
+}
+
+
+def smooth(df: DataFrame, algorithm: str, rate: float, **params) -> DataFrame:
+    return ALGORITHMS.get(algorithm, ALGORITHMS["none"])(df, rate, **params)
+
+
+def lowpass_quats(df: DataFrame, cut_hz: float, rate: float) -> DataFrame:
+    """Butterworth low-pass of the components, unit length restored after each direction."""
+    k = R.biquad_lowpass(cut_hz, rate)
+
+    def run(q: np.ndarray, _: dict) -> np.ndarray:
+        for step in (1, -1):
+            q = R.normalised(np.column_stack([R.biquad(q[::step, i], k) for i in range(4)]))[::step]
+        return q
+
+    return quaternions(df, run)
