@@ -84,20 +84,23 @@ def _matches(text: Column, pattern: str, kind: str) -> Column:
 def _high(candidate: Column, c: CharClass) -> Column:
     """struct<first, last>: what the windows of high entropy cover, 0-based with the end excluded; first is null without any."""
     table = F.array(*(F.lit(0 if n < 2 else round(n * math.log2(n) * 1e6)) for n in range(c.window + 2)))
+    # What enters and what leaves at each step is laid out before: an expression inside the fold is computed again at each step.
     symbols = F.filter(F.split(F.lower(candidate) if c.fold else candidate, ""), lambda s: s != "")
     codes = F.transform(symbols, lambda s: F.instr(F.lit(c.alphabet), s) - 1)
+    leaving = F.concat(F.array_repeat(F.lit(-1), c.window), codes)
+    moves = F.filter(F.arrays_zip(codes.alias("new"), leaving.alias("old")), lambda m: m["new"].isNotNull())
     start = F.struct(
         F.array_repeat(F.lit(0), len(c.alphabet)).alias("counts"), F.lit(0).alias("s"), F.lit(0).alias("i"),
         F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"),
     )
 
-    def step(a: Column, code: Column) -> Column:
-        old = F.when(a["i"] >= c.window, F.get(codes, a["i"] - c.window))
-        n_in = F.get(a["counts"], code)
+    def step(a: Column, m: Column) -> Column:
+        new, old = m["new"], m["old"]
+        n_in = F.get(a["counts"], new)
         up = a["s"] + F.get(table, n_in + 1) - F.get(table, n_in)
-        n_out = F.get(a["counts"], old) + F.when(old == code, 1).otherwise(0)
-        s = F.when(old.isNull(), up).otherwise(up + F.get(table, n_out - 1) - F.get(table, n_out))
-        counts = F.transform(a["counts"], lambda n, k: n + F.when(k == code, 1).otherwise(0) - F.when(k == old, 1).otherwise(0))
+        n_out = F.get(a["counts"], old) + F.when(old == new, 1).otherwise(0)
+        s = F.when(old < 0, up).otherwise(up + F.get(table, n_out - 1) - F.get(table, n_out))
+        counts = F.transform(a["counts"], lambda n, k: F.when(k == new, n + F.when(k == old, 0).otherwise(1)).when(k == old, n - 1).otherwise(n))
         high = (a["i"] >= c.window - 1) & (s <= c.limit)
         return F.struct(
             counts.alias("counts"), s.alias("s"), (a["i"] + 1).alias("i"),
@@ -105,7 +108,7 @@ def _high(candidate: Column, c: CharClass) -> Column:
             F.when(high, a["i"] + 1).otherwise(a["last"]).alias("last"),
         )
 
-    return F.aggregate(codes, start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+    return F.aggregate(moves, start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
 
 def _added(text: Column, c: CharClass, taken: Column, allowed: tuple[str, ...]) -> Column:
