@@ -5,7 +5,8 @@ collapse into one row first, so copies never meet each other again.
 
 *Light* sets (fewer shingles than the boundary) enumerate subsets: two sets of sizes s and t that reach the
 threshold share at least c(s, t) shingles, so each emits one key per c-subset for every c that a feasible
-partner can ask for.  Equal keys are links.  *Heavy* sets are looked up in inverted lists: under one total
+partner can ask for.  Equal keys are links where the
+sizes ask for no more than c.  *Heavy* sets are looked up in inverted lists: under one total
 order of shingles, two sets with c shingles in common share one within their first |S| - c + 1.  The order
 puts shingles that are frequent somewhere last; it steers cost only, any order gives the same links.  Light
 sets large enough to link with a heavy one enter the lists too.  The boundary is the one of least estimated
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -174,7 +175,7 @@ def boundary(histogram: dict[int, int], mean_list: float, percent: int) -> int:
 
 
 def _keys(sets: DataFrame, x: int, percent: int) -> DataFrame:
-    """(key, light, doc_id, n_shingles, at): a subset of a light set, or a list in which the set stands at ``at``."""
+    """(key, light, doc_id, n_shingles, at): a subset of ``at`` elements of a light set, or a list in which the set stands at ``at``."""
 
     def subsets(e: np.ndarray, c: int) -> np.ndarray:
         """Keys of all c-subsets: what is left of the sum of mixed elements without those taken out."""
@@ -199,7 +200,7 @@ def _keys(sets: DataFrame, x: int, percent: int) -> DataFrame:
                 e = flat[at[k] : at[k + 1]]
                 found = []
                 if n < x:
-                    found += [(keys, True, np.full(len(keys), -1, np.int32)) for keys in (subsets(e, c) for c in subset_sizes(n, percent))]
+                    found += [(keys, True, np.full(len(keys), c, np.int32)) for c in subset_sizes(n, percent) for keys in (subsets(e, c),)]
                 if n >= smallest(x, percent):
                     p = prefix_length(n, percent)
                     found.append((e[:p], False, np.arange(p, dtype=np.int32)))
@@ -216,11 +217,11 @@ def _keys(sets: DataFrame, x: int, percent: int) -> DataFrame:
 
 
 def _possible(a: str, b: str, percent: int):
-    """Sizes agree, and what can still follow the shared list reaches the threshold."""
+    """Sizes agree, and the shared subset, or what can still follow the shared list, reaches the threshold."""
     small, big = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
     need = F.ceil(F.lit(percent) * (small + big) / F.lit(100 + percent))
     rest = F.least(F.col(f"{a}.n") - F.col(f"{a}.at"), F.col(f"{b}.n") - F.col(f"{b}.at"))
-    return (small * 100 >= big * percent) & (F.col(f"{a}.light") | (rest >= 1) & (need <= small))
+    return (small * 100 >= big * percent) & F.when(F.col(f"{a}.light"), need <= F.col(f"{a}.at")).otherwise((rest >= 1) & (need <= small))
 
 
 def _few_odd(a: str, b: str, percent: int):
@@ -295,10 +296,13 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
         mean = probe.agg(F.coalesce(F.sum(F.col("count") * F.col("count")) / F.sum("count"), F.lit(0.0))).first()[0]
         lists = shared.keep(_keys(reps, boundary(histogram, float(mean), percent), percent), "lists")
 
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    # Bands of sizes that can link; at 100 percent, each size.
+    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(100 / percent))).cast("int") if percent < 100 else F.col("n")
     lists = lists.withColumn("band", F.when(F.col("light"), 0).otherwise(step))
-    first = lists.groupBy("key", "light", "band").agg(F.min(F.struct("doc_id", "n", "light", "at")).alias("h"), F.max("doc_id").alias("last"))
-    first = first.where("h.doc_id < last").select("key", "light", "band", "h")
+    # If two sets with a subset in common are linked, so is each of them with the smallest set that has it.
+    head = F.struct(F.when(F.col("light"), F.col("n")).otherwise(0).alias("size"), "doc_id", "n", "light", "at")
+    first = lists.groupBy("key", "light", "band").agg(F.min(head).alias("h"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    first = first.where("lo < hi").select("key", "light", "band", "h")
     star = lists.join(first, ["key", "light", "band"]).where("doc_id <> h.doc_id").alias("e")
     star = star.withColumn("e", F.struct("n", "light", "at")).where(_possible("h", "e", percent))
     star = star.groupBy(F.col("h.doc_id").alias("u"), F.col("doc_id").alias("v")).agg(F.max("light").alias("light"))
