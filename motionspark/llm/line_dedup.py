@@ -123,16 +123,18 @@ def dedup_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     """
     docs = docs.drop("n_lines", "n_exact", "n_near")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    gone = duplicate_lines(narrow, near_chars).select(F.col("doc_id").alias("gone_id"), F.col("exact").alias("gone_exact"), F.col("near").alias("gone_near"))
-    joined = docs.join(gone, docs.doc_id == gone.gone_id, "left")
-    drop = F.concat("gone_exact", "gone_near")
+    gone_id, gone_exact, gone_near = (shared.free_name(docs, x) for x in ("gone_id", "gone_exact", "gone_near"))
+    gone = duplicate_lines(narrow, near_chars).toDF(gone_id, gone_exact, gone_near)
+    joined = docs.join(gone, docs.doc_id == gone[gone_id], "left")
+    drop = F.concat(gone_exact, gone_near)
     all_lines = F.split("text", "\n", -1)
     kept = F.filter(F.transform(all_lines, lambda x, i: F.when(~F.array_contains(drop, i), x)), lambda x: x.isNotNull())
-    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     filled = F.size(F.filter(all_lines, lambda x: F.trim(x, F.lit(" \t\r\x0b\x0c")) != ""))
+    changed = F.col(gone_id).isNotNull()
+    count = lambda c: F.when(changed, F.size(c)).otherwise(0).cast("long")
     return joined.select(
-        *(F.when(F.col("gone_id").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
-        F.coalesce(filled, F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("gone_id").isNotNull(), count("gone_exact")).otherwise(F.lit(0)).alias("n_exact"),
-        F.when(F.col("gone_id").isNotNull(), count("gone_near")).otherwise(F.lit(0)).alias("n_near"),
+        *(F.when(changed, F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
+        F.when(F.col("text").isNotNull(), filled).otherwise(0).cast("long").alias("n_lines"),
+        count(gone_exact).alias("n_exact"),
+        count(gone_near).alias("n_near"),
     )

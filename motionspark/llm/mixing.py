@@ -77,7 +77,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = 64, p
     """
     docs = docs.drop("block", "block_slot", "mix_position")
     spark = docs.sparkSession
-    key, rank, cut = (shared.free_name(docs, x) for x in ("mix_key", "mix_rank", "mix_cut"))
+    key, rank, in_span, in_slot = (shared.free_name(docs, x) for x in ("mix_key", "mix_rank", "mix_span", "mix_slot"))
     counts = {r[0]: r[1] for r in docs.groupBy("source").count().collect()}
     weight = {s: float((weights or {}).get(s, 1.0)) for s in counts}
     plan = phases({s: -(-n // block) for s, n in counts.items()}, weight, period)
@@ -93,19 +93,18 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = 64, p
             done[s] += q * times
         base += p * times
     kind = docs.schema["source"].dataType.simpleString()
-    span = spark.createDataFrame(spans, f"phase int, src {kind}, lo long, hi long, quota long, period long, base long")
-    slot = spark.createDataFrame(slots, f"slot_phase int, slot_src {kind}, nth long, at long")
+    span = spark.createDataFrame(spans, f"phase int, src {kind}, lo long, hi long, quota long, period long, base long").select(F.struct("*").alias(in_span))
+    slot = spark.createDataFrame(slots, f"phase int, src {kind}, nth long, at long").select(F.struct("*").alias(in_slot))
 
     keyed = docs.withColumn(key, F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))))
     ranked = shared.slots(keyed, ["source"], key, rank).withColumn("block", F.floor(F.col(rank) / block).cast("long"))
-    at = ranked.join(
-        F.broadcast(span), F.col("source").eqNullSafe(F.col("src")) & (F.col("block") >= F.col("lo")) & (F.col("block") < F.col("hi"))
-    ).withColumn(cut, F.struct("phase", "lo", "quota", "period", "base")).select(*(f"`{c}`" for c in ranked.columns), cut)
-    place = F.col("block") - F.col(f"{cut}.lo")
+    of_span, of_slot = (lambda f: F.col(f"{in_span}.{f}")), (lambda f: F.col(f"{in_slot}.{f}"))
+    # Both tables have a row or a few for each source and slot of a period.
+    at = ranked.join(F.broadcast(span), F.col("source").eqNullSafe(of_span("src")) & (F.col("block") >= of_span("lo")) & (F.col("block") < of_span("hi")))
+    place = F.col("block") - of_span("lo")
     at = at.join(
-        F.broadcast(slot),
-        (F.col(f"{cut}.phase") == F.col("slot_phase")) & F.col("source").eqNullSafe(F.col("slot_src")) & (place % F.col(f"{cut}.quota") == F.col("nth")),
+        F.broadcast(slot), (of_span("phase") == of_slot("phase")) & F.col("source").eqNullSafe(of_slot("src")) & (place % of_span("quota") == of_slot("nth"))
     )
-    at = at.withColumn("block_slot", F.col(f"{cut}.base") + F.floor(place / F.col(f"{cut}.quota")) * F.col(f"{cut}.period") + F.col("at"))
+    at = at.withColumn("block_slot", of_span("base") + F.floor(place / of_span("quota")) * of_span("period") + of_slot("at"))
     at = at.withColumn("mix_position", F.col("block_slot") * block + F.col(rank) % block)
-    return at.select(*docs.columns, "block", "block_slot", "mix_position")
+    return at.select(*(F.col(f"`{c}`") for c in docs.columns), "block", "block_slot", "mix_position")
