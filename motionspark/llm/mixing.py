@@ -6,8 +6,8 @@ slot ceil((i + 1) p / e).  Earliest deadline first among the released blocks mee
 any slot a source is less than one block from its share.  Quotas are whole and a period leaves no debt,
 hence the order within one period, drawn up once, gives the slot of every block by arithmetic.
 
-When a source cannot fill another period, one last period carries what is left of it and the remaining
-sources go on with their weights rescaled: no row is dropped or repeated.
+When a source cannot fill another period, the period goes on until one source has no block left and the
+others start anew with their weights rescaled: no row is dropped or repeated.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motionspark.llm import shared
+from motionspark.llm.sharding import range_bits
 
 
 def quotas(weights: dict, period: int) -> dict:
@@ -50,19 +51,23 @@ def pfair_period(quota: dict) -> list:
     return out
 
 
-def phases(blocks: dict, weights: dict, period: int) -> list[tuple[dict, int]]:
-    """(quota of each source, number of periods) until every block is placed."""
+def phases(blocks: dict, weights: dict, period: int) -> list[tuple[list, int]]:
+    """(order of slots, number of times) until every block is placed; a cut order comes once."""
     left, out = {s: n for s, n in blocks.items() if n}, []
     while left:
-        q = quotas({s: weights[s] for s in left}, period)
-        full = min(left[s] // q[s] for s in left)
+        quota = quotas({s: weights[s] for s in left}, period)
+        order = pfair_period(quota)
+        full = min(left[s] // quota[s] for s in left)
         if full:
-            out.append((q, full))
-            left = {s: left[s] - full * q[s] for s in left}
-        last = {s: min(q[s], left[s]) for s in left if left[s]}
-        if last:
-            out.append((last, 1))
-        left = {s: left[s] - last.get(s, 0) for s in left if left[s] > last.get(s, 0)}
+            out.append((order, full))
+            left = {s: left[s] - full * quota[s] for s in left}
+        seen, cut = dict.fromkeys(left, 0), 0
+        while all(left[s] > seen[s] for s in left):
+            seen[order[cut]] += 1
+            cut += 1
+        if cut:
+            out.append((order[:cut], 1))
+        left = {s: left[s] - seen[s] for s in left if left[s] > seen[s]}
     return out
 
 
@@ -83,21 +88,21 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block: int = 64, p
     plan = phases({s: -(-n // block) for s, n in counts.items()}, weight, period)
 
     spans, slots, base, done = [], [], 0, dict.fromkeys(counts, 0)
-    for number, (quota, times) in enumerate(plan):
-        p, seen = sum(quota.values()), dict.fromkeys(quota, 0)
-        for slot, s in enumerate(pfair_period(quota)):
+    for number, (order, times) in enumerate(plan):
+        seen = dict.fromkeys(order, 0)
+        for slot, s in enumerate(order):
             slots.append((number, s, seen[s], slot))
             seen[s] += 1
-        for s, q in quota.items():
-            spans.append((number, s, done[s], done[s] + q * times, q, p, base))
+        for s, q in seen.items():
+            spans.append((number, s, done[s], done[s] + q * times, q, len(order), base))
             done[s] += q * times
-        base += p * times
+        base += len(order) * times
     kind = docs.schema["source"].dataType.simpleString()
     span = spark.createDataFrame(spans, f"phase int, src {kind}, lo long, hi long, quota long, period long, base long").select(F.struct("*").alias(in_span))
     slot = spark.createDataFrame(slots, f"phase int, src {kind}, nth long, at long").select(F.struct("*").alias(in_slot))
 
     keyed = docs.withColumn(key, F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))))
-    ranked = shared.slots(keyed, ["source"], key, rank).withColumn("block", F.floor(F.col(rank) / block).cast("long"))
+    ranked = shared.slots(keyed, ["source"], key, rank, bits=range_bits(max(counts.values(), default=0), 1)).withColumn("block", F.floor(F.col(rank) / block).cast("long"))
     of_span, of_slot = (lambda f: F.col(f"{in_span}.{f}")), (lambda f: F.col(f"{in_slot}.{f}"))
     # Both tables have a row or a few for each source and slot of a period.
     at = ranked.join(F.broadcast(span), F.col("source").eqNullSafe(of_span("src")) & (F.col("block") >= of_span("lo")) & (F.col("block") < of_span("hi")))

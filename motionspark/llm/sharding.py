@@ -18,7 +18,12 @@ from pyspark.sql.window import Window
 
 from motionspark.llm import shared
 
-PARTS = 1024
+PARTS, PART_ROWS = 1024, 1_000_000  # source partitions: so many, more where they would hold more rows
+
+
+def range_bits(rows: int, groups: int) -> int:
+    """Bits of the key that cut each group into ranges of no more than about PART_ROWS rows."""
+    return min(24, max(10, (rows // max(1, groups * PART_ROWS)).bit_length()))
 
 
 def shard_sizes(n: int, shards: int) -> list[int]:
@@ -71,14 +76,16 @@ def communication_matrix(rows: list[int], columns: list[int], seed: int) -> np.n
     return out
 
 
-def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 7, parts: int = PARTS) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 7, parts: int | None = None) -> DataFrame:
     """``docs`` (doc_id, text, ...) with ``shard`` int and ``slot`` long, slots gapless from 0 in each shard.
 
     Every row is placed, nulls and repeated rows too; equal texts are placed independently, as a uniform
     shuffle must.  Columns of the input named shard or slot are replaced.  Only ``parts`` counts reach the
-    driver.  An empty table gives no rows.
+    driver; without a number given, there is one part for a million rows, and PARTS at least.  An empty table
+    gives no rows.
     """
     docs = docs.drop("shard", "slot")
+    parts = parts or max(PARTS, docs.count() // PART_ROWS)
     part, key, again, cut = (shared.free_name(docs, x) for x in ("shard_part", "shard_key", "shard_again", "shard_cut"))
     content = [F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))]
     keyed = docs.withColumn(part, F.pmod(F.xxhash64(F.lit(seed), *content), F.lit(parts)).cast("int"))
@@ -91,4 +98,4 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 7, parts: int = PAR
     rank = F.row_number().over(Window.partitionBy(part).orderBy(key)) - 1
     placed = keyed.withColumn("slot", rank).join(F.broadcast(table), part)  # parts x shards numbers
     placed = placed.withColumn("shard", F.size(F.filter(F.col(cut), lambda e: e <= F.col("slot")))).drop("slot", part, key, cut)
-    return shared.slots(placed, ["shard"], again, "slot").drop(again)
+    return shared.slots(placed, ["shard"], again, "slot", bits=range_bits(sum(rows), shards)).drop(again)

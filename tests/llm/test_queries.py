@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF, assert_same
+from tests.conftest import SF, assert_same
 from motionspark.llm.queries import ORACLE_SQL, QUERIES
 
 COLUMNS = {
