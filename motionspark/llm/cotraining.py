@@ -149,8 +149,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED,
     rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "lang", "source", "n_chars", "text", "y", "h")
     got = rows.mapInArrow(sample, "y int, h long, x binary").toArrow()
     y, h = got.column("y").to_numpy(), got.column("h").to_numpy()
-    size = len(text_view(b""))
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(len(y), -1).astype(np.float64)
+    size, more = len(text_view(b"")), len(metadata_view(None, None, 0, b""))
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(len(y), size + more).astype(np.float64)
     order = np.lexsort((x.sum(axis=1) if len(x) else h, h))
     y, h, x = y[order], h[order], x[order]
     views = [x[:, :size], x[:, size:]]
