@@ -6,12 +6,15 @@ Two interpolated bigram models, one of toxic and one of ordinary texts, with abs
     P_k(w)     = (1 - gamma)     max(N_k(. w) - D, 0) / Z_k    + gamma     P_0(w)
 
 c_k counts pairs in the labelled texts of class k and N_k(. w) the distinct words before w there; the Z are
-the sums of the discounted counts.  What both back off to is shared: lambda(v) and gamma come from the
-counts of both classes together, and P_0 is the unigram law of the whole corpus, labelled or not.  An
-expression seen up to D times in a class counts there as unseen, so a word rare in both says nothing, and
-the class with fewer texts has no bias from its larger share of unseen words.
-
-Words fall into 2^20 buckets by hash and pairs into 2^22, so the model that tasks receive has a fixed size.
+the sums of the discounted counts.  What both back off to is shared and comes from the whole corpus, labelled
+or not: lambda(v) from its pair counts, gamma from the distinct words before each word, and P_0 is its unigram
+law.  An expression seen up to D times in a class counts there as unseen, so a word rare in both says nothing,
+and the class with fewer texts has no bias from its larger share of unseen words.
+
+Words count under their full 64-bit hash, in a table with a row or two for each word of the corpus.  In a text's
+ratio P_0(w) cancels unless a discounted count of w is left in a class, and lambda(v) unless one of a pair
+after v is, so the rows that such words find in that table are all that tasks receive: their number is bounded
+by the labelled texts, and the ratios are those of the whole table.
 A text's features are length-normalised log-likelihood ratios: of the whole text, and of its best windows
 of a few lengths, since a long text may be toxic in one place only.  A logistic curve over them, fitted on
 labelled texts that the counts have not seen, gives the score.
@@ -29,15 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motionspark.llm import shared
-from motionspark.llm.text import WordHash, mix, rows
+from motionspark.llm.text import MULTIPLIERS, WordHash, mix, rows
 
-BITS, PAIR_BITS = 20, 22
 WINDOWS = (1, 3, 8, 24, 64)
 DISCOUNT = 3.0
 TOXIC_FROM = 0.7
 BLOCK = 2_000_000
 LABELLED = 12_000  # labelled texts of each class that the models are fitted on at most
 EDGE = bytes(range(0x21, 0x30)) + b":;<=>?@[\\]^_`{|}~"
+START = np.uint64(0)  # stands before the first word
 CORPUS, ORDINARY, TOXIC = 0, 1, 2
 
 
@@ -47,41 +50,42 @@ class _Words(WordHash):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word.strip(EDGE)) >> (64 - BITS)
+        self[word] = value = xxhash.xxh64_intdigest(word.strip(EDGE))
         return value
 
 
-def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return v << np.uint64(BITS) | w
+class _Places(_Words):
+    """word -> its place among the model's words; the place after the last for all others."""
 
+    def __init__(self, keys: np.ndarray):
+        super().__init__()
+        self.place, self.other = {k: i for i, k in enumerate(keys.tolist())}, len(keys)
 
-def _pair_bucket(key: np.ndarray) -> np.ndarray:
-    return (mix(key) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+    def __missing__(self, word: bytes) -> int:
+        value = self.place.get(super().__missing__(word), self.other)
+        self[word] = value
+        return value
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n) from (class or null, text): words of every text, pairs of the labelled ones."""
-    cache, found, size = _Words(), {CORPUS: [], ORDINARY: [], TOXIC: []}, 0
+    """(kind, v, w, n) from (kind, text): how often w follows v."""
+    cache, found, size = _Words(), {}, 0
 
     def flush():
-        kinds, keys, counts = [], [], []
+        columns = []
         for kind, parts in found.items():
-            if parts:
-                k, n = np.unique(np.concatenate(parts), return_counts=True)
-                kinds.append(np.full(len(k), kind, np.int32))
-                keys.append(k.view(np.int64))
-                counts.append(n.astype(np.int64))
-                parts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (kinds, keys, counts)], ["kind", "key", "n"])
-
-    for label, data in rows(batches):
+            v, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+            _, first, n = np.unique(mix(v * MULTIPLIERS[0] + w * MULTIPLIERS[1]), return_index=True, return_counts=True)
+            columns.append((np.full(len(n), kind, np.int32), v[first].view(np.int64), w[first].view(np.int64), n.astype(np.int64)))
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*columns, strict=True)], ["kind", "v", "w", "n"])
+
+    for kind, data in rows(batches):
         w = cache.of(data.lower().split())
         if not len(w):
             continue
-        found[CORPUS].append(w)
+        found.setdefault(kind, []).append((np.concatenate([[START], w[:-1]]), w))
         size += len(w)
-        if label is not None:
-            found[TOXIC if label else ORDINARY].append(_pair(np.concatenate([[np.uint64(0)], w[:-1]]), w))
         if size >= BLOCK:
             yield flush()
             size = 0
@@ -89,79 +93,94 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _pairs(texts: DataFrame) -> DataFrame:
+    """(kind, v, w, n) of (kind, text)."""
+    return texts.mapInArrow(_count, "kind int, v long, w long, n long").groupBy("kind", "v", "w").agg(F.sum("n").alias("n"))
+
+
+def corpus_words(docs: DataFrame) -> DataFrame:
+    """(side, key, n, m): of each word its count and its distinct neighbours, following it (side 0) and before it (side 1)."""
+    both = _pairs(docs.select(F.lit(CORPUS).alias("kind"), "text")).selectExpr("stack(2, 0, v, n, 1, w, n) AS (side, key, n)")
+    return both.groupBy("side", "key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"))
+
+
 @dataclass
 class Models:
-    """Of each class (ordinary, toxic): P_k(w), discounted pair counts and their sums Z_k(v); of both: lambda(v)."""
+    """Of the words that tell the classes apart, one more row for all others, and of each class (ordinary, toxic):
+    P_k(w), the sums Z_k(v) and the discounted pair counts; of both: lambda(v)."""
 
+    keys: np.ndarray
     word: list[np.ndarray]
-    pair: list[np.ndarray]
     total: list[np.ndarray]
     backoff: np.ndarray
+    pair_keys: np.ndarray
+    pair: list[np.ndarray]
 
-    def log_ratio(self, v: np.ndarray, w: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """log P_toxic(w | v) - log P_ordinary(w | v)."""
+    def log_ratio(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """log P_toxic(w | v) - log P_ordinary(w | v) by the places of v and w."""
         back, logs = self.backoff[v], []
+        key = v * len(self.backoff) + w
+        at = np.searchsorted(self.pair_keys, key)
+        at[self.pair_keys[at] != key] = len(self.pair_keys) - 1
         for k in (0, 1):
             unigram, total = self.word[k][w], self.total[k][v]
-            direct = np.where(total > 0, self.pair[k][pair] / np.maximum(total, np.float32(1e-6)), unigram)
-            logs.append(np.log((1 - back) * np.minimum(direct, 1) + back * unigram))
-        return (logs[1] - logs[0]).astype(np.float64)
+            direct = np.where(total > 0, self.pair[k][at] / np.maximum(total, 1e-6), unigram)
+            logs.append(np.log((1 - back) * direct + back * unigram))
+        return logs[1] - logs[0]
 
 
-def _table(df: DataFrame, size: int, *columns: str) -> list[np.ndarray]:
-    """Dense arrays from (bucket, ...) rows; their number is at most ``size``."""
-    t = df.toArrow()
-    at, out = t.column("b").to_numpy(), []
-    for c in columns:
-        a = np.zeros(size, np.float32)
-        a[at] = t.column(c).to_numpy()
-        out.append(a)
-    return out
+def _places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    return np.searchsorted(keys, wanted.view(np.uint64))
 
 
-def _models(counts: DataFrame, base: np.ndarray, discount: float) -> Models:
-    mask, d = (1 << BITS) - 1, F.lit(discount)
-    pairs = counts.where(F.col("kind") != CORPUS)
+def fit_models(words: DataFrame, counts: DataFrame, discount: float) -> Models:
+    """From the words of the corpus and the class pairs (kind, v, w, n)."""
+    d = F.lit(discount)
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x).otherwise(0)).cast("double")
-    over = F.greatest(F.col("n") - d, F.lit(0.0))
-    before = _table(pairs.groupBy(F.col("key").bitwiseAND(mask).alias("b")).agg(of(ORDINARY, 1).alias("o"), of(TOXIC, 1).alias("t")), 1 << BITS, "o", "t")
-    seen, distinct, total_o, total_t = _table(
-        pairs.groupBy(F.shiftright("key", BITS).alias("b")).agg(
-            F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"), of(ORDINARY, over).alias("o"), of(TOXIC, over).alias("t")
-        ),
-        1 << BITS, "n", "m", "o", "t",
-    )
-
-    def bucketed(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_pair_bucket(b.column(1).to_numpy().view(np.uint64))), b.column(2)], ["kind", "b", "n"])
-
-    often = pairs.where(F.col("n") > d).select("kind", "key", "n").mapInArrow(bucketed, "kind int, b long, n long")
-    pair = _table(often.groupBy("b").agg(of(ORDINARY, over).alias("o"), of(TOXIC, over).alias("t")), 1 << PAIR_BITS, "o", "t")
-
-    kept = [np.maximum(x - np.float32(discount), 0) for x in before]
-    both = sum(before)
-    gamma = 1 - np.maximum(both - discount, 0).sum(dtype=np.float64) / max(1.0, both.sum(dtype=np.float64))
-    gamma = float(min(0.99, max(0.01, gamma)))
-    word = [((1 - gamma) * (x / z if (z := x.sum(dtype=np.float64)) else base) + gamma * base).astype(np.float32) for x in kept]
-    backoff = np.where(seen > 0, np.minimum(1, discount * distinct / np.maximum(seen, 1)), 1).astype(np.float32)
-    return Models(word, pair, [total_o, total_t], backoff)
+    over = lambda c: F.greatest(F.col(c) - d, F.lit(0.0))
+    before = counts.groupBy(F.col("w").alias("key")).agg(of(ORDINARY, 1).alias("o"), of(TOXIC, 1).alias("t")).select("key", over("o").alias("o"), over("t").alias("t"))
+    z = before.agg(F.sum("o"), F.sum("t")).first()
+    often = counts.where(F.col("n") > d).groupBy("v", "w").agg(of(ORDINARY, over("n")).alias("o"), of(TOXIC, over("n")).alias("t")).toArrow()
+    before = before.where("o > 0 OR t > 0").toArrow()
+    v, w = (often.column(c).to_numpy() for c in ("v", "w"))
+    keys = np.unique(np.concatenate([before.column("key").to_numpy(), v, w]).view(np.uint64))
+    size = len(keys) + 1
+
+    mass = words.where("side = 1").agg(F.count(F.lit(1)), F.sum("n"), F.sum("m"), F.sum(over("m"))).first()
+    gamma = float(min(0.99, max(0.01, 1 - (mass[3] or 0) / max(1, mass[2] or 0))))
+    own = words.sparkSession.createDataFrame(pa.table({"key": keys.view(np.int64)}))
+    found = words.join(F.broadcast(own), "key").select("side", "key", "n", "m").toArrow()
+    side, at = found.column("side").to_numpy(), _places(keys, found.column("key").to_numpy())
+    n, m = (np.zeros((2, size)) for _ in range(2))
+    for out, c in ((n, "n"), (m, "m")):
+        out[side, at] = found.column(c).to_numpy()
+
+    base = (n[1] + 1) / ((mass[1] or 0) + mass[0] + 1)
+    backoff = np.where(n[0] > 0, np.minimum(1, discount * m[0] / np.maximum(n[0], 1)), 1)
+    word, total, pair = [], [], []
+    order = np.argsort(pair_keys := _places(keys, v) * size + _places(keys, w))
+    for c, sum_of in (("o", z[0]), ("t", z[1])):
+        seen = np.zeros(size)
+        seen[_places(keys, before.column("key").to_numpy())] = before.column(c).to_numpy()
+        word.append((1 - gamma) * (seen / sum_of if sum_of else base) + gamma * base)
+        left = often.column(c).to_numpy()
+        total.append(np.bincount(_places(keys, v), left, size))
+        pair.append(np.append(left[order], 0.0))
+    return Models(keys, word, total, backoff, np.append(pair_keys[order], size * size), pair)
 
 
 def _features(model):
     def score(batches):
         models = model.value
-        cache, names = _Words(), ["doc_id", "f"]
+        cache, names = _Places(models.keys), ["doc_id", "f"]
+        start = np.int64(cache.place.get(int(START), cache.other))
         ids, out = [], []
         for doc_id, data in rows(batches):
-            w = cache.of(data.lower().split())
+            w = cache.of(data.lower().split()).astype(np.int64)
             n = len(w)
             f = np.zeros(2 + len(WINDOWS), np.float64)
             if n:
-                v = np.concatenate([[np.uint64(0)], w[:-1]])
-                pair = _pair_bucket(_pair(v, w))
-                v, w = v.astype(np.int64), w.astype(np.int64)
-                ratio = models.log_ratio(v, w, pair)
+                ratio = models.log_ratio(np.concatenate([[start], w[:-1]]), w)
                 sums = np.concatenate([[0.0], np.cumsum(ratio)])
                 f[0] = sums[-1] / n
                 f[1] = np.log1p(n)
@@ -202,7 +221,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED,
 
     Labels of held-out doc_ids are never read.  Of the others at most ``labelled`` a class, chosen by hash,
     fit the models; two thirds of these are counted and one third fits the logistic curve.  The corpus
-    counts cover every text.  Null and empty texts get a score from a zero ratio.  A doc_id labelled more
+    counts cover every word and pair of every text.  Null and empty texts get a score from a zero ratio.  A doc_id labelled more
     than once is toxic if one of its labels says so.  Without labels of both classes the score is the share
     of toxic labels, or 0 without any.  Other columns are not read.  An empty table gives no rows.
     """
@@ -219,12 +238,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED,
         share = sum(r["n"] for r in seen if r["toxic"] == 1) / total if total else 0.0
         return docs.select("doc_id", F.lit(share).alias("score"))
 
-    counted = docs.join(F.broadcast(chosen.where("not fits").select("id", "toxic")), F.col("doc_id") == F.col("id"), "left").select("toxic", "text")
-    counts = counted.mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counts = shared.keep(counts, "ngrams")
-    (corpus,) = _table(counts.where(F.col("kind") == CORPUS).select(F.col("key").alias("b"), "n"), 1 << BITS, "n")
-    base = ((corpus + 1) / (corpus.sum(dtype=np.float64) + len(corpus))).astype(np.float32)
-    model = docs.sparkSession.sparkContext.broadcast(_models(counts, base, discount))
+    words = shared.keep(corpus_words(docs), "words")
+    counted = docs.join(F.broadcast(chosen.where("not fits")), F.col("doc_id") == F.col("id"))
+    counted = counted.select(F.when(F.col("toxic") == 1, TOXIC).otherwise(ORDINARY).alias("kind"), "text")
+    models = fit_models(words, shared.keep(_pairs(counted), "ngrams"), discount)
+    model = docs.sparkSession.sparkContext.broadcast(models)
 
     features = shared.keep(docs.mapInArrow(_features(model), "doc_id long, f array<double>"), "ratios")
     fit = features.join(F.broadcast(chosen.where("fits")), F.col("doc_id") == F.col("id")).select("f", "toxic").toArrow()

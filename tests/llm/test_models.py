@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +38,46 @@ def test_toxicity_reads_no_held_out_label(spark):
     assert a == pytest.approx(b, abs=1e-9)
 
 
+def test_toxicity_ratios_are_those_of_all_words_and_pairs(spark):
+    """Against models that keep every word and pair of the corpus, each by itself; 6000 words share buckets of 2^20."""
+    rng = random.Random(4)
+    vocabulary = [f"{rng.choice('abcdefgh')}{k}" for k in range(6000)]
+    texts = [[rng.choice(vocabulary[: rng.choice((30, 300, 6000))]) for _ in range(rng.randint(1, 200))] for _ in range(240)]
+    kinds = [k % 3 for k in range(len(texts))]  # a third is not labelled
+    both = [(0, " ".join(t)) for t in texts], [(k, " ".join(t)) for k, t in zip(kinds, texts, strict=True) if k]
+    docs, labelled = (spark.createDataFrame(x, "kind int, text string").repartition(3) for x in both)
+    models = toxicity.fit_models(toxicity.corpus_words(docs), toxicity._pairs(labelled), 3.0)
+
+    pairs = lambda k: Counter(p for t, x in zip(texts, kinds, strict=True) if k in (0, x) for p in zip([None, *t[:-1]], t, strict=True))
+    every, word = pairs(0), Counter(w for t in texts for w in t)
+    after, follow, before = Counter(), Counter(v for v, _ in every), Counter(w for _, w in every)
+    for (v, _), n in every.items():
+        after[v] += n
+    gamma = min(0.99, max(0.01, 1 - sum(max(n - 3, 0) for n in before.values()) / len(every)))
+    laws = []
+    for k in (1, 2):
+        pair, total = {p: n - 3 for p, n in pairs(k).items() if n > 3}, Counter()
+        for (v, _), n in pair.items():
+            total[v] += n
+        seen = {w: max(n - 3, 0) for w, n in Counter(w for _, w in pairs(k)).items()}
+        z = sum(seen.values())
+
+        def law(v, w, pair=pair, total=total, seen=seen, z=z):
+            unigram = (1 - gamma) * seen.get(w, 0) / z + gamma * (word[w] + 1) / (sum(word.values()) + len(word) + 1)
+            back = min(1, 3 * follow[v] / after[v])
+            return (1 - back) * (pair.get((v, w), 0) / total[v] if total[v] else unigram) + back * unigram
+
+        laws.append(law)
+
+    place = toxicity._Places(models.keys)
+    start = place.place.get(int(toxicity.START), place.other)
+    for t in texts[:60]:
+        w = place.of([x.encode() for x in t]).astype(np.int64)
+        got = models.log_ratio(np.concatenate([[start], w[:-1]]), w)
+        want = [np.log(laws[1](a, b) / laws[0](a, b)) for a, b in zip([None, *t[:-1]], t, strict=True)]
+        assert got == pytest.approx(want, abs=1e-9)
+
+
 def test_toxicity_edge_cases(spark, docs, clashing, none):
     labels = spark.createDataFrame([(k * 3, int(k % 4 == 0)) for k in range(60)] + [(None, 1)], "doc_id long, toxic int")
     nobody = labels.limit(0)
