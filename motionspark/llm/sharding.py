@@ -10,6 +10,7 @@ matrix row; each shard permutes what it receives.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -99,3 +100,53 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 7, parts: int | Non
     placed = keyed.withColumn("slot", rank).join(F.broadcast(table), part)  # parts x shards numbers
     placed = placed.withColumn("shard", F.size(F.filter(F.col(cut), lambda e: e <= F.col("slot")))).drop("slot", part, key, cut)
     return shared.slots(placed, ["shard"], again, "slot", bits=range_bits(sum(rows), shards)).drop(again)
+
+
+def file_order(docs: DataFrame, out: str) -> DataFrame:
+    """Adds the gapless 0-based rank of each row in the part files that ``docs`` is read from, file by file.
+
+    Part files come in the order of their numbers and before others, whatever their number and sizes, so a
+    table that was written in order has its ranks back.  ``docs`` must be read from parquet files as they are.
+    One count a file reaches the driver.
+    """
+    path, row, base = (shared.free_name(docs, x) for x in ("order_path", "order_row", "order_base"))
+    placed = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(row))
+
+    def number(name: str) -> tuple:
+        m = re.search(r"part-(\d+)-.*?(?:-c(\d+))?\.[^/]*$", name)
+        return (0, int(m[1]), int(m[2] or 0), name) if m else (1, 0, 0, name)
+
+    counts = sorted(placed.groupBy(path).count().collect(), key=lambda r: number(r[0]))
+    starts, at = [], 0
+    for r in counts:
+        starts.append((r[0], at))
+        at += r[1]
+    table = docs.sparkSession.createDataFrame(starts, f"`{path}` string, `{base}` long")
+    placed = placed.join(F.broadcast(table), path)  # a row for each file
+    return placed.select(*(F.col(f"`{c}`") for c in docs.columns), (F.col(base) + F.col(row)).alias(out))
+
+
+def shard_in_order(docs: DataFrame, shards: int = 8, seed: int = 7, parts: int | None = None) -> DataFrame:
+    """``docs``, as read from part files, with ``shard`` and ``slot`` as in ``shard_rows``; the files' order stays in each shard.
+
+    The source partitions are runs of consecutive rows.  Each permutes its rows and cuts them at the running
+    sums of its row of the communication matrix, so every set of rows of a shard's size is as likely; the
+    slots of a shard follow the order of the files.  Every row is placed, repeated rows too.
+    """
+    docs = docs.drop("shard", "slot")
+    part, key, at, cut, base = (shared.free_name(docs, x) for x in ("shard_part", "shard_key", "shard_at", "shard_cut", "shard_base"))
+    n = docs.count()
+    parts = parts or max(PARTS, n // PART_ROWS)
+    run = max(1, -(-n // parts))
+    rows = [max(0, min(run, n - i * run)) for i in range(parts)]
+    matrix = communication_matrix(rows, shard_sizes(n, shards), seed)
+    ends, bases = np.cumsum(matrix, axis=1).tolist(), (np.cumsum(matrix, axis=0) - matrix).tolist()
+    table = docs.sparkSession.createDataFrame([(i, ends[i], bases[i]) for i in range(parts)], f"`{part}` int, `{cut}` array<long>, `{base}` array<long>")
+    placed = file_order(docs, at).withColumn(part, F.floor(F.col(at) / run).cast("int"))
+    placed = placed.withColumn(key, F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")), at))
+    placed = placed.withColumn("slot", F.row_number().over(Window.partitionBy(part).orderBy(key, at)) - 1)
+    placed = placed.join(F.broadcast(table), part)  # parts x shards numbers, twice
+    placed = placed.withColumn("shard", F.size(F.filter(F.col(cut), lambda e: e <= F.col("slot"))))
+    own = F.row_number().over(Window.partitionBy(part, "shard").orderBy(at)) - 1
+    placed = placed.withColumn("slot", (F.get(F.col(base), F.col("shard")) + own).cast("long"))
+    return placed.select(*(F.col(f"`{c}`") for c in docs.columns), "shard", "slot")

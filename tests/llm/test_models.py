@@ -195,3 +195,30 @@ def test_pipeline_stages(spark):
     out = stages["sharding"](spark, calm, SF)
     counts = [r["count"] for r in out.groupBy("shard").count().collect()]
     assert ids(out) == ids(calm) and len(counts) == 8 and max(counts) - min(counts) <= 1
+
+
+def test_mixing_takes_effect_in_the_pipelines_rows(spark, monkeypatch):
+    """Slots of each shard follow the mixed order; other weights give other rows, a finer cut into files does not."""
+    from motionspark.llm.mixing import mix_sources
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    run = lambda: {r["doc_id"]: (r["shard"], r["slot"]) for r in corpus_pipeline.run(spark, SF).select("doc_id", "shard", "slot").collect()}
+    got, mixed = run(), mix_sources(docs, corpus_pipeline.TARGET_WEIGHTS, block=corpus_pipeline.BLOCK)
+    at = {r["doc_id"]: r["mix_position"] for r in mixed.select("doc_id", "mix_position").collect()}
+    shards = {}
+    for d, (shard, slot) in got.items():
+        shards.setdefault(shard, []).append((slot, at[d]))
+    assert len(got) == docs.count() and len(shards) == 8
+    for rows in shards.values():
+        rows.sort()
+        assert [s for s, _ in rows] == list(range(len(rows))) and [p for _, p in rows] == sorted(p for _, p in rows)
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    assert run() == got
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    monkeypatch.setattr(corpus_pipeline, "TARGET_WEIGHTS", {"src7": 9.0})
+    assert run() != got
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[1:])
+    assert run() != got

@@ -111,3 +111,19 @@ def test_neighbours_part(spark):
     shard, slot = np.array([r[1] for r in out]), np.array([r[2] for r in out], float)
     assert abs(np.corrcoef(slot[:-1], slot[1:])[0, 1]) < 0.05
     assert np.bincount(shard[:2000], minlength=8).std() < 30
+
+
+def test_sharding_in_order(spark, tmp_path):
+    """Files' order back over many files; shards even over it and over neighbours."""
+    path = str(tmp_path / "ordered")
+    spark.range(0, 8000, numPartitions=13).selectExpr("id AS doc_id", "'t' AS text", "0 AS shard_at").write.option("maxRecordsPerFile", 200).parquet(path)
+    docs = spark.read.parquet(path)
+    assert all(r["doc_id"] == r["at"] for r in sharding.file_order(docs, "at").collect())
+    for parts in (None, 3):
+        out = sorted((r["shard"], r["slot"], r["doc_id"]) for r in sharding.shard_in_order(docs, 8, parts=parts).collect())
+        assert [(s, k) for s, k, _ in out] == [(s, k) for s in range(8) for k in range(1000)]
+        assert sorted(d for *_, d in out) == list(range(8000)) and out == sorted(out, key=lambda r: (r[0], r[2]))
+        of = np.array([s for s, _, _ in sorted(out, key=lambda r: r[2])])
+        assert np.bincount(of[:2000], minlength=8).std() < 30
+        assert abs((of[1:] == of[:-1]).mean() - 1 / 8) < 0.02
+    assert sharding.shard_in_order(docs.where("doc_id < 0"), 8).count() == 0
