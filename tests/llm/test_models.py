@@ -94,6 +94,25 @@ def test_cotraining_beats_chance_on_unseen_labels(spark):
     assert auc([r[0] for r in scored], [r[1] for r in scored]) > 0.7
 
 
+def test_cotraining_is_taught_by_every_unlabelled_row(spark, monkeypatch):
+    """13000 unlabelled rows, more than any sample: each is seen in every pass, the pseudo-labelled ones in every fit."""
+    rng = np.random.default_rng(5)
+    truth = rng.integers(0, 2, 13_400)
+    x = rng.normal(size=(len(truth), cotraining.TEXT + 6)) * 0.1
+    x[:, 0] += truth * 1.5
+    x[:, -1] += truth * 1.5
+    x[-1000:, -2] = 1.0  # a source without labels
+    x = x.astype(np.float32)
+    rows = spark.createDataFrame([(r.tobytes(),) for r in x[400:]], "x binary").repartition(6)
+    seen, summed = [], cotraining._summed
+    monkeypatch.setattr(cotraining, "_summed", lambda df, work: seen.append(df.count()) or summed(df, work))
+    models = cotraining.co_train(cotraining._split(x[:400].astype(np.float64)), truth[:400].astype(float), rows, rounds=2)
+    assert len(seen) > 4 and set(seen) == {13_000}
+    for m, v in zip(models, cotraining._split(x.astype(np.float64)), strict=True):
+        assert auc(m.logit(v[400:]), truth[400:]) > 0.95
+    assert abs(models[1].weights[-3]) > 1e-3  # learned from pseudo-labels only
+
+
 def test_cotraining_edge_cases(spark, docs, clashing, none):
     labels = spark.createDataFrame([(k * 3, int(k % 3 == 0)) for k in range(60)], "doc_id long, quality int")
     assert cotraining.score_quality(none, labels).count() == 0
