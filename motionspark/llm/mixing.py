@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from motionspark.llm import shared
 from motionspark.llm.sharding import range_bits
 
-TARGET_WEIGHTS = {"src0": 6.0, "src1": 3.0, "src2": 2.0}  # of the pipeline; every other source has 1
+TARGET_WEIGHTS = {"src0": 6.0, "src1": 3.0, "src2": 2.0}  # of op8 and the pipeline; every other source has 1
 
 
 def quotas(weights: dict, period: int) -> dict:

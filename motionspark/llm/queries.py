@@ -66,7 +66,7 @@ def op7_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), block=16)
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), mixing.TARGET_WEIGHTS, block=16)
     return mixed.select("doc_id", "source", "block", "block_slot", "mix_position")
 
 

@@ -127,3 +127,19 @@ def test_sharding_in_order(spark, tmp_path):
         assert np.bincount(of[:2000], minlength=8).std() < 30
         assert abs((of[1:] == of[:-1]).mean() - 1 / 8) < 0.02
     assert sharding.shard_in_order(docs.where("doc_id < 0"), 8).count() == 0
+
+
+def test_mixing_query_has_unequal_weights(spark, tmp_path):
+    """While every source has blocks left, each is within a block of its weight's share."""
+    docs = spark.range(9600).selectExpr("id AS doc_id", "'t' AS text", "concat('src', id % 6) AS source")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = QUERIES["op8_pfair_mixing"](spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(9600))
+    want = {f"src{k}": w / 14 for k, w in enumerate((6, 3, 2, 1, 1, 1))}
+    blocks, seen = sorted({(r["block_slot"], r["source"]) for r in out}), Counter()
+    for k, (_, s) in enumerate(blocks, 1):
+        seen[s] += 1
+        assert all(abs(seen[x] - k * w) < 1.2 for x, w in want.items())  # quotas round the weights to a period of 1000
+        if seen[s] == 100:
+            break
+    assert seen["src0"] == 100 and seen["src5"] < 20
