@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motionspark.llm import shared
-from motionspark.llm.text import MASK, WordHash, mix, rows, shingles
+from motionspark.llm.text import MASK, WordHash, hashes, mix, shingle_sets, shingles, slices, word_codes
 
 MAX_LIGHT = 32  # sets below this size are stored whole, so that the boundary can lie anywhere up to it
 HOT_LIMIT = 1_500_000  # most frequent shingles that the order knows of: 13.5 MB broadcast at most
@@ -63,17 +63,20 @@ def subset_sizes(s: int, percent: int) -> list[int]:
     return sorted({overlap(s, t, percent) for t in range(smallest(s, percent), largest(s, percent) + 1)} & set(range(1, s + 1)))
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """A byte for each of a power of two of parts: the sum of a byte of each element in it."""
-    parts = 1 << max(4, (len(s) // 4).bit_length())
-    total = np.bincount((s & np.uint64(parts - 1)).astype(np.int64), weights=(s >> np.uint64(40) & np.uint64(255)).astype(np.float64), minlength=parts)
-    return total.astype(np.int64).astype(np.uint8)
+def sketches_of(n: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of sets of n elements that lie in s: a byte for each of a power of two of parts, the sum of a byte of each element in it."""
+    parts = np.left_shift(1, np.maximum(4, np.frexp(n // 4)[1])).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(parts)])
+    place = np.repeat(at[:-1], n) + (s & np.repeat(parts - 1, n).astype(np.uint64)).astype(np.int64)
+    total = np.bincount(place, weights=(s >> np.uint64(40) & np.uint64(255)).astype(np.float64), minlength=at[-1])
+    return at, total.astype(np.int64).astype(np.uint8)
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """256 bits in four longs: whether the number of elements in each of 256 parts is odd."""
-    odd = np.bincount((s >> np.uint64(20) & np.uint64(255)).astype(np.int64), minlength=256) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def parities_of(n: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """256 bits in four longs for each set: whether the number of elements in each of 256 parts is odd."""
+    place = np.repeat(np.arange(len(n)), n) * 256 + (s >> np.uint64(20) & np.uint64(255)).astype(np.int64)
+    odd = np.bincount(place, minlength=256 * len(n)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, 4)
 
 
 def parts_apart(a: np.ndarray, b: np.ndarray) -> int:
@@ -83,10 +86,11 @@ def parts_apart(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(a != b))
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, np.ndarray]]:
-    cache = WordHash()
-    for doc_id, data in rows(batches):
-        yield doc_id, np.unique(shingles(cache.of(data.lower().split()), width))
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(doc_ids, offsets, shingles) of pieces of (doc_id, text)."""
+    for b in slices(batches, 1):
+        offsets, codes, words = word_codes(b.column(1))
+        yield b.column(0), *shingle_sets(offsets, hashes(words)[codes], width)
 
 
 def _frequent(docs: DataFrame, width: int) -> np.ndarray:
@@ -103,7 +107,7 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(h[hot].view(np.int64)), pa.array(n[hot].astype(np.int64))], ["h", "n"])
 
         found, size = [], 0
-        for _, s in _sets(batches, width):
+        for _, _, s in _sets(batches, width):
             found.append(s)
             size += len(s)
             if size >= BLOCK:
@@ -120,41 +124,40 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
     return h[order], level[order]
 
 
+def _ragged(kind: pa.DataType, offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+    """A column of lists or of byte strings that lie one after the other."""
+    at = pa.array(offsets.astype(np.int32), pa.int32())
+    if pa.types.is_binary(kind):
+        return pa.Array.from_buffers(kind, len(offsets) - 1, [None, at.buffers()[1], pa.py_buffer(values.tobytes())])
+    return pa.ListArray.from_arrays(at, pa.array(values))
+
+
 def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, sketch, parity, elements): the whole set below MAX_LIGHT, else its prefix; both in order."""
+    """(doc_id, n_shingles, set_hash, sketch, p0-p3, elements): the whole set below MAX_LIGHT, else its prefix; both in order."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
 
     def sign(batches):
-        hot, level = frequent.value
-
-        def flush():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(signs, pa.binary()), pa.array(sketches, pa.binary()), pa.array(parities, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_hash", "sketch", "parity", "elements"],
-            )
-
         import xxhash
 
-        ids, sizes, signs, sketches, parities, parts = [], [], [], [], [], []
-        for doc_id, s in _sets(batches, width):
-            n = len(s)
-            ids.append(doc_id)
-            sizes.append(n)
-            signs.append(xxhash.xxh3_128_digest(s.tobytes()))
-            sketches.append(sketch(s).tobytes())
-            parities.append(parity(s))
-            if n and len(hot):
-                at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                rank = np.where(hot[at] == s, level[at], 0)
-                s = s[np.argsort(rank, kind="stable")]  # equal ranks stay in the order of their hashes
-            parts.append((s if n < MAX_LIGHT else s[: prefix_length(n, percent)]).view(np.int64))
-            if len(ids) >= 2000:
-                yield flush()
-                ids, sizes, signs, sketches, parities, parts = [], [], [], [], [], []
-        if ids:
-            yield flush()
-
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles int, set_hash binary, sketch binary, parity array<long>, elements array<long>")
+        hot, level = frequent.value
+        for ids, ends, s in _sets(batches, width):
+            n = np.diff(ends)
+            cuts = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+            at, sketches = sketches_of(n, s)
+            rank = np.zeros(len(s), np.uint8)
+            if len(hot) and len(s):
+                place = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+                rank = np.where(hot[place] == s, level[place], 0).astype(np.uint8)
+            size = np.where(n < MAX_LIGHT, n, n - -(-percent * n // 100) + 1)
+            keep = [a + np.argsort(rank[a:b], kind="stable")[:k] for (a, b), k in zip(cuts, size.tolist(), strict=True)]  # equal ranks stay in the order of their hashes
+            elements = s[np.concatenate(keep)] if keep else s
+            signs = [xxhash.xxh3_128_digest(s[a:b].tobytes()) for a, b in cuts]
+            odd = parities_of(n, s)
+            arrays = [ids, pa.array(n.astype(np.int32)), pa.array(signs, pa.binary()), _ragged(pa.binary(), at, sketches), *(pa.array(odd[:, i].copy()) for i in range(4))]
+            arrays.append(_ragged(pa.list_(pa.int64()), np.concatenate([[0], np.cumsum(size)]), elements.view(np.int64)))
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "set_hash", "sketch", "p0", "p1", "p2", "p3", "elements"])
+
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles int, set_hash binary, sketch binary, p0 long, p1 long, p2 long, p3 long, elements array<long>")
 
 
 def boundary(histogram: dict[int, int], mean_list: float, percent: int) -> int:
@@ -227,7 +230,7 @@ def _possible(a: str, b: str, percent: int):
 def _few_odd(a: str, b: str, percent: int):
     """Parities differ in no more parts than linked sets may differ in elements."""
     need = F.ceil(F.lit(percent) * (F.col(f"{a}.n") + F.col(f"{b}.n")) / F.lit(100 + percent))
-    apart = [F.bit_count(F.get(F.col(f"{a}.parity"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{b}.parity"), F.lit(i)))) for i in range(4)]
+    apart = [F.bit_count(F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}"))) for i in range(4)]
     return apart[0] + apart[1] + apart[2] + apart[3] <= F.col(f"{a}.n") + F.col(f"{b}.n") - 2 * need
 
 
@@ -285,20 +288,27 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = shared.keep(_signatures(docs, width, percent), "signatures")
     whole = signed.where("n_shingles > 0 and doc_id is not null")
-    sets = whole.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    reps = whole.join(sets.select("set_hash", F.col("rep").alias("doc_id")), ["set_hash", "doc_id"]).dropDuplicates(["set_hash"])
-    reps = reps.select("doc_id", "n_shingles", "sketch", "parity", "elements")
+    sets = shared.keep(whole.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "sets")
+    reps = whole.join(sets.select("set_hash", F.col("rep").alias("doc_id")), ["set_hash", "doc_id"]).dropDuplicates(["set_hash"]).drop("set_hash")
+    reps = shared.keep(reps, "representatives")
+    named = shared.keep(signed.select("doc_id", "n_shingles", "set_hash"), "named")
+    repeated = _repeats(signed)
+    shared.forget(signed)
     histogram = {r[0]: r[1] for r in reps.where(f"n_shingles < {MAX_LIGHT}").groupBy("n_shingles").count().collect()}
 
-    lists = shared.keep(_keys(reps, 1, percent).where("not light"), "lists") if not histogram else None
-    if lists is None:
+    x = 1
+    if histogram:
         probe = _keys(reps.where(f"n_shingles < {MAX_LIGHT}"), 1, percent).groupBy("key").count()
         mean = probe.agg(F.coalesce(F.sum(F.col("count") * F.col("count")) / F.sum("count"), F.lit(0.0))).first()[0]
-        lists = shared.keep(_keys(reps, boundary(histogram, float(mean), percent), percent), "lists")
-
+        x = boundary(histogram, float(mean), percent)
+    keys = _keys(reps, x, percent)
+    if not histogram:
+        keys = keys.where("not light")
+    # Most prefixes' shingles are in one set only; no list of one member goes on.
+    several = keys.groupBy("key", "light").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "light")
     # Bands of sizes that can link; at 100 percent, each size.
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(100 / percent))).cast("int") if percent < 100 else F.col("n")
-    lists = lists.withColumn("band", F.when(F.col("light"), 0).otherwise(step))
+    lists = shared.keep(keys.join(several, ["key", "light"], "left_semi").withColumn("band", F.when(F.col("light"), 0).otherwise(step)), "lists")
     # If two sets with a subset in common are linked, so is each of them with the smallest set that has it.
     head = F.struct(F.when(F.col("light"), F.col("n")).otherwise(0).alias("size"), "doc_id", "n", "light", "at")
     first = lists.groupBy("key", "light", "band").agg(F.min(head).alias("h"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
@@ -309,43 +319,57 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     star = shared.keep(star, "star")
 
     texts = docs.where("doc_id is not null")
-    texts = texts.dropDuplicates(["doc_id"]) if _repeats(signed) else texts
+    texts = texts.dropDuplicates(["doc_id"]) if repeated else texts
     sketches = reps.select("doc_id", "n_shingles", "sketch")
 
     def linked(pairs: DataFrame) -> DataFrame:
         close = shared.keep(_close(pairs, sketches, percent), "close")
-        return shared.keep(_verify(close, texts, width, percent), "links")
+        found = shared.keep(_verify(close, texts, width, percent), "links")
+        shared.forget(close)
+        return found
 
     heads = star.where("not light")
     nearest = shared.keep(heads.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "nearest")
-    links = star.where("light").select("u", "v").unionByName(linked(nearest))
-    joined = shared.keep(shared.components(links), "joined")
+    near = linked(nearest)
+    early = shared.components(star.where("light").select("u", "v").unionByName(near))
 
     def apart(pairs: DataFrame) -> DataFrame:
         """Pairs whose ends are in different components so far."""
-        cu = joined.select(F.col("node").alias("u"), F.col("component").alias("cu"))
-        cv = joined.select(F.col("node").alias("v"), F.col("component").alias("cv"))
+        cu = early.select(F.col("node").alias("u"), F.col("component").alias("cu"))
+        cv = early.select(F.col("node").alias("v"), F.col("component").alias("cv"))
         both = pairs.join(cu, "u", "left").join(cv, "v", "left")
         return both.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
 
-    links = links.unionByName(linked(apart(heads.select("u", "v").join(nearest, ["u", "v"], "left_anti"))))
-    joined = shared.keep(shared.components(links), "joined")
-
-    named = lists.where("not light").join(joined, lists.doc_id == joined.node, "left")
-    named = named.select("key", "light", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("comp"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = shared.keep(named.join(mixed, "key").join(reps.select("doc_id", "parity"), "doc_id"), "rest")
-    a, b = rest.alias("a"), rest.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.comp") != F.col("b.comp")) & _possible("a", "b", percent) & _few_odd("a", "b", percent))
-    pairs = pairs.select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct()
+    far = linked(apart(heads.select("u", "v").join(nearest, ["u", "v"], "left_anti")))
+    joined = shared.components(early.select(F.col("component").alias("u"), F.col("node").alias("v")).unionByName(far))
+    shared.forget(nearest, near, far, early)
+
+    # The last round: sets of one list that are still apart.  A group is a key and a band, with the sets of that
+    # band and of the next one, since sets that can link are at most one band apart.
+    member = lists.where("not light").join(joined, F.col("doc_id") == F.col("node"), "left")
+    member = member.select("key", "light", "doc_id", "n", "at", "band", F.coalesce("component", "doc_id").alias("comp"))
+    member = member.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("above")).withColumn("band", F.col("band") - F.col("above"))
+    mixed = member.groupBy("key", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("above").alias("above"))
+    mixed = mixed.where("lo < hi and above = 0").select("key", "band")
+    rest = member.join(mixed, ["key", "band"], "left_semi").join(reps.select("doc_id", "p0", "p1", "p2", "p3"), "doc_id")
+    rest = shared.keep(rest, "rest")
+    a, b = rest.where("above = 0").alias("a"), rest.alias("b")
+    once = (F.col("b.above") == 1) | (F.col("a.doc_id") < F.col("b.doc_id"))
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.band") == F.col("b.band"))
+    pairs = a.join(b, same & once & (F.col("a.comp") != F.col("b.comp")) & _possible("a", "b", percent) & _few_odd("a", "b", percent))
+    pairs = pairs.select(F.least("a.doc_id", "b.doc_id").alias("u"), F.greatest("a.doc_id", "b.doc_id").alias("v")).distinct()
     more = linked(pairs.join(star.select("u", "v"), ["u", "v"], "left_anti"))
+    shared.forget(lists, rest, star, reps)
     if not more.isEmpty():
-        joined = shared.components(links.unionByName(more))
+        last = joined
+        joined = shared.components(last.select(F.col("component").alias("u"), F.col("node").alias("v")).unionByName(more))
+        shared.forget(last)
+    shared.forget(more)
 
     classes = sets.join(joined, sets.rep == joined.node, "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
-    out = signed.where("n_shingles > 0").join(classes, "set_hash", "left")
+    out = named.where("n_shingles > 0").join(classes, "set_hash", "left")
     out = out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
-    alone = signed.where("n_shingles = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    alone = named.where("n_shingles = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone)
 
 
@@ -355,6 +379,16 @@ def _repeats(signed: DataFrame) -> bool:
 
 
 def one_of_each_group(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; every column stays."""
-    best = ngram_jaccard_join(docs, width, percent).where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(best, docs.doc_id.eqNullSafe(best.kept_id), "left_semi")
+    """One row of ``docs`` for each component, that of its smallest doc_id; every column stays.
+
+    Of rows that repeat that doc_id one stays.  Rows without a doc_id have no component: of those with equal
+    texts one stays.
+    """
+    grouped = shared.keep(ngram_jaccard_join(docs, width, percent), "grouped")
+    best = grouped.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("kept_rows"))
+    kept = docs.join(best.select("kept_id"), docs.doc_id == best.kept_id, "left_semi")
+    if not best.where("kept_rows > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    if not grouped.where("doc_id is null").isEmpty():
+        kept = kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    return kept

@@ -2,27 +2,53 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LOCAL_SHARED = "/tmp/checkpoints"  # used only where spark.checkpoint.dir is unset, as in tests
+LOCAL_SHARED = "/tmp/checkpoints"  # used only where spark.checkpoint.dir is unset and the master is local, as in tests
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    """The folder that the cluster names in spark.checkpoint.dir; a cluster that names none has no shared folder."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (path or LOCAL_SHARED).rstrip("/")
 
 
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back, which cuts the lineage.
 
-    The files survive lost executors; the folder's owner clears it as with checkpoints.
+    The files survive lost executors.  The shuffle files of the write go when it ends; ``forget`` deletes the
+    table, and what is not forgotten the folder's owner clears as with checkpoints.
     """
-    path = f"{shared_dir(df.sparkSession)}/motionspark/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/motionspark/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_path = path
+    return kept
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``keep`` has returned and that no later step reads."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.kept_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -78,11 +104,15 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         large = large.unionByName(low.where("u <> m").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = keep(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), label)
+        last, e = e, keep(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), label)
+        forget(last)
         new = state(e)
         if new == old:
             break
         old = new
-    return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(
+    named = e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+    named = keep(named, label)
+    forget(e)
+    return named

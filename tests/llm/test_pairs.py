@@ -89,6 +89,12 @@ def test_one_of_each_group(docs, rows, clashing):
     assert kept.columns == clashing.columns
 
 
+def test_one_of_each_group_with_repeated_rows(spark):
+    rows = [(4, "a b c d e f", "x", None, 0), (4, "a b c d e f", "y", None, 0), (7, "a b c d e f", "x", None, 0), (None, "q r", None, None, 0), (None, "q r", None, None, 1), (None, None, None, None, 0)]
+    kept = one_of_each_group(spark.createDataFrame(rows, SCHEMA), 5, 80).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(4, "a b c d e f"), (None, "q r"), (None, None)], key=repr)
+
+
 def test_subset_sizes_cover_every_feasible_pair():
     for percent in (60, 80, 90):
         for s in range(1, 32):
@@ -103,9 +109,11 @@ def test_sketches_never_exceed_the_difference():
     for _ in range(200):
         a = np.unique(rng.integers(0, 2**63, rng.integers(5, 300), dtype=np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.1], rng.integers(0, 2**63, rng.integers(0, 20), dtype=np.uint64)]))
-        apart = len(np.setxor1d(a, b))
-        assert jaccard_join.parts_apart(jaccard_join.sketch(a), jaccard_join.sketch(b)) <= apart
-        assert sum(int(x).bit_count() for x in (jaccard_join.parity(a) ^ jaccard_join.parity(b)).view(np.uint64)) <= apart
+        apart, n, both = len(np.setxor1d(a, b)), np.array([len(a), len(b)]), np.concatenate([a, b])
+        at, flat = jaccard_join.sketches_of(n, both)
+        assert jaccard_join.parts_apart(flat[: at[1]], flat[at[1] :]) <= apart
+        odd = jaccard_join.parities_of(n, both)
+        assert sum(int(x).bit_count() for x in (odd[0] ^ odd[1]).view(np.uint64)) <= apart
 
 
 def test_components(spark):
