@@ -187,6 +187,42 @@ def test_fertility_measures(spark, sf_dir, rows):
         assert r["token_entropy"] == pytest.approx(float(-(p * np.log2(p)).sum()) / math.log2(len(ids)) if len(ids) > 1 else 0, abs=1e-5)
 
 
+def brute_bands(rows):
+    """(low, high) of each measure for each (language, power of two of words), from rows that pass the base rules."""
+
+    def quartiles(values):
+        bins = sorted(math.floor(v / fertility.BIN) for v in values)
+        n = len(bins)
+        return bins[-(-n // 4) - 1] * fertility.BIN, (bins[-(-3 * n // 4) - 1] + 1) * fertility.BIN
+
+    out, k = {}, fertility.PRIOR
+    size = lambda r: math.floor(math.log2(max(1, r["n_words"])))
+    for lang, length in {(r["lang"], size(r)) for r in rows}:
+        groups = [[r for r in rows if r["lang"] == lang and size(r) == length], [r for r in rows if r["lang"] == lang], rows]
+        for m in fertility.MEASURES:
+            own, wide, every = (quartiles([r[m] for r in g]) for g in groups)
+            drawn = [(len(groups[0]) * a + k * ((len(groups[1]) * b + k * c) / (len(groups[1]) + k))) / (len(groups[0]) + k) for a, b, c in zip(own, wide, every, strict=True)]
+            slack = max(fertility.REACH * (drawn[1] - drawn[0]), fertility.LEAST_REACH)
+            out[lang, length, m] = drawn[0] - slack, drawn[1] + slack
+    return out, size
+
+
+def test_verdict_is_that_of_the_bands(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    p = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+    langs = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    rows = [r.asDict() | {"lang": langs[r["doc_id"]]} for r in fertility.quality_rules(docs, *p).collect()]
+    found, size = brute_bands([r for r in rows if not r["base_failed"]])
+    edge = lambda x, b: min(abs(x - b[0]), abs(x - b[1])) < 1e-9
+    rejected = 0
+    for r in rows:
+        limits = [] if r["base_failed"] else [(r[m], found[r["lang"], size(r), m]) for m in fertility.MEASURES]
+        if not any(edge(*x) for x in limits):
+            assert r["kept"] == (not r["base_failed"] and all(b[0] <= x <= b[1] for x, b in limits))
+            rejected += not r["base_failed"] and not r["kept"]
+    assert 0 < rejected < len(rows) / 10
+
+
 def test_fertility_rejects_noise_and_keeps_prose(spark, none, docs, clashing):
     p = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
     rng = np.random.default_rng(1)
