@@ -7,13 +7,15 @@ files and any store that Spark writes to will do.  A row of a file is a shard: t
 document.  Reading needs no shuffle of ids: a shard is one row.
 
 The tokenizer's cuts never cross a single space or line feed between two other characters, so the ids of
-a text are those of its words, " word" after a space, and those are remembered within a task.  Texts with
-other white space are encoded whole.
+a text are those of its words, " word" after a space, and those are remembered within a task.  A word is cut
+by the vocabulary's pattern, and the library's model encodes what has not been met before.  Texts with other
+white space are encoded whole.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -27,9 +29,9 @@ from motionspark.llm.wavelet import WaveletMatrix
 
 SHARD_TOKENS = 4_000_000
 TASK_BYTES = 32_000_000
-REMEMBERED = 600_000  # words that a Python worker knows the ids of, also from one task to the next
+REMEMBERED = 900_000  # words and pieces that a Python worker knows the ids of, also from one task to the next
 ODD_SPACE = re.compile(r"^\s|\s\s|\s$")
-SCHEMA = "part int, seq int, n_tokens long, width int, doc_ids binary, ends binary, zeros array<long>, planes array<binary>, ranks array<binary>"
+SCHEMA = "part int, seq int, n_tokens long, width int, nulls int, doc_ids binary, ends binary, zeros array<long>, planes array<binary>, ranks array<binary>"
 
 
 class Encoder:
@@ -39,33 +41,52 @@ class Encoder:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        import regex
+        from public_tokenizers import PATTERN
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.model = self.tokenizer.model
         largest = max(self.tokenizer.get_vocab().values())
         self.dtype = np.dtype("<u2") if largest < 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.cut = regex.compile(PATTERN).findall
+        self.letters = self._letters(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))
         self.line = self._whole(["\n"])[0]
-        self.line_id = int(np.frombuffer(self.line, self.dtype)[0])
+
+    @staticmethod
+    def _letters(byte_level) -> dict[int, str]:
+        """The letter that stands for each byte of UTF-8 in a byte-level vocabulary, as the library gives it."""
+        of = lambda data: byte_level.pre_tokenize_str(data.decode())[0][0]
+        out = {b: of(bytes([b])) for b in range(0x80)}
+        out |= {b: of(bytes([0xC2, b]))[1] for b in range(0x80, 0xC0)}
+        for lead in range(0xC2, 0xF5):
+            rest = {0xE0: b"\xa0\x80", 0xF0: b"\x90\x80\x80"}.get(lead, b"\x80" * (1 + (lead >= 0xE0) + (lead >= 0xF0)))
+            out[lead] = of(bytes([lead]) + rest)[0]
+        return out
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of what the pattern cuts out, by the library's model."""
+        found = self.pieces.get(piece)
+        if found is None:
+            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+            self.pieces[piece] = found = struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return found
+
     def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
-        """Encodes unknown words together, a line each; no word holds a line feed, so its id parts them again."""
-        new = [w for w in words if w not in known]
-        for i in range(0, len(new), 2000):
-            some = new[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([lead + w for w in some])], add_special_tokens=False)[0].ids, self.dtype)
-            cuts = np.flatnonzero(ids == self.line_id)
-            starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]])
-            data, size = ids.tobytes(), self.dtype.itemsize
-            known.update(zip(some, [data[a * size : b * size] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
+        for w in words:
+            if w not in known:
+                known[w] = self._piece(lead + w) if w.isalpha() else b"".join(map(self._piece, self.cut(lead + w)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.later) > REMEMBERED:
-            self.first, self.later = {}, {}
+        if len(self.first) + len(self.later) + len(self.pieces) > REMEMBERED:
+            self.first, self.later, self.pieces = {}, {}, {}
         plain = [[line.split(" ") for line in t.split("\n")] if t and not ODD_SPACE.search(t) else None for t in texts]
         first, later = set(), set()
         for lines in plain:
@@ -103,11 +124,12 @@ def _shards(vocabulary: str, end_id: int):
             w = max(width, int(ids.max()).bit_length())
             m = WaveletMatrix.build(ids, w)
             row = {
-                "part": part, "seq": seq, "n_tokens": len(ids), "width": w, "doc_ids": np.array(docs, "<i8").tobytes(),
+                "part": part, "seq": seq, "n_tokens": len(ids), "width": w,
+                "nulls": docs.count(None), "doc_ids": np.array([d or 0 for d in docs], "<i8").tobytes(),
                 "ends": np.cumsum([len(c) // coder.dtype.itemsize for c in codes], dtype="<u4").tobytes(), "zeros": m.zeros,
                 "planes": [p.tobytes() for p in m.planes], "ranks": [r.astype("<u4").tobytes() for r in m.ranks],
             }
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary())]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], list(row))
 
         docs, codes, size = [], [], 0
@@ -131,7 +153,7 @@ def write_token_store(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     """Writes the ids of every text of ``docs`` (doc_id, text, ...), each ended by ``end_id``, in ascending doc_id order.
 
     A null text is empty: its ids are the end id alone.  Rows that repeat a doc_id are documents of their
-    own, ordered by text.  A null doc_id is not allowed.  An empty table gives a store without shards.
+    own, ordered by text.  Rows without a doc_id come first.  An empty table gives a store without shards.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -145,6 +167,11 @@ def matrix(row: dict) -> WaveletMatrix:
     return WaveletMatrix(row["n_tokens"], list(row["zeros"]), planes, [np.frombuffer(r, "<u4") for r in row["ranks"]])
 
 
+def _doc_ids(row: dict) -> pa.Array:
+    ids = np.frombuffer(row["doc_ids"], "<i8")
+    return pa.array(ids, mask=np.arange(len(ids)) < row["nulls"])
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
         for i in range(b.num_rows):
@@ -174,7 +201,7 @@ def document_digests(store: DataFrame) -> DataFrame:
             starts = np.concatenate([[0], ends[:-1]])
             crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts, ends, strict=True)]
             n = len(ends)
-            arrays = [np.full(n, row["part"], np.int32), np.full(n, row["seq"], np.int32), np.frombuffer(row["doc_ids"], "<i8"), starts, ends - starts, np.array(crc, np.int64)]
+            arrays = [np.full(n, row["part"], np.int32), np.full(n, row["seq"], np.int32), _doc_ids(row), starts, ends - starts, np.array(crc, np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     found = store.mapInArrow(read, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
@@ -199,7 +226,7 @@ def find_token(store: DataFrame, token: int) -> DataFrame:
         for row in _rows(batches):
             m = matrix(row)
             at = np.array([m.select(token, k) for k in range(m.rank(token, m.n))], np.int64)
-            doc = np.frombuffer(row["doc_ids"], "<i8")[np.searchsorted(np.frombuffer(row["ends"], "<u4"), at, side="right")]
+            doc = _doc_ids(row).take(pa.array(np.searchsorted(np.frombuffer(row["ends"], "<u4"), at, side="right")))
             part, seq = (np.full(len(at), row[c], np.int32) for c in ("part", "seq"))
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in (part, seq, at, doc)], ["part", "seq", "at", "doc_id"])
 

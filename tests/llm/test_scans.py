@@ -125,6 +125,15 @@ def test_token_store_lookup(store, truth):
     assert sorted(map(tuple, token_store.find_token(store, rare).collect())) == [(i, owner[i]) for i, t in enumerate(flat) if t == rare]
 
 
+def test_token_store_without_doc_ids(spark, tmp_path):
+    rows = [(None, "a b", None, None, 3), (5, "c", None, None, 1), (None, None, None, None, 0), (5, "c", None, None, 1), (-2, "d e", None, None, 3)]
+    token_store.write_token_store(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "some"), VOCABULARY)
+    store = token_store.open_token_store(spark, str(tmp_path / "some"))
+    got = sorted(map(tuple, token_store.document_digests(store).select("start", "doc_id").collect()))
+    assert [d for _, d in got] == [None, None, -2, 5, 5]
+    assert {d for _, d in token_store.find_token(store, 2).collect()} == {None, -2, 5}
+
+
 def test_token_store_edge_cases(spark, none, clashing, truth, tmp_path):
     token_store.write_token_store(none, str(tmp_path / "none"), VOCABULARY)
     assert token_store.document_digests(token_store.open_token_store(spark, str(tmp_path / "none"))).count() == 0
