@@ -191,6 +191,29 @@ def test_line_dedup_edge_cases(docs, clashing, none):
     assert wide.where(F.col("gone_id") != "x").count() == 0
 
 
+def test_lines_of_every_length(spark):
+    """Around the lengths at which the cuts change: an edit at every place of a line, and of one that is a character longer."""
+    rng = np.random.default_rng(11)
+    rows, pairs = [], 0
+    for n in (20, 23, 24, 25, 31, 32, 33, 47, 48, 63, 64, 65, 100, 128, 129):
+        base = "".join(rng.choice(list("abcdefghij"), n))
+        lines = [base] + [base[:k] + "#" + base[k + 1 :] for k in range(0, n, 3)] + [base[:k] + base[k + 1 :] for k in range(1, n, 4)]
+        order = rng.permutation(len(lines)).tolist()
+        for k in order:
+            rows.append((len(rows), lines[k], None, None, 0))
+        pairs += len(lines)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "text", "n_lines", "n_exact", "n_near")
+    assert sorted(map(tuple, got.collect())) == brute_lines(rows)
+
+
+def test_very_long_lines(spark):
+    rng = np.random.default_rng(12)
+    long = "".join(rng.choice(list("abcdefghij "), 120_000))
+    rows = [(1, long, None, None, 0), (2, long[:70_000] + "#" + long[70_000:], None, None, 0), (3, long[:-1], None, None, 0), (4, long[:-2], None, None, 0)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_near").collect()
+    assert sorted(map(tuple, got)) == [(1, 0), (2, 1), (3, 1), (4, 1)]
+
+
 def test_variants():
     v, own = line_dedup.variants("abc")
     assert [int(x) for x in v] == [int(line_dedup.variants(s)[1]) for s in ("bc", "ac", "ab")]
