@@ -7,17 +7,16 @@ files and any store that Spark writes to will do.  A row of a file is a shard: t
 document.  Reading needs no shuffle of ids: a shard is one row.
 
 The tokenizer's cuts never cross a single space or line feed between two other characters, so the ids of
-a text are those of its words, " word" after a space, and those are remembered within a task.  A word is cut
-by the vocabulary's pattern, and the library's model encodes what has not been met before.  Texts with other
-white space are encoded whole.
+a text are those of its units: each word with the space or line feed before it.  The ids of units are
+remembered within a task; a new one is cut by the vocabulary's pattern, and the library's model encodes what
+has not been met before.  Texts with other white space are encoded whole.
 """
 
 from __future__ import annotations
 
-import re
-import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from motionspark.llm.text import binary, slices
 from motionspark.llm.wavelet import WaveletMatrix
 
 SHARD_TOKENS = 4_000_000
 TASK_BYTES = 32_000_000
-REMEMBERED = 900_000  # words and pieces that a Python worker knows the ids of, also from one task to the next
-ODD_SPACE = re.compile(r"^\s|\s\s|\s$")
+REMEMBERED = 800_000  # units and pieces that a Python worker knows the ids of, also from one task to the next
 SCHEMA = "part int, seq int, n_tokens long, width int, nulls int, doc_ids binary, ends binary, zeros array<long>, planes array<binary>, ranks array<binary>"
 
 
@@ -49,13 +48,10 @@ class Encoder:
         self.model = self.tokenizer.model
         largest = max(self.tokenizer.get_vocab().values())
         self.dtype = np.dtype("<u2") if largest < 1 << 16 else np.dtype("<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self._forget()
         self.cut = regex.compile(PATTERN).findall
         self.letters = self._letters(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))
-        self.line = self._whole(["\n"])[0]
+        self.line = np.frombuffer(self._whole(["\n"])[0], self.dtype).tolist()
 
     @staticmethod
     def _letters(byte_level) -> dict[int, str]:
@@ -71,35 +67,79 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _piece(self, piece: str) -> bytes:
+    def _forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.pieces: dict[str, list[int]] = {}
+        self.ids, self.start, self.count = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _piece(self, piece: str) -> list[int]:
         """Ids of what the pattern cuts out, by the library's model."""
         found = self.pieces.get(piece)
         if found is None:
-            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-            self.pieces[piece] = found = struct.pack(f"<{len(ids)}{self.code}", *ids)
+            self.pieces[piece] = found = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
         return found
 
-    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
-        for w in words:
-            if w not in known:
-                known[w] = self._piece(lead + w) if w.isalpha() else b"".join(map(self._piece, self.cut(lead + w)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.later) + len(self.pieces) > REMEMBERED:
-            self.first, self.later, self.pieces = {}, {}, {}
-        plain = [[line.split(" ") for line in t.split("\n")] if t and not ODD_SPACE.search(t) else None for t in texts]
-        first, later = set(), set()
-        for lines in plain:
-            for words in lines or ():
-                first.add(words[0])
-                later.update(words[1:])
-        self._learn(self.first, first, "")
-        self._learn(self.later, later, " ")
-        get = self.later.__getitem__
-        return [
-            self.line.join([self.first[words[0]] + b"".join(map(get, words[1:])) for words in lines]) if lines is not None else b"" if not t else self._whole([t])[0]
-            for t, lines in zip(texts, plain, strict=True)
-        ]
+    def _unit(self, unit: str) -> list[int]:
+        if unit[0] == "\n":
+            return self.line + (self._unit(unit[1:]) if len(unit) > 1 else [])
+        return self._piece(unit) if unit.lstrip(" ").isalpha() else [i for p in self.cut(unit) for i in self._piece(p)]
+
+    def _places(self, units: list[bytes]) -> np.ndarray:
+        """Where the units stand in the table of ids; unknown ones are encoded first."""
+        if len(self.place) + len(self.pieces) > REMEMBERED:
+            self._forget()
+        new = [u for u in units if u not in self.place]
+        if new:
+            ids = [self._unit(u.decode()) for u in new]
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(n) - n])
+            self.count = np.concatenate([self.count, n])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), self.dtype, n.sum())])
+        return np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """The ids of each text; a null text is empty."""
+        texts = binary(column)
+        at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        data = b"".join(texts)
+        raw = np.frombuffer(data, np.uint8)
+        gap = (raw == 32) | (raw == 10)
+        odd = odd_space(raw)
+        odd[1:] |= gap[1:] & gap[:-1]
+        full = at[:-1][np.diff(at) > 0]
+        ends = at[1:][np.diff(at) > 0] - 1
+        odd[full] |= gap[full]
+        odd[ends] |= gap[ends]
+        whole = np.zeros(len(texts), bool)
+        whole[np.searchsorted(at, np.flatnonzero(odd), side="right") - 1] = True  # a text whose white space meets an edge or other white space
+        gap[full] = True
+        starts = np.flatnonzero(gap)
+        offsets = pa.array(np.append(starts, len(raw)).astype(np.int32))
+        units = pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets.buffers()[1], pa.py_buffer(data)])
+        owner = np.searchsorted(at, starts, side="right") - 1
+        if whole.any():
+            units, owner = units.filter(pa.array(~whole[owner])), owner[~whole[owner]]
+        coded = units.dictionary_encode()
+        place = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+        n = self.count[place]
+        ids = self.ids[np.arange(n.sum()) + np.repeat(self.start[place] - (np.cumsum(n) - n), n)].tobytes()
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, n, minlength=len(texts)))]).astype(np.int64) * self.dtype.itemsize
+        rest = iter(self._whole([texts[i].decode() for i in np.flatnonzero(whole)]))
+        return [next(rest) if w else ids[a:b] for w, a, b in zip(whole.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+def odd_space(raw: np.ndarray) -> np.ndarray:
+    """Of each byte of UTF-8, whether white space other than space and line feed begins there."""
+    out = ((raw >= 9) & (raw <= 13) & (raw != 10)) | ((raw >= 0x1C) & (raw <= 0x1F))
+    lead = np.flatnonzero((raw == 0xC2) | ((raw >= 0xE1) & (raw <= 0xE3)))
+    if len(lead):
+        end = np.append(raw, [0, 0])
+        a, b, c = raw[lead], end[lead + 1], end[lead + 2]
+        two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+        quad = (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+        out[lead] = two | quad | ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE2) & (b == 0x81) & (c == 0x9F)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+    return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -133,16 +173,14 @@ def _shards(vocabulary: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], list(row))
 
         docs, codes, size = [], [], 0
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                piece = b.slice(i, 256)
-                for doc_id, code in zip(piece.column(0).to_pylist(), coder.encode([t or "" for t in piece.column(1).to_pylist()]), strict=True):
-                    if docs and size + len(code) > SHARD_TOKENS * coder.dtype.itemsize:
-                        yield flush()
-                        seq, docs, codes, size = seq + 1, [], [], 0
-                    docs.append(doc_id)
-                    codes.append(code + end)
-                    size += len(code) + len(end)
+        for piece in slices(batches, 1):
+            for doc_id, code in zip(piece.column(0).to_pylist(), coder.encode(piece.column(1)), strict=True):
+                if docs and size + len(code) > SHARD_TOKENS * coder.dtype.itemsize:
+                    yield flush()
+                    seq, docs, codes, size = seq + 1, [], [], 0
+                docs.append(doc_id)
+                codes.append(code + end)
+                size += len(code) + len(end)
         if docs:
             yield flush()
 
