@@ -29,7 +29,7 @@ from motionspark.llm.wavelet import WaveletMatrix
 
 SHARD_TOKENS = 4_000_000
 TASK_BYTES = 32_000_000
-REMEMBERED = 800_000  # units and pieces that a Python worker knows the ids of, also from one task to the next
+REMEMBERED = 1_000_000  # units that a Python worker knows the ids of, also from one task to the next
 SCHEMA = "part int, seq int, n_tokens long, width int, nulls int, doc_ids binary, ends binary, zeros array<long>, planes array<binary>, ranks array<binary>"
 
 
@@ -51,6 +51,7 @@ class Encoder:
         self._forget()
         self.cut = regex.compile(PATTERN).findall
         self.letters = self._letters(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))
+        self.space = self.letters[32]
         self.line = np.frombuffer(self._whole(["\n"])[0], self.dtype).tolist()
 
     @staticmethod
@@ -72,25 +73,36 @@ class Encoder:
         self.pieces: dict[str, list[int]] = {}
         self.ids, self.start, self.count = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _tokens(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece)]
+
     def _piece(self, piece: str) -> list[int]:
         """Ids of what the pattern cuts out, by the library's model."""
         found = self.pieces.get(piece)
         if found is None:
-            self.pieces[piece] = found = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+            self.pieces[piece] = found = self._tokens(piece.encode().decode("latin-1").translate(self.letters))
         return found
 
-    def _unit(self, unit: str) -> list[int]:
-        if unit[0] == "\n":
+    def _unit(self, unit: bytes) -> list[int]:
+        if unit[0] == 10:
             return self.line + (self._unit(unit[1:]) if len(unit) > 1 else [])
-        return self._piece(unit) if unit.lstrip(" ").isalpha() else [i for p in self.cut(unit) for i in self._piece(p)]
+        bare = unit[1:] if unit[0] == 32 else unit
+        if bare.isalpha():  # letters of ASCII
+            return self._tokens(self.space + bare.decode() if unit[0] == 32 else bare.decode())
+        text = unit.decode()
+        if text.lstrip(" ").isalpha():
+            return self._tokens(unit.decode("latin-1").translate(self.letters))
+        return [i for p in self.cut(text) for i in self._piece(p)]
 
     def _places(self, units: list[bytes]) -> np.ndarray:
         """Where the units stand in the table of ids; unknown ones are encoded first."""
-        if len(self.place) + len(self.pieces) > REMEMBERED:
+        if len(self.place) > REMEMBERED:
             self._forget()
+        if len(self.pieces) > REMEMBERED // 4:
+            self.pieces = {}
         new = [u for u in units if u not in self.place]
         if new:
-            ids = [self._unit(u.decode()) for u in new]
+            ids = [self._unit(u) for u in new]
             n = np.fromiter(map(len, ids), np.int64, len(ids))
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(n) - n])

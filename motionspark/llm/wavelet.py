@@ -21,13 +21,16 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, width: int) -> WaveletMatrix:
         zeros, planes, ranks = [], [], []
         for k in range(width - 1, -1, -1):
-            one = ((ids >> ids.dtype.type(k)) & ids.dtype.type(1)).astype(bool)
+            one = (ids & ids.dtype.type(1 << k)) != 0
             bits = np.packbits(one, bitorder="little")
             planes.append(bits)
             ranks.append(cls._ranks(bits))
-            low = ids[~one]
-            zeros.append(len(low))
-            ids = np.concatenate([low, ids[one]])
+            low = len(ids) - int(np.count_nonzero(one))
+            zeros.append(low)
+            after = np.empty_like(ids)
+            np.compress(~one, ids, out=after[:low])
+            np.compress(one, ids, out=after[low:])
+            ids = after
         return cls(len(ids), zeros, planes, ranks)
 
     @staticmethod
@@ -96,7 +99,7 @@ class WaveletMatrix:
         for k in range(len(self.planes) - 1, -1, -1):
             one = np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
             back = np.empty_like(ids)
-            back[~one] = ids[: self.zeros[k]]
-            back[one] = ids[self.zeros[k] :] | dtype(1 << (len(self.planes) - 1 - k))
+            back[np.flatnonzero(~one)] = ids[: self.zeros[k]]
+            back[np.flatnonzero(one)] = ids[self.zeros[k] :] | dtype(1 << (len(self.planes) - 1 - k))
             ids = back
         return ids
