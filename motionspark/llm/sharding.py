@@ -96,10 +96,11 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 7, parts: int | Non
     ends = np.cumsum(communication_matrix(rows, shard_sizes(sum(rows), shards), seed), axis=1)
     spark = docs.sparkSession
     table = spark.createDataFrame([(i, [int(x) for x in ends[i]]) for i in range(parts)], f"`{part}` int, `{cut}` array<long>")
-    rank = F.row_number().over(Window.partitionBy(part).orderBy(key)) - 1
+    ties = [F.xxhash64(*(F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and t != "variant"))]  # rows alike in all columns may change places
+    rank = F.row_number().over(Window.partitionBy(part).orderBy(key, *ties)) - 1
     placed = keyed.withColumn("slot", rank).join(F.broadcast(table), part)  # parts x shards numbers
     placed = placed.withColumn("shard", F.size(F.filter(F.col(cut), lambda e: e <= F.col("slot")))).drop("slot", part, key, cut)
-    return shared.slots(placed, ["shard"], again, "slot", bits=range_bits(sum(rows), shards)).drop(again)
+    return shared.slots(placed, ["shard"], again, "slot", bits=range_bits(sum(rows), shards), ties=ties).drop(again)
 
 
 def file_order(docs: DataFrame, out: str) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -26,39 +27,45 @@ def test_pfair_is_within_one_block(shares):
         assert all(abs(seen[x] * total - slot * q) < total for x, q in quota.items())
 
 
-@given(st.dictionaries(st.sampled_from("abcdef"), st.tuples(st.integers(1, 5000), st.floats(0.01, 100)), min_size=1))
-@settings(max_examples=80, deadline=None)
-def test_phases_place_every_block(given_):
-    blocks, weights = {s: n for s, (n, _) in given_.items()}, {s: w for s, (_, w) in given_.items()}
-    placed = Counter()
-    for order, times in mixing.phases(blocks, weights, 100):
-        left = {s: n - placed[s] for s, n in blocks.items() if n > placed[s]}
-        quota, seen = mixing.quotas({s: weights[s] for s in left}, 100), Counter()
-        total = sum(quota.values())
-        for slot, s in enumerate(order, 1):
-            seen[s] += 1
-            assert all(abs(seen[x] * total - slot * q) < total for x, q in quota.items())
-        for s in order:
-            placed[s] += times
-    assert placed == blocks
+@pytest.mark.parametrize(
+    "weights",
+    [{"a": 1, "b": 1, "c": 1}, {"a": 1 / 3, "b": 1 / 7, "c": 1 - 1 / 3 - 1 / 7}, mixing.TARGET_WEIGHTS | {f"s{k}": 1 for k in range(17)}, {"a": 0.1, "b": 0.25, "c": 0.65}, {"a": 1e-3, "b": 7.77, None: 2}],
+)
+def test_schedule_follows_the_weights_without_end(weights):
+    """Against the weights themselves, over 10^5 slots: less than one block."""
+    order = mixing.pfair_period(mixing.quotas(weights))
+    slots, total = np.arange(1, 100_001), sum(weights.values())
+    for s, w in weights.items():
+        seen = np.cumsum(np.resize(np.array([x == s for x in order]), len(slots)))
+        assert np.abs(seen - slots * (w / total)).max() < 1
+
+
+def test_quotas_of_odd_weights():
+    rng = np.random.default_rng(3)
+    weights = {f"s{k}": float(w) for k, w in enumerate(rng.random(9) + 0.01)}
+    quota = mixing.quotas(weights, 5000)
+    assert sum(quota.values()) == 5000 and all(abs(q - 5000 * weights[s] / sum(weights.values())) < 1 for s, q in quota.items())
+    assert mixing.quotas({"a": 2.0, "b": 4}) == {"a": 1, "b": 2}
+    with pytest.raises(ValueError):
+        mixing.quotas({"a": 0})
 
 
 def test_mixing(spark, docs, rows, clashing, none):
-    out = mixing.mix_sources(docs, {"hot": 3.0, "mid": 1.0}, block=2, period=60).collect()
+    out = mixing.mix_sources(docs, {"hot": 3.0, "mid": 1.0}, block=2).collect()
     assert sorted(r["doc_id"] for r in out) == sorted(r[0] for r in rows)
     at = sorted((r["mix_position"], r["source"]) for r in out)
     assert len({p for p, _ in at}) == len(out)
     blocks = sorted({(r["block_slot"], r["source"]) for r in out}, key=lambda x: x[0])
-    assert [b for b, _ in blocks] == list(range(len(blocks)))
+    assert len({b for b, _ in blocks}) == len(blocks)
     want = {"hot": 0.5, "mid": 1 / 6, "rare": 1 / 6, None: 1 / 6}
     seen = Counter()
     total = Counter(s for _, s in blocks)
-    for k, (_, s) in enumerate(blocks, 1):
+    first_end = min(max(b for b, x in blocks if x == s) for s in want)
+    assert [b for b, _ in blocks if b <= first_end] == list(range(first_end + 1))
+    for k, (b, s) in enumerate(blocks, 1):
         seen[s] += 1
-        assert all(abs(seen[x] - k * w) < 1 for x, w in want.items())
-        if seen[s] == total[s]:
-            break
-    assert k > 10
+        assert b > first_end or all(abs(seen[x] - k * w) < 1 for x, w in want.items())
+    assert seen == total and first_end > 10
     for s in want:  # a source's blocks are full but for its last
         sizes = Counter(r["block"] for r in out if r["source"] == s)
         assert all(sizes[b] == 2 for b in range(len(sizes) - 1))
@@ -139,7 +146,7 @@ def test_mixing_query_has_unequal_weights(spark, tmp_path):
     blocks, seen = sorted({(r["block_slot"], r["source"]) for r in out}), Counter()
     for k, (_, s) in enumerate(blocks, 1):
         seen[s] += 1
-        assert all(abs(seen[x] - k * w) < 1.2 for x, w in want.items())  # quotas round the weights to a period of 1000
+        assert all(abs(seen[x] - k * w) < 1 for x, w in want.items())
         if seen[s] == 100:
             break
     assert seen["src0"] == 100 and seen["src5"] < 20
