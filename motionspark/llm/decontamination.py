@@ -4,18 +4,20 @@ Texts are cut into overlapping passages.  Terms are the benchmark's own words wi
 case; TF-IDF weights them, with document frequencies over all passages and very frequent terms left out.
 A randomised SVD of the matrix of all passages, with the benchmark items stacked below at equal total
 weight, gives the latent space: tasks sum up Y = A^T A Omega for a random Omega over their passages, and the
-small matrices Omega^T Y and Y hold a Nystroem decomposition of A^T A.  Its rank is at least the number of
-items looked for at a time, hence the space holds the items.
+small matrices Omega^T Y and Y hold a Nystroem decomposition of A^T A.  Its rank is the least one that keeps
+``ENERGY`` of the decomposition's energy and of the mean item, all that was drawn if none does.
 
-A passage is a candidate for an item if their cosine in that space is high.  Candidates are checked by the
-longest common subsequence of words: nearly the whole item, or much of it together with its answer, in
-order within a stretch around the passage, is a leak.  Larger benchmarks are looked for in blocks.
+Passages and items go through that space, and a passage is a candidate for an item if the cosine of their
+latent vectors is high.  Candidates are checked by the longest common subsequence of words: nearly the whole
+item, or much of it together with its answer, in order within a stretch around the passage, is a leak.
+
+A space serves a block of ``ITEMS`` items; a pass over the documents serves ``BLOCKS`` of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motionspark.llm import shared
-from motionspark.llm.text import binary
+from motionspark.llm.text import slices, word_codes
 
 WINDOW, STRIDE = 64, 32
-ITEMS = 240  # benchmark items looked for in one go
+ITEMS, BLOCKS = 240, 20  # items of a latent space, spaces that a task holds at a time
+EXTRA = 64  # columns drawn beyond the number of items
+ENERGY = 0.95
 MAX_SHARE = 0.002  # terms in a larger share of the passages are left out
 LEAST_TERMS = 6  # unless an item would keep fewer
 COSINE = 0.3
 WHOLE, PART, ANSWER = 0.8, 0.6, 0.8
 EDGE = bytes(range(0x21, 0x30)) + b":;<=>?@[\\]^_`{|}~"
-DOCS = 512  # documents handled together within a task
+ROWS = 4000  # passages taken through a space together
 
 
 def words(data: bytes) -> list[bytes]:
@@ -41,14 +45,21 @@ def words(data: bytes) -> list[bytes]:
 
 @dataclass
 class Items:
+    """Items of a block.  ``terms`` numbers the words of all blocks of a pass, ``local`` gives a word's number in this block or -1."""
+
     ids: list[int]
     terms: dict[bytes, int]
     codes: list[list[int]]
     answers: list[list[int]]
+    local: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+
+    @property
+    def size(self) -> int:
+        return int(self.local.max(initial=-1)) + 1
 
     @classmethod
-    def of(cls, rows: list[tuple]) -> Items:
-        terms: dict[bytes, int] = {}
+    def of(cls, rows: list[tuple], terms: dict[bytes, int] | None = None) -> Items:
+        terms = {} if terms is None else terms
         ids, codes, answers = [], [], []
         for item_id, text, answer in rows:
             w = words((text or "").encode())
@@ -59,6 +70,14 @@ class Items:
                 answers.append([terms.setdefault(x, len(terms)) for x in a])
         return cls(ids, terms, codes, answers)
 
+    def number(self) -> Items:
+        """With the block's own numbers, once all blocks' words are known."""
+        used = np.unique([t for part in (self.codes, self.answers) for c in part for t in c]).astype(np.int64)
+        local = np.full(len(self.terms), -1, np.int32)
+        local[used] = np.arange(len(used))
+        renamed = [[local[c].tolist() for c in part] for part in (self.codes, self.answers)]
+        return Items(self.ids, self.terms, *renamed, local)
+
 
 def _last_sentence(text: str) -> str:
     parts = [s for s in text.replace("\n", " ").replace("!", ".").replace("?", ".").split(".") if s.strip()]
@@ -82,16 +101,14 @@ class _Terms(dict):
 
 def _batches(batches: Iterator[pa.RecordBatch], cache: _Terms) -> Iterator[tuple[list, list[np.ndarray]]]:
     """(doc_ids, terms of each document)."""
-    get = cache.__getitem__
-    for b in batches:
-        for i in range(0, b.num_rows, DOCS):
-            piece = b.slice(i, DOCS)
-            codes = []
-            for data in binary(piece.column(1)):
-                w = data.lower().split()
-                c = np.fromiter(map(get, w), np.int32, len(w))
-                codes.append(c[c > -2])
-            yield piece.column(0).to_pylist(), codes
+    for b in slices(batches, 1):
+        offsets, codes, found = word_codes(b.column(1))
+        term = np.fromiter(map(cache.__getitem__, found), np.int32, len(found))
+        flat = term[codes] if len(codes) else codes.astype(np.int32)
+        full = flat > -2
+        ends = np.concatenate([[0], np.cumsum(full)])[offsets]
+        flat = flat[full]
+        yield b.column(0).to_pylist(), [flat[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def _passages(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]:
@@ -115,13 +132,19 @@ def _passages(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int, np.
     return keys, tf, total, owner, (np.arange(total) - first[owner]) * STRIDE if total else np.zeros(0, np.int64)
 
 
-def _frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
+def _in_block(codes: list[np.ndarray], items: Items) -> list[np.ndarray]:
+    """The texts' words by their numbers in a block."""
+    own = np.append(items.local, -1)  # the last is for words of no block
+    return [own[c] for c in codes]
+
+
+def _frequencies(docs: DataFrame, terms: dict[bytes, int]) -> tuple[np.ndarray, int]:
     """Passages that hold each term, and all passages."""
-    terms = docs.sparkSession.sparkContext.broadcast(items.terms)
+    shared_in = docs.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches):
-        seen, passages = np.zeros(len(terms.value), np.int64), 0
-        for _, codes in _batches(batches, _Terms(terms.value)):
+        seen, passages = np.zeros(len(shared_in.value), np.int64), 0
+        for _, codes in _batches(batches, _Terms(shared_in.value)):
             keys, _, total, _, _ = _passages(codes)
             seen += np.bincount(keys & 0xFFFFFFFF, minlength=len(seen))
             passages += total
@@ -129,7 +152,7 @@ def _frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(seen[some], passages))], ["term", "n"])
 
     got = docs.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    out, total = np.zeros(len(items.terms), np.int64), 0
+    out, total = np.zeros(len(terms), np.int64), 0
     for t, n in zip(got.column("term").to_pylist(), got.column("n").to_pylist(), strict=True):
         if t < 0:
             total = n
@@ -169,61 +192,74 @@ def _item_matrix(items: Items, idf: np.ndarray) -> np.ndarray:
     return out
 
 
-def _latent(docs: DataFrame, items: Items, idf: np.ndarray, rank: int, seed: int = 9) -> np.ndarray:
-    """Orthonormal right singular vectors (terms x rank) of the passages stacked with the items."""
-    size = len(idf)
-    omega = np.random.default_rng(seed).standard_normal((size, rank)).astype(np.float32)
-    context = docs.sparkSession.sparkContext
-    shared_in = context.broadcast((items.terms, idf, omega))
+def _project(a: int, start: np.ndarray, term: np.ndarray, weight: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(terms, weights, rows through the space, end of the terms) of up to ROWS rows from row ``a`` on."""
+    lo, hi = start[a], start[a + ROWS] if a + ROWS < len(start) else len(term)
+    own, w = term[lo:hi], weight[lo:hi, None]
+    return own, w, np.add.reduceat(w * space[own], start[a : a + ROWS] - lo, axis=0), hi
+
+
+def _latent(docs: DataFrame, blocks: list[Items], idfs: list[np.ndarray], seed: int = 9) -> list[np.ndarray]:
+    """For each block orthonormal right singular vectors (terms x rank) of the passages stacked with its items."""
+    draw = lambda x: np.random.default_rng(seed).standard_normal((x.size, min(x.size, len(x.ids) + EXTRA))).astype(np.float32)
+    omegas = [draw(x) for x in blocks]
+    shared_in = docs.sparkSession.sparkContext.broadcast((blocks, idfs, omegas))
 
     def project(batches):
-        terms, idf, omega = shared_in.value
-        y, norm = np.zeros((len(idf), omega.shape[1]), np.float32), 0
-        for _, codes in _batches(batches, _Terms(terms)):
-            keys, tf, _, _, _ = _passages(codes)
-            owners, start, term, weight = _rows(keys, tf, idf)
-            for a in range(0, len(start), 4000):
-                lo, hi = start[a], start[a + 4000] if a + 4000 < len(start) else len(term)
-                own, w = term[lo:hi], weight[lo:hi, None]
-                row = np.add.reduceat(w * omega[own], start[a : a + 4000] - lo, axis=0)
-                back = w * np.repeat(row, np.diff(start[a : a + 4000], append=hi), axis=0)
-                order = np.argsort(own, kind="stable")
-                cut = np.flatnonzero(np.diff(own[order], prepend=-1))
-                y[own[order][cut]] += np.add.reduceat(back[order], cut, axis=0)
-            norm += len(owners)
-        some = np.flatnonzero(np.abs(y).sum(axis=1))
-        ids = pa.array(np.append(some, -1))
-        data = pa.array([*(r.tobytes() for r in y[some]), np.full(omega.shape[1], norm, np.float32).tobytes()], pa.binary())
-        yield pa.RecordBatch.from_arrays([ids, data], ["term", "y"])
+        blocks, idfs, omegas = shared_in.value
+        ys, norms = [np.zeros(o.shape, np.float32) for o in omegas], [0] * len(blocks)
+        for _, codes in _batches(batches, _Terms(blocks[0].terms)):
+            for k, (items, idf, omega, y) in enumerate(zip(blocks, idfs, omegas, ys, strict=True)):
+                keys, tf, _, _, _ = _passages(_in_block(codes, items))
+                owners, start, term, weight = _rows(keys, tf, idf)
+                for a in range(0, len(start), ROWS):
+                    own, w, row, hi = _project(a, start, term, weight, omega)
+                    back = w * np.repeat(row, np.diff(start[a : a + ROWS], append=hi), axis=0)
+                    order = np.argsort(own, kind="stable")
+                    cut = np.flatnonzero(np.diff(own[order], prepend=-1))
+                    y[own[order][cut]] += np.add.reduceat(back[order], cut, axis=0)
+                norms[k] += len(owners)
+        for k, (y, norm) in enumerate(zip(ys, norms, strict=True)):
+            some = np.flatnonzero(np.abs(y).sum(axis=1))
+            data = [*(r.tobytes() for r in y[some]), np.full(y.shape[1], norm, np.float32).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(data), k, np.int32)), pa.array(np.append(some, -1)), pa.array(data, pa.binary())], ["block", "term", "y"])
 
     def add(batches):
-        """Sums rows of a term; once for what a task has, once over all tasks."""
-        sums: dict[int, np.ndarray] = {}
+        """Sums rows of a term over all tasks."""
+        sums: dict[tuple, np.ndarray] = {}
         for b in batches:
-            for t, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                v = np.frombuffer(data, np.float32)
-                sums[t] = sums[t] + v if t in sums else v.astype(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.astype(np.float32).tobytes() for v in sums.values()], pa.binary())], ["term", "y"])
-
-    parts = docs.mapInArrow(project, "term long, y binary")
-    got = parts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "term").mapInArrow(add, "term long, y binary").toArrow()
-    y, passages = np.zeros((size, rank)), 0.0
-    for t, data in zip(got.column("term").to_pylist(), got.column("y").to_pylist(), strict=True):
+            for *key, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                v, key = np.frombuffer(data, np.float32), tuple(key)
+                sums[key] = sums[key] + v if key in sums else v.astype(np.float64)
+        ks, ts = zip(*sums, strict=True) if sums else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(ts, pa.int64()), pa.array([v.astype(np.float32).tobytes() for v in sums.values()], pa.binary())], ["block", "term", "y"])
+
+    kind = "block int, term long, y binary"
+    parts = docs.mapInArrow(project, kind).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "term")
+    got = parts.mapInArrow(add, kind).toArrow()
+    ys, passages = [np.zeros(o.shape) for o in omegas], [0.0] * len(blocks)
+    for k, t, data in zip(*(got.column(c).to_pylist() for c in ("block", "term", "y")), strict=True):
         v = np.frombuffer(data, np.float32)
         if t < 0:
-            passages = float(v[0])
+            passages[k] = float(v[0])
         else:
-            y[t] = v
-    b = _item_matrix(items, idf).astype(np.float64)
-    y += max(1.0, passages / max(1, len(b))) * (b.T @ (b @ omega))
-    # Nystroem decomposition of A^T A from Y = A^T A Omega, with a shift that keeps the factor definite.
+            ys[k][t] = v
+    return [_space(_item_matrix(x, idf).astype(np.float64), y, o, n) for x, idf, y, o, n in zip(blocks, idfs, ys, omegas, passages, strict=True)]
+
+
+def _space(items: np.ndarray, y: np.ndarray, omega: np.ndarray, passages: float) -> np.ndarray:
+    """Nystroem decomposition of A^T A from Y = A^T A Omega, with a shift that keeps the factor definite."""
+    y = y + max(1.0, passages / max(1, len(items))) * (items.T @ (items @ omega))
     shift = 1e-7 * max(1e-12, float(np.linalg.norm(y)))
     y = y + shift * omega
     core = omega.T.astype(np.float64) @ y
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     use = values > 1e-12 * max(1e-300, values[-1])
-    u, _, _ = np.linalg.svd((y @ vectors[:, use]) / np.sqrt(values[use]), full_matrices=False)
-    return u.astype(np.float32)
+    u, s, _ = np.linalg.svd((y @ vectors[:, use]) / np.sqrt(values[use]), full_matrices=False)
+    drawn = np.cumsum(s**2) / max(1e-300, float((s**2).sum()))
+    kept = np.cumsum((items @ u) ** 2, axis=1).mean(axis=0) if len(items) else drawn
+    enough = np.flatnonzero((drawn >= ENERGY) & (kept >= ENERGY))
+    return u[:, : int(enough[0]) + 1 if len(enough) else len(s)].astype(np.float32)
 
 
 def lcs(pattern: list[int], text: list[int]) -> int:
@@ -243,33 +279,45 @@ def lcs(pattern: list[int], text: list[int]) -> int:
 FOUND = "doc_id long, item long, cosine double, overlap double, answer double"
 
 
-def _search(docs: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray) -> DataFrame:
-    b = _item_matrix(items, idf)
-    latent = b @ space
-    latent /= np.maximum(1e-9, np.linalg.norm(latent, axis=1, keepdims=True))
-    # A passage's cosine with each item is its row times this matrix: both go through the latent space.
-    shared_in = docs.sparkSession.sparkContext.broadcast((items, idf, (space @ latent.T).astype(np.float32)))
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(1e-9, np.linalg.norm(rows, axis=1, keepdims=True))
+
+
+def _search(docs: DataFrame, blocks: list[Items], idfs: list[np.ndarray], spaces: list[np.ndarray]) -> DataFrame:
+    latents = [_unit(_item_matrix(x, idf) @ space).astype(np.float32) for x, idf, space in zip(blocks, idfs, spaces, strict=True)]
+    shared_in = docs.sparkSession.sparkContext.broadcast((blocks, idfs, spaces, latents))
+
+    def leaks(items, idf, space, latent, codes):
+        """{(text, item): (overlap, answer, cosine)} of the best candidates that hold."""
+        keys, tf, _, owner, begin = _passages(codes)
+        passage, start, term, weight = _rows(keys, tf, idf)
+        best: dict[tuple[int, int], tuple] = {}
+        for a in range(0, len(start), ROWS):
+            score = _unit(_project(a, start, term, weight, space)[2]) @ latent.T
+            for r, i in zip(*np.nonzero(score >= COSINE), strict=True):
+                p = passage[a + r]
+                d, m = int(owner[p]), len(items.codes[i])
+                text = codes[d][max(0, begin[p] - m) : begin[p] + WINDOW + m]
+                own = np.zeros(items.size + 1, bool)
+                own[items.codes[i]] = True
+                if np.count_nonzero(own[text]) < PART * m:  # no subsequence is longer than the words in common
+                    continue
+                text = text.tolist()
+                whole = lcs(items.codes[i], text) / m
+                if whole >= PART:
+                    answer = lcs(items.answers[i], text) / max(1, len(items.answers[i]))
+                    if whole >= WHOLE or answer >= ANSWER:
+                        found = (whole, answer, float(score[r, i]))
+                        best[d, int(i)] = max(found, best.get((d, int(i)), found))
+        return best
 
     def search(batches):
-        items, idf, to_items = shared_in.value
-        for ids, codes in _batches(batches, _Terms(items.terms)):
-            keys, tf, _, owner, begin = _passages(codes)
-            passage, start, term, weight = _rows(keys, tf, idf)
-            best: dict[tuple[int, int], tuple] = {}
-            for a in range(0, len(start), 4000):
-                lo, hi = start[a], start[a + 4000] if a + 4000 < len(start) else len(term)
-                score = np.add.reduceat(weight[lo:hi, None] * to_items[term[lo:hi]], start[a : a + 4000] - lo, axis=0)
-                for r, i in zip(*np.nonzero(score >= COSINE), strict=True):
-                    p = passage[a + r]
-                    d, m = int(owner[p]), len(items.codes[i])
-                    text = codes[d][max(0, begin[p] - m) : begin[p] + WINDOW + m].tolist()
-                    whole = lcs(items.codes[i], text) / m
-                    if whole >= PART:
-                        answer = lcs(items.answers[i], text) / max(1, len(items.answers[i]))
-                        if whole >= WHOLE or answer >= ANSWER:
-                            found = (whole, answer, float(score[r, i]))
-                            best[d, int(i)] = max(found, best.get((d, int(i)), found))
-            out = [(ids[d], items.ids[i], c, w, x) for (d, i), (w, x, c) in sorted(best.items())]
+        blocks, *rest = shared_in.value
+        for ids, codes in _batches(batches, _Terms(blocks[0].terms)):
+            out = []
+            for items, *of in zip(blocks, *rest, strict=True):
+                best = leaks(items, *of, _in_block(codes, items))
+                out += [(ids[d], items.ids[i], c, w, x) for (d, i), (w, x, c) in sorted(best.items())]
             if out:
                 types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], FOUND.replace(",", " ").split()[::2])
@@ -289,17 +337,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     listed = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer"))
-    n = listed.count()
+    n = max(1, -(-listed.count() // ITEMS))
     out = spark.createDataFrame([], FOUND)
-    listed = listed.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-n // ITEMS)))))
-    for k in range(max(1, -(-n // ITEMS))):
-        # A block has ITEMS rows on average; only it reaches the driver.
-        items = Items.of([tuple(r) for r in listed.where(F.col("block") == k).drop("block").orderBy("item_id", "text").toLocalIterator()])
-        if items.ids:
-            df, passages = _frequencies(docs, items)
-            idf = _weights(items, df, passages)
-            space = _latent(docs, items, idf, rank=min(len(idf), len(items.ids) + 16))
-            out = out.unionByName(_search(docs, items, idf, space))
+    listed = shared.keep(listed.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), "benchmark")
+    for k in range(0, n, BLOCKS):
+        # A pass has BLOCKS * ITEMS items on average; only these reach the driver.
+        given = listed.where(F.col("block").between(k, k + BLOCKS - 1)).orderBy("item_id", "text").toLocalIterator()
+        rows: dict[int, list] = {}
+        for *item, block in given:
+            rows.setdefault(block, []).append(tuple(item))
+        terms: dict[bytes, int] = {}
+        blocks = [x for x in [Items.of(rows[i], terms) for i in sorted(rows)] if x.ids]
+        if blocks:
+            blocks = [x.number() for x in blocks]
+            df, passages = _frequencies(docs, terms)
+            idfs = [_weights(x, df[x.local >= 0], passages) for x in blocks]
+            found = _search(docs, blocks, idfs, _latent(docs, blocks, idfs))
+            out = out.unionByName(found if n <= BLOCKS else shared.keep(found, "found"))
     return out.withColumnRenamed("item", "item_id")
 
 

@@ -13,6 +13,7 @@ import corpus_pipeline
 from motionspark.llm import cotraining, decontamination, shared, toxicity
 from motionspark.llm.decontamination import find_leaks, lcs
 from motionspark.llm.queries import QUERIES
+from motionspark.llm.text import hashes
 from tests.llm.conftest import SCHEMA, auc, same_rows
 
 SF = "/root/testdata/sf0.01"
@@ -39,21 +40,19 @@ def test_toxicity_reads_no_held_out_label(spark):
 
 
 def test_toxicity_ratios_are_those_of_all_words_and_pairs(spark):
-    """Against models that keep every word and pair of the corpus, each by itself; 6000 words share buckets of 2^20."""
+    """Against models that keep every word and pair of the corpus, each by itself; each law sums to 1."""
     rng = random.Random(4)
     vocabulary = [f"{rng.choice('abcdefgh')}{k}" for k in range(6000)]
     texts = [[rng.choice(vocabulary[: rng.choice((30, 300, 6000))]) for _ in range(rng.randint(1, 200))] for _ in range(240)]
     kinds = [k % 3 for k in range(len(texts))]  # a third is not labelled
     both = [(0, " ".join(t)) for t in texts], [(k, " ".join(t)) for k, t in zip(kinds, texts, strict=True) if k]
     docs, labelled = (spark.createDataFrame(x, "kind int, text string").repartition(3) for x in both)
-    models = toxicity.fit_models(toxicity.corpus_words(docs), toxicity._pairs(labelled), 3.0)
+    models = toxicity.fit_models(docs, toxicity.corpus_words(docs), toxicity._pairs(labelled), 3.0)
 
     pairs = lambda k: Counter(p for t, x in zip(texts, kinds, strict=True) if k in (0, x) for p in zip([None, *t[:-1]], t, strict=True))
     every, word = pairs(0), Counter(w for t in texts for w in t)
-    after, follow, before = Counter(), Counter(v for v, _ in every), Counter(w for _, w in every)
-    for (v, _), n in every.items():
-        after[v] += n
-    gamma = min(0.99, max(0.01, 1 - sum(max(n - 3, 0) for n in before.values()) / len(every)))
+    after, follow = word | {None: len(texts)}, Counter(v for v, _ in every)
+    gamma = min(0.99, max(0.01, sum(min(n, 3) for n in word.values()) / sum(word.values())))
     laws = []
     for k in (1, 2):
         pair, total = {p: n - 3 for p, n in pairs(k).items() if n > 3}, Counter()
@@ -69,10 +68,13 @@ def test_toxicity_ratios_are_those_of_all_words_and_pairs(spark):
 
         laws.append(law)
 
-    place = toxicity._Places(models.keys)
-    start = place.place.get(int(toxicity.START), place.other)
+    place, other = {k: i for i, k in enumerate(models.keys.tolist())}, len(models.keys)
+    start = place.get(int(toxicity.START), other)
+    for k in (0, 1):
+        for v in (start, other, 0, 5, other // 2):
+            assert models.probability(k, np.full(other + 1, v), np.arange(other + 1)).sum() == pytest.approx(1, abs=1e-9)
     for t in texts[:60]:
-        w = place.of([x.encode() for x in t]).astype(np.int64)
+        w = np.array([place.get(h, other) for h in hashes([x.encode() for x in t]).tolist()])
         got = models.log_ratio(np.concatenate([[start], w[:-1]]), w)
         want = [np.log(laws[1](a, b) / laws[0](a, b)) for a, b in zip([None, *t[:-1]], t, strict=True)]
         assert got == pytest.approx(want, abs=1e-9)
@@ -176,7 +178,43 @@ def test_leaks(planted):
 def test_leaks_in_blocks(planted, monkeypatch):
     docs, benchmark, leaks = planted
     monkeypatch.setattr(decontamination, "ITEMS", 4)
-    assert {r["doc_id"]: r["item_id"] for r in find_leaks(docs, benchmark).collect()} == leaks
+    for blocks in (20, 2):
+        monkeypatch.setattr(decontamination, "BLOCKS", blocks)
+        assert {r["doc_id"]: r["item_id"] for r in find_leaks(docs, benchmark).collect()} == leaks
+
+
+def test_recall_on_paraphrases(spark):
+    """Words for others, clauses moved and words put in: of what brute force over all passages finds, nine tenths at least."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    vocabulary, common = [word() for _ in range(2500)], [word() for _ in range(40)]
+    prose = lambda n: [rng.choice(common if rng.random() < 0.4 else vocabulary) for _ in range(n)]
+    items = [prose(rng.randint(25, 60)) for _ in range(30)]
+
+    def paraphrase(w):
+        w = [rng.choice(vocabulary) if rng.random() < 0.15 else x for x in w]
+        k = rng.randrange(len(w) - 4)
+        w[k : k + 4] = w[k + 2 : k + 4] + w[k : k + 2]
+        return [y for x in w for y in ([x, rng.choice(common)] if rng.random() < 0.1 else [x])]
+
+    texts = []
+    for k in range(240):
+        w = prose(rng.randint(0, 300))
+        at = rng.randint(0, len(w))
+        texts.append(w[:at] + (paraphrase(items[k % len(items)]) if k % 2 else []) + w[at:])
+    docs = spark.createDataFrame([(k, " ".join(w), None, None, 0) for k, w in enumerate(texts)], SCHEMA)
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in find_leaks(docs, benchmark).collect()}
+    d = decontamination
+    want = set()
+    for k, w in enumerate(texts):
+        for i, item in enumerate(items):
+            for start in range(0, max(1, len(w) - d.WINDOW + d.STRIDE), d.STRIDE):
+                part = w[max(0, start - len(item)) : start + d.WINDOW + len(item)]
+                if lcs(item, part) >= d.WHOLE * len(item) or lcs(item, part) >= d.PART * len(item) and lcs(item, part) >= d.ANSWER * len(item):
+                    want.add((k, i))
+    assert got <= want or len(got - want) <= 2
+    assert len(want) > 30 and len(got & want) >= 0.9 * len(want)
 
 
 def test_leaks_edge_cases(spark, planted, none):
