@@ -27,8 +27,19 @@ SEARCH_ALIASES = (
     ("a7s2", "a7sii"), ("a7s3", "a7siii"),
     (",", " "), (";", " "),
 )
-# Least height of each label.
-SIZE_LABELS = (("8k", 7680), ("6k", 6016), ("5.3k", 5312), ("4k", 3840), ("2.7k", 2704), ("2k", 2048), ("1080p", 1920), ("720p", 1280), ("480p", 640))
+# Least width of each label, in this order; 1440p has 1920 by 1440 exactly.
+SIZE_LABELS = (("8k", 8000), ("6k", 6000), ("5k", 5000), ("C4k", 4001), ("4k", 3840), ("2.7k", 2700), ("2.5k", 2500), ("2k", 2000), ("1440p", None), ("1080p", 1920), ("720p", 1280), ("480p", 640))
+# Of each kind of keyframe the decimals, the unit and the factor with which its value is shown.
+KEYFRAME_FORMATS = {
+    "Fov": (2, "", 1), "VideoRotation": (1, "°", 1), "ZoomingSpeed": (2, "s", 1), "ZoomingCenterX": (0, "%", 100), "ZoomingCenterY": (0, "%", 100), "MaxZoom": (0, "%", 1),
+    "AdditionalRotationX": (2, "°", 1), "AdditionalRotationY": (2, "°", 1), "AdditionalRotationZ": (2, "°", 1),
+    "AdditionalTranslationX": (0, "px", 1), "AdditionalTranslationY": (0, "px", 1), "AdditionalTranslationZ": (0, "px", 1),
+    "BackgroundMargin": (0, "%", 1), "BackgroundFeather": (0, "%", 1), "LockHorizonAmount": (0, "%", 1), "LockHorizonRoll": (1, "°", 1), "LockHorizonPitch": (1, "°", 1),
+    "LensCorrectionStrength": (0, "%", 100), "LightRefractionCoeff": (3, "", 1), "SmoothingParamTimeConstant": (2, "", 1), "SmoothingParamTimeConstant2": (2, "", 1),
+    "SmoothingParamSmoothness": (2, "", 1), "SmoothingParamPitch": (2, "", 1), "SmoothingParamRoll": (2, "", 1), "SmoothingParamYaw": (2, "", 1), "VideoSpeed": (1, "%", 100),
+}
+# Ending of the output by codec, ".mp4" for others.
+ENDINGS = {"ProRes": ".mov", "DNxHD": ".mov", "CineForm": ".mov", "EXR Sequence": "_%05d.exr", "PNG Sequence": "_%05d.png"}
 
 
 def replace_all(c: Column, pairs) -> Column:
@@ -47,19 +58,29 @@ def matches_words(words: Column, *fields: Column) -> Column:
     return (F.size(words) > 0) & F.forall(words, inside)
 
 
-def camera_identifier(brand: Column, model: Column, lens: Column, width: Column, height: Column, fps: Column) -> Column:
-    """brand-model-lens-WxH-fps without blanks or doubled dashes, lower case; empty without brand, model or lens."""
-    frames = F.when(F.lower(brand) == "red", F.lit(0)).otherwise(F.round(fps * 1000).cast("long"))
-    raw = F.format_string("%s-%s-%s-%dx%d-%d", brand, model, lens, width.cast("int"), height.cast("int"), frames.cast("int"))
+def camera_identifier(brand: Column, model: Column, lens: Column, lens_info: Column, width: Column, height: Column, fps: Column, additional: Column) -> Column:
+    """brand-model-lens-info-WxH@fps-additional, lower case, without blanks, doubled dashes and dashes at the ends; empty without brand, model or info.
+
+    fps counts a thousandth; it is 0 for cameras whose sensor is read alike at every rate.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    frames = F.when(brand.isin("RED", "RED RAW"), F.lit(0)).otherwise(F.round(fps * 1000).cast("long"))
+    size = F.concat(width.cast("long").cast("string"), F.lit("x"), height.cast("long").cast("string"), F.lit("@"), frames.cast("string"))
+    raw = F.concat_ws("-", text(brand), text(model), text(lens), text(lens_info), size, text(additional))
     clean = F.btrim(replace_all(raw, ((" ", ""), ("--", "-"), ("--", "-"))), F.lit("- "))
-    known = (F.coalesce(brand, F.lit("")) != "") & (F.coalesce(model, F.lit("")) != "") & (F.coalesce(lens, F.lit("")) != "")
+    known = (text(brand) != "") & (text(model) != "") & (text(lens_info) != "")
     return F.when(known, F.lower(clean)).otherwise("")
 
 
-def size_label(width: Column) -> Column:
-    out = F.when(width >= SIZE_LABELS[0][1], SIZE_LABELS[0][0])
-    for label, least in SIZE_LABELS[1:]:
-        out = out.when(width >= least, label)
+def autoload_identifier(identifier: Column) -> Column:
+    """Cameras that share the profiles of another one."""
+    return replace_all(identifier, (("hero12", "hero11"), ("hero13", "hero11"), ("hero11blackmini", "hero11black")))
+
+
+def size_label(width: Column, height: Column) -> Column:
+    out = F.when(F.lit(False), F.lit(""))
+    for label, least in SIZE_LABELS:
+        out = out.when((width == 1920) & (height == 1440) if least is None else width >= least, label)
     return out.otherwise("")
 
 
@@ -70,8 +91,14 @@ def duration_ms(text: Column, fps: Column) -> Column:
 
 
 def safe_name(name: Column) -> Column:
-    """A file name without characters that file systems refuse."""
-    return F.regexp_replace(name, r"[/\\:*?\"<>|]", "_")
+    """A file name with a dash for slashes, colons, pluses, quotes and blanks."""
+    return F.translate(name, "/\\:+'\" ", "-------")
+
+
+def output_name(url: Column, suffix: Column, codec: Column, other_tracks: Column) -> Column:
+    """The input's file name with the suffix and the codec's ending in place of its own."""
+    ending = F.coalesce(*(F.when(codec == c, F.lit(e)) for c, e in ENDINGS.items()), F.when(other_tracks, F.lit(".mov")), F.lit(".mp4"))
+    return F.concat(F.regexp_replace(file_name(url), r"\.[^.]*$", ""), suffix, ending)
 
 
 def natural_key(name: Column) -> Column:
@@ -92,11 +119,9 @@ def extension(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"\.([^./\\]+)$", 1))
 
 
-def easing_text(kind: Column, value: Column) -> Column:
-    """A keyframe's value as shown: angles in degrees, shares in percent, the rest as numbers."""
-    return (
-        F.when(kind.isin("VideoRotation", "SmoothingParamPitch"), F.format_string("%.2f°", value))
-        .when(kind.isin("ZoomingSpeed"), F.format_string("%.2fs", value))
-        .when(kind.isin("LensCorrectionStrength", "LockHorizonAmount"), F.format_string("%.0f%%", value * 100))
-        .otherwise(F.format_string("%.2f", value))
-    )
+def keyframe_text(kind: Column, value: Column) -> Column:
+    """A keyframe's value as shown."""
+    out = F.when(kind == "LockHorizonPitchEnabled", F.when(value != 0, "On").otherwise("Off"))
+    for name, (decimals, unit, factor) in KEYFRAME_FORMATS.items():
+        out = out.when(kind == name, F.concat(F.format_string(f"%.{decimals}f", value * factor), F.lit(unit)))
+    return out

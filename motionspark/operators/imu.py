@@ -46,20 +46,20 @@ def ms_to_frame(ms: Column, fps: Column) -> Column:
 
 
 def readout(ms: Column) -> tuple[Column, Column]:
-    """(direction, milliseconds): the sign and a shift of 10000 encode four directions."""
-    sideways = F.abs(ms) >= 10_000
-    size = F.when(sideways, F.abs(ms) - 10_000).otherwise(F.abs(ms))
+    """(direction, milliseconds): the sign and a shift of 10000 encode four directions; 0 is an unknown time."""
+    sideways = F.abs(ms) > 10_000
+    size = F.when(sideways, F.abs(ms) - 10_000).when(ms != 0, F.abs(ms))
     way = F.when(sideways & (ms < 0), "RightToLeft").when(sideways, "LeftToRight").when(ms < 0, "BottomToTop").otherwise("TopToBottom")
     return way, size
 
 
-def output_size(width: Column, height: Column, max_width: Column, max_height: Column, rotation: Column) -> Column:
-    """struct<w, h>: fitted into the limits, even, sides swapped at quarter turns."""
-    turned = F.abs(rotation) % 180 == 90
-    w, h = F.when(turned, height).otherwise(width), F.when(turned, width).otherwise(height)
-    scale = F.least(max_width / w, max_height / h)
+def output_size(width: Column, height: Column, wanted_width: Column, wanted_height: Column, rotation: Column) -> Column:
+    """struct<w, h>: the wanted size as large as fits into the recorded one, even; the recorded sides swap at quarter turns."""
+    turned = F.abs(rotation).isin(90, 270)
+    own_w, own_h = F.when(turned, height).otherwise(width), F.when(turned, width).otherwise(height)
+    scale = F.least(own_w / wanted_width, own_h / wanted_height)
     even = lambda v: (F.floor(F.round(v * scale) / 2) * 2).cast("int")
-    return F.struct(even(w).alias("w"), even(h).alias("h"))
+    return F.when((wanted_width > 0) & (wanted_height > 0), F.struct(even(wanted_width).alias("w"), even(wanted_height).alias("h")))
 
 
 def diagonal_fov(width: Column, height: Column, fy: Column) -> Column:

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from motionspark.functions import quat as Q
 from motionspark.operators import asof
@@ -24,14 +26,25 @@ def _camera(v: np.ndarray) -> np.ndarray:
     return np.stack([-v[:, 1], v[:, 0], v[:, 2]], 1)
 
 
-def _steps(t: np.ndarray) -> np.ndarray:
-    dt = np.diff(t) / 1e6
-    return np.concatenate([[dt[0] if len(dt) else 0.0], dt])
+@dataclass
+class Samples:
+    """Of a recording: rates (degrees a second), accelerations and times (microseconds) of its samples, and the time from which the first step goes."""
 
+    gyro: np.ndarray
+    acc: np.ndarray
+    t: np.ndarray
+    start_us: float
 
-def gyro_only(gyro: np.ndarray, acc: np.ndarray, t: np.ndarray) -> np.ndarray:
+    @property
+    def steps(self) -> np.ndarray:
+        """Seconds of each sample's step."""
+        return np.diff(self.t.astype(float), prepend=self.start_us) / 1e6
+
+
+def gyro_only(s: Samples) -> np.ndarray:
     """Product of the turns of all samples from a camera that looks level."""
-    turns = R.exp_map(np.radians(gyro) * _steps(t)[:, None])
+    gyro = s.gyro
+    turns = R.exp_map(np.radians(gyro) * s.steps[:, None])
     out, q = np.empty((len(turns), 4)), START
     for i, r in enumerate(turns):
         q = R.product(q, r)
@@ -40,27 +53,29 @@ def gyro_only(gyro: np.ndarray, acc: np.ndarray, t: np.ndarray) -> np.ndarray:
     return out
 
 
-def gyro_accel(gyro: np.ndarray, acc: np.ndarray, t: np.ndarray, early_ms: float = 15_000.0) -> np.ndarray:
+def gyro_accel(s: Samples, early_ms: float = 15_000.0) -> np.ndarray:
     """Turns by the gyro, then towards the measured direction of gravity; faster in the first ``early_ms``."""
+    gyro, acc, t = s.gyro, s.acc, s.t
     norm = np.linalg.norm(acc, axis=1)
     out, q = np.empty((len(t), 4)), START
-    for i, dt in enumerate(_steps(t)):
+    for i, dt in enumerate(s.steps):
         rate = np.radians(gyro[i])
         if norm[i] > 0:
             a = acc[i] / norm[i]
             up = R.product(R.product(R.inverse(q), np.array([0.0, 0.0, 0.0, 1.0])), q)[1:]
-            rate = rate + np.cross(a, up) * (10.0 if t[i] - t[0] < early_ms * 1000 else 0.6)
+            rate = rate + np.cross(a, up) * (10.0 if t[i] - s.start_us < early_ms * 1000 else 0.6)
         q = R.product(q, R.exp_map(rate * dt))
         q = q / np.linalg.norm(q)
         out[i] = q
     return out
 
 
-def mahony(gyro: np.ndarray, acc: np.ndarray, t: np.ndarray, kp: float = 0.5, ki: float = 0.0) -> np.ndarray:
+def mahony(s: Samples, kp: float = 0.5, ki: float = 0.0) -> np.ndarray:
     """Complementary filter on the rotation group: proportional and integral feedback of the gravity error (Mahony 2008)."""
+    gyro, acc, t = s.gyro, s.acc, s.t
     norm = np.linalg.norm(acc, axis=1)
     out, q, bias = np.empty((len(t), 4)), START, np.zeros(3)
-    for i, dt in enumerate(_steps(t)):
+    for i, dt in enumerate(s.steps):
         rate = np.radians(gyro[i])
         if norm[i] > 0:
             w, x, y, z = q
@@ -73,11 +88,12 @@ def mahony(gyro: np.ndarray, acc: np.ndarray, t: np.ndarray, kp: float = 0.5, ki
     return out
 
 
-def madgwick(gyro: np.ndarray, acc: np.ndarray, t: np.ndarray, beta: float = 0.02) -> np.ndarray:
+def madgwick(s: Samples, beta: float = 0.02) -> np.ndarray:
     """Gradient descent on the gravity error (Madgwick 2010)."""
+    gyro, acc, t = s.gyro, s.acc, s.t
     norm = np.linalg.norm(acc, axis=1)
     out, q = np.empty((len(t), 4)), START
-    for i, dt in enumerate(_steps(t)):
+    for i, dt in enumerate(s.steps):
         change = 0.5 * R.product(q, np.concatenate([[0.0], np.radians(gyro[i])]))
         if norm[i] > 0:
             w, x, y, z = q
@@ -93,47 +109,49 @@ def madgwick(gyro: np.ndarray, acc: np.ndarray, t: np.ndarray, beta: float = 0.0
     return out
 
 
-def complementary(gyro: np.ndarray, acc: np.ndarray, t: np.ndarray, gain: float = 0.01, settle_s: float = 2.0) -> np.ndarray:
+def complementary(s: Samples, gain: float = 0.01, settle_s: float = 2.0) -> np.ndarray:
     """Gyro turns with a slerp towards the gravity direction; the gain falls as the acceleration leaves its usual length."""
+    gyro, acc, t = s.gyro, s.acc, s.t
     norm = np.linalg.norm(acc, axis=1)
     usual = float(np.median(norm[norm > 0])) if (norm > 0).any() else 1.0
     settle = min(settle_s, 0.05 * (t[-1] - t[0]) / 1e6) if len(t) else 0.0
     out, q = np.empty((len(t), 4)), START
-    for i, dt in enumerate(_steps(t)):
+    for i, dt in enumerate(s.steps):
         q = R.product(q, R.exp_map(np.radians(gyro[i]) * dt))
         if norm[i] > 0:
             world = R.product(R.product(q, np.concatenate([[0.0], acc[i] / norm[i]])), R.inverse(q))[1:]
             axis, c = np.cross(world, [0.0, 0.0, 1.0]), float(world[2])
-            s = np.linalg.norm(axis)
-            if s > 1e-9:
+            sine = np.linalg.norm(axis)
+            if sine > 1e-9:
                 off = abs(norm[i] / usual - 1)
                 k = (0.5 if (t[i] - t[0]) / 1e6 < settle else gain) * max(0.0, min(1.0, 2 - off / 0.1))
-                q = R.product(R.exp_map(axis / s * math.atan2(s, c) * k), q)
+                q = R.product(R.exp_map(axis / sine * math.atan2(sine, c) * k), q)
         q = q / np.linalg.norm(q)
         out[i] = q
     return out
 
 
-def fused_both_ways(gyro: np.ndarray, acc: np.ndarray, t: np.ndarray, tau_acc_s: float = 40.0) -> np.ndarray:
+def fused_both_ways(s: Samples, tau_acc_s: float = 40.0) -> np.ndarray:
     """Offline fusion in the manner of VQF (Laidig and Seel 2023): gyro bias from both directions, strapdown
     integration, low-passed acceleration in the almost inertial frame, inclination correction."""
-    dt = np.maximum(_steps(t), 1e-9)
+    gyro, acc, t = s.gyro, s.acc, s.t
+    dt = np.maximum(s.steps, 1e-9)
     still = np.linalg.norm(gyro - np.median(gyro, axis=0), axis=1) < 2.0
     bias = gyro[still].mean(axis=0) if still.sum() >= max(10, len(t) // 20) else np.zeros(3)
-    q = gyro_only(gyro - bias, acc, t)
+    q = gyro_only(Samples(gyro - bias, acc, t, s.start_us))
     inertial = R.product(R.product(q, np.column_stack([np.zeros(len(acc)), acc])), R.inverse(q))[:, 1:]
     a = 1 - np.exp(-dt / tau_acc_s)
     level = np.column_stack([R.ema(inertial[:, k], a) for k in range(3)])
     length = np.linalg.norm(level, axis=1, keepdims=True)
     level = level / np.where(length > 0, length, 1)
     axis = np.cross(level, [0.0, 0.0, 1.0])
-    s = np.linalg.norm(axis, axis=1, keepdims=True)
-    fix = R.exp_map(np.where(s > 1e-9, axis / np.where(s > 1e-9, s, 1) * np.arctan2(s, level[:, 2:]), 0))
+    sine = np.linalg.norm(axis, axis=1, keepdims=True)
+    fix = R.exp_map(np.where(sine > 1e-9, axis / np.where(sine > 1e-9, sine, 1) * np.arctan2(sine, level[:, 2:]), 0))
     return R.normalised(R.product(fix, q))
 
 
 # Method numbers of recordings' settings.
-INTEGRATORS: dict[int, Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]] = {
+INTEGRATORS: dict[int, Callable[[Samples], np.ndarray]] = {
     1: complementary,
     2: fused_both_ways,
     3: gyro_only,
@@ -141,24 +159,35 @@ INTEGRATORS: dict[int, Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray
     5: mahony,
     6: madgwick,
 }
+# Fixed values.
 ZERO_FILLED = (2,)  # other methods leave samples without gyro out
+NEVER_ZERO, LEAST = (1, 5, 6), 1e-7  # these methods take an acceleration of 0 as one along x
+SHORT_START = (5, 6)  # the first step of these methods is a thousandth of the others'
 
 
-def integrate(imu: DataFrame, method: int = 3) -> DataFrame:
+def integrate(imu: DataFrame, method: int = 3, duration_ms: float | None = None) -> DataFrame:
     """(recording_id, ts_us, q) from (recording_id, ts_us, gx, gy, gz, ax, ay, az).
 
     Samples without gyro are left out, or count as no motion for method 2; without acceleration it is zero.
-    One row a key: the caller removes repeated keys.
+    The first step goes back from the first sample by the duration over the number of samples; without a
+    duration it is that of the samples, the last one counted as long as the others.  One row a key: the caller
+    removes repeated keys.
     """
     columns = ["gx", "gy", "gz", "ax", "ay", "az"]
-    df = imu if method in ZERO_FILLED else imu.where("gx is not null and gy is not null and gz is not null")
+    own = Window.partitionBy(*BY)
+    n, first, span = F.count(F.lit(1)).over(own), F.min("ts_us").over(own), (F.max("ts_us").over(own) - F.min("ts_us").over(own))
+    step = (F.lit(duration_ms * 1000) if duration_ms is not None else span * (n + 1) / n) / n
+    df = imu.withColumn("_start", first - step / (1000 if method in SHORT_START else 1))
+    df = df if method in ZERO_FILLED else df.where("gx is not null and gy is not null and gz is not null")
 
     def run(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         v = np.nan_to_num(np.column_stack([c[k].astype(float) for k in columns]))
-        q = INTEGRATORS[method](_camera(v[:, :3]), _camera(v[:, 3:]), c["ts_us"].astype(np.int64))
+        if method in NEVER_ZERO:
+            v[~v[:, 3:].any(axis=1), 3] = LEAST
+        q = INTEGRATORS[method](Samples(_camera(v[:, :3]), _camera(v[:, 3:]), c["ts_us"].astype(np.int64), float(c["_start"][0])))
         return dict(zip("wxyz", q.T, strict=True))
 
-    out = R.per_recording(df.select(*BY, "ts_us", *columns), columns, run, list("wxyz"))
+    out = R.per_recording(df.select(*BY, "ts_us", *columns, "_start"), [*columns, "_start"], run, list("wxyz"))
     return out.select(*BY, "ts_us", F.struct(*"wxyz").alias("q"))
 
 

@@ -22,28 +22,37 @@ def search_profiles(df: DataFrame, text: str, aspect: int = 0, swapped: int = 0,
 
 
 def unique_names(df: DataFrame) -> DataFrame:
-    """Adds ``shown``: the name, of its repetitions the second with its author, further ones numbered; in the order of id."""
-    n = F.row_number().over(Window.partitionBy(F.lower("name")).orderBy("id"))
-    authored = F.concat_ws(" by ", "name", "author")
-    return df.withColumn("_n", n).withColumn(
-        "shown", F.when(F.col("_n") == 1, F.col("name")).when(F.col("_n") == 2, authored).otherwise(F.concat(authored, F.lit(" - "), (F.col("_n") - 1).cast("string")))
-    ).drop("_n")
+    """Adds ``shown``: names that repeat take their author with them, two at a time, in the order of id.
+
+    The last of an odd number keeps the bare name.  The second of each two is numbered from 2 on where one
+    before it already shows the same name and author.
+    """
+    names, same = Window.partitionBy("name"), Window.partitionBy("name", "author")
+    df = df.withColumn("_k", F.row_number().over(names.orderBy("id"))).withColumn("_all", F.count(F.lit(1)).over(names))
+    df = df.withColumn("_second", F.col("_k") % 2 == 0).withColumn("_first", F.min("_k").over(same))
+    earlier = F.sum(F.col("_second").cast("int")).over(same.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))
+    number = earlier + F.when(F.col("_first") % 2 == 1, 1).otherwise(0)
+    authored = F.concat(F.col("name"), F.lit(" by "), F.coalesce("author", F.lit("")))
+    numbered = F.when(F.col("_second") & (F.col("_number") > 1), F.concat(authored, F.lit(" - "), F.col("_number").cast("string"))).otherwise(authored)
+    shown = F.when(~F.col("_second") & (F.col("_k") == F.col("_all")), F.col("name")).otherwise(numbered)
+    return df.withColumn("_number", number).withColumn("shown", shown).drop("_k", "_all", "_second", "_first", "_number")
 
 
 def match_profiles(recordings: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(recording_id, id): the identifier's profile; else of the same camera by size and rate, size, or aspect.
+    """(recording_id, id): the identifier's profile; else of the same camera by size and rate, by size, or by aspect.
 
     Sides: recordings (recording_id, camera, identifier, width, height, fps) and profiles (id, camera,
-    identifier, width, height, fps).  A profile of the same aspect and rate gives way to later matches by
-    size or aspect alone, which take its place.
+    identifier, width, height, fps); of equals the smallest id.  Aspects count a hundredth and so do rates.  A
+    profile of the same aspect and rate gives way to one of the same size or of the same aspect alone, which
+    every such recording has, hence it never stands.  Recordings without any have no row.
     """
     r, p = recordings.alias("r"), profiles.alias("p")
     pairs = r.join(p, F.col("r.camera") == F.col("p.camera"))
-    same = {c: F.col(f"r.{c}") == F.col(f"p.{c}") for c in ("identifier", "width", "height")}
-    size = same["width"] & same["height"]
-    rate = F.abs(F.col("r.fps") - F.col("p.fps")) < 0.01
-    aspect = F.round(F.col("r.width") * 100 / F.col("r.height")) == F.round(F.col("p.width") * 100 / F.col("p.height"))
-    rank = F.when(same["identifier"], 1).when(size & rate, 2).when(size, 3).when(aspect & ~rate, 4).when(aspect, 5)
+    size = (F.col("r.width") == F.col("p.width")) & (F.col("r.height") == F.col("p.height"))
+    rate = F.round(F.col("r.fps") * 100) == F.round(F.col("p.fps") * 100)
+    aspect = lambda s: F.round(F.col(f"{s}.width") * 100 / F.greatest(F.col(f"{s}.height"), F.lit(1)))
+    named = (F.col("r.identifier") == F.col("p.identifier")) & (F.col("r.identifier") != "")
+    rank = F.when(named, 1).when(size & rate, 2).when(size, 3).when(aspect("r") == aspect("p"), 4)
     scored = pairs.select("r.recording_id", F.col("p.id").alias("id"), rank.alias("rank")).where("rank is not null")
     return scored.groupBy("recording_id").agg(F.min(F.struct("rank", "id")).alias("b")).select("recording_id", "b.id")
 

@@ -101,12 +101,19 @@ def biquad(x: np.ndarray, k: tuple[float, ...]) -> np.ndarray:
 
 
 def lowpass(df: DataFrame, columns: Sequence[str], cut_hz: float, rate: float, on: str = "ts_us") -> DataFrame:
-    """Forward and backward over each column, unknown values as 0; the cut must lie below half the rate."""
+    """Forward and backward over each column; unknown values are passed over and stay unknown.  The cut must lie below half the rate."""
     if not 0 < cut_hz < rate / 2:
         raise ValueError("the cut-off frequency must be positive and below half the sample rate")
     k = biquad_lowpass(cut_hz, rate)
-    f = lambda c: {n: biquad(biquad(np.nan_to_num(c[n].astype(float)), k)[::-1], k)[::-1] for n in columns}
-    return per_recording(df, columns, f, columns, on)
+
+    def both(x: np.ndarray) -> np.ndarray:
+        x = x.astype(float)
+        known = ~np.isnan(x)
+        x[known] = biquad(biquad(x[known], k)[::-1], k)[::-1]
+        return x
+
+    out = per_recording(df, columns, lambda c: {n: both(c[n]) for n in columns}, columns, on)
+    return out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in columns})
 
 
 # Quaternions as rows of (w, x, y, z).

@@ -22,7 +22,7 @@ def ordered(by: Sequence[str] = BY, on: str = "ts_us") -> WindowSpec:
 def rotation_velocity(df: DataFrame, q: str = "q", rate: float = 1.0, out: str = "velocity") -> DataFrame:
     """Degrees per second between neighbours at a fixed sample rate; the first row has 0."""
     prev = F.lag(q).over(ordered())
-    turn = F.degrees(Q.angle(Q.multiply(Q.conjugate(prev), F.col(q)))) * F.lit(rate)
+    turn = F.degrees(Q.let(Q.multiply(Q.conjugate(prev), F.col(q)), Q.angle)) * F.lit(rate)
     return df.withColumn(out, F.coalesce(F.when(prev.isNotNull(), turn), F.lit(0.0)))
 
 
@@ -30,9 +30,10 @@ def angular_velocity(df: DataFrame, q: str = "q", on: str = "ts_us", out: str =
     """struct<x, y, z>: scaled axis of q2 q1^-1 per second in degrees; 0 in the first row and where time stands still."""
     w = ordered(on=on)
     prev, dt = F.lag(q).over(w), (F.col(on) - F.lag(on).over(w)) / F.lit(1e6)
-    s = Q.scaled_axis(Q.multiply(F.col(q), Q.conjugate(prev)))
-    rate = lambda c: F.coalesce(F.when(dt > 0, F.degrees(s[c]) / F.when(dt > 0, dt).otherwise(1.0)), F.lit(0.0)).alias(c)
-    return df.withColumn(out, F.struct(*(rate(c) for c in "xyz")))
+    df = df.withColumns({"_prev": prev, "_dt": dt})
+    df = df.withColumn("_axis", Q.let(Q.multiply(F.col(q), Q.conjugate(F.col("_prev"))), Q.scaled_axis))
+    rate = lambda c: F.coalesce(F.when(F.col("_dt") > 0, F.degrees(F.col(f"_axis.{c}")) / F.when(F.col("_dt") > 0, F.col("_dt")).otherwise(1.0)), F.lit(0.0)).alias(c)
+    return df.withColumn(out, F.struct(*(rate(c) for c in "xyz"))).drop("_prev", "_dt", "_axis")
 
 
 def unwrapped(a: Column) -> Column:
@@ -96,16 +97,30 @@ def convolve(df: DataFrame, value: str, kernel: list[float], on: str = "frame",
     return df.withColumn(out, total).drop("_n", "_all", "_first", "_last")
 
 
-def gaussian_over_known(df: DataFrame, value: str, window: int, strength: float, on: str = "frame", out: str = "smoothed", sigma: float | None = None) -> DataFrame:
-    """Gaussian mean of the known values around a row, blended with the value itself by ``strength``; unknown stays unknown."""
-    h = (window | 1) // 2
-    sigma = sigma or max(1e-9, (window / 6) * (1 + 2 * strength))
+def gaussian_over_known(df: DataFrame, value: str, window: int, strength: float, on: str = "frame", out: str = "smoothed") -> DataFrame:
+    """Gaussian mean of the known values around a row, blended with the value itself by ``strength``; unknown stays unknown.
+
+    The window is odd; beyond the ends the first and the last row, known or not, stand again.
+    """
+    if strength <= 0:
+        return df.withColumn(out, F.col(value))
+    window |= 1
+    h, sigma = window // 2, (window / 6) * (1 + 2 * strength)
     w = ordered(on=on)
-    near = [(F.lag(value, -k).over(w) if k < 0 else F.lead(value, k).over(w), math.exp(-(k * k) / (2 * sigma * sigma))) for k in range(-h, h + 1)]
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    df = df.withColumns({"_n": F.row_number().over(w), "_all": F.count(F.lit(1)).over(Window.partitionBy(*BY)), "_first": F.first(value).over(whole), "_last": F.last(value).over(whole)})
+
+    def at(k: int) -> Column:
+        there = F.lag(value, -k).over(w) if k < 0 else F.lead(value, k).over(w)
+        return F.when(F.col("_n") + k < 1, F.col("_first")).when(F.col("_n") + k > F.col("_all"), F.col("_last")).otherwise(there)
+
+    df = df.withColumns({f"_v{k + h}": at(k) for k in range(-h, h + 1)})
     top, bottom = F.lit(0.0), F.lit(0.0)
-    for v, g in near:
+    for k in range(-h, h + 1):
+        v, g = F.col(f"_v{k + h}"), math.exp(-(k * k) / (2 * sigma * sigma))
         top, bottom = top + F.coalesce(v * F.lit(g), F.lit(0.0)), bottom + F.when(v.isNotNull(), g).otherwise(0.0)
-    return df.withColumn(out, F.when(F.col(value).isNotNull(), F.col(value) * (1 - strength) + strength * top / F.when(bottom > 0, bottom)))
+    mean = F.col(value) * (1 - strength) + strength * top / F.when(bottom > 0, bottom)
+    return df.withColumn(out, F.when(F.col(value).isNotNull(), mean)).drop("_n", "_all", "_first", "_last", *(f"_v{k}" for k in range(window)))
 
 
 def median_trailing(df: DataFrame, value: str, size: int, on: str = "ts_us", out: str = "median") -> DataFrame:
@@ -213,3 +228,14 @@ def moving_pace(df: DataFrame, seconds: float, on: str = "ts_us", out: str = "fr
     w = ordered(on=on).rangeBetween(-int(seconds * 1e6), 0)
     n = F.count(F.lit(1)).over(w)
     return df.withColumn(out, F.when(n > 1, (F.max(on).over(w) - F.min(on).over(w)) / F.lit(1e6) / F.when(n > 1, n - 1)))
+
+
+def chart_series(df: DataFrame, groups: Sequence[Sequence[str]], on: str = "ts_us") -> DataFrame:
+    """(recording_id, key, series, value): a row for each known value, by the largest size in its group of columns and recording."""
+    whole = Window.partitionBy(*BY)
+    shares = []
+    for columns in groups:
+        top = F.max(F.greatest(*(F.abs(c) for c in columns))).over(whole)
+        shares += [F.struct(F.lit(c).alias("series"), (F.col(c) / F.when(top > 0, top)).alias("value")) for c in columns]
+    lines = df.select(*BY, on, F.array(*shares).alias("_all")).select(*BY, on, F.explode("_all").alias("_p"))
+    return lines.select(*BY, on, "_p.series", "_p.value").where("value is not null")

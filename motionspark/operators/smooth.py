@@ -70,17 +70,41 @@ def smooth_dampened(df: DataFrame, rate: float, **params: float) -> DataFrame:
     return quaternions(df, lambda q, _: dampened(q, rate, **params))
 
 
+def _turn(axis: str, degrees: float):
+    return Q.from_axis_angle(axis, F.radians(F.lit(float(degrees))))
+
+
+def _chain(*turns):
+    out = turns[0]
+    for t in turns[1:]:
+        out = Q.let(F.struct(out.alias("a"), t.alias("b")), lambda v: Q.multiply(v["a"], v["b"]))
+    return out
+
+
+def fixed_orientation(roll: float, pitch: float, yaw: float):
+    """Pan, then tilt, then roll of the body, from a camera that looks ahead."""
+    return _chain(_turn("z", yaw), _turn("x", pitch), _turn("y", roll + 90), _turn("z", 90), _turn("y", 90))
+
+
 def smooth_fixed(df: DataFrame, roll: float, pitch: float, yaw: float) -> DataFrame:
     """A camera that looks one way; angles in degrees."""
-    r = lambda v: F.radians(F.lit(float(v)))
-    return df.withColumn("q", Q.from_euler(r(pitch), r(yaw), r(roll)))
+    return df.withColumn("q", fixed_orientation(roll, pitch, yaw))
+
 
+def lock_horizon(df: DataFrame, percent: float, roll_deg: float = 0.0, pitch_deg: float | None = None) -> DataFrame:
+    """Rebuilds each orientation from where its z axis points, with the given roll, blended in by ``percent``.
 
-def lock_horizon(df: DataFrame, percent: float, roll_deg: float = 0.0) -> DataFrame:
-    """Rebuilds each orientation from its yaw and pitch with the given roll, blended in by ``percent``."""
+    With ``pitch_deg`` the pitch is locked to it as well.
+    """
 
     def level(q):
-        return Q.let(Q.to_euler(q), lambda e: Q.slerp(q, Q.from_euler(F.radians(F.lit(roll_deg)), e["pitch"], e["yaw"]), F.lit(percent / 100.0)))
+        ahead = Q.rotate(q, F.lit(0.0), F.lit(0.0), F.lit(1.0))
+
+        def built(v):
+            pitch = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -v["z"]))) if pitch_deg is None else F.radians(F.lit(float(pitch_deg)))
+            return _chain(_turn("y", 90), _turn("z", 90), Q.from_axis_angle("y", F.atan2(v["y"], v["x"])), Q.from_axis_angle("x", pitch), _turn("z", roll_deg))
+
+        return Q.let(F.struct(q.alias("q"), Q.let(ahead, built).alias("l")), lambda v: Q.slerp(v["l"], v["q"], F.lit(1 - percent / 100.0)))
 
     return df.withColumn("q", level(F.col("q")))
 

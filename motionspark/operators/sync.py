@@ -97,18 +97,39 @@ def robust_line(points: DataFrame, tolerance_ms: float = 5.0, steepest: float =
     """(slope, intercept, inliers, ssr): of the lines through two sync points the one with most points within the
     tolerance, then the least squared distance of those, then the earliest pair.  Slopes are per millisecond.
 
-    Sync points are few in each recording, hence all pairs of a recording are looked at.
+    A row for each two points of a recording, which is held against the recording's points in place: sync
+    points are placed by hand or by the dozen, and a recording's must fit into a row.
     """
     p = points.select(*BY, (F.col("ts_us") / 1000.0).alias("x"), F.col("offset_ms").alias("y"))
-    a, b = p.withColumnsRenamed({"x": "x1", "y": "y1"}), p.withColumnsRenamed({"x": "x2", "y": "y2"})
-    lines = a.join(b, list(BY)).where("x1 < x2").withColumn("slope", (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")))
+    every = p.groupBy(*BY).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("points"))
+    lines = every.select(*BY, "points", F.explode("points").alias("a")).select(*BY, "points", "a", F.explode(F.filter("points", lambda b: b["x"] > F.col("a.x"))).alias("b"))
+    lines = lines.select(*BY, "points", F.col("a.x").alias("x1"), F.col("b.x").alias("x2"), F.col("a.y").alias("y1"), ((F.col("b.y") - F.col("a.y")) / (F.col("b.x") - F.col("a.x"))).alias("slope"))
     lines = lines.where(F.abs("slope") < steepest).withColumn("intercept", F.col("y1") - F.col("slope") * F.col("x1"))
-    fit = lines.join(p, list(BY)).withColumn("r", F.abs(F.col("slope") * F.col("x") + F.col("intercept") - F.col("y")))
-    fit = fit.groupBy(*BY, "x1", "x2", "slope", "intercept").agg(F.count_if(F.col("r") < tolerance_ms).alias("inliers"), F.sum(F.when(F.col("r") < tolerance_ms, F.col("r") * F.col("r")).otherwise(0.0)).alias("ssr"))
+    far = F.transform("points", lambda v: F.abs(F.col("slope") * v["x"] + F.col("intercept") - v["y"]))
+    near = lines.withColumn("near", F.filter(far, lambda r: r < tolerance_ms)).drop("points")
+    fit = near.withColumns({"inliers": F.size("near").cast("long"), "ssr": F.aggregate("near", F.lit(0.0), lambda s, r: s + r * r)}).drop("near")
     best = fit.groupBy(*BY).agg(F.min(F.struct((-F.col("inliers")).alias("o"), F.round("ssr", 9).alias("s"), "x1", "x2", "slope", "intercept", "inliers", "ssr")).alias("b"))
     return best.select(*BY, "b.slope", "b.intercept", "b.inliers", "b.ssr")
 
 
+def choose_sign(offsets: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """(negative, n, cost) of the search around the negative rough offset or the positive one, from (negative, cost) rows.
+
+    More offsets win; of as many the smaller sum of costs, the negative side where these are equal.  Where the
+    negative side has fewer there is no answer, as with no offsets at all.
+    """
+    side = lambda neg, x: F.sum(F.when(F.col("negative") == neg, x).otherwise(0))
+    s = offsets.groupBy(*by).agg(side(False, 1).alias("n0"), side(True, 1).alias("n1"), side(False, F.col("cost")).alias("c0"), side(True, F.col("cost")).alias("c1"))
+    positive = (F.col("n0") == F.col("n1")) & (F.col("c0") < F.col("c1"))
+    s = s.where("n1 >= n0").withColumn("negative", ~positive)
+    return s.select(*by, "negative", F.when(positive, F.col("n0")).otherwise(F.col("n1")).alias("n"), F.when(positive, F.col("c0")).otherwise(F.col("c1")).alias("cost"))
+
+
+def trim_ratio(trims: DataFrame) -> DataFrame:
+    """(recording_id, ratio): share of each recording inside its trim ranges (a, b), which are shares themselves."""
+    return trims.groupBy(*BY).agg(F.sum(F.col("b") - F.col("a")).alias("ratio"))
+
+
 def sync_ranges(points: DataFrame, window_us: int, duration_us: str = "duration_us") -> DataFrame:
     """Half a window on either side of each sync point, within the recording."""
     half = window_us // 2

@@ -1,8 +1,8 @@
 """Registered queries: the operators applied to the driver's tables, with their DuckDB SQL."""
 
-from motionspark.plans import joins, recurrences, rows, windows
+from motionspark.plans import joins, lens, recurrences, rows, windows
 from motionspark.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "j03_bracket_slerp"
 
-__all__ = ["FLAGSHIP", "QUERIES", "SQL", "joins", "recurrences", "rows", "windows"]
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "joins", "lens", "recurrences", "rows", "windows"]

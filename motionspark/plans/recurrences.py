@@ -84,11 +84,13 @@ def _biquad(source: str, name: str, first: str, following: str) -> str:
   UNION ALL SELECT n.recording_id, n.i, {y}, {B1!r}::DOUBLE * n.v - {A1!r}::DOUBLE * {y} + p.s2, {B2!r}::DOUBLE * n.v - {A2!r}::DOUBLE * {y} FROM {name} p JOIN {source} n ON n.recording_id = p.recording_id AND n.i = p.i {following})"""
 
 
-@query("w14_butterworth_lowpass", f"""WITH RECURSIVE {IMU_SQL}, {NUMBERED}, {_biquad('n', 'f', 'i = 1', '+ 1')},
-m AS MATERIALIZED (SELECT f.recording_id, f.i, f.y AS v, n.c, n.ts_us FROM f JOIN n ON n.recording_id = f.recording_id AND n.i = f.i), {_biquad('m', 'b', 'i = c', '- 1')}
-SELECT m.recording_id, m.ts_us, round(b.y, 6) + 0 AS ax FROM b JOIN m ON m.recording_id = b.recording_id AND m.i = b.i""")
+@query("w14_butterworth_lowpass", f"""WITH RECURSIVE {IMU_SQL}, {NUMBERED.replace('ax AS v', 'gx AS v').replace('FROM imu', 'FROM imu WHERE gx IS NOT NULL')}, {_biquad('n', 'f', 'i = 1', '+ 1')},
+m AS MATERIALIZED (SELECT f.recording_id, f.i, f.y AS v, n.c, n.ts_us FROM f JOIN n ON n.recording_id = f.recording_id AND n.i = f.i), {_biquad('m', 'b', 'i = c', '- 1')},
+o AS (SELECT m.recording_id, m.ts_us, b.y FROM b JOIN m ON m.recording_id = b.recording_id AND m.i = b.i)
+SELECT recording_id, ts_us, round(o.y, 6) + 0 AS gx FROM imu LEFT JOIN o USING (recording_id, ts_us)""")
 def w14(spark: SparkSession, d: str) -> DataFrame:
-    return R.lowpass(imu(spark, d), ["ax"], 10.0, 100.0).select("recording_id", "ts_us", r6("ax"))
+    """A fifth of the samples has no rates."""
+    return R.lowpass(imu(spark, d), ["gx"], 10.0, 100.0).select("recording_id", "ts_us", r6("gx"))
 
 
 @query("w15_quaternion_lowpass")
@@ -122,23 +124,51 @@ def smo00(spark: SparkSession, d: str) -> DataFrame:
     return q6(smooth.smooth(quats(spark, d), "none", 50.0))
 
 
-@query("smo03_fixed_camera", f"WITH {QUATS_SQL} SELECT recording_id, ts_us, round(cos(radians(15.0::DOUBLE)), 6) AS w, 0.0::DOUBLE AS x, round(sin(radians(15.0::DOUBLE)), 6) AS y, 0.0::DOUBLE AS z FROM quats")
+def _turn(axis: str, angle: str) -> tuple[str, ...]:
+    return (f"cos(({angle}) / 2)", *(f"sin(({angle}) / 2)" if c == axis else "0.0::DOUBLE" for c in "xyz"))
+
+
+def _chained(source: str, turns: list[tuple[str, str]]) -> str:
+    """CTEs c1, c2, ...: products of turns about axes, from left to right, beside the columns of ``source``."""
+    steps = []
+    for n, (axis, angle) in enumerate(turns):
+        b = _turn(axis, angle)
+        if n == 0:
+            steps.append(f"c0 AS (SELECT *, {', '.join(f'{v} AS r{c}' for v, c in zip(b, 'wxyz', strict=True))} FROM {source})")
+            continue
+        w, x, y, z = ("p.rw", "p.rx", "p.ry", "p.rz")
+        product = (
+            f"{w} * {b[0]} - {x} * {b[1]} - {y} * {b[2]} - {z} * {b[3]}", f"{w} * {b[1]} + {x} * {b[0]} + {y} * {b[3]} - {z} * {b[2]}",
+            f"{w} * {b[2]} - {x} * {b[3]} + {y} * {b[0]} + {z} * {b[1]}", f"{w} * {b[3]} + {x} * {b[2]} - {y} * {b[1]} + {z} * {b[0]}",
+        )
+        steps.append(f"c{n} AS (SELECT p.* EXCLUDE (rw, rx, ry, rz), {', '.join(f'{v} AS r{c}' for v, c in zip(product, 'wxyz', strict=True))} FROM c{n - 1} p)")
+    shown = ", ".join(f"round(r{c}, 6) + 0 AS {c}" for c in "wxyz")
+    return f"{', '.join(steps)} SELECT recording_id, ts_us, {shown} FROM c{len(turns) - 1}"
+
+
+FIXED_SQL = _chained("quats", [("z", "radians(30.0::DOUBLE)"), ("x", "radians(-12.0::DOUBLE)"), ("y", "radians(97.0::DOUBLE)"), ("z", "pi() / 2"), ("y", "pi() / 2")])
+AHEAD_SQL = "v AS (SELECT *, 2 * (x * z + w * y) AS vx, 2 * (y * z - w * x) AS vy, w * w - x * x - y * y + z * z AS vz FROM quats)"
+LEVEL_SQL = _chained("v", [("y", "pi() / 2"), ("z", "pi() / 2"), ("y", "atan2(vy, vx)"), ("x", "asin(greatest(-1, least(1, -vz)))"), ("z", "radians(5.0::DOUBLE)")])
+
+
+@query("smo03_fixed_camera", f"WITH {QUATS_SQL}, {FIXED_SQL}")
 def smo03(spark: SparkSession, d: str) -> DataFrame:
-    return q6(smooth.smooth(quats(spark, d), "fixed", 50.0, yaw=30.0))
+    return q6(smooth.smooth(quats(spark, d), "fixed", 50.0, yaw=30.0, pitch=-12.0, roll=7.0))
 
 
-@query("smo04_horizon_lock", f"""WITH {QUATS_SQL}, e AS (SELECT *, asin(greatest(-1, least(1, 2 * (w * y - z * x)))) / 2 AS p, atan2(2 * (w * z + x * y), 1 - 2 * (y * y + z * z)) / 2 AS h FROM quats)
-SELECT recording_id, ts_us, round(abs(w * cos(p) * cos(h) - x * sin(p) * sin(h) + y * sin(p) * cos(h) + z * cos(p) * sin(h)), 6) AS closeness FROM e""")
+@query("smo04_horizon_lock", f"WITH {QUATS_SQL}, {AHEAD_SQL}, {LEVEL_SQL}")
 def smo04(spark: SparkSession, d: str) -> DataFrame:
-    """How close each orientation is to its levelled one."""
-    q = quats(spark, d)
-    level = smooth.lock_horizon(q, 100.0).select("recording_id", "ts_us", F.col("q").alias("level"))
-    both = q.join(level, ["recording_id", "ts_us"])
-    return both.select("recording_id", "ts_us", F.round(F.abs(Q.dot(F.col("q"), F.col("level"))), 6).alias("closeness"))
+    return q6(smooth.lock_horizon(quats(spark, d), 100.0, roll_deg=5.0))
+
+
+@query("smo04_pitch_lock", f"WITH {QUATS_SQL}, {AHEAD_SQL}, {LEVEL_SQL.replace('asin(greatest(-1, least(1, -vz)))', 'radians(8.0::DOUBLE)')}")
+def smo04_pitch(spark: SparkSession, d: str) -> DataFrame:
+    return q6(smooth.lock_horizon(quats(spark, d), 100.0, roll_deg=5.0, pitch_deg=8.0))
 
 
-@query("int03_gyro_only", f"""WITH RECURSIVE {IMU_SQL}, t AS (SELECT recording_id, ts_us, -gy AS a, gx AS b, gz AS c, row_number() OVER ({W}) AS i, (ts_us - lag(ts_us) OVER ({W})) / 1e6 AS dt, (lead(ts_us) OVER ({W}) - ts_us) / 1e6 AS dt1 FROM imu WHERE gx IS NOT NULL),
-v AS (SELECT recording_id, ts_us, i, radians(a) * k AS a, radians(b) * k AS b, radians(c) * k AS c FROM (SELECT *, coalesce(dt, dt1) * 1e-6 AS k FROM t)),
+@query("int03_gyro_only", f"""WITH RECURSIVE {IMU_SQL}, g AS (SELECT recording_id, min(ts_us) AS t0, (max(ts_us) - min(ts_us)) * (count(*) + 1) / count(*)::DOUBLE / count(*) AS step FROM imu GROUP BY 1),
+t AS (SELECT recording_id, ts_us, -gy AS a, gx AS b, gz AS c, row_number() OVER ({W}) AS i, (ts_us - coalesce(lag(ts_us) OVER ({W}), t0 - step)) / 1e6 AS dt FROM imu JOIN g USING (recording_id) WHERE gx IS NOT NULL),
+v AS (SELECT recording_id, ts_us, i, radians(a) * k AS a, radians(b) * k AS b, radians(c) * k AS c FROM (SELECT *, dt * 1e-6 AS k FROM t)),
 e AS MATERIALIZED (SELECT recording_id, ts_us, i, cos(n / 2) AS w, a * s AS x, b * s AS y, c * s AS z FROM (SELECT *, CASE WHEN n > 1e-12::DOUBLE THEN sin(n / 2) / n ELSE 0.5 END AS s FROM (SELECT *, sqrt(a * a + b * b + c * c) AS n FROM v))),
 q AS (SELECT recording_id, i, w * c0 - x * s0 AS w, w * s0 + x * c0 AS x, y * c0 - z * s0 AS y, y * s0 + z * c0 AS z FROM e, (SELECT cos(pi() / 4) AS c0, sin(pi() / 4) AS s0) WHERE i = 1
   UNION ALL SELECT e.recording_id, e.i, p.w * e.w - p.x * e.x - p.y * e.y - p.z * e.z, p.w * e.x + p.x * e.w + p.y * e.z - p.z * e.y, p.w * e.y - p.x * e.z + p.y * e.w + p.z * e.x, p.w * e.z + p.x * e.y - p.y * e.x + p.z * e.w

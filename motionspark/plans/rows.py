@@ -44,19 +44,20 @@ def prj08(spark: SparkSession, d: str) -> DataFrame:
     return imu(spark, d).select("recording_id", "seq", I.ms_to_frame((F.col("ts_us") - START) / 1000.0, fps).alias("frame"), F.round(I.frame_to_ms(F.col("seq"), fps), 6).alias("ms"))
 
 
-@query("prj09_readout_direction", """SELECT event_id, CASE WHEN abs(r) >= 10000 AND r < 0 THEN 'RightToLeft' WHEN abs(r) >= 10000 THEN 'LeftToRight' WHEN r < 0 THEN 'BottomToTop' ELSE 'TopToBottom' END AS direction,
-  CASE WHEN abs(r) >= 10000 THEN abs(r) - 10000 ELSE abs(r) END AS readout_ms FROM (SELECT event_id, (event_id % 31 - 15 + (event_id % 3 - 1) * 10015)::DOUBLE AS r FROM events)""")
+@query("prj09_readout_direction", """SELECT event_id, CASE WHEN abs(r) > 10000 AND r < 0 THEN 'RightToLeft' WHEN abs(r) > 10000 THEN 'LeftToRight' WHEN r < 0 THEN 'BottomToTop' ELSE 'TopToBottom' END AS direction,
+  CASE WHEN r = 0 THEN NULL WHEN abs(r) > 10000 THEN abs(r) - 10000 ELSE abs(r) END AS readout_ms FROM (SELECT event_id, (event_id % 31 - 15 + (event_id % 3 - 1) * 10015)::DOUBLE AS r FROM events)""")
 def prj09(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", (F.col("event_id") % 31 - 15 + (F.col("event_id") % 3 - 1) * 10015).cast("double").alias("r"))
     way, size = I.readout(F.col("r"))
     return e.select("event_id", way.alias("direction"), size.alias("readout_ms"))
 
 
-@query("prj11_output_size", """SELECT p_partkey, (floor(round(w * s) / 2) * 2)::INT AS w, (floor(round(h * s) / 2) * 2)::INT AS h FROM (SELECT *, least(1920.0::DOUBLE / w, 1080.0::DOUBLE / h) AS s FROM
-  (SELECT p_partkey, CASE WHEN t THEN b ELSE a END AS w, CASE WHEN t THEN a ELSE b END AS h FROM (SELECT p_partkey, (640 + p_size * 71)::DOUBLE AS a, (480 + p_size * 37)::DOUBLE AS b, p_partkey % 4 * 90 % 180 = 90 AS t FROM part)))""")
+@query("prj11_output_size", """SELECT p_partkey, (round(w * s)::INT - round(w * s)::INT % 2)::INT AS w, (round(h * s)::INT - round(h * s)::INT % 2)::INT AS h
+FROM (SELECT *, least(CASE WHEN turned THEN 1080 ELSE 1920 END / w, CASE WHEN turned THEN 1920 ELSE 1080 END / h) AS s FROM
+  (SELECT p_partkey, (640 + p_size * 71)::DOUBLE AS w, (480 + p_size * 37)::DOUBLE AS h, p_partkey % 4 IN (1, 3) AS turned FROM part))""")
 def prj11(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
-    fit = I.output_size((640 + F.col("p_size") * 71).cast("double"), (480 + F.col("p_size") * 37).cast("double"), F.lit(1920.0), F.lit(1080.0), F.col("p_partkey") % 4 * 90)
+    fit = I.output_size(F.lit(1920.0), F.lit(1080.0), (640 + F.col("p_size") * 71).cast("double"), (480 + F.col("p_size") * 37).cast("double"), F.col("p_partkey") % 4 * 90)
     return p.select("p_partkey", fit.alias("s")).select("p_partkey", "s.w", "s.h")
 
 
@@ -206,10 +207,13 @@ def agg15(spark: SparkSession, d: str) -> DataFrame:
     return g.select("p_name", "sizes", "n", F.when(F.col("sizes") == 1, F.concat_ws(" ", "p_name", "s")).otherwise(F.col("p_name")).alias("shown"))
 
 
-@query("agg18_trim_ratio", "SELECT event_id, round((event_id % 5) * 0.1::DOUBLE + 0.05::DOUBLE, 6) AS ratio FROM events")
+@query("agg18_trim_ratio", f"""WITH {LENS_SQL} SELECT recording_id, round(sum(b - a), 6) AS ratio FROM
+  (SELECT recording_id, focal_length / 1000 AS a, focal_length / 1000 + (ts_us % 7)::DOUBLE / 100 AS b FROM lens) GROUP BY 1""")
 def agg18(spark: SparkSession, d: str) -> DataFrame:
-    r = F.array(F.struct(F.lit(0.0).alias("a"), (F.col("event_id") % 5 * 0.1).alias("b")), F.struct(F.lit(0.9).alias("a"), F.lit(0.95).alias("b")))
-    return table(spark, d, "events").select("event_id", F.round(F.aggregate(r, F.lit(0.0), lambda t, x: t + x["b"] - x["a"]), 6).alias("ratio"))
+    """Share of each recording that its trim ranges keep."""
+    a = F.col("focal_length") / 1000
+    trims = lens_rows(spark, d).select("recording_id", a.alias("a"), (a + (F.col("ts_us") % 7).cast("double") / 100).alias("b"))
+    return sync.trim_ratio(trims).select("recording_id", F.round("ratio", 6).alias("ratio"))
 
 
 @query("agg19_queue_totals", "SELECT o_orderstatus AS status, count(*) AS jobs, sum(floor(o_totalprice))::BIGINT AS frames FROM orders GROUP BY 1")
@@ -217,12 +221,13 @@ def agg19(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("jobs"), F.sum(F.floor("o_totalprice")).alias("frames"))
 
 
-@query("agg22_choose_sign", """WITH c AS (SELECT o_custkey, o_orderstatus = 'F' AS neg, count(*) AS n, round(sum(o_totalprice), 2) AS cost FROM orders GROUP BY ALL)
-SELECT o_custkey, neg, n, cost FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, cost, neg) AS r FROM c) WHERE r = 1""")
+@query("agg22_choose_sign", """WITH s AS (SELECT o_custkey, count(*) FILTER (o_orderstatus <> 'F') AS n0, count(*) FILTER (o_orderstatus = 'F') AS n1,
+  coalesce(sum(o_totalprice) FILTER (o_orderstatus <> 'F'), 0) AS c0, coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 0) AS c1 FROM orders GROUP BY 1)
+SELECT o_custkey, true AS negative, n1 AS n, round(c1, 2) AS cost FROM s WHERE n1 > n0 OR (n1 = n0 AND NOT c0 < c1)
+UNION ALL SELECT o_custkey, false, n0, round(c0, 2) FROM s WHERE n1 = n0 AND c0 < c1""")
 def agg22(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "orders").groupBy("o_custkey", (F.col("o_orderstatus") == "F").alias("neg")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("cost"))
-    best = c.groupBy("o_custkey").agg(F.min(F.struct((-F.col("n")).alias("o"), "cost", "neg", "n")).alias("b"))
-    return best.select("o_custkey", "b.neg", "b.n", "b.cost")
+    o = table(spark, d, "orders").select("o_custkey", (F.col("o_orderstatus") == "F").alias("negative"), F.col("o_totalprice").alias("cost"))
+    return sync.choose_sign(o, ["o_custkey"]).select("o_custkey", "negative", "n", F.round("cost", 2).alias("cost"))
 
 
 @query("srt01_lens_search", """SELECT p_partkey, p_name FROM (SELECT p_partkey, p_name, p_brand = 'Brand#2' AS fav, p_size % 8 = 3 AS asp, p_size % 8 = 5 AS swp FROM part WHERE contains(lower(p_name), 'ring'))
@@ -234,8 +239,9 @@ def srt01(spark: SparkSession, d: str) -> DataFrame:
     return search_profiles(p, "RING,", aspect=3, swapped=5).select(F.col("id").alias("p_partkey"), F.col("name").alias("p_name"))
 
 
-@query("srt03_unique_names", """SELECT p_partkey, CASE n WHEN 1 THEN p_name WHEN 2 THEN p_name || ' by ' || p_brand ELSE p_name || ' by ' || p_brand || ' - ' || (n - 1) END AS shown
-FROM (SELECT p_partkey, p_name, p_brand, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS n FROM part)""")
+@query("srt03_unique_names", """WITH n AS (SELECT p_partkey, p_name AS name, p_brand AS author, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k, count(*) OVER (PARTITION BY p_name) AS c FROM part),
+f AS (SELECT *, min(k) OVER (PARTITION BY name, author) % 2 + count(*) FILTER (k % 2 = 0) OVER (PARTITION BY name, author ORDER BY k) AS place FROM n)
+SELECT p_partkey, CASE WHEN k % 2 = 1 AND k = c THEN name WHEN k % 2 = 0 AND place > 1 THEN name || ' by ' || author || ' - ' || place ELSE name || ' by ' || author END AS shown FROM f""")
 def srt03(spark: SparkSession, d: str) -> DataFrame:
     from motionspark.operators.profiles import unique_names
 
@@ -245,8 +251,11 @@ def srt03(spark: SparkSession, d: str) -> DataFrame:
 
 @query("srt06_natural_order", "SELECT c_custkey, row_number() OVER (ORDER BY regexp_extract(c_name, '#0*([0-9]+)', 1)::BIGINT) AS place FROM customer")
 def srt06(spark: SparkSession, d: str) -> DataFrame:
-    """Names by the value of their digits; the customer table is one list."""
-    return table(spark, d, "customer").select("c_custkey", F.row_number().over(Window.orderBy(X.natural_key(F.col("c_name")))).cast("long").alias("place"))
+    """Names by the value of their digits, all of them in one list."""
+    from motionspark.operators.ranks import ranked
+
+    names = table(spark, d, "customer").select("c_custkey", X.natural_key(F.col("c_name")).alias("name"))
+    return ranked(names, "name", "place", "c_custkey").select("c_custkey", "place")
 
 
 @query("set01_upsert", f"""WITH {IMU_SQL}, k AS (SELECT recording_id, ts_us // {6 * HOUR} AS k, seq, gx FROM imu) SELECT recording_id, k, arg_max(seq, seq) AS seq FROM k GROUP BY ALL""")
@@ -274,13 +283,48 @@ def str01(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", X.search_words(F.concat_ws(";", "p_name", F.lit("A7S3,GoPro 10"))).alias("words"))
 
 
-@query("str02_camera_identifier", """SELECT p_partkey, lower(replace(replace(replace(p_brand || '-' || p_name || '-' || p_type || '-' || (p_size * 100) || 'x' || (p_size * 50) || '-' || CASE WHEN p_partkey % 7 = 0 THEN 29970 ELSE 60000 END, ' ', ''), '--', '-'), '--', '-')) AS identifier FROM part""")
+@query("str02_camera_identifier", """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE lower(trim(replace(replace(replace(
+  CASE WHEN p_partkey % 7 = 0 THEN 'RED' ELSE p_brand END || '-' || p_name || '-' || '- ' || '-' || p_type || '-' || (p_size * 100) || 'x' || (p_size * 50) || '@' || CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE 29970 END || '-'
+  || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'HDR' END, ' ', ''), '--', '-'), '--', '-'), '- ')) END AS identifier FROM part""")
 def str02(spark: SparkSession, d: str) -> DataFrame:
-    fps = F.when(F.col("p_partkey") % 7 == 0, 29.97).otherwise(60.0)
-    i = X.camera_identifier(F.col("p_brand"), F.col("p_name"), F.col("p_type"), F.col("p_size") * 100, F.col("p_size") * 50, fps)
+    brand = F.when(F.col("p_partkey") % 7 == 0, "RED").otherwise(F.col("p_brand"))
+    info = F.when(F.col("p_partkey") % 5 == 0, "").otherwise(F.col("p_type"))
+    more = F.when(F.col("p_partkey") % 3 == 0, F.lit(None)).otherwise("HDR")
+    i = X.camera_identifier(brand, F.col("p_name"), F.lit("- "), info, F.col("p_size") * 100, F.col("p_size") * 50, F.lit(29.97), more)
     return table(spark, d, "part").select("p_partkey", i.alias("identifier"))
 
 
+@query("str03_autoload_identifier", """SELECT p_partkey, replace(replace(replace('hero' || (10 + p_partkey % 5) || 'blackmini-' || p_brand, 'hero12', 'hero11'), 'hero13', 'hero11'), 'hero11blackmini', 'hero11black') AS identifier FROM part""")
+def str03(spark: SparkSession, d: str) -> DataFrame:
+    i = F.concat(F.lit("hero"), (10 + F.col("p_partkey") % 5).cast("string"), F.lit("blackmini-"), F.col("p_brand"))
+    return table(spark, d, "part").select("p_partkey", X.autoload_identifier(i).alias("identifier"))
+
+
+@query("str05_size_label", """SELECT p_partkey, CASE WHEN w >= 8000 THEN '8k' WHEN w >= 6000 THEN '6k' WHEN w >= 5000 THEN '5k' WHEN w > 4000 THEN 'C4k' WHEN w >= 3840 THEN '4k' WHEN w >= 2700 THEN '2.7k' WHEN w >= 2500 THEN '2.5k' WHEN w >= 2000 THEN '2k'
+  WHEN w = 1920 AND h = 1440 THEN '1440p' WHEN w >= 1920 THEN '1080p' WHEN w >= 1280 THEN '720p' WHEN w >= 640 THEN '480p' ELSE '' END AS label
+FROM (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 1920 WHEN p_partkey % 9 = 1 THEN 4000 ELSE p_partkey * 37 % 8600 END AS w, CASE WHEN p_partkey % 2 = 0 THEN 1440 ELSE 1080 END AS h FROM part)""")
+def str05(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    w = F.when(k % 9 == 0, 1920).when(k % 9 == 1, 4000).otherwise(k * 37 % 8600)
+    return table(spark, d, "part").select("p_partkey", X.size_label(w, F.when(k % 2 == 0, 1440).otherwise(1080)).alias("label"))
+
+
+FORMATS_SQL = " ".join(f"WHEN '{name}' THEN printf('%.{n}f', v * {factor}) || '{unit}'" for name, n, unit, factor in (
+    ("Fov", 2, "", 1), ("VideoRotation", 1, "°", 1), ("ZoomingSpeed", 2, "s", 1), ("ZoomingCenterX", 0, "%", 100), ("MaxZoom", 0, "%", 1), ("AdditionalRotationY", 2, "°", 1),
+    ("AdditionalTranslationZ", 0, "px", 1), ("BackgroundFeather", 0, "%", 1), ("LockHorizonAmount", 0, "%", 1), ("LockHorizonRoll", 1, "°", 1), ("LensCorrectionStrength", 0, "%", 100),
+    ("LightRefractionCoeff", 3, "", 1), ("SmoothingParamPitch", 2, "", 1), ("VideoSpeed", 1, "%", 100)))
+KINDS = ("Fov", "VideoRotation", "ZoomingSpeed", "ZoomingCenterX", "MaxZoom", "AdditionalRotationY", "AdditionalTranslationZ", "BackgroundFeather", "LockHorizonAmount", "LockHorizonRoll", "LockHorizonPitchEnabled",
+         "LensCorrectionStrength", "LightRefractionCoeff", "SmoothingParamPitch", "VideoSpeed")
+
+
+@query("str08_keyframe_text", f"""SELECT p_partkey, kind, CASE kind WHEN 'LockHorizonPitchEnabled' THEN CASE WHEN v <> 0 THEN 'On' ELSE 'Off' END {FORMATS_SQL} END AS shown
+FROM (SELECT p_partkey, ([{', '.join(repr(k) for k in KINDS)}])[p_partkey % {len(KINDS)} + 1] AS kind, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE p_partkey % 97 * 0.37::DOUBLE + 0.0123::DOUBLE END AS v FROM part)""")
+def str08(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    p = table(spark, d, "part").select("p_partkey", F.get(F.array(*map(F.lit, KINDS)), (k % len(KINDS)).cast("int")).alias("kind"), F.when(k % 4 == 0, 0.0).otherwise(k % 97 * 0.37 + 0.0123).alias("v"))
+    return p.select("p_partkey", "kind", X.keyframe_text(F.col("kind"), F.col("v")).alias("shown"))
+
+
 @query("str07_durations", "SELECT event_id, round(CASE event_id % 3 WHEN 0 THEN event_id % 900 WHEN 1 THEN event_id % 90 * 1000 ELSE event_id % 300 * 1000 / 25.0 END::DOUBLE, 6) AS ms FROM events")
 def str07(spark: SparkSession, d: str) -> DataFrame:
     n, k = F.col("event_id"), F.col("event_id") % 3
@@ -288,9 +332,13 @@ def str07(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.round(X.duration_ms(t, F.lit(25.0)), 6).alias("ms"))
 
 
-@query("str09_safe_names", "SELECT page_id, regexp_replace(url, '[/\\\\:*?\"<>|]', '_', 'g') AS safe, regexp_extract(url, '([^/\\\\]*)$', 1) AS file FROM pages")
+@query("str09_safe_names", """SELECT page_id, replace(replace(replace(replace(replace(replace(replace(url, '/', '-'), chr(92), '-'), ':', '-'), '+', '-'), chr(39), '-'), chr(34), '-'), ' ', '-') AS safe, regexp_extract(url, '([^/\\\\]*)$', 1) AS file,
+  regexp_replace(regexp_extract(url, '([^/\\\\]*)$', 1), '[.][^.]*$', '') || '_stabilized' || CASE page_id % 4 WHEN 0 THEN '.mov' WHEN 1 THEN '_%05d.png' WHEN 2 THEN CASE WHEN page_id % 8 = 2 THEN '.mov' ELSE '.mp4' END ELSE '_%05d.exr' END AS output FROM pages""")
 def str09(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", X.safe_name(F.col("url")).alias("safe"), X.file_name(F.col("url")).alias("file"))
+    k = F.col("page_id")
+    codec = F.get(F.array(*map(F.lit, ("ProRes", "PNG Sequence", "H.264/AVC", "EXR Sequence"))), (k % 4).cast("int"))
+    out = X.output_name(F.col("url"), F.lit("_stabilized"), codec, k % 8 == 2)
+    return table(spark, d, "pages").select("page_id", X.safe_name(F.col("url")).alias("safe"), X.file_name(F.col("url")).alias("file"), out.alias("output"))
 
 
 @query("syn02_sync_ranges", f"""WITH {OFFSETS_SQL} SELECT recording_id, ts_us, greatest(ts_us - {START} - {HOUR}, 0) AS from_us, least(ts_us - {START} + {HOUR}, {20 * DAY}) AS to_us FROM offsets""")
@@ -305,7 +353,44 @@ def syn10(spark: SparkSession, d: str) -> DataFrame:
     return sync.even_points(r, 5)
 
 
-@query("cht01_keyframe_series", f"WITH {KEYFRAMES_SQL} SELECT recording_id, type, count(*) AS n, round(sum(value), 4) AS total FROM keyframes GROUP BY ALL")
+@query("cht01_chart_series", f"""WITH {IMU_SQL}, {KEYFRAMES_SQL}, g AS (SELECT recording_id, max(greatest(abs(gx), abs(gy), abs(gz))) AS g, max(greatest(abs(ax), abs(ay), abs(az))) AS a FROM imu GROUP BY 1),
+u AS ({' UNION ALL '.join(f"SELECT recording_id, ts_us, '{c}' AS series, round({c} / g.{c[0]}, 6) + 0 AS value FROM imu JOIN g USING (recording_id) WHERE {c} IS NOT NULL" for c in ('gx', 'gy', 'gz')).replace('g.g', 'g.g')}
+  UNION ALL {' UNION ALL '.join(f"SELECT recording_id, ts_us, '{c}', round({c} / g.a, 6) + 0 FROM imu JOIN g USING (recording_id) WHERE {c} IS NOT NULL" for c in ('ax', 'ay', 'az'))}
+  UNION ALL SELECT recording_id, ts_us, type, round(value, 6) + 0 FROM keyframes) SELECT * FROM u""")
 def cht01(spark: SparkSession, d: str) -> DataFrame:
-    return keyframes(spark, d).groupBy("recording_id", "type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-
+    """A row for each point of each line: sensors by the largest value of their three axes, keyframes as they are."""
+    from motionspark.operators.series import chart_series
+
+    lines = chart_series(imu(spark, d), [("gx", "gy", "gz"), ("ax", "ay", "az")])
+    marks = keyframes(spark, d).select("recording_id", "ts_us", F.col("type").alias("series"), "value")
+    return lines.unionByName(marks).select("recording_id", "ts_us", "series", r6("value"))
+
+
+@query("j18_best_profile", """WITH r AS (SELECT s_suppkey AS recording_id, 'Brand#' || (s_suppkey % 5 + 1) AS camera, CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE 'id' || (s_suppkey % 40) END AS identifier, (s_suppkey % 11 + 1) * 320 AS width, (s_suppkey % 7 + 1) * 240 AS height, 25 + s_suppkey % 3 AS fps FROM supplier),
+p AS (SELECT p_partkey AS id, p_brand AS camera, CASE WHEN p_partkey % 9 = 0 THEN '' ELSE 'id' || (p_partkey % 700) END AS identifier, (p_partkey % 13 + 1) * 320 AS width, (p_size % 9 + 1) * 240 AS height, 25 + p_size % 4 AS fps FROM part),
+m AS (SELECT recording_id, id, CASE WHEN r.identifier <> '' AND r.identifier = p.identifier THEN 1 WHEN r.width = p.width AND r.height = p.height AND r.fps = p.fps THEN 2 WHEN r.width = p.width AND r.height = p.height THEN 3
+  WHEN round(r.width * 100 / r.height::DOUBLE) = round(p.width * 100 / p.height::DOUBLE) THEN 4 END AS rank FROM r JOIN p USING (camera))
+SELECT recording_id, arg_min(id, (rank, id)) AS id FROM m WHERE rank IS NOT NULL GROUP BY 1""")
+def j18(spark: SparkSession, d: str) -> DataFrame:
+    from motionspark.operators.profiles import match_profiles
+
+    named = lambda k, none, n: F.when(k % none == 0, "").otherwise(F.concat(F.lit("id"), (k % n).cast("string")))
+    k, p = F.col("s_suppkey"), F.col("p_partkey")
+    r = table(spark, d, "supplier").select(
+        k.alias("recording_id"), F.concat(F.lit("Brand#"), (k % 5 + 1).cast("string")).alias("camera"), named(k, 6, 40).alias("identifier"),
+        ((k % 11 + 1) * 320).alias("width"), ((k % 7 + 1) * 240).alias("height"), (25 + k % 3).alias("fps"),
+    )
+    f = table(spark, d, "part").select(
+        p.alias("id"), F.col("p_brand").alias("camera"), named(p, 9, 700).alias("identifier"), ((p % 13 + 1) * 320).alias("width"), ((F.col("p_size") % 9 + 1) * 240).alias("height"), (25 + F.col("p_size") % 4).alias("fps")
+    )
+    return match_profiles(r, f)
+
+
+@query("prj23_swap_portrait", "SELECT p_partkey, p_size * 50 AS width, p_size * 100 AS height, p_retailprice AS fx, p_retailprice + 1 AS fy, 7.0::DOUBLE AS cx, 9.0::DOUBLE AS cy FROM part")
+def prj23(spark: SparkSession, d: str) -> DataFrame:
+    from motionspark.operators.profiles import swap_portrait
+
+    p = table(spark, d, "part").select(
+        "p_partkey", (F.col("p_size") * 100).alias("width"), (F.col("p_size") * 50).alias("height"), (F.col("p_retailprice") + 1).alias("fx"), F.col("p_retailprice").alias("fy"), F.lit(9.0).alias("cx"), F.lit(7.0).alias("cy")
+    )
+    return swap_portrait(p)

@@ -96,14 +96,15 @@ def w09(spark: SparkSession, d: str) -> DataFrame:
     return series.convolve(m, "fov", KERNEL).select("recording_id", "frame", r6("smoothed"))
 
 
-@query("w10_gaussian_over_known", f"""WITH {IMU_SQL}, f AS (SELECT recording_id, row_number() OVER ({W}) - 1 AS frame, gx FROM imu),
-s AS (SELECT a.recording_id, a.frame, a.gx, sum(b.gx * exp(-((b.frame - a.frame) * (b.frame - a.frame)) / (2 * 2.0::DOUBLE))) / sum(exp(-((b.frame - a.frame) * (b.frame - a.frame)) / (2 * 2.0::DOUBLE))) AS m
-  FROM f a JOIN f b ON a.recording_id = b.recording_id AND b.frame BETWEEN a.frame - 3 AND a.frame + 3 AND b.gx IS NOT NULL WHERE a.gx IS NOT NULL GROUP BY ALL)
+@query("w10_gaussian_over_known", f"""WITH {IMU_SQL}, f AS (SELECT recording_id, row_number() OVER ({W}) - 1 AS frame, count(*) OVER (PARTITION BY recording_id) AS n, gx FROM imu),
+s AS (SELECT a.recording_id, a.frame, sum(b.gx * exp(-(k * k) / (2 * pow(7 / 3.0::DOUBLE, 2)))) / sum(exp(-(k * k) / (2 * pow(7 / 3.0::DOUBLE, 2)))) AS m
+  FROM f a CROSS JOIN (SELECT unnest(range(-3, 4)) AS k) JOIN f b ON a.recording_id = b.recording_id AND b.frame = least(greatest(a.frame + k, 0), a.n - 1) AND b.gx IS NOT NULL WHERE a.gx IS NOT NULL GROUP BY ALL)
 SELECT f.recording_id, f.frame, round(f.gx * 0.5::DOUBLE + 0.5::DOUBLE * m, 6) + 0 AS smoothed FROM f LEFT JOIN s USING (recording_id, frame)""")
 def w10(spark: SparkSession, d: str) -> DataFrame:
+    """A window of six rows is one of seven; sigma is a sixth of it, doubled at half strength."""
     w = Window.partitionBy("recording_id").orderBy("ts_us")
     f = samples(spark, d).select("recording_id", (F.row_number().over(w) - 1).cast("long").alias("frame"), "gx")
-    return series.gaussian_over_known(f, "gx", 6, 0.5, sigma=2**0.5).select("recording_id", "frame", r6("smoothed"))
+    return series.gaussian_over_known(f, "gx", 6, 0.5).select("recording_id", "frame", r6("smoothed"))
 
 
 @query("w16_median_filter", f"""WITH {IMU_SQL}, a AS (SELECT recording_id, seq, ts_us, median(ax) OVER ({W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m FROM imu)
