@@ -100,19 +100,20 @@ def biquad(x: np.ndarray, k: tuple[float, ...]) -> np.ndarray:
     return out
 
 
+def smoothed(values: np.ndarray, cut_hz: float, rate: float) -> np.ndarray:
+    """Low-pass of each column in both directions over its known values."""
+    k, out = biquad_lowpass(cut_hz, rate), values.astype(float)
+    for c in range(values.shape[1]):
+        known = ~np.isnan(out[:, c])
+        out[known, c] = biquad(biquad(out[known, c], k)[::-1], k)[::-1]
+    return out
+
+
 def lowpass(df: DataFrame, columns: Sequence[str], cut_hz: float, rate: float, on: str = "ts_us") -> DataFrame:
     """Forward and backward over each column; unknown values are passed over and stay unknown.  The cut must lie below half the rate."""
     if not 0 < cut_hz < rate / 2:
         raise ValueError("the cut-off frequency must be positive and below half the sample rate")
-    k = biquad_lowpass(cut_hz, rate)
-
-    def both(x: np.ndarray) -> np.ndarray:
-        x = x.astype(float)
-        known = ~np.isnan(x)
-        x[known] = biquad(biquad(x[known], k)[::-1], k)[::-1]
-        return x
-
-    out = per_recording(df, columns, lambda c: {n: both(c[n]) for n in columns}, columns, on)
+    out = per_recording(df, columns, lambda c: {n: smoothed(c[n].astype(float)[:, None], cut_hz, rate)[:, 0] for n in columns}, columns, on)
     return out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in columns})
 
 

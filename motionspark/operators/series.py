@@ -239,3 +239,16 @@ def chart_series(df: DataFrame, groups: Sequence[Sequence[str]], on: str = "ts_u
         shares += [F.struct(F.lit(c).alias("series"), (F.col(c) / F.when(top > 0, top)).alias("value")) for c in columns]
     lines = df.select(*BY, on, F.array(*shares).alias("_all")).select(*BY, on, F.explode("_all").alias("_p"))
     return lines.select(*BY, on, "_p.series", "_p.value").where("value is not null")
+
+
+def catmull_rom(left: DataFrame, knots: DataFrame, value: str, on: str = "ts_us", out: str | None = None) -> DataFrame:
+    """Value of the spline through the knots at each left key: straight tangents at both ends, null before the first and from the last knot on."""
+    w = ordered(on=on)
+    around = {"_next": F.lead(value).over(w), "_after": F.lead(value, 2).over(w), "_before": F.lag(value).over(w), "_k": F.lead(on).over(w)}
+    n = asof.neighbours(left, knots.withColumns(around), [value, *around], on=on)
+    p = lambda c: F.col(f"prev.{c}")
+    a, b = p(value), p("_next")
+    x, y = F.coalesce(p("_before"), 2 * a - b), F.coalesce(p("_after"), 2 * b - a)
+    t = (F.col(on) - p("k")) / (p("_k") - p("k"))
+    curve = a + t * ((b - x) * 0.5 + t * ((x - 2.5 * a + 2 * b - 0.5 * y) + t * (0.5 * (3 * (a - b) + y - x))))
+    return n.withColumn(out or value, F.when(p("_k").isNotNull(), curve)).drop("prev", "next")

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from motionspark.operators import asof
+from motionspark.operators import recurrence as R
 
 BY = ("recording_id",)
 
@@ -36,51 +40,78 @@ def midpoint_rates(rates: DataFrame, on: str = "ts_us") -> DataFrame:
     return rates.select("*", mid.alias("mid_us"), F.degrees("gy").alias("x"), F.degrees("gx").alias("y"), F.degrees("gz").alias("z"))
 
 
-def candidate_offsets(initial_ms: float, search_ms: float, step_ms: float) -> list[float]:
-    n = round(2 * search_ms / step_ms)
-    return [initial_ms - search_ms + i * step_ms for i in range(n)]
+@dataclass
+class Grid:
+    """Offsets to try, in milliseconds: around ``initial``, first in whole steps, then in hundredths of them up to two steps before the best."""
 
+    initial: float
+    search: float
+    step: float = 1.0
 
-def alignment_costs(estimated: DataFrame, gyro: DataFrame, offsets_ms: Sequence[float] | DataFrame, longest_us: int | None = None) -> DataFrame:
-    """(recording_id, offset_ms, matches, cost) of moving the estimated rates by each offset onto the gyro's.
+    def coarse(self) -> np.ndarray:
+        return self.initial - self.search + np.arange(int(self.search / self.step) * 2) * self.step
 
-    A shifted row takes the first gyro row at or after it.  The cost is the weighted square distance a match,
-    or null unless more than half of the rows match.
+    def fine(self, best: float) -> np.ndarray:
+        return best + (-2 * self.step + np.arange(200) * (self.step / 100))
+
+
+# Weights of the axes, least rate of a recording that moves, share of the search range in which an offset is believed.
+WEIGHTS, LEAST_RATE, BELIEVED = np.array([70.0, 70.0, 100.0]), 3.0, 0.9
+
+
+def alignment_costs(est_ms: np.ndarray, est: np.ndarray, gyro_us: np.ndarray, gyro: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Mean weighted square distance of the estimated rates, moved by each offset, to the gyro's first row at or after them.
+
+    Infinite unless more than half of the rows meet one with rates.
+    """
+    known = np.isfinite(gyro).all(axis=1)
+    out = np.full(len(offsets), np.inf)
+    for i, o in enumerate(offsets):
+        at = np.searchsorted(gyro_us, np.maximum(np.trunc((est_ms - o) * 1000), 0))
+        hit = at < len(gyro_us)
+        at, own = at[hit], est[hit]
+        own, at = own[known[at]], at[known[at]]
+        if len(at) > len(est_ms) // 2:
+            out[i] = (((gyro[at] - own) ** 2) @ WEIGHTS).sum() / len(at)
+    return out
+
+
+def find_offsets(estimated: DataFrame, gyro: DataFrame, grid: Grid, lowpass_hz: float | None = None, fps: float = 30.0, rate: float = 200.0) -> DataFrame:
+    """(recording_id, middle_ms, offset_ms, cost) from rates (recording_id, ts_us, x, y, z) seen in the video and measured by the gyro.
+
+    A recording without movement, or whose best offset lies at the rim of the search, has no row; of equal costs
+    the first offset counts.  The unit of work is a sync range of a recording, on arrays in one group.
     """
-    spark = estimated.sparkSession
-    if isinstance(offsets_ms, DataFrame):
-        moved = estimated.join(offsets_ms, list(BY))
-    else:
-        moved = estimated.crossJoin(F.broadcast(spark.createDataFrame([(float(o),) for o in offsets_ms], "offset_ms double")))  # a fixed grid
-    moved = moved.withColumn("_t", F.col("ts_us") - F.round(F.col("offset_ms") * 1000).cast("long"))
-    left = moved.select(*BY, "offset_ms", F.col("_t").alias("ts_us"), F.struct("x", "y", "z").alias("e"))
-    right = gyro.select(*BY, "ts_us", F.struct("x", "y", "z").alias("g"))
-    near = asof.neighbours(left, right, ["g"])
-    g = F.col("next.g")
-    hit = F.col("next.k").isNotNull()
-    if longest_us is not None:
-        hit = hit & (F.col("next.k") - F.col("ts_us") <= longest_us)
-    distance = 70 * F.pow(F.col("e.x") - g["x"], 2) + 70 * F.pow(F.col("e.y") - g["y"], 2) + 100 * F.pow(F.col("e.z") - g["z"], 2)
-    costs = near.groupBy(*BY, "offset_ms").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("matches"), F.sum(F.when(hit, distance)).alias("total"))
-    enough = F.col("matches") > F.floor(F.col("n") / 2)
-    return costs.select(*BY, "offset_ms", "matches", F.when(enough, F.col("total") / F.col("matches")).alias("cost"))
-
-
-def best_offset(costs: DataFrame) -> DataFrame:
-    """The offset of least cost, the smallest of equals."""
-    return costs.where("cost is not null").groupBy(*BY).agg(F.min(F.struct("cost", "offset_ms")).alias("b")).select(*BY, "b.offset_ms", "b.cost")
-
-
-def find_offsets(estimated: DataFrame, gyro: DataFrame, initial_ms: float, search_ms: float, coarse_ms: float = 1.0, fine_ms: float = 0.01, accept: float = 0.9, least_rate: float = 3.0) -> DataFrame:
-    """(recording_id, offset_ms, cost): coarse grid, then a fine one around its best; recordings without movement are left out."""
-    moving = gyro.groupBy(*BY).agg(F.max(F.greatest(F.abs("x"), F.abs("y"), F.abs("z"))).alias("_m")).where(F.col("_m") >= least_rate).select(*BY)
-    estimated, gyro = estimated.join(moving, list(BY)), gyro.join(moving, list(BY))
-    coarse = best_offset(alignment_costs(estimated, gyro, candidate_offsets(initial_ms, search_ms, coarse_ms)))
-    n = round(2 * coarse_ms / fine_ms)
-    grid = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col("offset_ms") - coarse_ms + i * fine_ms)
-    fine = coarse.select(*BY, F.explode(grid).alias("offset_ms"))
-    found = best_offset(alignment_costs(estimated, gyro, fine))
-    return found.where(F.abs(F.col("offset_ms") - initial_ms) < accept * search_ms)
+    columns = ["x", "y", "z"]
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"recording_id": [], "middle_ms": [], "offset_ms": [], "cost": []})
+        if not len(a) or not len(b):
+            return none
+        a = a.sort_values("ts_us", kind="stable")
+        est_ms, est = a["ts_us"].to_numpy(float) / 1000, a[columns].to_numpy(float)
+        if np.abs(est).max() < LEAST_RATE:
+            return none
+        b = b.rename(columns={f"g_{c}": c for c in ("ts_us", *columns)}).sort_values("ts_us", kind="stable")
+        t = b["ts_us"].to_numpy(float) / 1000
+        near = (t + grid.initial >= est_ms[0] - grid.search) & (t + grid.initial <= est_ms[-1] + grid.search)
+        gyro_us, g = np.trunc(t[near] * 1000), b[columns].to_numpy(float)[near]
+        if lowpass_hz:
+            est, g = R.smoothed(est, lowpass_hz, fps), R.smoothed(g, lowpass_hz, rate)
+        first = grid.coarse()
+        if not len(first):
+            return none
+        best = first[int(np.argmin(alignment_costs(est_ms, est, gyro_us, g, first)))]
+        fine = grid.fine(best)
+        costs = alignment_costs(est_ms, est, gyro_us, g, fine)
+        k = int(np.argmin(costs))
+        if not np.isfinite(costs[k]) or not abs(fine[k] - grid.initial) < BELIEVED * grid.search:
+            return none
+        return pd.DataFrame({"recording_id": [a["recording_id"].iloc[0]], "middle_ms": [(est_ms[0] + est_ms[-1]) / 2], "offset_ms": [fine[k]], "cost": [costs[k]]})
+
+    left = estimated.select(*BY, "ts_us", *columns).groupBy(*BY)
+    right = gyro.select(*BY, *(F.col(c).alias(f"g_{c}") for c in ("ts_us", *columns))).groupBy(*BY)  # own names, should both sides be of one table
+    return left.cogroup(right).applyInPandas(run, "recording_id long, middle_ms double, offset_ms double, cost double")
 
 
 def line_fit(points: DataFrame, x: str = "ts_us", y: str = "offset_ms") -> DataFrame:
