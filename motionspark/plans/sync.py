@@ -115,3 +115,55 @@ def mth03(spark: SparkSession, d: str) -> DataFrame:
     i = imu(spark, d)
     left = i.select("recording_id", (F.col("ts_us") + F.lit(1_800_000_000) * (F.col("seq") % 5)).alias("ts_us"))
     return series.catmull_rom(left, i.select("recording_id", "ts_us", "ax"), "ax").select("recording_id", "ts_us", r6("ax"))
+
+
+PARTS_SQL = f"""p AS (SELECT recording_id, 'part' || (ts_us // {120 * 3_600_000_000} - 3945) AS file, ts_us // {120 * 3_600_000_000} AS k, (ts_us % {120 * 3_600_000_000}) / 1000000.0::DOUBLE AS t, ax FROM imu),
+s AS (SELECT *, t - lag(t) OVER (PARTITION BY recording_id, k ORDER BY t) AS step FROM p),
+e AS (SELECT recording_id, k, min(t) AS first, max(t) AS last, arg_max(step, t) AS step FROM s GROUP BY 1, 2),
+l AS (SELECT *, lag(last) OVER (PARTITION BY recording_id ORDER BY k) AS before, row_number() OVER (PARTITION BY recording_id ORDER BY k) AS part FROM e),
+f AS (SELECT recording_id, k, part, CASE WHEN bool_or(coalesce(first < before, false)) OVER (PARTITION BY recording_id)
+  THEN coalesce(sum(last + coalesce(step, last - coalesce(before, 0))) OVER (PARTITION BY recording_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE 0 END AS shift FROM l)"""
+
+
+def _logs(spark: SparkSession, d: str) -> DataFrame:
+    five_days = 120 * 3_600_000_000
+    k = F.floor(F.col("ts_us") / five_days)
+    file = F.concat(F.lit("part"), (k - 3945).cast("string"))
+    return imu(spark, d).select("recording_id", file.alias("file"), ((F.col("ts_us") % five_days) / 1e6).alias("t"), F.lit(1.0).alias("scale"), "ax")
+
+
+@query("src05_merge_logs", f"WITH {IMU_SQL}, {PARTS_SQL} SELECT recording_id, part, round(t + shift, 3) + 0 AS t, ax FROM p JOIN f USING (recording_id, k)")
+def src05(spark: SparkSession, d: str) -> DataFrame:
+    """A log for each five days of a recording, each with a clock of its own."""
+    from motionspark.sources.logs import merge_logs
+
+    return merge_logs(_logs(spark, d), ["recording_id"]).select("recording_id", "part", (F.round("t", 3) + 0).alias("t"), "ax")
+
+
+@query("src05_seam_points", f"WITH {IMU_SQL}, {PARTS_SQL} SELECT recording_id, part, round((shift + s) * 1000, 3) + 0 AS point_ms FROM f, (SELECT unnest([-0.5, 0.5, 1.0, 2.0, 2.5])::DOUBLE AS s) WHERE part > 1")
+def src05_seams(spark: SparkSession, d: str) -> DataFrame:
+    from motionspark.sources.logs import seam_points
+
+    return seam_points(_logs(spark, d), ["recording_id"]).select("recording_id", "part", (F.round("point_ms", 3) + 0).alias("point_ms"))
+
+
+def _degrees_sql(p: str) -> str:
+    w, x, y, z = (f"{p}{c}" for c in "wxyz")
+    return f"""round(degrees(asin(greatest(-1, least(1, 2 * ({w} * {y} - {z} * {x}))))), 6) + 0 AS {p}pitch, round(degrees(atan2(2 * ({w} * {z} + {x} * {y}), 1 - 2 * ({y} * {y} + {z} * {z}))), 6) + 0 AS {p}yaw,
+  round(degrees(atan2(2 * ({w} * {x} + {y} * {z}), 1 - 2 * ({x} * {x} + {y} * {y}))), 6) + 0 AS {p}roll"""
+
+
+@query("src17_camera_rows", f"""WITH {QUATS_SQL}, n AS (SELECT recording_id, ts_us, row_number() OVER ({W}) - 1 AS frame, w AS raw_w, x AS raw_x, y AS raw_y, z AS raw_z, lag(w, 1, w) OVER v AS smooth_w, lag(x, 1, x) OVER v AS smooth_x, lag(y, 1, y) OVER v AS smooth_y,
+  lag(z, 1, z) OVER v AS smooth_z, CASE WHEN ts_us // 20000 % 3 = 1 THEN 20 + w END AS f, 1 + abs(x) AS fov FROM quats WINDOW v AS ({W}))
+SELECT recording_id, frame, round(ts_us / 1000.0::DOUBLE, 3) + 0 AS timestamp_ms, {_degrees_sql('raw_')}, {_degrees_sql('smooth_')}, {', '.join(f'round({p}_{c}, 6) + 0 AS {p}_{c}' for p in ('raw', 'smooth') for c in 'wxyz')},
+  round(last_value(f IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING), 3) + 0 AS focal_length, round(fov, 3) + 0 AS fov FROM n""")
+def src17(spark: SparkSession, d: str) -> DataFrame:
+    from motionspark.sources.exports import camera_rows
+
+    w = Window.partitionBy("recording_id").orderBy("ts_us")
+    focal = F.when(F.floor(F.col("ts_us") / 20_000) % 3 == 1, 20 + F.col("q.w"))
+    q = quats(spark, d).select(
+        "recording_id", "ts_us", (F.row_number().over(w) - 1).cast("long").alias("frame"), F.col("q").alias("raw"), F.coalesce(F.lag("q").over(w), F.col("q")).alias("smooth"),
+        focal.alias("focal_length"), (1 + F.abs("q.x")).alias("fov"),
+    )
+    return camera_rows(q)
