@@ -1,7 +1,7 @@
 """Quality scores by co-training a text classifier and a page-metadata classifier.
 
-The text view sees the letters: hashed byte pairs and a few shares of characters.  The metadata view sees
-language, source, length and layout.  Each starts from the labelled rows alone; over rounds, each labels
+The text view sees the letters: hashed byte pairs and a few shares of characters and words.  The metadata view
+sees language, source and length; neither has what the other one has.  Each starts from the labelled rows alone; over rounds, each labels
 unlabelled rows it is sure of for the other one.  On labelled rows kept apart, a logistic curve
 calibrates each view, and another one over both calibrated views gives the score of every document.
 
@@ -31,15 +31,16 @@ SURE, BINS = 0.95, 4096
 LEAST = float(np.log(SURE / (1 - SURE)))
 SUMS = 8
 PAIRS = 256
-SOURCES, LANGUAGES = 32, 16
+SOURCES, LANGUAGES, LENGTHS = 64, 16, 40
 KEPT_FROM = 0.5
 LETTER = np.array([chr(i).isalpha() or i >= 128 for i in range(256)])
 KINDS = [np.array([chr(i) in s for i in range(256)]) for s in ("#*$%&|<>", "|", "0123456789", ".,;:!?", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", " \t\r\n\x0b\x0c", "\n")]
 
 
 def text_view(data: bytes) -> np.ndarray:
+    """What a text is made of, in shares that do not tell its length."""
     b = np.frombuffer(data, np.uint8)
-    out = np.zeros(PAIRS + len(KINDS) + 4)
+    out = np.zeros(PAIRS + len(KINDS) + 3)
     if len(b):
         once = np.bincount(b, minlength=256)
         pair = (b[:-1].astype(np.int64) * 31 + b[1:]) % PAIRS
@@ -47,16 +48,17 @@ def text_view(data: bytes) -> np.ndarray:
         out[PAIRS : PAIRS + len(KINDS)] = [once[k].sum() / len(b) for k in KINDS]
         words = data.split()
         n = max(1, len(words))
-        out[-4:] = once[LETTER].sum() / len(b), len(b) / n / 10, len(set(words)) / n, np.log1p(len(b))
+        out[-3:] = once[LETTER].sum() / len(b), len(b) / n / 10, len(set(words)) / n
     return out
 
 
-def metadata_view(lang: str | None, source: str | None, n_chars: int, data: bytes) -> np.ndarray:
-    out = np.zeros(LANGUAGES + SOURCES + 4)
+def metadata_view(lang: str | None, source: str | None, n_chars: int) -> np.ndarray:
+    """Language, source and length, the length also by powers of two."""
+    out = np.zeros(LANGUAGES + SOURCES + LENGTHS + 1)
     out[zlib.crc32((lang or "").encode()) % LANGUAGES] = 1
     out[LANGUAGES + zlib.crc32((source or "").encode()) % SOURCES] = 1
-    lines = [len(x) for x in data.split(b"\n") if x.strip()]
-    out[-4:] = np.log1p(n_chars), np.log1p(len(lines)), np.log1p(np.mean(lines) if lines else 0), np.log1p(np.std(lines) if lines else 0)
+    out[LANGUAGES + SOURCES + min(LENGTHS - 1, int(n_chars).bit_length())] = 1
+    out[-1] = np.log1p(n_chars)
     return out
 
 
@@ -71,7 +73,7 @@ def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray
             ids, langs, sources, chars = (piece.column(i).to_pylist() for i in range(4))
             texts = binary(piece.column(4))
             if texts:
-                meta = [metadata_view(*x) for x in zip(langs, sources, chars, texts, strict=True)]
+                meta = [metadata_view(*x) for x in zip(langs, sources, chars, strict=True)]
                 yield ids, np.array([text_view(t) for t in texts]), np.array(meta)
 
 
@@ -268,7 +270,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED)
     rows = shared.keep(rows.mapInArrow(features, "doc_id long, y int, h long, x binary"), "views")
     got = rows.where("y is not null").select("y", "h", "x").toArrow()
     y, h = got.column("y").to_numpy(), got.column("h").to_numpy()
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(len(y), TEXT + len(metadata_view(None, None, 0, b""))).astype(np.float64)
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(len(y), TEXT + len(metadata_view(None, None, 0))).astype(np.float64)
     order = np.lexsort((x.sum(axis=1) if len(x) else h, h))
     y, h, x = y[order], h[order], x[order]
     views = _split(x)
