@@ -11,7 +11,8 @@ Passages and items go through that space, and a passage is a candidate for an it
 latent vectors is high.  Candidates are checked by the longest common subsequence of words: nearly the whole
 item, or much of it together with its answer, in order within a stretch around the passage, is a leak.
 
-A space serves a block of ``ITEMS`` items; a pass over the documents serves ``BLOCKS`` of them.
+A space serves a block of ``ITEMS`` items.  The words of the documents become numbers of terms once for each
+``BLOCKS`` of them, and the further passes read these.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ ITEMS, BLOCKS = 240, 20  # items of a latent space, spaces that a task holds at
 EXTRA = 64  # columns drawn beyond the number of items
 ENERGY = 0.95
 MAX_SHARE = 0.002  # terms in a larger share of the passages are left out
-LEAST_TERMS = 6  # unless an item would keep fewer
-COSINE = 0.3
+LEAST_TERMS = 12  # unless an item would keep fewer
+COSINE = 0.4
 WHOLE, PART, ANSWER = 0.8, 0.6, 0.8
 EDGE = bytes(range(0x21, 0x30)) + b":;<=>?@[\\]^_`{|}~"
 ROWS = 4000  # passages taken through a space together
@@ -76,7 +77,7 @@ class Items:
         local = np.full(len(self.terms), -1, np.int32)
         local[used] = np.arange(len(used))
         renamed = [[local[c].tolist() for c in part] for part in (self.codes, self.answers)]
-        return Items(self.ids, self.terms, *renamed, local)
+        return Items(self.ids, {}, *renamed, local)
 
 
 def _last_sentence(text: str) -> str:
@@ -99,16 +100,28 @@ class _Terms(dict):
         return value
 
 
-def _batches(batches: Iterator[pa.RecordBatch], cache: _Terms) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _coded(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
+    """(doc_id, codes): the words of each text as terms or -1, four bytes each, in a table that all passes read."""
+    shared_in = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def code(batches):
+        cache = _Terms(shared_in.value)
+        for b in slices(batches, 1):
+            offsets, codes, found = word_codes(b.column(1))
+            term = np.fromiter(map(cache.__getitem__, found), np.int32, len(found))
+            flat = term[codes] if len(codes) else codes.astype(np.int32)
+            full = flat > -2
+            ends, flat = np.concatenate([[0], np.cumsum(full)])[offsets], flat[full]
+            data = [flat[x:y].tobytes() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["doc_id", "codes"])
+
+    return shared.keep(docs.mapInArrow(code, "doc_id long, codes binary"), "terms")
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
     """(doc_ids, terms of each document)."""
     for b in slices(batches, 1):
-        offsets, codes, found = word_codes(b.column(1))
-        term = np.fromiter(map(cache.__getitem__, found), np.int32, len(found))
-        flat = term[codes] if len(codes) else codes.astype(np.int32)
-        full = flat > -2
-        ends = np.concatenate([[0], np.cumsum(full)])[offsets]
-        flat = flat[full]
-        yield b.column(0).to_pylist(), [flat[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        yield b.column(0).to_pylist(), [np.frombuffer(x, np.int32) for x in b.column(1).to_pylist()]
 
 
 def _passages(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]:
@@ -138,13 +151,12 @@ def _in_block(codes: list[np.ndarray], items: Items) -> list[np.ndarray]:
     return [own[c] for c in codes]
 
 
-def _frequencies(docs: DataFrame, terms: dict[bytes, int]) -> tuple[np.ndarray, int]:
-    """Passages that hold each term, and all passages."""
-    shared_in = docs.sparkSession.sparkContext.broadcast(terms)
+def _frequencies(docs: DataFrame, terms: int) -> tuple[np.ndarray, int]:
+    """Passages that hold each of the terms, and all passages."""
 
     def count(batches):
-        seen, passages = np.zeros(len(shared_in.value), np.int64), 0
-        for _, codes in _batches(batches, _Terms(shared_in.value)):
+        seen, passages = np.zeros(terms, np.int64), 0
+        for _, codes in _batches(batches):
             keys, _, total, _, _ = _passages(codes)
             seen += np.bincount(keys & 0xFFFFFFFF, minlength=len(seen))
             passages += total
@@ -152,7 +164,7 @@ def _frequencies(docs: DataFrame, terms: dict[bytes, int]) -> tuple[np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(seen[some], passages))], ["term", "n"])
 
     got = docs.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    out, total = np.zeros(len(terms), np.int64), 0
+    out, total = np.zeros(terms, np.int64), 0
     for t, n in zip(got.column("term").to_pylist(), got.column("n").to_pylist(), strict=True):
         if t < 0:
             total = n
@@ -208,7 +220,7 @@ def _latent(docs: DataFrame, blocks: list[Items], idfs: list[np.ndarray], seed:
     def project(batches):
         blocks, idfs, omegas = shared_in.value
         ys, norms = [np.zeros(o.shape, np.float32) for o in omegas], [0] * len(blocks)
-        for _, codes in _batches(batches, _Terms(blocks[0].terms)):
+        for _, codes in _batches(batches):
             for k, (items, idf, omega, y) in enumerate(zip(blocks, idfs, omegas, ys, strict=True)):
                 keys, tf, _, _, _ = _passages(_in_block(codes, items))
                 owners, start, term, weight = _rows(keys, tf, idf)
@@ -283,24 +295,31 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(1e-9, np.linalg.norm(rows, axis=1, keepdims=True))
 
 
+def _own(items: Items) -> np.ndarray:
+    """Of each item the terms that it holds; the last place is for all other words."""
+    out = np.zeros((len(items.ids), items.size + 1), bool)
+    for i, c in enumerate(items.codes):
+        out[i, c] = True
+    return out
+
+
 def _search(docs: DataFrame, blocks: list[Items], idfs: list[np.ndarray], spaces: list[np.ndarray]) -> DataFrame:
     latents = [_unit(_item_matrix(x, idf) @ space).astype(np.float32) for x, idf, space in zip(blocks, idfs, spaces, strict=True)]
     shared_in = docs.sparkSession.sparkContext.broadcast((blocks, idfs, spaces, latents))
 
-    def leaks(items, idf, space, latent, codes):
+    def leaks(items, own, idf, space, latent, codes):
         """{(text, item): (overlap, answer, cosine)} of the best candidates that hold."""
         keys, tf, _, owner, begin = _passages(codes)
         passage, start, term, weight = _rows(keys, tf, idf)
+        lengths = [len(c) for c in items.codes]
         best: dict[tuple[int, int], tuple] = {}
         for a in range(0, len(start), ROWS):
             score = _unit(_project(a, start, term, weight, space)[2]) @ latent.T
             for r, i in zip(*np.nonzero(score >= COSINE), strict=True):
                 p = passage[a + r]
-                d, m = int(owner[p]), len(items.codes[i])
+                d, m = int(owner[p]), lengths[i]
                 text = codes[d][max(0, begin[p] - m) : begin[p] + WINDOW + m]
-                own = np.zeros(items.size + 1, bool)
-                own[items.codes[i]] = True
-                if np.count_nonzero(own[text]) < PART * m:  # no subsequence is longer than the words in common
+                if np.count_nonzero(own[i][text]) < PART * m:  # no subsequence is longer than the words in common
                     continue
                 text = text.tolist()
                 whole = lcs(items.codes[i], text) / m
@@ -313,9 +332,10 @@ def _search(docs: DataFrame, blocks: list[Items], idfs: list[np.ndarray], spaces
 
     def search(batches):
         blocks, *rest = shared_in.value
-        for ids, codes in _batches(batches, _Terms(blocks[0].terms)):
+        words_of = [_own(x) for x in blocks]
+        for ids, codes in _batches(batches):
             out = []
-            for items, *of in zip(blocks, *rest, strict=True):
+            for items, *of in zip(blocks, words_of, *rest, strict=True):
                 best = leaks(items, *of, _in_block(codes, items))
                 out += [(ids[d], items.ids[i], c, w, x) for (d, i), (w, x, c) in sorted(best.items())]
             if out:
@@ -350,10 +370,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         blocks = [x for x in [Items.of(rows[i], terms) for i in sorted(rows)] if x.ids]
         if blocks:
             blocks = [x.number() for x in blocks]
-            df, passages = _frequencies(docs, terms)
+            coded = _coded(docs, terms)
+            df, passages = _frequencies(coded, len(terms))
             idfs = [_weights(x, df[x.local >= 0], passages) for x in blocks]
-            found = _search(docs, blocks, idfs, _latent(docs, blocks, idfs))
-            out = out.unionByName(found if n <= BLOCKS else shared.keep(found, "found"))
+            out = out.unionByName(shared.keep(_search(coded, blocks, idfs, _latent(coded, blocks, idfs)), "found"))
+            shared.forget(coded)
     return out.withColumnRenamed("item", "item_id")
 
 
