@@ -72,7 +72,7 @@ def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*head, binary(b.column(b.num_columns - 1)), strict=True)
 
 
-SLICE_ROWS, SLICE_BYTES = 2000, 6_000_000
+SLICE_ROWS, SLICE_BYTES = 2000, 4_000_000
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
