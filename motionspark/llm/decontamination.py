@@ -37,7 +37,7 @@ LEAST_TERMS = 12  # unless an item would keep fewer
 COSINE = 0.4
 WHOLE, PART, ANSWER = 0.8, 0.6, 0.8
 EDGE = bytes(range(0x21, 0x30)) + b":;<=>?@[\\]^_`{|}~"
-ROWS = 4000  # passages taken through a space together
+ROWS = 1000  # passages taken through a space together
 
 
 def words(data: bytes) -> list[bytes]:

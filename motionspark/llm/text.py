@@ -85,6 +85,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBa
             end = min(at + SLICE_ROWS, max(at + 1, int(np.searchsorted(size, before + SLICE_BYTES, side="right"))))
             yield b.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()  # a worker goes on to other tasks
 
 
 def word_codes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
