@@ -42,6 +42,9 @@ KEYFRAME_FORMATS = {
 ENDINGS = {"ProRes": ".mov", "DNxHD": ".mov", "CineForm": ".mov", "EXR Sequence": "_%05d.exr", "PNG Sequence": "_%05d.png"}
 
 
+PROJECT_ENDING = ".project"  # of this library's project files
+
+
 def replace_all(c: Column, pairs) -> Column:
     return reduce(lambda s, p: F.replace(s, F.lit(p[0]), F.lit(p[1])), pairs, c)
 
@@ -125,3 +128,39 @@ def keyframe_text(kind: Column, value: Column) -> Column:
     for name, (decimals, unit, factor) in KEYFRAME_FORMATS.items():
         out = out.when(kind == name, F.concat(F.format_string(f"%.{decimals}f", value * factor), F.lit(unit)))
     return out
+
+
+# Shapes of frames by name, the earlier one of equally near ones; how near is near enough; from where on a ratio is written as a number.
+ASPECTS = (("1:1", 1, 1), ("3:2", 3, 2), ("2:3", 2, 3), ("4:3", 4, 3), ("3:4", 3, 4), ("8:7", 8, 7), ("7:8", 7, 8), ("16:9", 16, 9), ("9:16", 9, 16))
+NEAR_ASPECT, LONG_RATIO = 0.05, 20
+
+
+def divisor(a: Column, b: Column) -> Column:
+    """Greatest common divisor of whole numbers below 2^31."""
+    start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.when(s["b"] == 0, 1).otherwise(s["b"])).alias("b")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(46)), start, step)["a"]
+
+
+def aspect_ratio(width: Column, height: Column) -> Column:
+    """Name of the nearest shape, else the sides' ratio in lowest terms, else as a number; empty without sides."""
+    ratio = width / F.when(height != 0, height)
+    shapes = F.array(*(F.struct(F.abs(F.lit(a / b) - ratio).alias("far"), F.lit(i).alias("i"), F.lit(n).alias("name")) for i, (n, a, b) in enumerate(ASPECTS)))
+    best, common = F.array_min(shapes), divisor(width, height)
+    w, h = (width / common).cast("long"), (height / common).cast("long")
+    text = F.when((w >= LONG_RATIO) | (h >= LONG_RATIO), F.concat(F.format_string("%.2f", F.bround(ratio, 2)), F.lit(":1"))).otherwise(F.concat_ws(":", w.cast("string"), h.cast("string")))
+    return F.when((width == 0) | (height == 0), "").when(best["far"] < NEAR_ASPECT, best["name"]).otherwise(text)
+
+
+def profile_name(brand: Column, model: Column, lens: Column, setting: Column, note: Column, width: Column, height: Column, fps: Column) -> Column:
+    """File name of a lens profile; the note stands for a missing setting."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    chosen = F.when(text(setting) == "", text(note)).otherwise(setting)
+    size = F.concat(width.cast("string"), F.lit("x"), height.cast("string"), F.lit("-"), F.format_string("%.2f", fps), F.lit("fps"))
+    return F.concat_ws("_", text(brand), text(model), text(lens), chosen, size_label(width, height), F.replace(aspect_ratio(width, height), F.lit(":"), F.lit("by")), size)
+
+
+def input_kind(url: Column, video: Column) -> Column:
+    """"lens" for profiles; projects that name no video are presets, all else is video."""
+    project = F.endswith(url, F.lit(PROJECT_ENDING))
+    return F.when(F.endswith(url, F.lit(".json")), "lens").when(project & (F.coalesce(video, F.lit("")) == ""), "preset").otherwise("video")

@@ -97,3 +97,15 @@ def last_writer(df: DataFrame, on: str = "ts_us", order: str = "seq") -> DataFra
     """One row per key: the last written."""
     w = Window.partitionBy(*BY, on).orderBy(F.desc(order))
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def scaled_time(fps: Column, duration_ms: Column, scale: Column) -> tuple[Column, Column]:
+    """(frames a second, duration) of footage shown at another speed; no scale leaves both."""
+    by = F.coalesce(scale, F.lit(1.0))
+    return fps * by, duration_ms / F.when(by != 0, by)
+
+
+def effective_fov(scale: Column, fov: Column, last: Column, count: Column, width: Column, output_width: Column) -> Column:
+    """FOV of a frame: its own, else the last one of several, else 1, times the scale, at least 0.001, by how much of the width the output has."""
+    own = F.coalesce(fov, F.when(count > 1, last), F.lit(1.0))
+    return F.greatest(own * scale, F.lit(0.001)) * width / F.greatest(output_width, F.lit(1))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from motionspark.functions import text as X
+from motionspark.operators import asof
 
 AXIS_CODES = ["".join(c) for p in permutations("XYZ") for c in product(*((x, x.lower()) for x in p))]
 
@@ -60,3 +61,29 @@ def match_profiles(recordings: DataFrame, profiles: DataFrame) -> DataFrame:
 def swap_portrait(df: DataFrame) -> DataFrame:
     """Width and height, and the matrix's focal lengths and centres, change places."""
     return df.withColumns({"width": F.col("height"), "height": F.col("width"), "fx": F.col("fy"), "fy": F.col("fx"), "cx": F.col("cy"), "cy": F.col("cx")})
+
+
+def interpolated(left: DataFrame, knots: DataFrame, columns: list[str], whole: tuple[str, ...] = ("width", "height"), on: str = "focal", by: tuple[str, ...] = ("id",)) -> DataFrame:
+    """``left`` with the profile's numbers at its focal position: between the knots and beyond them by straight lines, ``whole`` ones rounded.
+
+    Positions count in millionths.  One knot is a constant, a profile without knots gives null.
+    """
+    key = F.round(F.col(on) * 1_000_000).cast("long")
+    values = F.array(*(F.col(c).cast("double") for c in columns))
+    blend = lambda a, b, t: F.zip_with(a, b, lambda x, y: x * (1 - t) + y * t)
+    k = knots.select(*by, key.alias("_key"), values.alias("_values"))
+    got = asof.interpolate(left.withColumn("_key", key), k, "_values", on="_key", by=by, mix=blend)
+    return got.withColumns({c: F.round(F.get("_values", F.lit(i))) if c in whole else F.get("_values", F.lit(i)) for i, c in enumerate(columns)}).drop("_key", "_values")
+
+
+def same_shape(files: DataFrame, by: str) -> DataFrame:
+    """(group, mergeable): whether all files of a group have one size, rate (in hundredths) and rotation."""
+    shape = F.struct("width", "height", F.round(F.col("fps") * 100).alias("fps"), "rotation")
+    return files.groupBy(by).agg((F.count_distinct(shape) == 1).alias("mergeable"))
+
+
+def duplicates(df: DataFrame, coefficients: list[str], name: str = "name") -> DataFrame:
+    """(coefficients, names) of profiles that share all coefficients, names in order without regard to case."""
+    entry = F.struct(F.lower(F.trim(name)).alias("k"), F.col(name).alias("n"))
+    names = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["n"])  # of one lens there are few
+    return df.groupBy(*coefficients).agg(names.alias("names")).where(F.size("names") > 1)

@@ -252,3 +252,10 @@ def catmull_rom(left: DataFrame, knots: DataFrame, value: str, on: str = "ts_us"
     t = (F.col(on) - p("k")) / (p("_k") - p("k"))
     curve = a + t * ((b - x) * 0.5 + t * ((x - 2.5 * a + 2 * b - 0.5 * y) + t * (0.5 * (3 * (a - b) + y - x))))
     return n.withColumn(out or value, F.when(p("_k").isNotNull(), curve)).drop("prev", "next")
+
+
+def turn_speed(df: DataFrame, frames: int, fps: float, original: str = "original", smooth: str = "q", on: str = "ts_us", out: str = "turn_speed") -> DataFrame:
+    """Degrees a second by which the correction has turned over the last ``frames`` frames; null before there are so many."""
+    df = df.withColumn("_yaw", F.degrees(Q.let(Q.multiply(F.col(original), Q.conjugate(F.col(smooth))), Q.to_euler)["yaw"]))
+    step = F.col("_yaw") - F.lag("_yaw", frames).over(ordered(on=on))
+    return df.withColumn(out, unwrapped(step) / (frames / fps)).drop("_yaw")

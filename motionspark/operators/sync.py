@@ -187,6 +187,31 @@ def apply_offsets(known: DataFrame, new: DataFrame, radius_us: int = 100_000) ->
     return left.unionByName(n)
 
 
+def passes_rank(offsets: DataFrame, ranks: DataFrame, ratio_s: float, least: float = 13.0) -> DataFrame:
+    """``offsets`` (recording_id, ts_ms, offset_ms, ...) whose window has a rank of ``least`` or more; those without a window stay."""
+    at = F.round((F.col("ts_ms") - F.col("offset_ms")) / F.lit(ratio_s * 1000)).cast("long")
+    ranked = ranks.select(*BY, F.col("idx").alias("_idx"), F.col("rank").alias("_rank"))
+    joined = offsets.withColumn("_idx", at).join(ranked, [*BY, "_idx"], "left")
+    return joined.where(F.col("_rank").isNull() | (F.col("_rank") >= least)).drop("_idx", "_rank")
+
+
+def along_the_flow(lines: Column, degrees: float = 30.0) -> Column:
+    """The lines (x1, y1, x2, y2) whose direction is less than ``degrees`` from the mean of all; the mean is of plain numbers, without regard to the turn."""
+    angle = lambda p: F.atan2(p["y2"] - p["y1"], p["x2"] - p["x1"])
+    mean = F.aggregate(lines, F.lit(0.0), lambda s, p: s + angle(p)) / F.when(F.size(lines) > 0, F.size(lines))
+    return F.filter(lines, lambda p: F.abs(angle(p) - mean) < math.radians(degrees))
+
+
+def syncs_itself(offsets: Column, accurate: Column, url: Column, asked: Column) -> Column:
+    """No offsets yet, no clock to trust, and the profile asks for it; raw files of one kind are never trusted."""
+    trusted = F.coalesce(accurate, F.lit(False)) & ~F.endswith(F.lower(url), F.lit(".braw"))  # Fixed value.
+    return (offsets == 0) & ~trusted & F.coalesce(asked, F.lit(False))
+
+
+def can_sync(duration_ms: Column, frames: Column, window_ms: Column, search_ms: Column) -> Column:
+    return (duration_ms >= 10) & (frames >= 2) & (window_ms >= 10) & (search_ms >= 10)  # Fixed values.
+
+
 def blackman(n: int) -> list[float]:
     """The window of the exact Blackman coefficients."""
     # Fixed values.
