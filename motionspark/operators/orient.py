@@ -191,22 +191,21 @@ def integrate(imu: DataFrame, method: int = 3, duration_ms: float | None = None)
     return out.select(*BY, "ts_us", F.struct(*"wxyz").alias("q"))
 
 
-def anchor(integrated: DataFrame, camera: DataFrame, share: float = 0.005) -> DataFrame:
-    """Pulls integrated orientations towards the camera's own by a steady share; the first one is taken over.
+def anchor(camera: DataFrame, integrated: DataFrame, share: float = 0.005) -> DataFrame:
+    """The camera's own orientations, turned towards the integrated ones by a steady share; the first turn is taken over whole.
 
-    Each integrated row meets the first camera row at or after it, else no rotation.
+    Each row of the camera meets the first integrated one at or after it, else no rotation.
     """
-    left = asof.forward(integrated, camera.select(*BY, "ts_us", F.col("q").alias("c")), "c", Q.identity())
+    left = asof.forward(camera.select(*BY, "ts_us", "q"), integrated.select(*BY, "ts_us", F.col("q").alias("c")), "c", Q.identity())
     flat = left.select(*BY, "ts_us", *(F.col(f"q.{k}").alias(k) for k in "wxyz"), *(F.col(f"c.{k}").alias(f"c{k}") for k in "wxyz"))
 
     def run(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         q, target = (np.column_stack([c[p + k] for k in "wxyz"]) for p in ("", "c"))
-        out, fix = np.empty_like(q), np.array([1.0, 0.0, 0.0, 0.0])
-        for i in range(len(q)):
-            wanted = R.product(target[i], R.inverse(q[i]))
-            fix = wanted if i == 0 else R.slerp(fix, wanted, share)
-            out[i] = R.product(fix, q[i])
-        return dict(zip("wxyz", R.normalised(out).T, strict=True))
+        turns, out, fix = R.product(target, R.inverse(q)), np.empty_like(q), None
+        for i, wanted in enumerate(turns):
+            fix = wanted if fix is None else R.slerp(fix, wanted, share)
+            out[i] = fix
+        return dict(zip("wxyz", R.normalised(R.product(out, q)).T, strict=True))
 
     out = R.per_recording(flat, [*"wxyz", *(f"c{k}" for k in "wxyz")], run, list("wxyz"))
     return out.select(*BY, "ts_us", F.struct(*"wxyz").alias("q"))

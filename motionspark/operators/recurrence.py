@@ -66,19 +66,29 @@ def ema_fold(df: DataFrame, value: str, a: float, on: str = "ts_us", out: str =
 
 
 def adaptive_ema(x: np.ndarray, fps: float, longest: float, shortest: float, top_velocity: float) -> np.ndarray:
-    """Average whose time constant shrinks with the relative velocity; unknown values hold the state and stay unknown."""
-    prev = np.concatenate([[np.nan], x[:-1]])
-    v = np.nan_to_num(np.abs(x - prev) * fps / np.where(prev == 0, np.nan, prev))
-    share = np.clip(v / top_velocity, 0, 1)
-    a = 1 - np.exp(-(1 / fps) / (longest + (shortest - longest) * share))
-    for step in (1, -1):
-        y, w, q = x[::step].copy(), a[::step], math.nan
-        for i, value in enumerate(y):
-            if not math.isnan(value):
-                q = value if math.isnan(q) else q * (1 - w[i]) + value * w[i]
-                y[i] = q
-        x = y[::step]
-    return x
+    """Average in both directions whose share of new values grows from a long to a short time constant with the relative velocity.
+
+    The velocity is an average itself.  Unknown values hold the state, which stands in their place; before the
+    first known value nothing does.
+    """
+    known = np.flatnonzero(~np.isnan(x))
+    if len(x) < 2 or fps <= 0 or not len(known):
+        return x
+    slow, fast = alpha(max(longest, 1e-3), fps), alpha(max(shortest, 1e-3), fps)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        v = np.where(x[:-1] > 0, np.abs((x[1:] - x[:-1]) * fps / x[:-1]), 0.0)
+    v = np.nan_to_num(v)
+    v = ema(np.concatenate([v[:1], v]), fast)
+    share = np.minimum(v / top_velocity, 1) if top_velocity > 1e-6 else np.ones(len(x))
+    a = slow * (1 - share) + fast * share
+    out, state, first = np.full(len(x), np.nan), x[known[0]], known[0]
+    for i in range(first, len(x)):
+        state = state if np.isnan(x[i]) else state * (1 - a[i]) + x[i] * a[i]
+        out[i] = state
+    for i in range(len(x) - 1, first - 1, -1):
+        state = state * (1 - a[i]) + out[i] * a[i]
+        out[i] = state
+    return out
 
 
 def biquad_lowpass(cut_hz: float, rate: float) -> tuple[float, ...]:

@@ -98,7 +98,23 @@ def w15(spark: SparkSession, d: str) -> DataFrame:
     return q6(smooth.lowpass_quats(quats(spark, d), 5.0, 50.0))
 
 
-@query("w17_smo02_plain_smoothing")
+def _slerps(source: str, name: str, share: str, first: str, following: str) -> str:
+    """A recursive CTE (recording_id, i, w, x, y, z): each state is a share of the way from the one before to the row of ``source``."""
+    own = ", ".join(f"p.{c} AS p{c}, n.{c} AS n{c}" for c in "wxyz")
+    start = f"SELECT n.recording_id, n.i, {own}, p.w * n.w + p.x * n.x + p.y * n.y + p.z * n.z AS c FROM {name} p JOIN {source} n ON n.recording_id = p.recording_id AND n.i = p.i {following}"
+    arc = f"SELECT *, acos(least(abs(c), 1)) AS th, CASE WHEN c < 0 THEN -1 ELSE 1 END AS sg FROM ({start})"
+    parts = f"SELECT *, CASE WHEN sin(th) < 1e-9 THEN 1 - {share} ELSE sin((1 - {share}) * th) / sin(th) END AS ka, CASE WHEN sin(th) < 1e-9 THEN {share} ELSE sin({share} * th) / sin(th) END * sg AS kb FROM ({arc})"
+    mixed = f"SELECT *, sqrt({' + '.join(f'(p{c} * ka + n{c} * kb) * (p{c} * ka + n{c} * kb)' for c in 'wxyz')}) AS l FROM ({parts})"
+    return f"{name} AS (SELECT recording_id, i, w, x, y, z FROM {source} WHERE {first} UNION ALL SELECT recording_id, i, {', '.join(f'(p{c} * ka + n{c} * kb) / l AS {c}' for c in 'wxyz')} FROM ({mixed}))"
+
+
+PLAIN = f"{R.alpha(0.1, 50.0)!r}::DOUBLE"
+ROWS = f"n AS MATERIALIZED (SELECT *, row_number() OVER ({W}) AS i, count(*) OVER (PARTITION BY recording_id) AS c FROM quats)"
+SHOWN = ", ".join(f"round({c}, 6) + 0 AS {c}" for c in "wxyz")
+
+
+@query("w17_smo02_plain_smoothing", f"""WITH RECURSIVE {QUATS_SQL}, {ROWS}, {_slerps('n', 'f', PLAIN, 'i = 1', '+ 1')}, m AS MATERIALIZED (SELECT f.*, n.c, n.ts_us FROM f JOIN n USING (recording_id, i)),
+{_slerps('m', 'b', PLAIN, 'i = c', '- 1')} SELECT recording_id, ts_us, {SHOWN.replace('round(', 'round(b.')} FROM b JOIN (SELECT recording_id, i, ts_us FROM n) t USING (recording_id, i)""")
 def w17(spark: SparkSession, d: str) -> DataFrame:
     return q6(smooth.smooth(quats(spark, d), "plain", 50.0, time_constant_s=0.1))
 
@@ -113,10 +129,14 @@ def w24(spark: SparkSession, d: str) -> DataFrame:
     return q6(glitches.repair_glitches(quats(spark, d)))
 
 
-@query("w38_anchor_to_camera")
+@query("w38_anchor_to_integrated", f"""WITH RECURSIVE {QUATS_SQL}, {ROWS}, t AS (SELECT *, coalesce(lead(w) OVER v, 1) AS tw, coalesce(lead(x) OVER v, 0) AS tx, coalesce(lead(y) OVER v, 0) AS ty, coalesce(lead(z) OVER v, 0) AS tz FROM n WINDOW v AS ({W})),
+k AS MATERIALIZED (SELECT recording_id, i, tw * w + tx * x + ty * y + tz * z AS w, -tw * x + tx * w - ty * z + tz * y AS x, -tw * y + tx * z + ty * w - tz * x AS y, -tw * z - tx * y + ty * x + tz * w AS z FROM t), {_slerps('k', 'f', '0.005::DOUBLE', 'i = 1', '+ 1')},
+o AS (SELECT f.recording_id, n.ts_us, f.w * n.w - f.x * n.x - f.y * n.y - f.z * n.z AS w, f.w * n.x + f.x * n.w + f.y * n.z - f.z * n.y AS x, f.w * n.y - f.x * n.z + f.y * n.w + f.z * n.x AS y, f.w * n.z + f.x * n.y - f.y * n.x + f.z * n.w AS z FROM f JOIN n USING (recording_id, i))
+SELECT recording_id, ts_us, {SHOWN} FROM o""")
 def w38(spark: SparkSession, d: str) -> DataFrame:
+    """The next sample's orientation, a little before its time, as the integrated one; the last sample has none."""
     q = quats(spark, d)
-    return q6(orient.anchor(q, q.withColumn("ts_us", F.col("ts_us") + 5000)))
+    return q6(orient.anchor(q, q.withColumn("ts_us", F.col("ts_us") - 5000)))
 
 
 @query("smo00_none", f"WITH {QUATS_SQL} SELECT recording_id, ts_us, round(w, 6) + 0 AS w, round(x, 6) + 0 AS x, round(y, 6) + 0 AS y, round(z, 6) + 0 AS z FROM quats")

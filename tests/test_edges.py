@@ -187,3 +187,28 @@ def test_best_profile(spark):
     r = spark.createDataFrame([(1, "c", "a", 1920, 1080, 30.0), (2, "c", "", 1920, 1080, 30.0), (3, "c", "zz", 1280, 720, 50.0), (4, "d", "a", 1, 1, 1.0), (5, None, "a", 1920, 1080, 30.0)], "recording_id long, camera string, identifier string, width int, height int, fps double")
     p = spark.createDataFrame([(10, "c", "", 1920, 1080, 25.0), (11, "c", "a", 640, 480, 30.0), (12, "c", "b", 1920, 1080, 30.0), (13, "c", "q", 3840, 2160, 50.0)], "id long, camera string, identifier string, width int, height int, fps double")
     assert rows(profiles.match_profiles(r, p), "recording_id", "id") == [(1, 11), (2, 12), (3, 10)]
+
+
+def test_adaptive_average_step_by_step():
+    x = np.array([np.nan, 10.0, 10.5, np.nan, 12.0, 30.0, 30.0, np.nan])
+    fps, top = 30.0, 5.0
+    slow, fast = (1 - math.exp(-(1 / fps) / t) for t in (1.0, 0.1))
+    v = [0.0] * len(x)
+    for i in range(1, len(x)):
+        if not math.isnan(x[i]) and not math.isnan(x[i - 1]):
+            v[i] = abs((x[i] - x[i - 1]) * fps / x[i - 1])
+    v[0] = v[1]
+    for i in range(1, len(x)):
+        v[i] = v[i - 1] * (1 - fast) + v[i] * fast
+    for i in range(len(x) - 2, -1, -1):
+        v[i] = v[i + 1] * (1 - fast) + v[i] * fast
+    a = [slow * (1 - min(y / top, 1)) + fast * min(y / top, 1) for y in v]
+    want, state = [math.nan] * len(x), 10.0
+    for i in range(1, len(x)):
+        state = state if math.isnan(x[i]) else state * (1 - a[i]) + x[i] * a[i]
+        want[i] = state
+    for i in range(len(x) - 1, 0, -1):
+        state = state * (1 - a[i]) + want[i] * a[i]
+        want[i] = state
+    assert recurrence.adaptive_ema(x, fps, 1.0, 0.1, top) == pytest.approx(want, nan_ok=True)
+    assert np.isnan(recurrence.adaptive_ema(np.full(3, np.nan), fps, 1.0, 0.1, top)).all()
