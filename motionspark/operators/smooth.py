@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motionspark.functions import quat as Q
@@ -115,6 +115,23 @@ def correction(raw: DataFrame, smooth: DataFrame) -> DataFrame:
     return both.withColumn("q", Q.multiply(Q.conjugate(F.col("_s")), F.col("q"))).drop("_s")
 
 
+def with_rotation(df: DataFrame, x=0.0, y=0.0, z=0.0) -> DataFrame:
+    """Each orientation turned further by angles in degrees, columns or numbers: yaw ``x``, pitch ``y`` and roll ``z`` of the view."""
+    a, b, c = (F.radians(v if isinstance(v, Column) else F.lit(float(v))) for v in (x, y, z))
+    return df.withColumn("q", Q.let(F.struct(F.col("q").alias("q"), Q.from_euler(b, a, c).alias("e")), lambda v: Q.multiply(v["q"], v["e"])))
+
+
+def stabilise(raw: DataFrame, algorithm: str, rate: float, rotation=(0.0, 0.0, 0.0), lock: Callable[[DataFrame], DataFrame] | None = None, **params) -> DataFrame:
+    """(recording_id, ts_us, q, smoothed): the correction that takes each orientation to its smoothed one.
+
+    The view's own rotation comes first, then the horizon's lock, then the smoothing.
+    """
+    turned = with_rotation(raw.select(*BY, "ts_us", "q"), *rotation)
+    smoothed = smooth(lock(turned) if lock else turned, algorithm, rate, **params).select(*BY, "ts_us", F.col("q").alias("smoothed"))
+    both = raw.select(*BY, "ts_us", "q").join(smoothed, [*BY, "ts_us"])
+    return both.withColumn("q", Q.multiply(Q.conjugate(F.col("smoothed")), F.col("q")))
+
+
 # name -> (DataFrame, rate) -> DataFrame; others can be added.
 ALGORITHMS: dict[str, Callable[..., DataFrame]] = {
     "none": lambda df, rate: df,

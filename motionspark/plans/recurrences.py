@@ -148,8 +148,8 @@ def _turn(axis: str, angle: str) -> tuple[str, ...]:
     return (f"cos(({angle}) / 2)", *(f"sin(({angle}) / 2)" if c == axis else "0.0::DOUBLE" for c in "xyz"))
 
 
-def _chained(source: str, turns: list[tuple[str, str]]) -> str:
-    """CTEs c1, c2, ...: products of turns about axes, from left to right, beside the columns of ``source``."""
+def _chained(source: str, turns: list[tuple[str, str]], shown: str | None = None) -> str:
+    """CTEs c1, c2, ...: products of turns about axes, from left to right, beside the columns of ``source``; the last one as it is or as ``shown``."""
     steps = []
     for n, (axis, angle) in enumerate(turns):
         b = _turn(axis, angle)
@@ -162,7 +162,7 @@ def _chained(source: str, turns: list[tuple[str, str]]) -> str:
             f"{w} * {b[2]} - {x} * {b[3]} + {y} * {b[0]} + {z} * {b[1]}", f"{w} * {b[3]} + {x} * {b[2]} - {y} * {b[1]} + {z} * {b[0]}",
         )
         steps.append(f"c{n} AS (SELECT p.* EXCLUDE (rw, rx, ry, rz), {', '.join(f'{v} AS r{c}' for v, c in zip(product, 'wxyz', strict=True))} FROM c{n - 1} p)")
-    shown = ", ".join(f"round(r{c}, 6) + 0 AS {c}" for c in "wxyz")
+    shown = shown or ", ".join(f"round(r{c}, 6) + 0 AS {c}" for c in "wxyz")
     return f"{', '.join(steps)} SELECT recording_id, ts_us, {shown} FROM c{len(turns) - 1}"
 
 
@@ -186,6 +186,30 @@ def smo04_pitch(spark: SparkSession, d: str) -> DataFrame:
     return q6(smooth.lock_horizon(quats(spark, d), 100.0, roll_deg=5.0, pitch_deg=8.0))
 
 
+TURNED_SQL = """e AS (SELECT cos(a) * cos(b) * cos(g) + sin(a) * sin(b) * sin(g) AS ew, sin(a) * cos(b) * cos(g) - cos(a) * sin(b) * sin(g) AS ex, cos(a) * sin(b) * cos(g) + sin(a) * cos(b) * sin(g) AS ey, cos(a) * cos(b) * sin(g) - sin(a) * sin(b) * cos(g) AS ez
+  FROM (SELECT radians(-2.0::DOUBLE) / 2 AS a, radians(3.0::DOUBLE) / 2 AS b, radians(4.0::DOUBLE) / 2 AS g)),
+t AS (SELECT recording_id, ts_us, w AS ow, x AS ox, y AS oy, z AS oz, w * ew - x * ex - y * ey - z * ez AS w, w * ex + x * ew + y * ez - z * ey AS x, w * ey - x * ez + y * ew + z * ex AS y, w * ez + x * ey - y * ex + z * ew AS z FROM quats, e)"""
+CORRECTED = """round(rw * ow + rx * ox + ry * oy + rz * oz, 6) + 0 AS w, round(rw * ox - rx * ow - ry * oz + rz * oy, 6) + 0 AS x, round(rw * oy + rx * oz - ry * ow - rz * ox, 6) + 0 AS y, round(rw * oz - rx * oy + ry * ox - rz * ow, 6) + 0 AS z"""
+LOCKED = [("y", "pi() / 2"), ("z", "pi() / 2"), ("y", "atan2(vy, vx)"), ("x", "asin(greatest(-1, least(1, -vz)))"), ("z", "radians(5.0::DOUBLE)")]
+
+
+@query("smo06_whole_step", f"WITH {QUATS_SQL}, {TURNED_SQL}, {AHEAD_SQL.replace('FROM quats', 'FROM t')}, {_chained('v', LOCKED, CORRECTED)}")
+def smo06(spark: SparkSession, d: str) -> DataFrame:
+    """The view's rotation, the horizon's lock, no smoothing, and the correction from there."""
+    lock = lambda q: smooth.lock_horizon(q, 100.0, roll_deg=5.0)
+    return q6(smooth.stabilise(quats(spark, d), "none", 50.0, (3.0, -2.0, 4.0), lock))
+
+
+@query("smo07_focal_lengths")
+def smo07(spark: SparkSession, d: str) -> DataFrame:
+    from motionspark.operators.focal import smooth_focal_lengths
+
+    w = Window.partitionBy("recording_id").orderBy("ts_us")
+    frames = imu(spark, d).select("recording_id", "ts_us", (F.row_number().over(w) - 1).cast("long").alias("frame"))
+    out = smooth_focal_lengths(frames, lens_rows(spark, d), 12.0, 0.4)
+    return out.select("recording_id", "frame", "focal_length", r6("even"), r6("smoothed"), r6("compensation"))
+
+
 @query("int03_gyro_only", f"""WITH RECURSIVE {IMU_SQL}, g AS (SELECT recording_id, min(ts_us) AS t0, (max(ts_us) - min(ts_us)) * (count(*) + 1) / count(*)::DOUBLE / count(*) AS step FROM imu GROUP BY 1),
 t AS (SELECT recording_id, ts_us, -gy AS a, gx AS b, gz AS c, row_number() OVER ({W}) AS i, (ts_us - coalesce(lag(ts_us) OVER ({W}), t0 - step)) / 1e6 AS dt FROM imu JOIN g USING (recording_id) WHERE gx IS NOT NULL),
 v AS (SELECT recording_id, ts_us, i, radians(a) * k AS a, radians(b) * k AS b, radians(c) * k AS c FROM (SELECT *, dt * 1e-6 AS k FROM t)),

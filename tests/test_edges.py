@@ -212,3 +212,19 @@ def test_adaptive_average_step_by_step():
         want[i] = state
     assert recurrence.adaptive_ema(x, fps, 1.0, 0.1, top) == pytest.approx(want, nan_ok=True)
     assert np.isnan(recurrence.adaptive_ema(np.full(3, np.nan), fps, 1.0, 0.1, top)).all()
+
+
+def test_focal_lengths_step_by_step(spark):
+    """Rows near the frames, steps smoothed over seven rows, then the average; a frame without a lens row asks for nothing."""
+    from motionspark.operators import focal
+
+    lens_rows = [(1, k * 40_000 + 3, 24.0 + (k // 4)) for k in range(20) if k not in (5, 6)]
+    frames = spark.createDataFrame([(1, k, k * 40_000) for k in range(20)] + [(2, 0, 0)], "recording_id long, frame long, ts_us long")
+    rows = spark.createDataFrame(lens_rows, "recording_id long, ts_us long, focal_length double")
+    got = {(r.recording_id, r.frame): r for r in focal.smooth_focal_lengths(frames, rows, 12.0, 0.4).collect()}
+    assert len(got) == 21 and got[2, 0].compensation == 1.0 and got[2, 0].even is None
+    even = np.array([got[1, k].even if got[1, k].even is not None else math.nan for k in range(20)])
+    want = recurrence.adaptive_ema(even, 12.0, *focal.constants(0.4))
+    assert [got[1, k].smoothed for k in range(20)] == pytest.approx(list(want))
+    assert got[1, 10].compensation == pytest.approx(even[10] / want[10])
+    assert focal.constants(0.0) == pytest.approx((0.1, 0.05, 0.3)) and focal.constants(2.0) == pytest.approx((30.0, 0.4, 8.0))
