@@ -75,14 +75,14 @@ def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
 SLICE_ROWS, SLICE_BYTES = 2000, 4_000_000
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], text: int, rows: int = SLICE_ROWS, size_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of a bounded number of rows and, a single long text aside, of bytes in column ``text``."""
     for b in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < b.num_rows:
             before = size[at - 1] if at else 0
-            end = min(at + SLICE_ROWS, max(at + 1, int(np.searchsorted(size, before + SLICE_BYTES, side="right"))))
+            end = min(at + rows, max(at + 1, int(np.searchsorted(size, before + size_bytes, side="right"))))
             yield b.slice(at, end - at)
             at = end
     pa.default_memory_pool().release_unused()  # a worker goes on to other tasks

@@ -28,7 +28,7 @@ from motionspark.llm.text import binary, slices
 from motionspark.llm.wavelet import WaveletMatrix
 
 SHARD_TOKENS = 4_000_000
-TASK_BYTES = 32_000_000
+SLICE_ROWS, SLICE_BYTES = 10_000, 12_000_000  # texts whose units are told apart together
 REMEMBERED = 1_000_000  # units that a Python worker knows the ids of, also from one task to the next
 SCHEMA = "part int, seq int, n_tokens long, width int, nulls int, doc_ids binary, ends binary, zeros array<long>, planes array<binary>, ranks array<binary>"
 
@@ -185,7 +185,7 @@ def _shards(vocabulary: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], list(row))
 
         docs, codes, size = [], [], 0
-        for piece in slices(batches, 1):
+        for piece in slices(batches, 1, SLICE_ROWS, SLICE_BYTES):
             for doc_id, code in zip(piece.column(0).to_pylist(), coder.encode(piece.column(1)), strict=True):
                 if docs and size + len(code) > SHARD_TOKENS * coder.dtype.itemsize:
                     yield flush()
@@ -199,16 +199,16 @@ def _shards(vocabulary: str, end_id: int):
     return write
 
 
-def write_token_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, task_bytes: int = TASK_BYTES) -> None:
+def write_token_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, tasks: int | None = None) -> None:
     """Writes the ids of every text of ``docs`` (doc_id, text, ...), each ended by ``end_id``, in ascending doc_id order.
 
+    There is a file for each of ``tasks`` ranges of doc_id; without a number as many as the input has partitions.
+
     A null text is empty: its ids are the end id alone.  Rows that repeat a doc_id are documents of their
     own, ordered by text.  Rows without a doc_id come first.  An empty table gives a store without shards.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    tasks = max(1, -(-int(total) // task_bytes))
-    ordered = docs.repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.repartitionByRange(tasks or max(1, docs.rdd.getNumPartitions()), "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_shards(vocabulary, end_id), SCHEMA).write.option("compression", "zstd").parquet(path)
 
 

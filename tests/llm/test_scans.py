@@ -103,7 +103,7 @@ def truth(rows):
 @pytest.fixture(scope="module")
 def store(spark, docs, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("store") / "tokens")
-    token_store.write_token_store(docs, path, VOCABULARY, task_bytes=60_000)
+    token_store.write_token_store(docs, path, VOCABULARY, tasks=5)
     return token_store.open_token_store(spark, path)
 
 
