@@ -42,6 +42,31 @@ def messy_rows(seed: int = 1) -> list[tuple]:
     return [(k * 3, t, rng.choice(["en", "fr", None]), rng.choice(sources), None if t is None else len(t)) for k, t in enumerate(texts)]
 
 
+def messy_pages() -> list[tuple]:
+    """Null and empty payloads, copies above and below the length for revisits, repeated rows, marks of records inside."""
+    rng = random.Random(5)
+    body = lambda n: "<p>" + "".join(rng.choice("abc é日🙂\r\n") for _ in range(n)) + "</p>"
+    hot, short, marks = body(1500), "<p>short</p>", "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 300
+    pages = [(k, f"http://x.example/{k}", hot) for k in range(40)]
+    pages += [(100, None, None), (101, "http://x.example/?a=b\r\nWARC-Type: revisit", ""), (102, "", short), (103, None, short), (None, "u", body(1200)), (None, "u", body(1200))]
+    pages += [(None, "http://x.example/n", hot), (104, "u", marks), (105, "u", marks), (106, "u", body(200_000)), (107, "u", body(8000)), (107, "u", body(8000))]
+    copied, lone = body(30_000), body(2000)
+    pages += [(108, "u", copied)] * 3 + [(109, "v", copied)] * 2 + [(109, "w", copied), (None, None, lone), (None, None, lone), (-4, None, "x" * 999), (-5, None, "x" * 999), (-4, None, "y" * 1000), (-5, None, "y" * 1000)]
+    rng.shuffle(pages)
+    return pages
+
+
+def messy_vectors() -> list[tuple]:
+    """Null and non-finite components, rows without an id or a label, repeated rows, many equal scores, negative scores."""
+    rng = random.Random(6)
+    vector = lambda n=6: [rng.choice([-0.5, -0.125, 0.0, 0.125, 0.3, 0.5]) for _ in range(n)]
+    rows = [(k, vector(), rng.choice([0, 0, 0, 1, 2, -3])) for k in range(420)]
+    rows += [(500, None, 1), (550, vector(), None), (600, [0.1, None, 0.1, 0.0, 0.0, 0.0], 1), (650, [0.1, float("nan"), 0.0, 0.0, 0.0, 0.0], 1), (700, [0.1, float("inf"), 0.0, 0.0, 0.0, 0.0], 1)]
+    rows += [(None, vector(), 0), (None, vector(), 1), (750, vector(), 8), (800, [-0.5] * 6, 9)] + [(850, [0.5, 0.25, 0.0, 0.0, 0.0, 0.0], 0)] * 3 + [(351, [0.5, 0.125, 0.0, 0.0, 0.0, 0.0], 1)] * 4
+    rng.shuffle(rows)
+    return rows
+
+
 @pytest.fixture(scope="session")
 def rows():
     return messy_rows()
@@ -77,6 +102,12 @@ def sf_dir(rows, tmp_path_factory):
     types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
     columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
     pq.write_table(pa.table(columns, names=["doc_id", "text", "lang", "source", "n_chars"]), path / "documents.parquet")
+    for name, kinds, table in (
+        ("pages", {"page_id": pa.int64(), "url": pa.string(), "html": pa.string()}, messy_pages()),
+        ("embeddings", {"vec_id": pa.int64(), "embedding": pa.list_(pa.float32()), "label": pa.int32()}, messy_vectors()),
+    ):
+        columns = [pa.array(c, t) for c, t in zip(zip(*table, strict=True), kinds.values(), strict=True)]
+        pq.write_table(pa.table(columns, names=list(kinds)), path / f"{name}.parquet")
     return str(path)
 
 
