@@ -379,6 +379,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item was found; every column stays."""
-    leaked = shared.keep(find_leaks(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct(), "leaks")
-    return docs.join(leaked, docs.doc_id.eqNullSafe(leaked.leaked), "left_anti")
+    """The rows of ``docs`` in which no benchmark item was found; every column stays.
+
+    Each row is judged by its own text, also where a doc_id is null or repeated.
+    """
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    leaked = shared.keep(find_leaks(docs.select(row.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("leaked")).distinct(), "leaks")
+    return docs.join(leaked, row == leaked.leaked, "left_anti")

@@ -14,7 +14,7 @@ width from the line's start and end at fixed distances from its end, both by the
 ``STEP``, so that lines whose lengths differ by one have the same cuts; where the rounding parts them, the
 longer one has the keys of the shorter one's cuts as well.
 
-Lines are told apart by 128 bits of their content.
+Lines are told apart by 128 bits of their content, documents by their doc_id and a hash of their text.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motionspark.llm import shared
@@ -89,8 +89,13 @@ def _powers(exponents: np.ndarray) -> np.ndarray:
     return table[-exponents]
 
 
+def text_key() -> Column:
+    """Tells rows apart that repeat a doc_id."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(F.trim("line", F.lit(" \t\r\x0b\x0c")) != "")
+    return docs.select("doc_id", text_key().alias("text_key"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where(F.trim("line", F.lit(" \t\r\x0b\x0c")) != "")
 
 
 def _pieces(b: pa.RecordBatch, line: int) -> Iterator[pa.RecordBatch]:
@@ -114,12 +119,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(variant, place, h, first_doc, first_line) of each line (h, first_doc, first_line, line, spans) in its spans; the line itself has place -1."""
-    names = ["variant", "place", "h", "first_doc", "first_line"]
+    """(variant, place, h, first) of each line (h, first, line, spans) in its spans; the line itself has place -1."""
+    names = ["variant", "place", "h", "first"]
     for whole in batches:
-        for piece in _pieces(whole, 3):
+        for piece in _pieces(whole, 2):
             keys, places, counts = [], [], []
-            for line, spans in zip(piece.column(3).to_pylist(), piece.column(4).to_pylist(), strict=True):
+            for line, spans in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True):
                 v, own = variants(line)
                 use = np.zeros(len(v), bool)
                 for x in spans:
@@ -129,7 +134,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 places += [at, np.array([-1], np.int32)]
                 counts.append(len(at) + 1)
             owner = pa.array(np.repeat(np.arange(piece.num_rows), counts))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places)), *(piece.column(i).take(owner) for i in range(3))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places)), *(piece.column(i).take(owner) for i in range(2))], names)
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
@@ -139,9 +144,9 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
 
 
 def duplicate_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
-    """(doc_id, exact, near): the numbers of the lines of each document that an earlier line makes redundant.
+    """(doc_id, text_key, exact, near): the numbers of the lines of each document that an earlier line makes redundant.
 
-    Earlier means in the order of doc_id, then line.  Documents without such lines are not returned.
+    Earlier means in the order of doc_id, then ``text_key``, then line.  Documents without such lines are not returned.
     """
     lines = _lines(docs)
     h = F.unhex(F.md5(F.col("line").cast("binary")))
@@ -154,25 +159,26 @@ def duplicate_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
 
     edge = F.floor(n / (2 * STEP)) != F.floor((n - 1) / (2 * STEP))  # the partner that is one shorter has shorter parts
     keys = F.when(n < near_chars, F.array().cast("array<bigint>")).when(edge, F.array(*parts(n), *parts(n - 1))).otherwise(F.array(*parts(n)))
-    place = F.struct("doc_id", "line_no")
+    place = F.struct("doc_id", "text_key", "line_no")
     firsts = lines.select(h.alias("h"), place.alias("p"), keys.alias("keys")).groupBy("h")
     firsts = shared.keep(firsts.agg(F.min("p").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")), "lines")
 
     keyed = firsts.select(F.explode("keys").alias("key"), "h", "first")
     several = shared_keys(keyed)
     some = keyed.join(several, "key").select("h", "first").distinct()
-    some = some.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "h")).alias("wanted"))
-    texts = docs.join(some, "doc_id").select("doc_id", "wanted", F.split("text", "\n", -1).alias("all"))
-    texts = texts.select("doc_id", F.explode("wanted").alias("w"), "all").select(F.col("w.h").alias("h"), "doc_id", F.col("w.line_no").alias("line_no"), F.get("all", F.col("w.line_no")).alias("line"))
+    some = some.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key")).agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "h")).alias("wanted"))
+    texts = docs.withColumn("text_key", text_key()).join(some, ["doc_id", "text_key"]).select("doc_id", "text_key", "wanted", F.split("text", "\n", -1).alias("all"))
+    texts = texts.select("doc_id", "text_key", F.explode("wanted").alias("w"), "all")
+    texts = texts.select(F.col("w.h").alias("h"), F.struct("doc_id", "text_key", F.col("w.line_no").alias("line_no")).alias("first"), F.get("all", F.col("w.line_no")).alias("line"))
     texts = shared.keep(texts.dropDuplicates(["h"]), "near-lines")
 
     # Of these lines, the segments around which another one is equal.
     cut = texts.select("h", "line").mapInArrow(_cut, "key long, begin int, end int, h binary")
     spans = cut.join(shared_keys(cut), "key", "left_semi").groupBy("h").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))  # a line has about sqrt(n)
-    open_lines = texts.join(spans, "h").select("h", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), "line", "spans")
-    v = open_lines.mapInArrow(_emit, "variant long, place int, h binary, first_doc long, first_line int")
+    open_lines = texts.join(spans, "h").select("h", "first", "line", "spans")
+    v = open_lines.mapInArrow(_emit, "variant long, place int, h binary, first struct<doc_id: long, text_key: long, line_no: int>")
     v = v_kept = shared.keep(v, "variants")
-    v = v.select("variant", "place", F.struct(F.col("first_doc").alias("doc_id"), F.col("first_line").alias("line_no"), "h").alias("me"))
+    v = v.select("variant", "place", F.struct("first", "h").alias("me"))
     here = v.groupBy("variant", "place").agg(F.min("me").alias("first_here"), F.count(F.lit(1)).alias("m"))
     ends = here.groupBy("variant").agg(
         F.min(F.when(F.col("place") < 0, F.col("first_here"))).alias("whole"), F.min(F.when(F.col("place") >= 0, F.col("first_here"))).alias("shortened"), F.sum("m").alias("all")
@@ -186,11 +192,11 @@ def duplicate_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     near = shared.keep(near.where(F.levenshtein("line", "kept", 1).between(0, 1)).select("h"), "near")
     shared.forget(v_kept, texts)
 
-    rows = lines.select(h.alias("h"), "doc_id", "line_no")
+    rows = lines.select(h.alias("h"), "doc_id", "text_key", "line_no")
     known = firsts.select("h", "first", "copies").join(near.select("h", F.lit(True).alias("near")), "h", "left").where("copies > 1 or near")
     found = rows.join(known, "h").where((F.col("first") != place) | F.col("near"))
     is_near = F.coalesce("near", F.lit(False))
-    return found.groupBy("doc_id").agg(
+    return found.groupBy("doc_id", "text_key").agg(
         F.array_sort(F.collect_list(F.when(~is_near, F.col("line_no")))).alias("exact"), F.array_sort(F.collect_list(F.when(is_near, F.col("line_no")))).alias("near")
     )
 
@@ -200,15 +206,16 @@ def dedup_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
 
     A line goes if an equal one, or for lines of ``near_chars`` characters or more one within one edit,
     stands earlier in the order of doc_id, then line, whether or not that one stays itself.  Blank lines stay
-    and are not counted.  A null or empty text stays as it is.  Rows must differ in doc_id; of rows that
-    repeat one, every line of the same number is judged by the earliest.  Columns of the input named n_lines,
+    and are not counted.  A null or empty text stays as it is, and so does a text without a doc_id.  Rows that repeat a
+    doc_id with different texts are different documents, in the order of a hash of the text; rows alike in both are
+    one document, whose lines are not redundant among each other's copies.  Columns of the input named n_lines,
     n_exact or n_near are replaced.  An empty table gives no rows.
     """
     docs = docs.drop("n_lines", "n_exact", "n_near")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    gone_id, gone_exact, gone_near = (shared.free_name(docs, x) for x in ("gone_id", "gone_exact", "gone_near"))
-    gone = duplicate_lines(narrow, near_chars).toDF(gone_id, gone_exact, gone_near)
-    joined = docs.join(gone, docs.doc_id == gone[gone_id], "left")
+    gone_id, gone_key, gone_exact, gone_near = (shared.free_name(docs, x) for x in ("gone_id", "gone_key", "gone_exact", "gone_near"))
+    gone = duplicate_lines(narrow, near_chars).toDF(gone_id, gone_key, gone_exact, gone_near)
+    joined = docs.join(gone, (docs.doc_id == gone[gone_id]) & (text_key() == gone[gone_key]), "left")
     drop = F.concat(gone_exact, gone_near)
     all_lines = F.split("text", "\n", -1)
     kept = F.filter(F.transform(all_lines, lambda x, i: F.when(~F.array_contains(drop, i), x)), lambda x: x.isNotNull())

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from motionspark.llm import shared
 from motionspark.llm.text import MULTIPLIERS, hashes, mix, slices, word_codes
@@ -201,12 +202,14 @@ def fit_models(docs: DataFrame, words: DataFrame, counts: DataFrame, discount: f
 
 
 def _features(model):
+    """(..., text) -> (..., f)"""
+
     def score(batches):
         models = model.value
         places, other = {k: i for i, k in enumerate(models.keys.tolist())}, len(models.keys)
         start = places.get(int(START), other)
-        for b in slices(batches, 1):
-            offsets, codes, words = _words(b.column(1))
+        for b in slices(batches, -1):
+            offsets, codes, words = _words(b.column(-1))
             w = np.fromiter((places.get(k, other) for k in hashes(words).tolist()), np.int64, len(words))[codes] if len(codes) else codes
             ratio = models.log_ratio(_before(offsets, w, start), w) if len(w) else np.zeros(0)
             out = np.zeros((b.num_rows, 2 + len(WINDOWS)))
@@ -218,7 +221,7 @@ def _features(model):
                     for k, width in enumerate(WINDOWS):
                         out[i, 2 + k] = (sums[width:] - sums[:-width]).max() / width if n >= width else sums[-1] / n
             f = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, out.shape[1]), pa.int32()), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), f], ["doc_id", "f"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], f], [*b.schema.names[:-1], "f"])
 
     return score
 
@@ -242,8 +245,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, discount: float = DISCOUNT) -> DataFrame:
-    """(doc_id, score) for each row of ``docs`` (doc_id, text, ...), from ``labels`` (doc_id, toxic).
+def score_toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, discount: float = DISCOUNT, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *also, score) for each row of ``docs`` (doc_id, text, ...), from ``labels`` (doc_id, toxic).
+
+    ``also`` names columns of ``docs``, other than f and score, that are handed on.
 
     Labels of held-out doc_ids are never read.  Of the others at most ``labelled`` a class, chosen by hash,
     fit the models; two thirds of these are counted and one third fits the logistic curve.  The corpus
@@ -251,7 +256,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED,
     than once is toxic if one of its labels says so.  Without labels of both classes the score is the share
     of toxic labels, or 0 without any.  Other columns are not read.  An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *also, F.col("text").cast("string").alias("text"))
+    docs = every.select("doc_id", "text")
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~F.coalesce(held_out(), F.lit(True)))
     known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.withColumn("h", F.xxhash64("id", F.lit(6)))
@@ -262,7 +268,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED,
     if len(seen) < 2 or any(r["fits"] == 0 or r["fits"] == r["n"] for r in seen):
         total = sum(r["n"] for r in seen)
         share = sum(r["n"] for r in seen if r["toxic"] == 1) / total if total else 0.0
-        return docs.select("doc_id", F.lit(share).alias("score"))
+        return every.select("doc_id", *also, F.lit(share).alias("score"))
 
     words = shared.keep(corpus_words(docs), "words")
     counted = docs.join(F.broadcast(chosen.where("not fits")), F.col("doc_id") == F.col("id"))
@@ -272,16 +278,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED,
     shared.forget(words, ngrams)
     model = docs.sparkSession.sparkContext.broadcast(models)
 
-    features = shared.keep(docs.mapInArrow(_features(model), "doc_id long, f array<double>"), "ratios")
+    features = shared.keep(every.mapInArrow(_features(model), StructType([*every.schema.fields[:-1], StructField("f", ArrayType(DoubleType()))])), "ratios")
     fit = features.join(F.broadcast(chosen.where("fits")), F.col("doc_id") == F.col("id")).select("f", "toxic").toArrow()
     x, y = np.array(fit.column("f").to_pylist()), fit.column("toxic").to_numpy().astype(np.float64)
     share = dict((r["toxic"], r["n"]) for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect())
     if not len(x):
-        return docs.select("doc_id", F.lit(share[1] / (share[0] + share[1])).alias("score"))
+        return every.select("doc_id", *also, F.lit(share[1] / (share[0] + share[1])).alias("score"))
     w, mean, std = fit_logistic(x, y)
     # The chosen texts hold both classes in other shares than all labelled ones do.
     prior = np.log(share[1] / share[0]) - np.log(max(1, y.sum()) / max(1, (1 - y).sum()))
     z = F.lit(float(w[-1] + prior))
     for i in range(x.shape[1]):
         z = z + F.lit(float(w[i] / std[i])) * (F.get("f", F.lit(i)) - F.lit(float(mean[i])))
-    return features.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
+    return features.select("doc_id", *also, (1 / (1 + F.exp(-z))).alias("score"))

@@ -279,3 +279,17 @@ def test_mixing_takes_effect_in_the_pipelines_rows(spark, monkeypatch):
     assert run() != got
     monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[1:])
     assert run() != got
+
+
+def test_stages_judge_rows_without_a_doc_id(spark, monkeypatch):
+    """One rejected row takes no other along, neither of those without a doc_id nor of those that repeat its own."""
+    item = table(spark, "benchmark").where("text is not null").orderBy("item_id").first()["text"]
+    clean = ["plain words about the weather " * 8, "a note on bread and how to bake it " * 8, "nothing else is said of the harbour " * 8]
+    rows = [(None, item), (None, clean[0]), (None, clean[1]), (5, clean[2]), (6, item), (6, clean[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    left = dict(corpus_pipeline.STAGES)["benchmark_decontamination"](spark, docs, SF)
+    assert sorted(map(repr, map(tuple, left.collect()))) == sorted(map(repr, (r for r in rows if r[1] != item)))
+    scores = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.when(F.col("text") == item, 1.0).otherwise(0.0).alias("score"))
+    monkeypatch.setattr(corpus_pipeline, "score_toxicity", lambda docs, labels, also: scores)
+    left = dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, SF)
+    assert sorted(map(repr, map(tuple, left.collect()))) == sorted(map(repr, (r for r in rows if r[1] != item)))

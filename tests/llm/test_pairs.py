@@ -218,3 +218,14 @@ def test_variants():
     v, own = line_dedup.variants("abc")
     assert [int(x) for x in v] == [int(line_dedup.variants(s)[1]) for s in ("bc", "ac", "ab")]
     assert int(own) not in [int(x) for x in v]
+
+
+def test_lines_of_repeated_doc_ids(spark):
+    """Each text has a verdict of its own, in any order of the rows."""
+    a, b = "one line of more than twenty characters", "another line that stands nowhere else at all"
+    c = a.replace("twenty", "twentx")
+    got = lambda rows: sorted(tuple(r)[:2] + tuple(r)[-3:] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    rows = [(1, a), (1, b), (2, c)]
+    assert got(rows) == got(rows[::-1]) == [(1, b, 1, 0, 0), (1, a, 1, 0, 0), (2, "", 1, 0, 1)]
+    rows = [(0, a), (1, a), (1, b), (1, b), (3, b)]
+    assert got(rows) == got(rows[::-1]) == [(0, a, 1, 0, 0), (1, "", 1, 1, 0), (1, b, 1, 0, 0), (1, b, 1, 0, 0), (3, "", 1, 1, 0)]
