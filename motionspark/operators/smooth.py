@@ -66,8 +66,11 @@ def dampened(q: np.ndarray, rate: float, smoothness: float = 0.5, longest_s: flo
     return R.slerp_ema(q, slow * (1 - ratio) + fast * ratio)
 
 
-def smooth_dampened(df: DataFrame, rate: float, **params: float) -> DataFrame:
-    return quaternions(df, lambda q, _: dampened(q, rate, **params))
+def smooth_dampened(df: DataFrame, rate: float, allowance: str | None = None, **params: float) -> DataFrame:
+    """``allowance`` names a column of each sample's share of the velocity that the smoothness allows."""
+    if allowance is None:
+        return quaternions(df, lambda q, _: dampened(q, rate, **params))
+    return quaternions(df, lambda q, c: dampened(q, rate, **params | {"fov_ratio": params.get("fov_ratio", 1.0) * c[allowance].astype(float)}), [allowance])
 
 
 def _turn(axis: str, degrees: float):

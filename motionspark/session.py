@@ -1,18 +1,21 @@
-"""Session settings that the operators rely on."""
+"""Tables between the rounds of driver-steered loops."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import uuid
 
+from pyspark.sql import DataFrame
 
-def local_session(cores: int | str = "*", memory: str = "8g", **conf: str) -> SparkSession:
-    """A session for tests and single machines; on a cluster the submitter's own settings apply."""
-    settings = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.shuffle.partitions": "8",
-        "spark.driver.memory": memory,
-        "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false",
-    } | conf
-    return SparkSession.builder.master(f"local[{cores}]").config(map=settings).getOrCreate()
+LOCAL_SHARED = "/tmp/checkpoints"  # used only where spark.checkpoint.dir is unset and the master is local, as in tests
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the folder that the cluster names in spark.checkpoint.dir and read back: a cut of the lineage that survives lost executors."""
+    spark = df.sparkSession
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{(path or LOCAL_SHARED).rstrip('/')}/motionspark/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
