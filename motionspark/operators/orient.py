@@ -6,16 +6,17 @@ Samples are turned into the axes [-y, x, z] of the camera; rates are degrees a s
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from motionspark.functions import quat as Q
-from motionspark.operators import asof
+from motionspark.operators import asof, fusion
 from motionspark.operators import recurrence as R
 
 BY = ("recording_id",)
@@ -28,12 +29,13 @@ def _camera(v: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Samples:
-    """Of a recording: rates (degrees a second), accelerations and times (microseconds) of its samples, and the time from which the first step goes."""
+    """Of a recording: rates (degrees a second), accelerations and times (microseconds) of its samples, the time from which the first step goes, and seconds in all."""
 
     gyro: np.ndarray
     acc: np.ndarray
     t: np.ndarray
     start_us: float
+    duration_s: float = 0.0
 
     @property
     def steps(self) -> np.ndarray:
@@ -109,56 +111,18 @@ def madgwick(s: Samples, beta: float = 0.02) -> np.ndarray:
     return out
 
 
-def complementary(s: Samples, gain: float = 0.01, settle_s: float = 2.0) -> np.ndarray:
-    """Gyro turns with a slerp towards the gravity direction; the gain falls as the acceleration leaves its usual length."""
-    gyro, acc, t = s.gyro, s.acc, s.t
-    norm = np.linalg.norm(acc, axis=1)
-    usual = float(np.median(norm[norm > 0])) if (norm > 0).any() else 1.0
-    settle = min(settle_s, 0.05 * (t[-1] - t[0]) / 1e6) if len(t) else 0.0
-    out, q = np.empty((len(t), 4)), START
-    for i, dt in enumerate(s.steps):
-        q = R.product(q, R.exp_map(np.radians(gyro[i]) * dt))
-        if norm[i] > 0:
-            world = R.product(R.product(q, np.concatenate([[0.0], acc[i] / norm[i]])), R.inverse(q))[1:]
-            axis, c = np.cross(world, [0.0, 0.0, 1.0]), float(world[2])
-            sine = np.linalg.norm(axis)
-            if sine > 1e-9:
-                off = abs(norm[i] / usual - 1)
-                k = (0.5 if (t[i] - t[0]) / 1e6 < settle else gain) * max(0.0, min(1.0, 2 - off / 0.1))
-                q = R.product(R.exp_map(axis / sine * math.atan2(sine, c) * k), q)
-        q = q / np.linalg.norm(q)
-        out[i] = q
-    return out
-
-
-def fused_both_ways(s: Samples, tau_acc_s: float = 40.0) -> np.ndarray:
-    """Offline fusion in the manner of VQF (Laidig and Seel 2023): gyro bias from both directions, strapdown
-    integration, low-passed acceleration in the almost inertial frame, inclination correction."""
-    gyro, acc, t = s.gyro, s.acc, s.t
-    dt = np.maximum(s.steps, 1e-9)
-    still = np.linalg.norm(gyro - np.median(gyro, axis=0), axis=1) < 2.0
-    bias = gyro[still].mean(axis=0) if still.sum() >= max(10, len(t) // 20) else np.zeros(3)
-    q = gyro_only(Samples(gyro - bias, acc, t, s.start_us))
-    inertial = R.product(R.product(q, np.column_stack([np.zeros(len(acc)), acc])), R.inverse(q))[:, 1:]
-    a = 1 - np.exp(-dt / tau_acc_s)
-    level = np.column_stack([R.ema(inertial[:, k], a) for k in range(3)])
-    length = np.linalg.norm(level, axis=1, keepdims=True)
-    level = level / np.where(length > 0, length, 1)
-    axis = np.cross(level, [0.0, 0.0, 1.0])
-    sine = np.linalg.norm(axis, axis=1, keepdims=True)
-    fix = R.exp_map(np.where(sine > 1e-9, axis / np.where(sine > 1e-9, sine, 1) * np.arctan2(sine, level[:, 2:]), 0))
-    return R.normalised(R.product(fix, q))
-
-
 # Method numbers of recordings' settings.
 INTEGRATORS: dict[int, Callable[[Samples], np.ndarray]] = {
-    1: complementary,
-    2: fused_both_ways,
+    1: lambda s: fusion.complementary([s])[0],
+    2: lambda s: fusion.fused([s])[0],
     3: gyro_only,
     4: gyro_accel,
     5: mahony,
     6: madgwick,
 }
+# These methods step many recordings at once.
+TOGETHER: dict[int, Callable[[list[Samples]], list[np.ndarray]]] = {1: fusion.complementary, 2: fusion.fused}
+PACK_CELLS = 200_000  # samples of a pack, those that fill up shorter recordings included; one longer recording is a pack
 # Fixed values.
 ZERO_FILLED = (2,)  # other methods leave samples without gyro out
 NEVER_ZERO, LEAST = (1, 5, 6), 1e-7  # these methods take an acceleration of 0 as one along x
@@ -176,21 +140,65 @@ def integrate(imu: DataFrame, method: int = 3, duration_ms: float | None = None)
     columns = ["gx", "gy", "gz", "ax", "ay", "az"]
     own = Window.partitionBy(*BY)
     n, first, span = F.count(F.lit(1)).over(own), F.min("ts_us").over(own), (F.max("ts_us").over(own) - F.min("ts_us").over(own))
-    step = (F.lit(duration_ms * 1000) if duration_ms is not None else span * (n + 1) / n) / n
-    df = imu.withColumn("_start", first - step / (1000 if method in SHORT_START else 1))
+    whole = F.lit(duration_ms * 1000) if duration_ms is not None else span * (n + 1) / n
+    df = imu.withColumn("_start", first - whole / n / (1000 if method in SHORT_START else 1)).withColumn("_whole", whole / 1e6)
     df = df if method in ZERO_FILLED else df.where("gx is not null and gy is not null and gz is not null")
 
-    def run(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    def samples(c: dict[str, np.ndarray]) -> Samples:
         v = np.nan_to_num(np.column_stack([c[k].astype(float) for k in columns]))
         if method in NEVER_ZERO:
             v[~v[:, 3:].any(axis=1), 3] = LEAST
-        q = INTEGRATORS[method](Samples(_camera(v[:, :3]), _camera(v[:, 3:]), c["ts_us"].astype(np.int64), float(c["_start"][0])))
-        return dict(zip("wxyz", q.T, strict=True))
-
-    out = R.per_recording(df.select(*BY, "ts_us", *columns, "_start"), [*columns, "_start"], run, list("wxyz"))
+        return Samples(_camera(v[:, :3]), _camera(v[:, 3:]), c["ts_us"].astype(np.int64), float(c["_start"][0]), float(c["_whole"][0]))
+
+    columns_in = [*columns, "_start", "_whole"]
+    df = df.select(*BY, "ts_us", *columns_in)
+    if method in TOGETHER:
+        out = _together(df, samples, TOGETHER[method])
+    else:
+        run = lambda c: dict(zip("wxyz", INTEGRATORS[method](samples(c)).T, strict=True))
+        out = R.per_recording(df, columns_in, run, list("wxyz"))
     return out.select(*BY, "ts_us", F.struct(*"wxyz").alias("q"))
 
 
+def _together(df: DataFrame, samples: Callable[[dict[str, np.ndarray]], Samples], f: Callable[[list[Samples]], list[np.ndarray]]) -> DataFrame:
+    """``f`` of packs of recordings that lie in one partition, each recording whole and in order."""
+
+    def solved(pack: list[pd.DataFrame]) -> pd.DataFrame:
+        held = [samples({c: x[c].to_numpy() for c in x.columns}) for x in pack]
+        return pd.concat([x[[*BY, "ts_us"]].assign(**dict(zip("wxyz", q.T, strict=True))) for x, q in zip(pack, f(held), strict=True)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack: list[pd.DataFrame] = []
+        for whole in _whole_recordings(batches):
+            longest = max([len(whole), *map(len, pack)])
+            if pack and longest * (len(pack) + 1) > PACK_CELLS:
+                yield solved(pack)
+                pack = []
+            pack.append(whole)
+        if pack:
+            yield solved(pack)
+
+    at = df.repartition(*BY).sortWithinPartitions(*BY, "ts_us")
+    return at.mapInPandas(run, "recording_id long, ts_us long, w double, x double, y double, z double")
+
+
+def _whole_recordings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches of a sorted partition, cut by recording."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        ids = b["recording_id"].to_numpy()
+        cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(b)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held[0]["recording_id"].iloc[0] != ids[lo]:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(b.iloc[lo:hi])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def anchor(camera: DataFrame, integrated: DataFrame, share: float = 0.005) -> DataFrame:
     """The camera's own orientations, turned towards the integrated ones by a steady share; the first turn is taken over whole.
 
