@@ -76,11 +76,16 @@ def alignment_costs(est_ms: np.ndarray, est: np.ndarray, gyro_us: np.ndarray, gy
     return out
 
 
+def last_least(costs: np.ndarray) -> int:
+    """Place of the smallest cost, the last of equal ones."""
+    return len(costs) - 1 - int(np.argmin(costs[::-1]))
+
+
 def find_offsets(estimated: DataFrame, gyro: DataFrame, grid: Grid, lowpass_hz: float | None = None, fps: float = 30.0, rate: float = 200.0) -> DataFrame:
     """(recording_id, middle_ms, offset_ms, cost) from rates (recording_id, ts_us, x, y, z) seen in the video and measured by the gyro.
 
     A recording without movement, or whose best offset lies at the rim of the search, has no row; of equal costs
-    the first offset counts.  The unit of work is a sync range of a recording, on arrays in one group.
+    the last offset counts.  The unit of work is a sync range of a recording, on arrays in one group.
     """
     columns = ["x", "y", "z"]
 
@@ -101,10 +106,10 @@ def find_offsets(estimated: DataFrame, gyro: DataFrame, grid: Grid, lowpass_hz:
         first = grid.coarse()
         if not len(first):
             return none
-        best = first[int(np.argmin(alignment_costs(est_ms, est, gyro_us, g, first)))]
+        best = first[last_least(alignment_costs(est_ms, est, gyro_us, g, first))]
         fine = grid.fine(best)
         costs = alignment_costs(est_ms, est, gyro_us, g, fine)
-        k = int(np.argmin(costs))
+        k = last_least(costs)
         if not np.isfinite(costs[k]) or not abs(fine[k] - grid.initial) < BELIEVED * grid.search:
             return none
         return pd.DataFrame({"recording_id": [a["recording_id"].iloc[0]], "middle_ms": [(est_ms[0] + est_ms[-1]) / 2], "offset_ms": [fine[k]], "cost": [costs[k]]})

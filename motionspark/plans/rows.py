@@ -160,10 +160,11 @@ def agg04(spark: SparkSession, d: str) -> DataFrame:
     return a.select("recording_id", *(F.round(c, 6).alias(c) for c in ("pitch", "yaw", "roll")))
 
 
-@query("agg06_argmin", f"WITH {IMU_SQL} SELECT recording_id, arg_min(seq, (cost, seq)) AS seq, min(cost) AS cost FROM (SELECT recording_id, seq, abs(az - ax * ay) AS cost FROM imu) GROUP BY 1")
+@query("agg06_argmin", f"WITH {IMU_SQL} SELECT recording_id, arg_min(seq, (cost, -seq)) AS seq, min(cost) AS cost FROM (SELECT recording_id, seq, abs(az - ax * ay) AS cost FROM imu) GROUP BY 1")
 def agg06(spark: SparkSession, d: str) -> DataFrame:
-    c = imu(spark, d).select("recording_id", F.struct(F.abs(F.col("az") - F.col("ax") * F.col("ay")).alias("cost"), "seq").alias("c"))
-    return c.groupBy("recording_id").agg(F.min("c").alias("c")).select("recording_id", "c.seq", "c.cost")
+    """Of equal costs the last one."""
+    c = imu(spark, d).select("recording_id", F.struct(F.abs(F.col("az") - F.col("ax") * F.col("ay")).alias("cost"), (-F.col("seq")).alias("back")).alias("c"))
+    return c.groupBy("recording_id").agg(F.min("c").alias("c")).select("recording_id", (-F.col("c.back")).alias("seq"), "c.cost")
 
 
 @query("agg07_line_fit", f"""WITH {OFFSETS_SQL}, c AS (SELECT recording_id, ts_us::DOUBLE AS x, offset_ms AS y, ts_us::DOUBLE - avg(ts_us::DOUBLE) OVER p AS dx, offset_ms - avg(offset_ms) OVER p AS dy FROM offsets WINDOW p AS (PARTITION BY recording_id)),

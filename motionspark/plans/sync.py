@@ -29,11 +29,11 @@ g AS (SELECT h.recording_id, trunc(h.t * 1000)::BIGINT AS k, h.x AS gx, h.y AS g
 c0 AS (SELECT recording_id, -10.0::DOUBLE + i AS o FROM s, range(20) r(i) WHERE m >= 3),
 m0 AS (SELECT e.*, o, greatest(trunc((t - o) * 1000), 0)::BIGINT AS k FROM e JOIN c0 USING (recording_id)),
 j0 AS (SELECT m0.recording_id, m0.o, (g.gx - x) * (g.gx - x) * 70 + (g.gy - y) * (g.gy - y) * 70 + (g.gz - z) * (g.gz - z) * 100 AS d FROM m0 ASOF JOIN g ON m0.recording_id = g.recording_id AND m0.k <= g.k),
-b0 AS (SELECT recording_id, arg_min(o, (cost, o)) AS o FROM (SELECT recording_id, o, sum(d) / count(*) AS cost, count(*) AS n FROM j0 GROUP BY ALL) q JOIN (SELECT recording_id, n AS every FROM s) USING (recording_id) WHERE n > every // 2 GROUP BY 1),
+b0 AS (SELECT recording_id, arg_min(o, (cost, -o)) AS o FROM (SELECT recording_id, o, sum(d) / count(*) AS cost, count(*) AS n FROM j0 GROUP BY ALL) q JOIN (SELECT recording_id, n AS every FROM s) USING (recording_id) WHERE n > every // 2 GROUP BY 1),
 c1 AS (SELECT recording_id, o + (-2.0::DOUBLE + i * 0.01::DOUBLE) AS o FROM b0, range(200) r(i)),
 m1 AS (SELECT e.*, o, greatest(trunc((t - o) * 1000), 0)::BIGINT AS k FROM e JOIN c1 USING (recording_id)),
 j1 AS (SELECT m1.recording_id, m1.o, (g.gx - x) * (g.gx - x) * 70 + (g.gy - y) * (g.gy - y) * 70 + (g.gz - z) * (g.gz - z) * 100 AS d FROM m1 ASOF JOIN g ON m1.recording_id = g.recording_id AND m1.k <= g.k),
-b1 AS (SELECT recording_id, arg_min(o, (cost, o)) AS o, min(cost) AS cost FROM (SELECT recording_id, o, sum(d) / count(*) AS cost, count(*) AS n FROM j1 GROUP BY ALL) q JOIN (SELECT recording_id, n AS every FROM s) USING (recording_id) WHERE n > every // 2 GROUP BY 1)
+b1 AS (SELECT recording_id, arg_min(o, (cost, -o)) AS o, min(cost) AS cost FROM (SELECT recording_id, o, sum(d) / count(*) AS cost, count(*) AS n FROM j1 GROUP BY ALL) q JOIN (SELECT recording_id, n AS every FROM s) USING (recording_id) WHERE n > every // 2 GROUP BY 1)
 SELECT recording_id, round(o, 2) + 0 AS offset_ms, round(cost, 4) + 0 AS cost FROM b1 WHERE abs(o) < 9""")
 def syn04(spark: SparkSession, d: str) -> DataFrame:
     """Every third sample as the video's, all of them, earlier, as the gyro's."""
