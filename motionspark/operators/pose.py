@@ -89,7 +89,10 @@ def rotation(a: np.ndarray, b: np.ndarray, seed: tuple[int, int]) -> Answer:
 def epipolar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """(..., 3, 3): matrices E with b E a = 0, of matches (..., n, 3); their two sizes are made equal."""
     design = (b[..., :, None] * a[..., None, :]).reshape(*a.shape[:-1], 9)
-    least = np.linalg.svd(design, full_matrices=design.shape[-2] < 9)[2][..., -1, :]
+    if design.shape[-2] == 8:
+        least = np.linalg.qr(np.swapaxes(design, -1, -2), mode="complete")[0][..., -1]  # stands on all eight
+    else:
+        least = np.linalg.svd(design, full_matrices=False)[2][..., -1, :]
     u, _, v = np.linalg.svd(least.reshape(*a.shape[:-2], 3, 3))
     return u @ (np.array([1.0, 1.0, 0.0])[:, None] * v)
 
