@@ -127,22 +127,23 @@ def _mesh(f: Callable, mesh: Column, columns: int, x: Column, y: Column, width:
         ok = ((size > 0) & np.isfinite(size) & np.isfinite(p)).all(0)
         one = lambda v, at: np.where(ok[at], f(v.reshape(len(v), 2, -1, columns), np.where(ok, p, 0)[:, at], np.where(ok, size, 1)[:, at]), np.nan)
         out = _by_length(mesh, lambda n: n % (2 * columns) == 0 and n >= 4 * columns, one, 2)
+        out = np.where(np.isfinite(out).all(0), out, np.nan)
         return pd.DataFrame({"x": out[0], "y": out[1]})
 
-    got = F.pandas_udf(run, POINT)(mesh, x.cast("double"), y.cast("double"), width.cast("double"), height.cast("double"))
-    return got
+    got = F.pandas_udf(run, POINT)(mesh, *(c.cast("double") for c in (x, y, width, height)))
+    return F.when(got["x"].isNotNull() & ~F.isnan(got["x"]), got).otherwise(F.lit(None).cast("struct<x: double, y: double>"))
 
 
 def mesh_place(mesh: Column, columns: int, x: Column, y: Column, width: Column, height: Column) -> Column:
     """struct<x, y>: where a mesh puts a point of a frame.  ``mesh`` is the places of its knots, first all x, then all y, line by line.
 
-    Both null for a mesh of another shape, with fewer than two lines or an unknown knot, and for unknown points.
+    Null for a mesh of another shape, with fewer than two lines or an unknown knot, and for unknown points.
     """
     return _mesh(lambda m, p, size: meshed(m, *(p * np.array([m.shape[3] - 1, m.shape[2] - 1])[:, None] / size))[0], mesh, columns, x, y, width, height)
 
 
 def mesh_source(mesh: Column, columns: int, x: Column, y: Column, width: Column, height: Column) -> Column:
-    """struct<x, y>: the point that the mesh puts there, both null where none is found."""
+    """struct<x, y>: the point that the mesh puts there; null where none is found."""
 
     def back(m: np.ndarray, p: np.ndarray, size: np.ndarray) -> np.ndarray:
         known = np.isfinite(m).all((1, 2, 3))
