@@ -1,4 +1,4 @@
-"""SYN03, SYN05, SYN06 and SYN11 queries: turns, offsets and readout times from points matched in two frames.
+"""STM02, SYN03, SYN05, SYN06 and SYN11 queries: frame pairs, turns, offsets and readout times from points matched in two frames.
 
 For the turns each vector is a frame pair: its numbers are 32 points of the ideal plane, its first three the turn to the later frame.
 A lens puts both ends into pixels; every third match is wrong.  The SQL knows the turn and never sees a point.
@@ -132,3 +132,15 @@ def syn06(spark: SparkSession, d: str) -> DataFrame:
     """At 100 frames a second, so that no more than 10 ms are tried."""
     pairs, q = matched(spark, d)
     return pointsync.readouts_by_points(pairs, q, q, 100.0).withColumn("readout_ms", F.round("readout_ms", 2) + 0)
+
+
+@query("stm02_frame_pairs", """WITH f AS (SELECT DISTINCT l_orderkey AS recording_id, l_linenumber::BIGINT AS frame, epoch_us(l_shipdate) + l_linenumber * 1000000 AS ts_us FROM lineitem)
+SELECT a.recording_id, a.frame, a.ts_us, b.ts_us AS next_ts_us FROM f a JOIN f b ON b.recording_id = a.recording_id AND b.frame = a.frame + 1 AND b.ts_us BETWEEN a.ts_us AND a.ts_us + 2592000000000""")
+def stm02(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of an order as frames of a recording, at the times at which they ship: in any order, and up to 30 days apart."""
+    from motionspark.streaming import frames
+
+    ts = F.timestamp_micros(F.unix_micros(F.col("l_shipdate").cast("timestamp")) + F.col("l_linenumber") * 1_000_000)
+    given = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("recording_id"), F.col("l_linenumber").cast("long").alias("frame"), ts.alias("ts"))
+    pairs = frames.frame_pairs(given, apart="30 days")
+    return pairs.select("recording_id", "frame", F.unix_micros("ts").alias("ts_us"), F.unix_micros("next_ts").alias("next_ts_us"))

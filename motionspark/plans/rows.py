@@ -271,12 +271,14 @@ def set02(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("p_name").agg(F.min(F.struct("src", "p_partkey")).alias("b")).select("p_name", "b.src", "b.p_partkey")
 
 
-@query("set04_axis_codes", """SELECT a.c || b.c || d.c AS code FROM (SELECT unnest(['X', 'Y', 'Z', 'x', 'y', 'z']) AS c) a, (SELECT unnest(['X', 'Y', 'Z', 'x', 'y', 'z']) AS c) b, (SELECT unnest(['X', 'Y', 'Z', 'x', 'y', 'z']) AS c) d
-WHERE lower(a.c) <> lower(b.c) AND lower(b.c) <> lower(d.c) AND lower(a.c) <> lower(d.c)""")
+@query("set04_axis_codes", """WITH l AS (SELECT unnest(['X', 'Y', 'Z', 'x', 'y', 'z']) AS c)
+SELECT recording_id, a.c || b.c || d.c AS code FROM (SELECT DISTINCT user_id AS recording_id FROM events), l a, l b, l d WHERE lower(a.c) <> lower(b.c) AND lower(b.c) <> lower(d.c) AND lower(a.c) <> lower(d.c)""")
 def set04(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates of each recording."""
     from motionspark.operators.profiles import AXIS_CODES
 
-    return spark.createDataFrame([(c,) for c in AXIS_CODES], "code string")
+    codes = F.explode(F.array(*(F.lit(c) for c in AXIS_CODES))).alias("code")
+    return table(spark, d, "events").select(F.col("user_id").alias("recording_id")).distinct().select("recording_id", codes)
 
 
 @query("str01_search_aliases", """SELECT p_partkey, list_filter(string_split(replace(replace(lower(p_name || ';' || 'A7S3,GoPro 10'), 'gopro 10', 'hero10 black'), 'a7s3', 'a7siii').replace(',', ' ').replace(';', ' '), ' '), lambda w: w <> '') AS words FROM part""")
