@@ -40,6 +40,17 @@ def midpoint_rates(rates: DataFrame, on: str = "ts_us") -> DataFrame:
     return rates.select("*", mid.alias("mid_us"), F.degrees("gy").alias("x"), F.degrees("gx").alias("y"), F.degrees("gz").alias("z"))
 
 
+def or_estimated(imu: DataFrame, estimated: DataFrame) -> DataFrame:
+    """(recording_id, ts_us, gx, gy, gz): the samples of recordings whose gyro was recorded, the estimated rates of all others.
+
+    A recording counts as recorded if any of its samples has a whole rate; its unknown samples stay.  Without either there is no row.
+    """
+    columns = [*BY, "ts_us", "gx", "gy", "gz"]
+    whole = F.col("gx").isNotNull() & F.col("gy").isNotNull() & F.col("gz").isNotNull()
+    moving = imu.where(whole).select(*BY).distinct()
+    return imu.select(columns).join(moving, list(BY), "left_semi").unionByName(estimated.select(columns).join(moving, list(BY), "left_anti"))
+
+
 @dataclass
 class Grid:
     """Offsets to try, in milliseconds: around ``initial``, first in whole steps, then in hundredths of them up to two steps before the best."""

@@ -69,6 +69,18 @@ def syn03(spark: SparkSession, d: str) -> DataFrame:
     return r.select("recording_id", "ts_us", "mid_us", *((F.round(c, 4) + 0).alias(c) for c in "xyz"))
 
 
+@query("syn13_estimated_as_raw", f"""WITH {PAIRS_SQL}, i AS (SELECT user_id AS recording_id, epoch_us(ts) AS ts_us, CASE WHEN user_id % 3 > 0 AND event_type <> 'error' THEN value END AS g FROM events)
+SELECT recording_id, ts_us, g AS gx, g AS gy, g AS gz FROM i WHERE recording_id IN (SELECT recording_id FROM i WHERE g IS NOT NULL)
+UNION ALL SELECT recording_id, ts_us, round(degrees(y * 50), 4) + 0 AS gx, round(degrees(x * 50), 4) + 0 AS gy, round(degrees(z * 50), 4) + 0 AS gz FROM p WHERE recording_id NOT IN (SELECT recording_id FROM i WHERE g IS NOT NULL)""")
+def syn13(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the recordings has lost its gyro."""
+    r = sync.midpoint_rates(pose.rates(pose.estimate_poses(pairs(spark, d)))).select("recording_id", "ts_us", *((F.round(c, 4) + 0).alias(f"g{c}") for c in "xyz"))
+    e = table(spark, d, "events")
+    g = F.when((F.col("user_id") % 3 > 0) & (F.col("event_type") != "error"), F.col("value"))
+    recorded = e.select(F.col("user_id").alias("recording_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), *(g.alias(f"g{c}") for c in "xyz"))
+    return sync.or_estimated(recorded, r)
+
+
 # Two ranges of five frame pairs a recording, and one pair behind each; a calm camera: a tenth of each turn.
 CALM_SQL = f"""{QUATS_SQL}, c0 AS (SELECT recording_id, ts_us, acos(least(abs(w), 1.0::DOUBLE)) AS th, CASE WHEN w < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS sg, w, x, y, z FROM quats),
 c1 AS (SELECT *, CASE WHEN sin(th) < 1e-9::DOUBLE THEN 0.9::DOUBLE ELSE sin(0.9::DOUBLE * th) / sin(th) END AS ka, CASE WHEN sin(th) < 1e-9::DOUBLE THEN 0.1::DOUBLE ELSE sin(0.1::DOUBLE * th) / sin(th) END * sg AS kb FROM c0),

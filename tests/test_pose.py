@@ -129,3 +129,14 @@ def test_frame_pairs_in_pixels(spark):
     assert pose.estimate_poses(pairs.limit(0)).count() == 0
     again = pose.estimate_poses(pairs.repartition(7).withColumn("q", F.lit(1))).collect()
     assert {(r["recording_id"], r["ts_us"]): r for r in again} == got
+
+
+def test_estimated_rates_where_nothing_was_recorded(spark):
+    from motionspark.operators import sync
+
+    schema = "recording_id long, ts_us long, gx double, gy double, gz double"
+    recorded = spark.createDataFrame([(1, 0, None, None, None), (1, 5, 1.0, 2.0, 3.0), (2, 0, 1.0, None, 3.0), (3, 0, None, None, None)], schema)
+    estimated = spark.createDataFrame([(1, 7, 9.0, 9.0, 9.0), (2, 7, 8.0, 8.0, 8.0), (4, 7, None, None, None)], schema)
+    got = sorted(((r["recording_id"], r["ts_us"], r["gx"]) for r in sync.or_estimated(recorded, estimated).collect()), key=str)
+    assert got == [(1, 0, None), (1, 5, 1.0), (2, 7, 8.0), (4, 7, None)]
+    assert sync.or_estimated(recorded.limit(0), estimated).count() == 3 and sync.or_estimated(recorded, estimated.limit(0)).count() == 2
