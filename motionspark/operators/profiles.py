@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import permutations, product
 
 from pyspark.sql import DataFrame
@@ -47,15 +48,19 @@ def match_profiles(recordings: DataFrame, profiles: DataFrame) -> DataFrame:
     profile of the same aspect and rate gives way to one of the same size or of the same aspect alone, which
     every such recording has, hence it never stands.  Recordings without any have no row.
     """
-    r, p = recordings.alias("r"), profiles.alias("p")
-    pairs = r.join(p, F.col("r.camera") == F.col("p.camera"))
-    size = (F.col("r.width") == F.col("p.width")) & (F.col("r.height") == F.col("p.height"))
-    rate = F.round(F.col("r.fps") * 100) == F.round(F.col("p.fps") * 100)
-    aspect = lambda s: F.round(F.col(f"{s}.width") * 100 / F.greatest(F.col(f"{s}.height"), F.lit(1)))
-    named = (F.col("r.identifier") == F.col("p.identifier")) & (F.col("r.identifier") != "")
-    rank = F.when(named, 1).when(size & rate, 2).when(size, 3).when(aspect("r") == aspect("p"), 4)
-    scored = pairs.select("r.recording_id", F.col("p.id").alias("id"), rank.alias("rank")).where("rank is not null")
-    return scored.groupBy("recording_id").agg(F.min(F.struct("rank", "id")).alias("b")).select("recording_id", "b.id")
+    aspect = F.round(F.col("width") * 100 / F.greatest(F.col("height"), F.lit(1)))
+    keyed = lambda df: df.select("*", F.round(F.col("fps") * 100).alias("_rate"), aspect.alias("_aspect"))
+    r, p = keyed(recordings), keyed(profiles)
+    steps = [
+        (r.where("identifier != ''"), ["camera", "identifier"]),
+        (r, ["camera", "width", "height", "_rate"]),
+        (r, ["camera", "width", "height"]),
+        (r, ["camera", "_aspect"]),
+    ]
+    # Each step looks up the smallest id of its key, so a camera's recordings and profiles are never paired.
+    hits = [left.join(p.groupBy(*on).agg(F.min("id").alias("id")), on).select("recording_id", F.lit(i).alias("rank"), "id") for i, (left, on) in enumerate(steps)]
+    found = reduce(DataFrame.unionByName, hits).where("id IS NOT NULL")
+    return found.groupBy("recording_id").agg(F.min(F.struct("rank", "id")).alias("b")).select("recording_id", "b.id")
 
 
 def swap_portrait(df: DataFrame) -> DataFrame:

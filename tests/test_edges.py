@@ -193,6 +193,16 @@ def test_best_profile(spark):
     assert rows(profiles.match_profiles(r, p), "recording_id", "id") == [(1, 11), (2, 12), (3, 10)]
 
 
+def test_best_profile_never_pairs_a_camera(spark):
+    """One camera of 40,000 recordings and 40,000 profiles: keys are looked up, 1.6 billion pairs are not."""
+    side = lambda name, n: spark.range(n).select(F.col("id").alias(name), F.lit("c").alias("camera"), F.concat(F.lit("n"), F.col("id") % 50_000).alias("identifier"), (F.col("id") % 500 + 1).alias("width"), (F.col("id") % 7 + 1).alias("height"), F.lit(30.0).alias("fps"))
+    got = profiles.match_profiles(side("recording_id", 40_000), side("id", 40_000))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 4 and all("Aggregate" in plan.split(j)[1] for j in joins)
+    assert got.where("id != recording_id").count() == 0 and got.count() == 40_000
+
+
 def test_adaptive_average_step_by_step():
     x = np.array([np.nan, 10.0, 10.5, np.nan, 12.0, 30.0, 30.0, np.nan])
     fps, top = 30.0, 5.0
