@@ -11,12 +11,13 @@ from motionspark.operators import asof
 BY = ("recording_id",)
 
 
-def hold_outside(samples: DataFrame, trims: DataFrame) -> DataFrame:
+def hold_outside(samples: DataFrame, trims: DataFrame, missing: str = "keep") -> DataFrame:
     """``samples`` (recording_id, ts_us, q, ...) with ``q`` replaced outside the ranges of ``trims`` (recording_id, from_us, to_us).
 
     A range holds both its ends.  Before the first range stands the first sample in or behind it, behind the last one
     the last sample before its end.  A gap between ranges turns from the first sample behind the one to the first sample
-    from the start of the next on.  Samples stay as they are in recordings without ranges, and where such a sample is missing.
+    from the start of the next on.  Samples stay as they are in recordings without ranges.  Where a range's edge asks for a sample
+    that the recording does not have, they stay as well, or go with ``missing="drop"``.
     Ranges of a recording do not overlap (see ``series.merge_ranges``); null or empty ones (to before from) do not count.
     """
     ranges = trims.where("from_us <= to_us").select(*BY, "from_us", "to_us").distinct()
@@ -38,5 +39,8 @@ def hold_outside(samples: DataFrame, trims: DataFrame) -> DataFrame:
         .when(F.col("next.k").isNull(), F.col("prev.last.q"))
         .otherwise(between)
     )
+    if missing == "drop":
+        ranged = F.col("prev.k").isNotNull() | F.col("next.k").isNotNull()
+        around = around.where(~ranged | outside.isNotNull())
     kept = around.withColumn("q", F.coalesce(outside, F.col("q")))
     return kept.select(*(F.col("q") if c == "q" else F.col(f"_own.`{c}`") for c in samples.columns))

@@ -35,3 +35,12 @@ def test_held_and_turned(spark):
     assert trim.hold_outside(samples, trims.limit(0)).exceptAll(samples).count() == 0
     assert trim.hold_outside(samples.limit(0), trims).count() == 0
     assert out.where(F.col("recording_id").isNull()).count() == 1
+
+
+def test_samples_without_an_edge_may_go(spark):
+    """A range that starts behind the recording, one that ends before it, and a recording without ranges."""
+    samples = spark.createDataFrame([(r, t, about_z(t)) for r in (1, 2, 3, 4) for t in range(0, 40, 10)], f"recording_id long, ts_us long, q {QUAT}")
+    trims = spark.createDataFrame([(1, 500, 600), (2, -50, -10), (4, 10, 20)], "recording_id long, from_us long, to_us long")
+    kept = trim.hold_outside(samples, trims, missing="drop")
+    assert {r["recording_id"]: r["count"] for r in kept.groupBy("recording_id").count().collect()} == {3: 4, 4: 4}
+    assert trim.hold_outside(samples, trims).count() == 16
