@@ -39,7 +39,8 @@ def code_costs(est_ms: np.ndarray, est: np.ndarray, gyro_us: np.ndarray, gyro: n
 def orientation_costs(estimated: DataFrame, gyro: DataFrame, grid: Grid, by: Sequence[str] = ("recording_id",)) -> DataFrame:
     """(recording_id, code, cost): the least costs of the grid's offsets, added up over the keys ``by`` (a recording's sync ranges).
 
-    Rows are (*by, ts_us, x, y, z); a key whose video does not move, or meets no gyro, adds nothing.  The unit of work is a key, on arrays.
+    Rows are (*by, ts_us, x, y, z); a key whose video does not move, or meets no gyro, adds nothing; of
+    samples of one time the first by its rates counts.  The unit of work is a key, on arrays.
     """
     by = list(by)
 
@@ -47,7 +48,7 @@ def orientation_costs(estimated: DataFrame, gyro: DataFrame, grid: Grid, by: Seq
         none = pd.DataFrame({"recording_id": [], "code": pd.Series([], dtype=object), "cost": []})
         if not len(a) or not len(b):
             return none
-        a, b = a.sort_values("ts_us", kind="stable"), b.sort_values("g_ts_us", kind="stable")
+        a, b = a.sort_values(["ts_us", *AXES]), b.sort_values(["g_ts_us", *(f"g_{c}" for c in AXES)])
         est_ms, est = a["ts_us"].to_numpy(float) / 1000, a[list(AXES)].to_numpy(float)
         if not np.nanmax(np.abs(est), initial=0) >= LEAST_RATE:
             return none

@@ -96,7 +96,7 @@ def find_offsets(estimated: DataFrame, gyro: DataFrame, grid: Grid, lowpass_hz:
     """(recording_id, middle_ms, offset_ms, cost) from rates (recording_id, ts_us, x, y, z) seen in the video and measured by the gyro.
 
     A recording without movement, or whose best offset lies at the rim of the search, has no row; of equal costs
-    the last offset counts.  The unit of work is a sync range of a recording, on arrays in one group.
+    the last offset counts, of samples of one time the first by its rates.  The unit of work is a sync range of a recording, on arrays in one group.
     """
     columns = ["x", "y", "z"]
 
@@ -104,11 +104,11 @@ def find_offsets(estimated: DataFrame, gyro: DataFrame, grid: Grid, lowpass_hz:
         none = pd.DataFrame({"recording_id": [], "middle_ms": [], "offset_ms": [], "cost": []})
         if not len(a) or not len(b):
             return none
-        a = a.sort_values("ts_us", kind="stable")
+        a = a.sort_values(["ts_us", *columns])
         est_ms, est = a["ts_us"].to_numpy(float) / 1000, a[columns].to_numpy(float)
         if np.abs(est).max() < LEAST_RATE:
             return none
-        b = b.rename(columns={f"g_{c}": c for c in ("ts_us", *columns)}).sort_values("ts_us", kind="stable")
+        b = b.rename(columns={f"g_{c}": c for c in ("ts_us", *columns)}).sort_values(["ts_us", *columns])
         t = b["ts_us"].to_numpy(float) / 1000
         near = (t + grid.initial >= est_ms[0] - grid.search) & (t + grid.initial <= est_ms[-1] + grid.search)
         gyro_us, g = np.trunc(t[near] * 1000), b[columns].to_numpy(float)[near]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from motionspark.functions import quat as Q
 from motionspark.functions import text as X
-from motionspark.operators import asof, horizon, imu, lens, orient, profiles, ranks, recurrence, series, smooth, sync, syncpoints
+from motionspark.operators import asof, axisguess, horizon, imu, lens, orient, profiles, ranks, recurrence, series, smooth, sync, syncpoints
 
 Q_TYPE = "recording_id long, ts_us long, q struct<w:double,x:double,y:double,z:double>"
 IMU = "recording_id long, ts_us long, gx double, gy double, gz double, ax double, ay double, az double"
@@ -203,6 +203,17 @@ def test_best_profile_never_pairs_a_camera(spark):
     assert got.where("id != recording_id").count() == 0 and got.count() == 40_000
 
 
+def test_samples_of_one_time_in_any_order(spark):
+    """Which of them is met does not hang on the order in which the rows arrive."""
+    seen = [(1, t * 1000, float(t % 7 * 9), 5.0, float(t % 3)) for t in range(60)]
+    gyro = [(1, t * 1000, *v) for t in range(60) for v in ((float(t % 7 * 9) + 1, 5.0, float(t % 3)), (float(t % 7 * 9), 8.0, 2.0))]
+    schema = "recording_id long, ts_us long, x double, y double, z double"
+    a = spark.createDataFrame(seen, schema)
+    for search in (sync.find_offsets, axisguess.orientation_costs):
+        one, other = (sorted(map(tuple, search(a, spark.createDataFrame(g, schema).coalesce(1), sync.Grid(0.0, 10.0)).collect())) for g in (gyro, gyro[::-1]))
+        assert one == other and one
+
+
 def test_adaptive_average_step_by_step():
     x = np.array([np.nan, 10.0, 10.5, np.nan, 12.0, 30.0, 30.0, np.nan])
     fps, top = 30.0, 5.0
