@@ -1,4 +1,4 @@
-"""Orientation from IMU samples: a registry of integrators, each a recurrence over one recording.
+"""Orientation from IMU samples: a registry of integrators, each a recurrence over the samples of a pack of recordings.
 
 Samples are turned into the axes [-y, x, z] of the camera; rates are degrees a second.
 """
@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from motionspark.functions import quat as Q
 from motionspark.operators import asof, fusion
 from motionspark.operators import recurrence as R
+from motionspark.operators.fusion import Pack
 
 BY = ("recording_id",)
 START = R.exp_map(np.array([math.pi / 2, 0.0, 0.0]))
@@ -43,85 +44,76 @@ class Samples:
         return np.diff(self.t.astype(float), prepend=self.start_us) / 1e6
 
 
-def gyro_only(s: Samples) -> np.ndarray:
-    """Product of the turns of all samples from a camera that looks level."""
-    gyro = s.gyro
-    turns = R.exp_map(np.radians(gyro) * s.steps[:, None])
-    out, q = np.empty((len(turns), 4)), START
-    for i, r in enumerate(turns):
-        q = R.product(q, r)
-        q = q / np.linalg.norm(q)
-        out[i] = q
-    return out
+def _stepped(p: Pack, turned: Callable[[np.ndarray, int, int], np.ndarray]) -> list[np.ndarray]:
+    """The orientations of a pack from a camera that looks level: ``turned`` gives the next ones of the first r recordings from those before sample i."""
+    out, q = np.empty((*p.dt.shape, 4)), np.tile(START, (len(p.n), 1))
+    for i, r in enumerate(p.running()):
+        q[:r] = R.normalised(turned(q[:r], i, r))
+        out[:r, i] = q[:r]
+    return p.unpacked(out)
 
 
-def gyro_accel(s: Samples, early_ms: float = 15_000.0) -> np.ndarray:
+def _change(q: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """By how much orientations change in a second."""
+    return 0.5 * R.product(q, np.concatenate([np.zeros((len(rate), 1)), rate], 1))
+
+
+def gyro_only(recordings: list[Samples]) -> list[np.ndarray]:
+    """Product of the turns of all samples."""
+    p = Pack.of(recordings)
+    turns = R.exp_map(p.gyro * p.dt[..., None])
+    return _stepped(p, lambda q, i, r: R.product(q, turns[:r, i]))
+
+
+def gyro_accel(recordings: list[Samples], early_ms: float = 15_000.0) -> list[np.ndarray]:
     """Turns by the gyro, then towards the measured direction of gravity; faster in the first ``early_ms``."""
-    gyro, acc, t = s.gyro, s.acc, s.t
-    norm = np.linalg.norm(acc, axis=1)
-    out, q = np.empty((len(t), 4)), START
-    for i, dt in enumerate(s.steps):
-        rate = np.radians(gyro[i])
-        if norm[i] > 0:
-            a = acc[i] / norm[i]
-            up = R.product(R.product(R.inverse(q), np.array([0.0, 0.0, 0.0, 1.0])), q)[1:]
-            rate = rate + np.cross(a, up) * (10.0 if t[i] - s.start_us < early_ms * 1000 else 0.6)
-        q = R.product(q, R.exp_map(rate * dt))
-        q = q / np.linalg.norm(q)
-        out[i] = q
-    return out
-
-
-def mahony(s: Samples, kp: float = 0.5, ki: float = 0.0) -> np.ndarray:
+    p = Pack.of(recordings)
+    down, gain = fusion.unit(p.acc), np.full((*p.dt.shape, 1), 0.6)
+    for i, k in enumerate(p.order.tolist()):
+        early = recordings[k].t - recordings[k].start_us < early_ms * 1000
+        gain[i, : len(early), 0][early] = 10.0
+
+    def turned(q: np.ndarray, i: int, r: int) -> np.ndarray:
+        up = R.product(R.product(R.inverse(q), np.array([0.0, 0.0, 0.0, 1.0])), q)[:, 1:]
+        rate = p.gyro[:r, i] + fusion.cross(down[:r, i], up) * gain[:r, i]
+        return R.product(q, R.exp_map(rate * p.dt[:r, i, None]))
+
+    return _stepped(p, turned)
+
+
+def mahony(recordings: list[Samples], kp: float = 0.5, ki: float = 0.0) -> list[np.ndarray]:
     """Complementary filter on the rotation group: proportional and integral feedback of the gravity error (Mahony 2008)."""
-    gyro, acc, t = s.gyro, s.acc, s.t
-    norm = np.linalg.norm(acc, axis=1)
-    out, q, bias = np.empty((len(t), 4)), START, np.zeros(3)
-    for i, dt in enumerate(s.steps):
-        rate = np.radians(gyro[i])
-        if norm[i] > 0:
-            w, x, y, z = q
-            error = np.cross(acc[i] / norm[i], [2 * (x * z - w * y), 2 * (w * x + y * z), w * w - x * x - y * y + z * z])
-            bias = bias + ki * error * dt
-            rate = rate + kp * error + bias
-        q = q + 0.5 * dt * R.product(q, np.concatenate([[0.0], rate]))
-        q = q / np.linalg.norm(q)
-        out[i] = q
-    return out
-
-
-def madgwick(s: Samples, beta: float = 0.02) -> np.ndarray:
+    p = Pack.of(recordings)
+    down, bias = fusion.unit(p.acc), np.zeros((len(p.n), 3))
+
+    def turned(q: np.ndarray, i: int, r: int) -> np.ndarray:
+        w, x, y, z = q.T
+        dt, a = p.dt[:r, i, None], down[:r, i]
+        error = fusion.cross(a, np.stack([2 * (x * z - w * y), 2 * (w * x + y * z), w * w - x * x - y * y + z * z], 1))
+        bias[:r] += ki * error * dt
+        return q + dt * _change(q, p.gyro[:r, i] + np.where(a.any(1, keepdims=True), kp * error + bias[:r], 0))
+
+    return _stepped(p, turned)
+
+
+def madgwick(recordings: list[Samples], beta: float = 0.02) -> list[np.ndarray]:
     """Gradient descent on the gravity error (Madgwick 2010)."""
-    gyro, acc, t = s.gyro, s.acc, s.t
-    norm = np.linalg.norm(acc, axis=1)
-    out, q = np.empty((len(t), 4)), START
-    for i, dt in enumerate(s.steps):
-        change = 0.5 * R.product(q, np.concatenate([[0.0], np.radians(gyro[i])]))
-        if norm[i] > 0:
-            w, x, y, z = q
-            a = acc[i] / norm[i]
-            f = np.array([2 * (x * z - w * y) - a[0], 2 * (w * x + y * z) - a[1], 1 - 2 * (x * x + y * y) - a[2]])
-            jac = np.array([[-2 * y, 2 * z, -2 * w, 2 * x], [2 * x, 2 * w, 2 * z, 2 * y], [0.0, -4 * x, -4 * y, 0.0]])
-            step = jac.T @ f
-            length = np.linalg.norm(step)
-            change = change - beta * step / length if length > 0 else change
-        q = q + change * dt
-        q = q / np.linalg.norm(q)
-        out[i] = q
-    return out
-
-
-# Method numbers of recordings' settings.
-INTEGRATORS: dict[int, Callable[[Samples], np.ndarray]] = {
-    1: lambda s: fusion.complementary([s])[0],
-    2: lambda s: fusion.fused([s])[0],
-    3: gyro_only,
-    4: gyro_accel,
-    5: mahony,
-    6: madgwick,
-}
-# These methods step many recordings at once.
-TOGETHER: dict[int, Callable[[list[Samples]], list[np.ndarray]]] = {1: fusion.complementary, 2: fusion.fused}
+    p = Pack.of(recordings)
+    down = fusion.unit(p.acc)
+
+    def turned(q: np.ndarray, i: int, r: int) -> np.ndarray:
+        w, x, y, z = q.T
+        a = down[:r, i]
+        f, g, h = 2 * (x * z - w * y) - a[:, 0], 2 * (w * x + y * z) - a[:, 1], 1 - 2 * (x * x + y * y) - a[:, 2]
+        step = np.stack([2 * (x * g - y * f), 2 * (z * f + w * g) - 4 * x * h, 2 * (z * g - w * f) - 4 * y * h, 2 * (x * f + y * g)], 1)
+        return q + (_change(q, p.gyro[:r, i]) - beta * np.where(a.any(1, keepdims=True), fusion.unit(step), 0)) * p.dt[:r, i, None]
+
+    return _stepped(p, turned)
+
+
+# Method numbers of recordings' settings; each steps many recordings at once.
+TOGETHER: dict[int, Callable[[list[Samples]], list[np.ndarray]]] = {1: fusion.complementary, 2: fusion.fused, 3: gyro_only, 4: gyro_accel, 5: mahony, 6: madgwick}
+INTEGRATORS: dict[int, Callable[[Samples], np.ndarray]] = {method: lambda s, f=f: f([s])[0] for method, f in TOGETHER.items()}
 PACK_CELLS = 200_000  # samples of a pack, those that fill up shorter recordings included; one longer recording is a pack
 # Fixed values.
 ZERO_FILLED = (2,)  # other methods leave samples without gyro out
@@ -150,13 +142,8 @@ def integrate(imu: DataFrame, method: int = 3, duration_ms: float | None = None)
             v[~v[:, 3:].any(axis=1), 3] = LEAST
         return Samples(_camera(v[:, :3]), _camera(v[:, 3:]), c["ts_us"].astype(np.int64), float(c["_start"][0]), float(c["_whole"][0]))
 
-    columns_in = [*columns, "_start", "_whole"]
-    df = df.select(*BY, "ts_us", *columns_in)
-    if method in TOGETHER:
-        out = _together(df, samples, TOGETHER[method])
-    else:
-        run = lambda c: dict(zip("wxyz", INTEGRATORS[method](samples(c)).T, strict=True))
-        out = R.per_recording(df, columns_in, run, list("wxyz"))
+    df = df.select(*BY, "ts_us", *columns, "_start", "_whole")
+    out = _together(df, samples, TOGETHER[method])
     return out.select(*BY, "ts_us", F.struct(*"wxyz").alias("q"))
 
 
@@ -165,7 +152,7 @@ def _together(df: DataFrame, samples: Callable[[dict[str, np.ndarray]], Samples]
 
     def solved(pack: list[pd.DataFrame]) -> pd.DataFrame:
         held = [samples({c: x[c].to_numpy() for c in x.columns}) for x in pack]
-        return pd.concat([x[[*BY, "ts_us"]].assign(**dict(zip("wxyz", q.T, strict=True))) for x, q in zip(pack, f(held), strict=True)])
+        return pd.concat(pack, ignore_index=True)[[*BY, "ts_us"]].assign(**dict(zip("wxyz", np.concatenate(f(held)).T, strict=True)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack: list[pd.DataFrame] = []

@@ -244,3 +244,34 @@ def test_recordings_stay_whole_in_packs(spark, monkeypatch, method):
         own = orient.Samples(orient._camera(gyro)[use], orient._camera(r.acc)[use], r.t[use], -span * (n + 1) / n / n * 1e6, span * (n + 1) / n)
         want = orient.INTEGRATORS[method](own)
         assert np.allclose([[got[k, t][c] for c in "wxyz"] for t in r.t[use].tolist()], want, atol=1e-9)
+
+
+def plain_steps(method, s):
+    """Methods 3 to 6 on one recording, sample by sample."""
+    norm, out, q = np.linalg.norm(s.acc, axis=1), [], orient.START
+    for i, dt in enumerate(np.diff(s.t.astype(float), prepend=s.start_us) / 1e6):
+        rate = np.radians(s.gyro[i])
+        w, x, y, z = q
+        a = s.acc[i] / norm[i] if norm[i] > 0 else None
+        up = np.array([2 * (x * z - w * y), 2 * (w * x + y * z), w * w - x * x - y * y + z * z])
+        if method == 4 and a is not None:
+            rate = rate + np.cross(a, up) * (10.0 if s.t[i] - s.start_us < 15e6 else 0.6)
+        if method == 5 and a is not None:
+            rate = rate + 0.5 * np.cross(a, up)
+        change = 0.5 * R.product(q, np.array([0.0, *rate]))
+        if method == 6 and a is not None:
+            f = np.array([2 * (x * z - w * y) - a[0], 2 * (w * x + y * z) - a[1], 1 - 2 * (x * x + y * y) - a[2]])
+            step = np.array([[-2 * y, 2 * z, -2 * w, 2 * x], [2 * x, 2 * w, 2 * z, 2 * y], [0.0, -4 * x, -4 * y, 0.0]]).T @ f
+            change = change - 0.02 * step / np.linalg.norm(step)
+        q = q + change * dt if method > 4 else R.product(q, R.exp_map(rate * dt))
+        q = q / np.linalg.norm(q)
+        out.append(q)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("method", [3, 4, 5, 6])
+def test_packs_step_as_single_recordings_do(method):
+    """Recordings of several lengths, one of a single sample, one with samples without acceleration, one beyond the early seconds."""
+    held = [*mixed_pack(), recording(seconds=40.0, rate=20.0, seed=9, noise=0.05)]
+    for got, s in zip(orient.TOGETHER[method](held), held, strict=True):
+        assert got == pytest.approx(plain_steps(method, s), abs=1e-9)
