@@ -20,13 +20,13 @@ PAIRS_SQL = """t AS (SELECT vec_id // 50 AS recording_id, vec_id % 50 * 20000 AS
 p AS (SELECT *, sqrt(x * x + y * y + z * z) AS a FROM t)"""
 
 
-def _through_the_lens(x: Column, y: Column, f: Column) -> tuple[Column, Column]:
-    """Pixels of a point of the ideal plane, through a fisheye lens."""
-    r = F.sqrt(x * x + y * y)
-    t = F.atan(r)
-    bent = t + sum(F.lit(k) * F.pow(t, F.lit(3.0 + 2 * i)) for i, k in enumerate(LENS))
-    s = F.when(r > 0, bent / r).otherwise(F.lit(1.0))
-    return x * s * f + 955.0, y * s * f + 545.0
+def _through_the_lens(points: Column) -> Column:
+    """Pixels of an array of points (x, y, f) of the ideal plane, through a fisheye lens; each step is worked out once for a point."""
+    r = F.transform(points, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["f"].alias("f"), F.sqrt(p["x"] * p["x"] + p["y"] * p["y"]).alias("r")))
+    t = F.transform(r, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["f"].alias("f"), p["r"].alias("r"), F.atan(p["r"]).alias("t")))
+    bent = lambda t: t + sum(F.lit(k) * F.pow(t, F.lit(3.0 + 2 * i)) for i, k in enumerate(LENS))
+    s = F.transform(t, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["f"].alias("f"), F.when(p["r"] > 0, bent(p["t"]) / p["r"]).otherwise(F.lit(1.0)).alias("s")))
+    return F.transform(s, lambda p: F.struct((p["x"] * p["s"] * p["f"] + 955.0).alias("x"), (p["y"] * p["s"] * p["f"] + 545.0).alias("y")))
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -35,15 +35,15 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     v = [F.get("embedding", F.lit(i)).cast("double") / 10 for i in range(3)]
     turned = e.select(F.floor(F.col("vec_id") / 50).cast("long").alias("recording_id"), (F.col("vec_id") % 50 * 20_000).alias("ts_us"), "embedding", f.alias("f"), Q.from_scaled_axis(*v).alias("turn"))
 
-    def line(i: Column) -> Column:
-        x, y = (F.get("embedding", 2 * i + n).cast("double") for n in (0, 1))
-        seen = Q.rotate(F.col("turn"), x, y, F.lit(1.0))
-        wrong = F.when(i % 3 == 2, F.lit(0.1) + i * 0.01).otherwise(F.lit(0.0))
-        a, b = _through_the_lens(x, y, F.col("f")), _through_the_lens(seen["x"] / seen["z"] + wrong, seen["y"] / seen["z"] - wrong * wrong, F.col("f"))
-        return F.struct(*(c.alias(n) for c, n in zip((*a, *b), ("x1", "y1", "x2", "y2"), strict=True)))
+    n = F.sequence(F.lit(0), F.lit(31))
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"), F.col("f"))
+    first = F.transform(n, lambda i: point(*(F.get("embedding", 2 * i + k).cast("double") for k in (0, 1))))
+    seen = F.transform(first, lambda p, i: F.struct(i.alias("i"), Q.rotate(F.col("turn"), p["x"], p["y"], F.lit(1.0)).alias("v")))
+    wrong = lambda i: F.when(i % 3 == 2, F.lit(0.1) + i * 0.01).otherwise(F.lit(0.0))
+    second = F.transform(seen, lambda p: point(p["v"]["x"] / p["v"]["z"] + wrong(p["i"]), p["v"]["y"] / p["v"]["z"] - wrong(p["i"]) * wrong(p["i"])))
+    lines = F.zip_with(_through_the_lens(first), _through_the_lens(second), lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
 
     camera = warp.camera({"model": "opencv_fisheye", "k": F.array(*(F.lit(k) for k in LENS)), "fx": F.col("f"), "fy": F.col("f"), "cx": 955.0, "cy": 545.0, "width": 1920, "height": 1080})
-    lines = F.transform(F.sequence(F.lit(0), F.lit(31)), line)
     return turned.select("recording_id", "ts_us", (F.col("ts_us") + 20_000).alias("next_ts_us"), camera.alias("camera"), lines.alias("lines"))
 
 

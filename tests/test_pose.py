@@ -140,3 +140,19 @@ def test_estimated_rates_where_nothing_was_recorded(spark):
     got = sorted(((r["recording_id"], r["ts_us"], r["gx"]) for r in sync.or_estimated(recorded, estimated).collect()), key=str)
     assert got == [(1, 0, None), (1, 5, 1.0), (2, 7, 8.0), (4, 7, None)]
     assert sync.or_estimated(recorded.limit(0), estimated).count() == 3 and sync.or_estimated(recorded, estimated.limit(0)).count() == 2
+
+
+def test_points_of_the_query_are_worked_out_once(spark):
+    """The lens' angle stands in the plan once for each end of the matches, not once for each of its uses."""
+    from motionspark.plans import pose as plan
+    from tests.conftest import SF
+
+    assert plan.pairs(spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower().count("atan(") == 2
+
+
+def test_frames_of_several_lenses_together():
+    cameras = [LENS | {"model": m, "fx": 700.0 + 50 * i} for i, m in enumerate(("opencv_fisheye", "gopro", "opencv_fisheye", "poly3"))]
+    frames = [warp.Frame({"camera": warp.DEFAULTS | c, "times": None, "quats": None, "smooth": None}) for c in cameras]
+    pixels = [np.random.default_rng(i).uniform(0, 1080, (n, 2)) for i, n in enumerate((5, 0, 3, 7))]
+    for got, f, xy in zip(pose.rays(frames, pixels), frames, pixels, strict=True):
+        assert got == pytest.approx(pose.rays([f], [xy])[0], nan_ok=True) and got.shape == (len(xy), 3)
