@@ -101,7 +101,11 @@ def _summed(pairs: DataFrame, grid: Column, readout: bool) -> DataFrame:
                     costs.append(pair.costs(np.zeros(len(at)), at) if readout else pair.costs(at * 1000, still))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (*BY, "grid")), pa.array(costs, pa.list_(pa.int64()))], [*BY, "grid", "costs"])
 
-    each = pairs.select(*wanted, grid.alias("grid")).mapInArrow(run, "recording_id long, range long, grid array<double>, costs array<long>")
+    # Pairs are few bytes and much work: without a fixed number adaptive execution would put them into a few tasks.
+    spark = pairs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    spread = pairs.select(*wanted, grid.alias("grid")).repartition(tasks, *BY, "ts_us")
+    each = spread.mapInArrow(run, "recording_id long, range long, grid array<double>, costs array<long>")
     nth = each.select(*BY, F.posexplode(F.arrays_zip("grid", "costs")).alias("n", "v"))
     return nth.groupBy(*BY, "n").agg(F.first("v.grid").alias("at"), F.sum("v.costs").alias("cost"))
 

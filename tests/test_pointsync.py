@@ -138,3 +138,14 @@ def test_costs_with_a_smoothed_way_null_lines_and_a_missing_recording(spark):
     assert costs[2, 0][0][0] == costs[2, 0][0][1] != costs[1, 0][0][0]
     want = plain([rows[1]], [16.0, 16.0], [0.0, 1.0], lambda at: sampled(at) * [1, -1, -1, -1])
     assert costs[1, 1][0] == want
+
+
+def test_pairs_are_spread_over_tasks(spark):
+    """A few bytes, but much work: adaptive execution must not put the pairs into one task."""
+    from motionspark.plans import pose as plan
+    from tests.conftest import SF
+
+    made, q = plan.matched(spark, SF)
+    costs = pointsync._summed(pointsync.with_orientations(made, q, q, 12_000), F.array(F.lit(0.0), F.lit(1.0)), False)
+    text = costs._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in text.split("MapInArrow")[1]
