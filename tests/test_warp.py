@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from motionspark import session
 from motionspark.operators import warp, zoomlimit
+from motionspark.plans import warp as warp_plans
 
 QUAT = "struct<w: double, x: double, y: double, z: double>"
 
@@ -148,3 +150,18 @@ def test_zoom_limit_by_hand(spark):
 def test_narrowest(spark):
     one = spark.range(1).select(zoomlimit.narrowest(130.0, 1.5).alias("a"), zoomlimit.narrowest(130.0, 1.5, 3.0).alias("b"), zoomlimit.narrowest(F.lit(130.0), 1.5, 9.0).alias("c")).first()
     assert [round(1 / x, 9) for x in one] == [1.95, 2.925, 3.51]
+
+
+def test_zoom_limit_sends_no_table_through_the_driver(spark, monkeypatch):
+    """Frames, parts and samples grow with the input, so no round may broadcast one of them."""
+    plans, write = [], session.kept
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(zoomlimit, "kept", noted)
+    monkeypatch.setattr(warp_plans, "kept", noted, raising=False)
+    warp_plans.zom05(spark, "/root/testdata/sf0.001").count()
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+    assert sum("part.parquet" in p for p in plans) == 1
