@@ -19,6 +19,7 @@ expands into all its pairs, while no link between different components is lost.
 
 Before texts are fetched, sketches bound each pair: elements fall into parts by hash, and sets that differ in
 more parts than the threshold allows differing elements cannot be linked.  The join of the last round itself
+takes a pair only from lists that can be those of its first common element, by the places in the total order, and
 compares the parities of the counts in 256 parts, the rest of the pairs one byte for each of more parts.
 """
 
@@ -227,6 +228,12 @@ def _possible(a: str, b: str, percent: int):
     return (small * 100 >= big * percent) & F.when(F.col(f"{a}.light"), need <= F.col(f"{a}.at")).otherwise((rest >= 1) & (need <= small))
 
 
+def _first_in_common(a: str, b: str, percent: int):
+    """The shared list can be that of the first common element: enough elements follow in both sets, the shared one included."""
+    need = F.ceil(F.lit(percent) * (F.col(f"{a}.n") + F.col(f"{b}.n")) / F.lit(100 + percent))
+    return F.least(F.col(f"{a}.n") - F.col(f"{a}.at"), F.col(f"{b}.n") - F.col(f"{b}.at")) >= need
+
+
 def _few_odd(a: str, b: str, percent: int):
     """Parities differ in no more parts than linked sets may differ in elements."""
     need = F.ceil(F.lit(percent) * (F.col(f"{a}.n") + F.col(f"{b}.n")) / F.lit(100 + percent))
@@ -356,7 +363,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     a, b = rest.where("above = 0").alias("a"), rest.alias("b")
     once = (F.col("b.above") == 1) | (F.col("a.doc_id") < F.col("b.doc_id"))
     same = (F.col("a.key") == F.col("b.key")) & (F.col("a.band") == F.col("b.band"))
-    pairs = a.join(b, same & once & (F.col("a.comp") != F.col("b.comp")) & _possible("a", "b", percent) & _few_odd("a", "b", percent))
+    pairs = a.join(b, same & once & (F.col("a.comp") != F.col("b.comp")) & _possible("a", "b", percent) & _first_in_common("a", "b", percent) & _few_odd("a", "b", percent))
     pairs = pairs.select(F.least("a.doc_id", "b.doc_id").alias("u"), F.greatest("a.doc_id", "b.doc_id").alias("v")).distinct()
     more = linked(pairs.join(star.select("u", "v"), ["u", "v"], "left_anti"))
     shared.forget(lists, rest, star, reps)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from itertools import combinations
 
@@ -229,3 +230,24 @@ def test_lines_of_repeated_doc_ids(spark):
     assert got(rows) == got(rows[::-1]) == [(1, b, 1, 0, 0), (1, a, 1, 0, 0), (2, "", 1, 0, 1)]
     rows = [(0, a), (1, a), (1, b), (1, b), (3, b)]
     assert got(rows) == got(rows[::-1]) == [(0, a, 1, 0, 0), (1, "", 1, 1, 0), (1, b, 1, 0, 0), (1, b, 1, 0, 0), (3, "", 1, 1, 0)]
+
+
+def test_last_round_takes_a_pair_from_lists_of_its_first_common_element(spark, monkeypatch):
+    """Texts of passages from one pool share many lists far down their orders; none of those pairs is a candidate."""
+    rng = random.Random(8)
+    pool = [" ".join(f"w{k}x{i}" for i in range(12)) for k in range(60)]
+    rows = [(k, " ".join(rng.sample(pool, 12))) for k in range(200)]
+    base = rng.sample(pool, 12)
+    rows += [(900 + k, " ".join([*base, *(f"n{k}y{i}" for i in range(k))])) for k in range(8)]
+    asked, first = [], jaccard_join._close
+
+    def noted(pairs, sketches, percent):
+        asked.append(pairs.count())
+        return first(pairs, sketches, percent)
+
+    monkeypatch.setattr(jaccard_join, "_close", noted)
+    monkeypatch.setattr(jaccard_join, "_few_odd", lambda a, b, percent: F.lit(True))
+    got = jaccard_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()
+    want = brute_join(rows, 3, 80)
+    assert sorted(map(tuple, got)) == sorted(want) and len({r[2] for r in want}) < len(rows)
+    assert asked[-1] < 200
