@@ -40,7 +40,7 @@ WINDOWS = (1, 3, 8, 24, 64)
 DISCOUNT = 3.0  # estimated from counts of ones and twos it is 0.85: held-out AUC 0.93 in place of 0.995
 TOXIC_FROM = 0.7
 BLOCK = 1_500_000  # words or pairs that a task counts together
-LABELLED = 12_000  # labelled texts of each class that the models are fitted on at most
+PARTS = 4  # of the labelled texts' pairs, counted one after the other, so that a quarter of them is on disk at a time
 EDGE = bytes(range(0x21, 0x30)) + b":;<=>?@[\\]^_`{|}~"
 START = np.uint64(0)  # stands before the first word
 ORDINARY, TOXIC = 1, 2
@@ -61,8 +61,8 @@ def _before(offsets: np.ndarray, w: np.ndarray, start) -> np.ndarray:
     return v
 
 
-def _pairs(texts: DataFrame) -> DataFrame:
-    """(kind, v, w, n) of (kind, text): how often w follows v."""
+def _pairs(texts: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
+    """(kind, v, w, n) of (kind, text): how often w follows v; of ``parts`` parts of all w the one numbered ``part``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
@@ -71,6 +71,9 @@ def _pairs(texts: DataFrame) -> DataFrame:
                 continue
             w = hashes(words)[codes]
             v, kind = _before(offsets, w, START), np.repeat(b.column(0).to_numpy(), np.diff(offsets))
+            if parts > 1:
+                mine = w % np.uint64(parts) == part
+                v, w, kind = v[mine], w[mine], kind[mine]
             _, first, n = np.unique(mix(v * MULTIPLIERS[0] + w * MULTIPLIERS[1] + kind.astype(np.uint64)), return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kind[first].astype(np.int32), v[first].view(np.int64), w[first].view(np.int64), n.astype(np.int64))], ["kind", "v", "w", "n"])
 
@@ -102,20 +105,28 @@ def corpus_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def _found(keys: np.ndarray, wanted: np.ndarray, other: int) -> np.ndarray:
+    """Places of hashes among sorted keys; ``other`` for those that are not there."""
+    if not len(keys):
+        return np.full(len(wanted), other, np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, other).astype(np.int64)
+
+
 def corpus_followers(docs: DataFrame, contexts: np.ndarray) -> DataFrame:
     """(context, m): how many distinct words follow each of the contexts (hashes) in the corpus; contexts by their place."""
     shared_in = docs.sparkSession.sparkContext.broadcast(contexts)
 
     def find(batches):
-        places = {k: i for i, k in enumerate(shared_in.value.tolist())}
-        start, found, size = places.get(int(START), -1), [], 0
+        places = shared_in.value
+        start, found, size = _found(places, np.array([START]), -1)[0], [], 0
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], ["pair"])
         for b in slices(batches, 0):
             offsets, codes, words = _words(b.column(0))
             if not len(codes):
                 continue
             h = hashes(words)
-            place = np.fromiter((places.get(k, -1) for k in h.tolist()), np.int64, len(h))
+            place = _found(places, h, -1)
             v = _before(offsets, place[codes], start)
             w = (h & np.uint64((1 << FOLLOWER_BITS) - 1)).astype(np.int64)[codes]
             found.append(np.unique(v[v >= 0] << FOLLOWER_BITS | w[v >= 0]))
@@ -160,15 +171,28 @@ def _places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.searchsorted(keys, wanted.view(np.uint64))
 
 
-def fit_models(docs: DataFrame, words: DataFrame, counts: DataFrame, discount: float) -> Models:
-    """From the corpus, its words (key, n) and the class pairs (kind, v, w, n)."""
+def _seen(counts: DataFrame, discount: float) -> tuple[pa.Table, pa.Table, np.ndarray]:
+    """Of class pairs (kind, v, w, n), with all those before a w or none: words (key, o, t) by their distinct words before, pairs
+    (v, w, o, t) by their counts, where a discounted one is left, and the sums of the words' o and t."""
     d = F.lit(discount)
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x).otherwise(0)).cast("double")
     over = lambda c: F.greatest(F.col(c) - d, F.lit(0.0))
     before = counts.groupBy(F.col("w").alias("key")).agg(of(ORDINARY, 1).alias("o"), of(TOXIC, 1).alias("t")).select("key", over("o").alias("o"), over("t").alias("t"))
-    z = before.agg(F.sum("o"), F.sum("t")).first()
-    often = counts.where(F.col("n") > d).groupBy("v", "w").agg(of(ORDINARY, over("n")).alias("o"), of(TOXIC, over("n")).alias("t")).toArrow()
     before = before.where("o > 0 OR t > 0").toArrow()
+    often = counts.where(F.col("n") > d).groupBy("v", "w").agg(of(ORDINARY, over("n")).alias("o"), of(TOXIC, over("n")).alias("t")).toArrow()
+    return before, often, np.array([before.column(c).to_numpy().sum() for c in ("o", "t")])
+
+
+def fit_models(docs: DataFrame, words: DataFrame, counts: DataFrame | list[DataFrame], discount: float) -> Models:
+    """From the corpus, its words (key, n) and the class pairs (kind, v, w, n), or parts of them by w, each of which is counted on its own."""
+    d = F.lit(discount)
+    parts = []
+    for c in counts if isinstance(counts, list) else [counts]:
+        ngrams = shared.keep(c, "ngrams")
+        parts.append(_seen(ngrams, discount))
+        shared.forget(ngrams)
+    before, often = (pa.concat_tables([p[i] for p in parts]) for i in (0, 1))
+    z = sum(p[2] for p in parts)
     v, w = (often.column(c).to_numpy() for c in ("v", "w"))
     keys = np.unique(np.concatenate([before.column("key").to_numpy(), v, w]).view(np.uint64))
     size = len(keys) + 1
@@ -177,7 +201,7 @@ def fit_models(docs: DataFrame, words: DataFrame, counts: DataFrame, discount: f
     mass = words.where(is_word).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.sum(F.least(F.col("n"), d))).first()
     gamma = float(min(0.99, max(0.01, (mass[2] or 0) / max(1, mass[0]))))
     own = words.sparkSession.createDataFrame(pa.table({"key": keys.view(np.int64)}))
-    found = words.join(F.broadcast(own), "key").select("key", "n").toArrow()
+    found = words.join(own, "key").select("key", "n").toArrow()
     n, m = np.zeros(size), np.zeros(size)
     n[_places(keys, found.column("key").to_numpy())] = found.column("n").to_numpy()
     contexts = np.unique(v.view(np.uint64))
@@ -206,11 +230,11 @@ def _features(model):
 
     def score(batches):
         models = model.value
-        places, other = {k: i for i, k in enumerate(models.keys.tolist())}, len(models.keys)
-        start = places.get(int(START), other)
+        other = len(models.keys)
+        start = _found(models.keys, np.array([START]), other)[0]
         for b in slices(batches, -1):
             offsets, codes, words = _words(b.column(-1))
-            w = np.fromiter((places.get(k, other) for k in hashes(words).tolist()), np.int64, len(words))[codes] if len(codes) else codes
+            w = _found(models.keys, hashes(words), other)[codes] if len(codes) else codes
             ratio = models.log_ratio(_before(offsets, w, start), w) if len(w) else np.zeros(0)
             out = np.zeros((b.num_rows, 2 + len(WINDOWS)))
             for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
@@ -241,17 +265,53 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.n
     return w, mean, std
 
 
+def fit_logistic_on(rows: DataFrame, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``fit_logistic`` of (f, y), whose sums are taken in the tasks; the driver gets a few numbers of each."""
+
+    def summed(work) -> np.ndarray:
+        def part(batches):
+            total = None
+            for b in batches:
+                if b.num_rows:
+                    out = work(b.column(0).flatten().to_numpy().reshape(b.num_rows, -1), b.column(1).to_numpy().astype(np.float64))
+                    total = out if total is None else total + out
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total])], ["s"])
+
+        return np.sum([r[0] for r in rows.select("f", "y").mapInArrow(part, "s array<double>").collect()], axis=0)
+
+    first = summed(lambda x, y: np.concatenate([[len(x)], x.sum(axis=0)]))
+    mean = first[1:] / first[0]
+    std = np.sqrt(summed(lambda x, y: ((x - mean) ** 2).sum(axis=0)) / first[0])
+    std = np.where(std > 1e-9, std, 1.0)
+    k = len(mean) + 1
+    w, penalty = np.zeros(k), np.diag([ridge] * (k - 1) + [1e-3])
+    for _ in range(30):
+
+        def slopes(x, y, w=w):
+            z = np.column_stack([(x - mean) / std, np.ones(len(x))])
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            return np.concatenate([((z * (p * (1 - p))[:, None]).T @ z).ravel(), z.T @ (y - p)])
+
+        sums = summed(slopes)
+        step = np.linalg.solve(sums[: k * k].reshape(k, k) + penalty, sums[k * k :] - penalty @ w)
+        w = w + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w, mean, std
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, discount: float = DISCOUNT, also: tuple[str, ...] = ()) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, discount: float = DISCOUNT, also: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, *also, score) for each row of ``docs`` (doc_id, text, ...), from ``labels`` (doc_id, toxic).
 
     ``also`` names columns of ``docs``, other than f and score, that are handed on.
 
-    Labels of held-out doc_ids are never read.  Of the others at most ``labelled`` a class, chosen by hash,
-    fit the models; two thirds of these are counted and one third fits the logistic curve.  The corpus
+    Labels of held-out doc_ids are never read.  All others fit the models: two thirds of these texts, by hash, are counted
+    and one third fits the logistic curve.  The corpus
     counts cover every word of every text.  Null and empty texts get a score from a zero ratio.  A doc_id labelled more
     than once is toxic if one of its labels says so.  Without labels of both classes the score is the share
     of toxic labels, or 0 without any.  Other columns are not read.  An empty table gives no rows.
@@ -260,34 +320,29 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED,
     docs = every.select("doc_id", "text")
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~F.coalesce(held_out(), F.lit(True)))
     known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.withColumn("h", F.xxhash64("id", F.lit(6)))
-    chosen = known.where("toxic = 1").orderBy("h", "id").limit(labelled).unionByName(known.where("toxic = 0").orderBy("h", "id").limit(labelled))
-    chosen = shared.keep(chosen.withColumn("fits", F.pmod("h", F.lit(3)) == 0), "labelled")  # 2 * labelled rows at most
+    known = shared.keep(known.withColumn("fits", F.pmod(F.xxhash64("id", F.lit(6)), F.lit(3)) == 0), "labelled")
 
-    seen = chosen.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("fits")).alias("fits")).collect()
+    seen = known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("fits")).alias("fits")).collect()
+    total = sum(r["n"] for r in seen)
+    share = sum(r["n"] for r in seen if r["toxic"] == 1) / total if total else 0.0
     if len(seen) < 2 or any(r["fits"] == 0 or r["fits"] == r["n"] for r in seen):
-        total = sum(r["n"] for r in seen)
-        share = sum(r["n"] for r in seen if r["toxic"] == 1) / total if total else 0.0
         return every.select("doc_id", *also, F.lit(share).alias("score"))
 
     words = shared.keep(corpus_words(docs), "words")
-    counted = docs.join(F.broadcast(chosen.where("not fits")), F.col("doc_id") == F.col("id"))
-    counted = counted.select(F.when(F.col("toxic") == 1, TOXIC).otherwise(ORDINARY).alias("kind"), "text")
-    ngrams = shared.keep(_pairs(counted), "ngrams")
-    models = fit_models(docs, words, ngrams, discount)
-    shared.forget(words, ngrams)
+    # The planner broadcasts the labels while they are few.
+    counted = docs.join(known.where("not fits"), F.col("doc_id") == F.col("id"))
+    counted = shared.keep(counted.select(F.when(F.col("toxic") == 1, TOXIC).otherwise(ORDINARY).alias("kind"), "text"), "counted")
+    models = fit_models(docs, words, [_pairs(counted, k, PARTS) for k in range(PARTS)], discount)
+    shared.forget(words, counted)
     model = docs.sparkSession.sparkContext.broadcast(models)
 
     features = shared.keep(every.mapInArrow(_features(model), StructType([*every.schema.fields[:-1], StructField("f", ArrayType(DoubleType()))])), "ratios")
-    fit = features.join(F.broadcast(chosen.where("fits")), F.col("doc_id") == F.col("id")).select("f", "toxic").toArrow()
-    x, y = np.array(fit.column("f").to_pylist()), fit.column("toxic").to_numpy().astype(np.float64)
-    share = dict((r["toxic"], r["n"]) for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect())
-    if not len(x):
-        return every.select("doc_id", *also, F.lit(share[1] / (share[0] + share[1])).alias("score"))
-    w, mean, std = fit_logistic(x, y)
-    # The chosen texts hold both classes in other shares than all labelled ones do.
-    prior = np.log(share[1] / share[0]) - np.log(max(1, y.sum()) / max(1, (1 - y).sum()))
-    z = F.lit(float(w[-1] + prior))
-    for i in range(x.shape[1]):
+    fit = shared.keep(features.join(known.where("fits"), F.col("doc_id") == F.col("id")).select("f", F.col("toxic").cast("double").alias("y")), "fit")
+    if fit.isEmpty():
+        return every.select("doc_id", *also, F.lit(share).alias("score"))
+    w, mean, std = fit_logistic_on(fit)
+    shared.forget(fit)
+    z = F.lit(float(w[-1]))
+    for i in range(len(mean)):
         z = z + F.lit(float(w[i] / std[i])) * (F.get("f", F.lit(i)) - F.lit(float(mean[i])))
     return features.select("doc_id", *also, (1 / (1 + F.exp(-z))).alias("score"))

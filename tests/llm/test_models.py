@@ -80,6 +80,35 @@ def test_toxicity_ratios_are_those_of_all_words_and_pairs(spark):
         assert got == pytest.approx(want, abs=1e-9)
 
 
+def test_toxicity_learns_from_every_label_that_is_not_held_out(spark, monkeypatch):
+    """More ordinary texts than any sample took: each is counted or fits the curve."""
+    texts = [(k, f"plain w{k % 50} x{k % 7} y{k % 11}" + (" vile rot" if k % 50 == 0 else "")) for k in range(19_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    labels = docs.select("doc_id", (F.col("doc_id") % 50 == 0).cast("int").alias("toxic"))
+    counted, fitted, pairs, fit = [], [], toxicity._pairs, toxicity.fit_logistic_on
+    monkeypatch.setattr(toxicity, "_pairs", lambda t, *part: counted.append(t.count()) or pairs(t, *part))
+    monkeypatch.setattr(toxicity, "fit_logistic_on", lambda rows: fitted.append(rows.count()) or fit(rows))
+    out = toxicity.score_toxicity(docs, labels).join(labels, "doc_id").select("score", "toxic").collect()
+    known = labels.where(~toxicity.held_out()).count()
+    assert known > 12_400 and set(counted) == {known - fitted[0]} and 0.3 < fitted[0] / known < 0.37
+    assert len(out) == 19_000 and auc(*zip(*out, strict=True)) > 0.99
+
+
+def test_toxicity_curve_and_parts_are_those_of_one_table(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(900, 3)) * [1, 5, 0.1] + 2, rng.integers(0, 2, 900).astype(float)
+    x[:, 0] += y
+    rows = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y, strict=True)], "f array<double>, y double").repartition(5)
+    for a, b in zip(toxicity.fit_logistic_on(rows), toxicity.fit_logistic(x, y), strict=True):
+        assert a == pytest.approx(b, abs=1e-7)
+    texts = spark.createDataFrame([(k % 2 + 1, " ".join(f"v{i}" for i in rng.integers(0, 30, 80))) for k in range(60)], "kind int, text string")
+    words = toxicity.corpus_words(texts)
+    one, many = (toxicity.fit_models(texts, words, c, 3.0) for c in (toxicity._pairs(texts), [toxicity._pairs(texts, k, 3) for k in range(3)]))
+    assert len(one.pair_keys) > 10
+    for name in ("keys", "backoff", "pair_keys", "word", "total", "pair"):
+        assert np.array(getattr(one, name)) == pytest.approx(np.array(getattr(many, name)))
+
+
 def test_toxicity_edge_cases(spark, docs, clashing, none):
     labels = spark.createDataFrame([(k * 3, int(k % 4 == 0)) for k in range(60)] + [(None, 1)], "doc_id long, toxic int")
     nobody = labels.limit(0)
