@@ -1,13 +1,15 @@
 """Hard negatives by a block matrix multiply: score tiles from shards of rows and of dimensions.
 
-Vectors become integers.  Rows fall into blocks of about ROWS, anchors into blocks of about ANCHORS; each (row block,
-anchor block, chunk of dimensions) is one group that multiplies its two panels into a partial int64 score tile, and the
-partial tiles of a (row block, anchor block) are shuffled together and added.  Every tile is reduced to its top-k per
-anchor or per anchor-positive window before anything else is shuffled.
+Vectors become integers.  Rows fall into blocks of about ROWS, anchors into blocks of about ANCHORS; a block is a row of a table
+and holds a panel for each chunk of dimensions.  A tile is a pair of blocks: it stays where it is made, and the
+products of its panels are added to it one chunk after the other.  Blocks are paired by a Cartesian product that reads
+both tables from the shared folder, so neither panels nor scores are shuffled, and disk grows with the input, not with its square.
+A task goes through the tiles of some row blocks and at most HELD anchor blocks and keeps the top-k per anchor, or per
+anchor-positive window; only those are shuffled.
 
-Two products are made: of anchors with the rows of their own label, for the positives, and of anchors with all rows, for
-the negatives in the window of each positive's score.  A task holds one tile and no more than CHUNKS partials of it,
-whatever the number of rows; a label that holds most rows only has more blocks.
+Two products are made: of anchors with the blocks that hold rows of their label, for the positives, and of anchors with all rows, for
+the negatives in the window of each positive's score.  A task holds one tile, whatever the number of rows; a label with
+many rows has blocks of its own, the others share blocks.
 
 Cases: rows with a null label or vector, or with a null or non-finite component, take no part; nor do those whose
 scores may not fit a long (quantised components whose sizes sum up to more than 2^31).  An empty vector has the score 0 with all
@@ -18,8 +20,7 @@ Further columns are not read.  Without rows or anchors the result is empty.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ from pyspark.sql.window import Window
 
 from motionspark.llm import shared
 
-ROWS, ANCHORS = 1024, 256  # of a tile: 2 MB of scores
-CHUNK_DIMS, CHUNKS = 32, 4  # dimensions of a partial product, more where a vector would have more than so many chunks
+ROWS, ANCHORS = 1024, 512  # of a tile: 4 MB of scores
+CELLS = 2**20  # of a block at most, where it has more than one row
+CHUNK_DIMS, CHUNKS = 32, 4  # dimensions of a panel, more where a vector would have more than so many chunks
+HELD, LONGEST, BATCH = 4, 256, 16  # anchor blocks and row blocks of a task at most; tiles that go to a Python worker at once
 NO_ID = np.iinfo(np.int64).max
 LEAST = np.iinfo(np.int64).min
 
@@ -47,22 +50,6 @@ def quantised(vectors: DataFrame, anchor: Column, scale: int) -> DataFrame:
     return shared.keep(rows.select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), "anchor", q.alias("q")), "vectors")
 
 
-def panels(rows: DataFrame, anchors: DataFrame, groups: list[str], dims: int) -> DataFrame:
-    """Rows and anchors, each copied to the tiles that it takes part in, cut into chunks of dimensions.
-
-    ``rows`` and ``anchors`` come with row_blocks and anchor_blocks, the numbers of blocks of their group.
-    """
-    step = max(CHUNK_DIMS, -(-dims // CHUNKS))
-    hashed = F.xxhash64("uid")
-    chunks = F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("q") / step).cast("int") - 1, F.lit(0))), lambda c: F.slice("q", c * step + 1, step))).alias("chunk", "part")
-    other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n: F.pmod(hashed, F.col(n)).cast("int")
-    left = rows.where("anchor_blocks > 0").select("*", chunks).select("*", own("row_blocks").alias("i"), other("anchor_blocks").alias("j"), F.lit(False).alias("side"))
-    right = anchors.select("*", chunks).select("*", other("row_blocks").alias("i"), own("anchor_blocks").alias("j"), F.lit(True).alias("side"))
-    columns = [*groups, "i", "j", "chunk", "side", "uid", "id", "label", "part", "windows"]
-    return left.withColumn("windows", F.lit(None).cast("array<bigint>")).select(*columns).unionByName(right.select(*columns))
-
-
 def matrix(part: pa.ChunkedArray) -> np.ndarray:
     """Lists of different lengths as the rows of a matrix, filled up with zeros."""
     part = part.combine_chunks()
@@ -72,105 +59,160 @@ def matrix(part: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T in integers; by floating point where every partial sum stays below 2^53, which is exact."""
-    width = max(a.shape[1], b.shape[1])
-    a, b = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
-    if float(np.abs(a).sum(1).max(initial=0)) * float(np.abs(b).max(initial=0)) < 2.0**53:
-        return np.rint(a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return a @ b.T
+def exact(a: list[np.ndarray], b: list[np.ndarray]) -> type:
+    """The numbers in which the products of panels can be added: floating point where every partial sum stays below 2^24 or 2^53."""
+    most = float(sum(np.abs(x.astype(np.int64)).sum(1) for x in a).max(initial=0)) * max(float(np.abs(x.astype(np.int64)).max(initial=0)) for x in b) if a and b else 0.0
+    return np.float32 if most < 2.0**24 else np.float64 if most < 2.0**53 else np.int64
 
 
-PARTIAL = "chunk int, row_uid array<long>, row_id array<long>, row_label array<long>, anchor_uid array<long>, anchor_id array<long>, anchor_label array<long>, windows array<array<long>>, scores binary"
+def product(a: np.ndarray, b: np.ndarray, kind: type | None = None) -> np.ndarray:
+    """a @ b.T, exactly; what one side lacks in width is zero."""
+    width, kind = min(a.shape[1], b.shape[1]), kind or exact([a], [b])
+    return a[:, :width].astype(kind) @ b[:, :width].astype(kind).T
+
+
+# uids, ids, labels and unnamed, whether a row has no id, are longs.
+BLOCK = "low long, high long, kind string, uids binary, ids binary, labels binary, unnamed binary, panels array<binary>, windows array<array<long>>"
+NAMES = ("uids", "ids", "labels", "unnamed")
 LONGS = pa.list_(pa.int64())
 
 
-def partial_tile(groups: list[str]) -> Callable[[pa.Table], pa.Table]:
-    """One chunk of one tile -> the product of its panels with what names their rows."""
-
-    def multiply(t: pa.Table) -> pa.Table:
-        t = t.sort_by("uid")
-        sides = t.column("side").to_numpy()
-        r, a = t.filter(pa.array(~sides)), t.filter(pa.array(sides))
-        keys = [*groups, "i", "j"]
-        if not r.num_rows or not a.num_rows:
-            r, a = r.slice(0, 0), a.slice(0, 0)
-        scores = product(matrix(a.column("part")), matrix(r.column("part")))
-        named = [("row_uid", r, "uid"), ("row_id", r, "id"), ("row_label", r, "label"), ("anchor_uid", a, "uid"), ("anchor_id", a, "id"), ("anchor_label", a, "label")]
-        columns = {k: t.column(k).slice(0, 1) for k in keys} | {"chunk": pa.array([t.column("chunk")[0].as_py()], pa.int32())}
-        columns |= {name: pa.array([side.column(c).to_pylist()], LONGS) for name, side, c in named}
-        columns |= {"windows": pa.array([a.column("windows").to_pylist()], pa.list_(LONGS)), "scores": pa.array([scores.tobytes()], pa.binary())}
-        return pa.table(columns)
-
-    return multiply
-
-
-def added(t: pa.Table) -> tuple[dict[str, list], np.ndarray]:
-    """The partial tiles of one tile, added; the first chunk has every row and anchor."""
-    whole = min(t.to_pylist(), key=lambda p: p["chunk"])
-    rows, anchors = np.array(whole["row_uid"], np.int64), np.array(whole["anchor_uid"], np.int64)
-    scores = np.zeros((len(anchors), len(rows)), np.int64)
-    for p in t.to_pylist():
-        r, a = (np.array(p[k], np.int64) for k in ("row_uid", "anchor_uid"))
-        scores[np.ix_(np.searchsorted(anchors, a), np.searchsorted(rows, r))] += np.frombuffer(p["scores"], np.int64).reshape(len(a), len(r))
-    return whole, scores
-
-
-def ids(values: list) -> np.ndarray:
-    return np.array([NO_ID if x is None else x for x in values], np.int64)
-
-
-def best_of(mask: np.ndarray, scores: np.ndarray, tie: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor, row) positions of the first k rows of each anchor inside the mask: higher scores first, then ``tie``."""
-    a, r = np.nonzero(mask)
-    order = np.lexsort((tie[r], -scores[a, r], a))
-    a, r = a[order], r[order]
-    rank = np.arange(len(a)) - np.searchsorted(a, a)
-    return a[rank < k], r[rank < k]
-
-
-def top_positives(k: int) -> Callable[[pa.Table], pa.Table]:
-    def top(t: pa.Table) -> pa.Table:
-        tile, s = added(t)
-        rid, ruid, auid = ids(tile["row_id"]), np.array(tile["row_uid"], np.int64), np.array(tile["anchor_uid"], np.int64)
-        mask = ruid != auid[:, None]
-        if s.shape[1] > 4 * k:  # no row below the k-th best of an anchor can be among its first k
-            mask &= s >= np.partition(np.where(mask, s, LEAST), s.shape[1] - k, axis=1)[:, [s.shape[1] - k]]
-        a, r = best_of(mask, s, np.argsort(np.argsort(rid, kind="stable")), k)
-        found = [tile["row_id"][x] for x in r.tolist()]
-        return pa.table({"anchor_uid": auid[a], "anchor_id": pa.array([tile["anchor_id"][x] for x in a.tolist()], pa.int64()), "other_id": pa.array(found, pa.int64()), "score": s[a, r]})
-
-    return top
-
-
-def top_negatives(k: int, low: int, high: int) -> Callable[[pa.Table], pa.Table]:
-    """Of each anchor-positive window the first k rows of other labels with low*p <= 100*score <= high*p."""
-
-    def top(t: pa.Table) -> pa.Table:
-        tile, s = added(t)
-        rid, auid = ids(tile["row_id"]), np.array(tile["anchor_uid"], np.int64)
-        differs = np.array(tile["row_label"], np.int64) != np.array(tile["anchor_label"], np.int64)[:, None]
-        tie, out = np.argsort(np.argsort(rid, kind="stable")), []
-        for w in range(max(map(len, tile["windows"]), default=0)):
-            p = [x[w] if len(x) > w else None for x in tile["windows"]]
-            lo = np.array([0 if x is None else -((-low * x) // 100) for x in p], np.int64)
-            hi = np.array([-1 if x is None else high * x // 100 for x in p], np.int64)
-            a, r = best_of(differs & (s >= lo[:, None]) & (s <= hi[:, None]), s, tie, k)
-            out.append((auid[a], np.full(len(a), w + 1), [tile["row_id"][x] for x in r.tolist()], s[a, r]))
-        columns = zip(*out, strict=True) if out else [[]] * 4
-        uid, window, other, score = ([x for part in c for x in part] for c in columns)
-        return pa.table({"anchor_uid": pa.array(uid, pa.int64()), "window": pa.array(window, pa.int32()), "other_id": pa.array(other, pa.int64()), "score": pa.array(score, pa.int64())})
-
-    return top
-
-
-def score_tiles(rows: DataFrame, anchors: DataFrame, groups: list[str], dims: int, reducer: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    """Multiply, add over the chunks of dimensions, reduce each tile."""
-    key = [*groups, "i", "j"]
-    fields = ", ".join([*(f"{g} long" for g in groups), "i int", "j int", PARTIAL])
-    p = panels(rows, anchors, groups, dims)
-    partial = p.groupBy(*key, "chunk").applyInArrow(partial_tile(groups), fields).where(F.size("anchor_uid") > 0)
-    return partial.groupBy(*key).applyInArrow(reducer, schema)
+def packed(step: int) -> Callable[[pa.Table], pa.Table]:
+    """The rows of a block -> one row with their panels, each ``step`` dimensions wide, in the smallest integers that hold them."""
+
+    def pack(t: pa.Table) -> pa.Table:
+        q, labels = matrix(t.column("q")), t.column("label").to_numpy()
+        kind = next(k for k in ("<i2", "<i4", "<i8") if not q.size or (np.iinfo(k).min <= q.min() and q.max() <= np.iinfo(k).max))
+        panels = [q[:, c : c + step].astype(kind).tobytes() for c in range(0, q.shape[1], step)]
+        columns = {"low": pa.array([labels.min()]), "high": pa.array([labels.max()]), "kind": pa.array([kind])}
+        named = t.column("uid"), t.column("id").fill_null(NO_ID), t.column("label"), t.column("id").is_null().cast(pa.int64())
+        columns |= {c: pa.array([v.to_numpy().tobytes()], pa.binary()) for c, v in zip(NAMES, named, strict=True)}
+        return pa.table(columns | {"panels": pa.array([panels], pa.list_(pa.binary())), "windows": pa.array([t.column("windows").to_pylist()], pa.list_(LONGS))})
+
+    return pack
+
+
+def blocks(rows: DataFrame, size: int, step: int, label: str) -> DataFrame:
+    """(uid, id, label, q, windows) in blocks of about ``size`` rows, as a table.  A label with fewer than half as many rows shares its blocks with others."""
+    counted = shared.keep(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= size / 2).select(F.col("label").alias("own"), "n"), "labels")
+    n = rows.count()
+    parts = F.ceil(F.coalesce(F.col("n"), F.lit(max(n, 1))) / size).cast("int")
+    placed = rows.join(counted, F.col("label") == F.col("own"), "left").withColumn("part", F.pmod(F.xxhash64("uid"), parts))
+    out = shared.keep(placed.select("own", "part", "uid", "id", "label", "q", "windows").groupBy("own", "part").applyInArrow(packed(step), BLOCK), label)
+    shared.forget(counted)
+    return out
+
+
+class Block:
+    """A row of ``blocks``, read from a struct column."""
+
+    def __init__(self, column: pa.StructArray, k: int):
+        self.fields, self.k = dict(zip((f.name for f in column.type), column.flatten(), strict=True)), k
+        self.uids, self.ids, self.labels, self.unnamed = (np.frombuffer(self.fields[c][k].as_buffer(), np.int64) for c in NAMES)
+
+    def panels(self) -> list[np.ndarray]:
+        kind = self.fields["kind"][self.k].as_py()
+        return [np.frombuffer(p.as_buffer(), kind).reshape(len(self.uids), -1) for p in self.fields["panels"][self.k]]
+
+    def windows(self) -> list[list[int]]:
+        return self.fields["windows"][self.k].as_py()
+
+
+def tile_of(anchors: Block, rows: Block) -> np.ndarray:
+    """Scores of two blocks, added up over the chunks of dimensions."""
+    a, r = anchors.panels(), rows.panels()
+    kind = exact(a, r)
+    scores = np.zeros((len(anchors.uids), len(rows.uids)), kind)
+    for x, y in zip(a, r):  # noqa: B905  what one side lacks is zero
+        scores += product(x, y, kind)
+    return scores
+
+
+class Best:
+    """Of an anchor block the first k rows of each anchor and window seen so far: higher scores first, then smaller ids."""
+
+    def __init__(self, anchors: Block, k: int, bounds: tuple[int, int] | None):
+        self.k, self.uids, self.ids, self.unnamed = k, anchors.uids, anchors.ids, anchors.unnamed
+        windows = anchors.windows() if bounds else [[0]] * len(self.uids)
+        n = max(map(len, windows), default=0)
+        low, high = bounds or (0, 0)
+        each = [[(None if len(x) <= w else x[w]) for x in windows] for w in range(n)]
+        # low*p <= 100*score <= high*p; without bounds any score.
+        self.low = np.array([[NO_ID if p is None else -((-low * p) // 100) if bounds else LEAST for p in x] for x in each], np.int64).reshape(n, -1)
+        self.high = np.array([[LEAST if p is None else high * p // 100 if bounds else NO_ID for p in x] for x in each], np.int64).reshape(n, -1)
+        self.low[self.low > self.high] = NO_ID
+        self.held = [[np.zeros(0, np.int64)] * 4 for _ in range(n)]  # place of the anchor, score, whether the row has no id, id
+
+    def add(self, allowed: np.ndarray, scores: np.ndarray, rows: Block) -> None:
+        if not self.held:
+            return
+        # As numbers of the scores' kind: beyond what these hold exactly there are no scores.
+        inside = scores >= self.low.min(0).astype(scores.dtype)[:, None]
+        inside &= allowed
+        some = np.flatnonzero(inside.any(1))
+        a, r = np.nonzero(inside[some])
+        a = some[a]
+        score = scores[a, r].astype(np.int64)
+        for w, held in enumerate(self.held):
+            hit = (score >= self.low[w, a]) & (score <= self.high[w, a])
+            if not hit.any():
+                continue
+            found = a[hit], score[hit], rows.unnamed[r[hit]], rows.ids[r[hit]]
+            every = [np.concatenate(x) for x in zip(held, found, strict=True)]
+            order = np.lexsort((every[3], every[2], -every[1], every[0]))
+            every = [x[order] for x in every]
+            rank = np.arange(len(order)) - np.searchsorted(every[0], every[0])
+            self.held[w] = [x[rank < self.k] for x in every]
+            # No row below the k-th of an anchor can be among its first k any more.
+            full = rank == self.k - 1
+            self.low[w, every[0][full]] = every[1][full]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for w, (a, score, unnamed, ids) in enumerate(self.held, 1):
+            anchor = pa.array(self.uids[a]), pa.array(self.ids[a], mask=self.unnamed[a].astype(bool))
+            found = pa.array(ids, pa.int64(), mask=unnamed.astype(bool)), pa.array(score, pa.int64())
+            yield pa.RecordBatch.from_arrays([*anchor, pa.array(np.full(len(a), w), pa.int32()), *found], ["anchor_uid", "anchor_id", "window", "other_id", "score"])
+
+
+FOUND = "anchor_uid long, anchor_id long, window int, other_id long, score long"
+
+
+def top_rows(k: int, bounds: tuple[int, int] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of blocks -> the first k rows of each anchor: of its own label, or with ``bounds`` of other labels in each of its windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, Best] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                anchors, rows = (Block(batch.column(side), i) for side in ("anchors", "rows"))
+                if (key := int(anchors.uids[0])) not in seen:
+                    seen[key] = Best(anchors, k, bounds)
+                same = rows.labels == anchors.labels[:, None]
+                allowed = ~same if bounds else same & (rows.uids != anchors.uids[:, None])
+                seen[key].add(allowed, tile_of(anchors, rows), rows)
+        for best in seen.values():
+            yield from best.rows()
+
+    return run
+
+
+def dealt(blocks_of: DataFrame, parts: int) -> DataFrame:
+    return blocks_of.select(F.struct(*blocks_of.columns).alias("block")).repartition(parts)
+
+
+def score_tiles(rows: DataFrame, anchors: DataFrame, k: int, bounds: tuple[int, int] | None) -> DataFrame:
+    """FOUND of every tile; without ``bounds`` only of tiles in which a label may be on both sides.
+
+    Tasks grow in number with the pairs of blocks; while these are few, there is work for every core.
+    """
+    spark = rows.sparkSession
+    n, m = max(1, rows.count()), max(1, anchors.count())
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    across = -(-m // HELD)
+    down = min(n, max(-(-wanted // across), -(-n // LONGEST)))
+    left, right = dealt(rows, down).withColumnRenamed("block", "rows"), dealt(anchors, across).withColumnRenamed("block", "anchors")
+    meet = F.lit(True) if bounds else (F.col("rows.low") <= F.col("anchors.high")) & (F.col("anchors.low") <= F.col("rows.high"))
+    return left.join(right.hint("shuffle_replicate_nl"), meet).mapInArrow(top_rows(k, bounds), FOUND)
 
 
 def first(rows: DataFrame, groups: list[str], k: int, rank: str) -> DataFrame:
@@ -185,23 +227,26 @@ def mine_hard_negatives(vectors: DataFrame, anchor: Column, positives: int = 5,
     ``anchor`` says which rows are anchors.  ``low`` and ``high`` bound a negative's score in percent of the positive's.
     """
     rows = quantised(vectors, anchor, scale)
-    blocks = lambda n, size: F.ceil(n / size).cast("int")
-    sizes = shared.keep(
-        rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if("anchor").alias("n_anchors"), F.max(F.size("q")).alias("dims")), "labels"
-    )
-    n, n_anchors, dims = (x or 0 for x in sizes.agg(F.sum("n"), F.sum("n_anchors"), F.max("dims")).first())
-    counted = sizes.select(F.col("label").alias("of"), blocks(F.col("n"), ROWS).alias("row_blocks"), blocks(F.col("n_anchors"), ANCHORS).alias("anchor_blocks"))
-    own = rows.join(counted, F.col("label") == F.col("of")).withColumn("windows", F.lit(None).cast("array<bigint>")).withColumn("of_label", F.col("label"))
-    found = score_tiles(own, own.where("anchor"), ["of_label"], dims, top_positives(positives), "anchor_uid long, anchor_id long, other_id long, score long")
+    dims = rows.agg(F.max(F.size("q"))).first()[0] or 1
+    step = max(CHUNK_DIMS, -(-dims // CHUNKS))
+    size, anchor_size = (max(1, min(x, CELLS // max(dims, 1))) for x in (ROWS, ANCHORS))
+    none = F.lit(None).cast("array<bigint>").alias("windows")
+    columns = ["uid", "id", "label", "q"]
+    every = blocks(rows.select(*columns, none), size, step, "blocks")
+    anchors = blocks(rows.where("anchor").select(*columns, none), anchor_size, step, "anchors")
     # At most ``positives`` rows an anchor; read for the windows and for the result.
-    kept = shared.keep(first(found, ["anchor_uid"], positives, "nth"), "positives")
+    found = score_tiles(every, anchors, positives, None)
+    kept = shared.keep(first(found, ["anchor_uid"], positives, "nth"), "positives", BATCH)
+    shared.forget(anchors)
     windows = kept.groupBy("anchor_uid").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "score"))), lambda x: x["score"]).alias("windows"))
-    every = {"row_blocks": F.lit(max(1, -(-n // ROWS))), "anchor_blocks": F.lit(-(-n_anchors // ANCHORS))}
-    anchors = rows.where("anchor").join(windows, F.col("uid") == F.col("anchor_uid")).withColumns(every)
-    below = score_tiles(rows.withColumns(every), anchors, [], dims, top_negatives(negatives, low, high), "anchor_uid long, window int, other_id long, score long")
-    hard = first(below, ["anchor_uid", "window"], negatives, "rank").alias("h")
-    same = reduce(lambda a, b: a & b, [F.col("h.anchor_uid") == F.col("p.anchor_uid"), F.col("h.window") == F.col("p.nth")])
-    return hard.join(kept.alias("p"), same).select(
+    searching = shared.keep(rows.where("anchor").join(windows.hint("merge"), F.col("uid") == F.col("anchor_uid")).select(*columns, "windows"), "windows")
+    anchors = blocks(searching, anchor_size, step, "anchors")
+    shared.forget(rows, searching)
+    below = score_tiles(every, anchors, negatives, (low, high))
+    hard = shared.keep(first(below, ["anchor_uid", "window"], negatives, "rank"), "negatives", BATCH)
+    shared.forget(every, anchors)
+    same = (F.col("h.anchor_uid") == F.col("p.anchor_uid")) & (F.col("h.window") == F.col("p.nth"))
+    return hard.alias("h").join(kept.alias("p").hint("merge"), same).select(
         F.col("p.anchor_id").alias("anchor_id"),
         F.col("p.other_id").alias("positive_id"),
         F.col("h.rank").cast("int").alias("rank"),

@@ -150,6 +150,23 @@ def test_hard_negatives_without_rows(spark):
     assert not mine(spark.createDataFrame([(50, [0.5], 0), (2, None, 1), (3, [3e38], 1)], VECTORS))
 
 
+def test_hard_negatives_shuffle_neither_panels_nor_scores(spark, monkeypatch):
+    """Four times the rows make sixteen times the tiles, but no more than about four times the shuffled bytes."""
+    for name, size in (("ROWS", 16), ("ANCHORS", 2)):
+        monkeypatch.setattr(hard_negatives, name, size)
+    rng = random.Random(5)
+    every = [(k, [rng.uniform(-0.4, 0.4) for _ in range(64)], k % 3) for k in range(1600)]
+
+    def shuffled(rows):
+        written = lambda: spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+        before = written()
+        assert mine(spark.createDataFrame(rows, VECTORS)) == mined(rows)
+        return written() - before
+
+    small = shuffled(every[:400])
+    assert 0 < shuffled(every) < 6 * small
+
+
 def test_products_are_exact():
     rng = np.random.default_rng(1)
     for most in (100, 2**28):
