@@ -30,6 +30,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CARRIED = 64
 BASE = 0x9E3779B97F4A7C15 | 1
 KEYS = "key long, word_id long, carried string, n long"
+# Joins of what grows with the words are merges: Spark takes keys for as large as the words that they come from, and words for as
+# large as their compressed files, and would gather both on the driver.
+MERGE = "merge"
+FEW_BYTES = 4 << 20  # of long words, up to which every worker receives them
 
 
 def ascii_lower(run: Column) -> Column:
@@ -104,10 +108,11 @@ def near_words(words: DataFrame) -> DataFrame:
     """(word_id, word, n) -> (word_id, other, other_n): every ordered pair of words exactly one edit apart."""
     keys = words.select("word_id", "word", "n").mapInArrow(_keys, KEYS)
     a, b = (keys.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("word_id", "carried", "n"))) for s in "ab")
-    pairs = a.join(b, "key").where("word_id_a <> word_id_b")
+    pairs = a.join(b.hint(MERGE), "key").where("word_id_a <> word_id_b")
     long = shared.keep(words.where(F.length("word") > CARRIED).select("word_id", "word"), "long_words")
+    few = (long.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0) <= FEW_BYTES
     for s in "ab":
-        fetched = long.select(F.col("word_id").alias(f"long_{s}"), F.col("word").alias(f"word_{s}"))
+        fetched = long.select(F.col("word_id").alias(f"long_{s}"), F.col("word").alias(f"word_{s}")).hint("broadcast" if few else MERGE)
         pairs = pairs.join(fetched, F.col(f"word_id_{s}") == F.col(f"long_{s}"), "left")
     left, right = (F.coalesce(f"carried_{s}", f"word_{s}") for s in "ab")
     one = pairs.where(F.levenshtein(left, right, 1) == 1)
@@ -120,7 +125,7 @@ def with_forms(words: DataFrame, times: int = 2) -> DataFrame:
     near = near_words(words).groupBy("word_id").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
     near = near.select(F.col("word_id").alias("of"), "n_near", F.col("best.other").alias("other"), (-F.col("best.less")).alias("other_n"))
     taken = F.col("other_n") >= times * F.col("n")
-    return words.join(near, F.col("word_id") == F.col("of"), "left").select(
+    return words.join(near.hint(MERGE), F.col("word_id") == F.col("of"), "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(taken, F.col("other")).alias("form"), F.when(taken, F.col("other_n")).alias("form_n")
     )
 
@@ -133,7 +138,7 @@ def with_roots(formed: DataFrame) -> DataFrame:
     pointers = shared.keep(formed.where("form IS NOT NULL").select("word", F.col("form").alias("end")), "roots")
     while True:
         onward = pointers.select(F.col("word").alias("at"), F.col("end").alias("next"))
-        moved = pointers.join(onward, F.col("end") == F.col("at"), "left").select("word", F.coalesce("next", "end").alias("end"), F.col("next").isNotNull().alias("moved"))
+        moved = pointers.join(onward.hint(MERGE), F.col("end") == F.col("at"), "left").select("word", F.coalesce("next", "end").alias("end"), F.col("next").isNotNull().alias("moved"))
         moved = shared.keep(moved, "roots")
         shared.forget(pointers)
         pointers = moved.select("word", "end")
@@ -141,7 +146,7 @@ def with_roots(formed: DataFrame) -> DataFrame:
         if moved.where("moved").isEmpty():
             break
     roots = pointers.select(F.col("word").alias("from"), F.col("end").alias("root"))
-    return formed.join(roots, F.col("word") == F.col("from"), "left").select(*formed.columns, F.coalesce("root", "word").alias("root"))
+    return formed.join(roots.hint(MERGE), F.col("word") == F.col("from"), "left").select(*formed.columns, F.coalesce("root", "word").alias("root"))
 
 
 def group_spellings(docs: DataFrame, least_length: int = 5, least_count: int = 3, thinned: int | None = None) -> DataFrame:

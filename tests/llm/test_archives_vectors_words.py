@@ -253,6 +253,21 @@ def test_long_ways_and_long_words(spark):
     assert got[long]["form"] == got[long]["root"] == other and got[other]["n_near"] == 1
 
 
+def test_keys_and_words_are_not_gathered_on_the_driver(spark, monkeypatch):
+    """Keys are many times the words that they come from, and files of words are compressed: neither is broadcast, nor are long words that are not few."""
+    words = spark.createDataFrame([(k, f"word{'abcdefgh'[k % 8]}{k}", 5) for k in range(50)] + [(50, "z" * 70, 9), (51, "z" * 71, 3)], "word_id long, word string, n long")
+    formed = spark.createDataFrame([("abcde", "abcdf"), ("abcdf", "abcdg"), ("abcdg", None)], "word string, form string")
+    plans = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    near, rooted = spelling.near_words(words), spelling.with_roots(formed)
+    keys = lambda text: [k for k in text.splitlines() if "Join" in k and "[key#" in k]
+    assert len(keys(plans(near))) == 1 and "SortMergeJoin" in keys(plans(near))[0]
+    assert "Broadcast" not in plans(rooted) and {r["root"] for r in rooted.collect()} == {"abcdg"}
+    monkeypatch.setattr(spelling, "FEW_BYTES", 0)
+    assert "Broadcast" not in plans(spelling.near_words(words))
+    found = {(r["word_id"], r["other"]) for r in spelling.near_words(words).collect()}
+    assert found == {(r["word_id"], r["other"]) for r in near.collect()} and (50, "z" * 71) in found and (51, "z" * 70) in found
+
+
 def test_words_of_no_text(spark):
     schema = "doc_id long, text string, word string, n long, key long, run string"
     assert spelling.group_spellings(spark.createDataFrame([], schema)).count() == 0
