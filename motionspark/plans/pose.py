@@ -107,10 +107,10 @@ def _costs_sql(name: str, grid: str, at_us: str) -> str:
 {name} AS (SELECT recording_id, range, n, o, coalesce(sum(d), 0) AS cost FROM {grid} LEFT JOIN (SELECT * FROM {name}_o WHERE place <= trunc(c * 0.9::DOUBLE)) USING (recording_id, range, n, o) GROUP BY ALL)"""
 
 
-def _search_sql(coarse: str, at_us: str) -> str:
-    """``best`` (recording_id, range, o, cost): the least of ``coarse`` places, refined."""
+def _search_sql(coarse: str, at_us: str, steps: int = 20) -> str:
+    """``best`` (recording_id, range, o, cost): the least of ``steps`` ``coarse`` places, refined."""
     least = "arg_min(o, (cost, -n)) AS o, min(cost) AS cost"
-    return f"""{CALM_SQL}, g0 AS (SELECT recording_id, range, n, {coarse} AS o FROM rg, range(20) AS r(n)), {_costs_sql("k0", "g0", at_us)},
+    return f"""{CALM_SQL}, g0 AS (SELECT recording_id, range, n, {coarse} AS o FROM rg, range({steps}) AS r(n)), {_costs_sql("k0", "g0", at_us)},
 g1 AS (SELECT recording_id, range, r.n, o - 1.0::DOUBLE + r.n * 0.01::DOUBLE AS o FROM (SELECT recording_id, range, {least} FROM k0 GROUP BY ALL), range(200) AS r(n)), {_costs_sql("k1", "g1", at_us)},
 best AS (SELECT recording_id, range, {least} FROM k1 GROUP BY ALL)"""
 
@@ -139,11 +139,11 @@ def syn05(spark: SparkSession, d: str) -> DataFrame:
     return pointsync.offsets_by_points(pairs, q, q, 0.0, 20.0).withColumn("offset_ms", F.round("offset_ms", 2) + 0)
 
 
-@query("syn06_readouts_by_points", f"""WITH {_search_sql("-10.0::DOUBLE + n", "t_us + abs(o) * 1000 * (py / 1080 - 0.5::DOUBLE)")} SELECT recording_id, range, round(o, 2) + 0 AS readout_ms, cost FROM best""")
+@query("syn06_readouts_by_points", f"""WITH {_search_sql("-40.0::DOUBLE + n", "t_us + abs(o) * 1000 * (py / 1080 - 0.5::DOUBLE)", 80)} SELECT recording_id, range, round(o, 2) + 0 AS readout_ms, cost FROM best""")
 def syn06(spark: SparkSession, d: str) -> DataFrame:
-    """At 100 frames a second, so that no more than 10 ms are tried."""
+    """The frames are 40 ms apart, so readout times up to that are tried."""
     pairs, q = matched(spark, d)
-    return pointsync.readouts_by_points(pairs, q, q, 100.0).withColumn("readout_ms", F.round("readout_ms", 2) + 0)
+    return pointsync.readouts_by_points(pairs, q, q, 25.0).withColumn("readout_ms", F.round("readout_ms", 2) + 0)
 
 
 @query("stm02_frame_pairs", """WITH f AS (SELECT DISTINCT l_orderkey AS recording_id, l_linenumber::BIGINT AS frame, epoch_us(l_shipdate) + l_linenumber * 1000000 AS ts_us FROM lineitem)

@@ -149,3 +149,21 @@ def test_pairs_are_spread_over_tasks(spark):
     costs = pointsync._summed(pointsync.with_orientations(made, q, q, 12_000), F.array(F.lit(0.0), F.lit(1.0)), False)
     text = costs._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in text.split("MapInArrow")[1]
+
+
+def test_readouts_of_the_query_are_tried_up_to_the_time_of_a_frame(spark):
+    """Of every readout time in whole milliseconds between two frames, none costs less than the one that the query finds."""
+    from motionspark.plans import pose as plan
+    from tests.conftest import SF
+
+    made, q = plan.matched(spark, SF)
+    ready = pointsync.with_orientations(made.where("ts_us < to_us"), q, q, 42_000).collect()
+    assert {r["next_ts_us"] - r["ts_us"] for r in ready} == {40_000}
+    at, costs = np.arange(-40.0, 40.0), {}
+    for r in ready:
+        key = r["recording_id"], r["range"]
+        costs[key] = costs.get(key, 0) + pointsync.Pair(r.asDict(True)).costs(np.zeros(len(at)), at)
+    found = {(r["recording_id"], r["range"]): r for r in plan.syn06(spark, SF).collect()}
+    assert set(found) == set(costs)
+    for key, r in found.items():
+        assert r["cost"] <= costs[key].min() and abs(r["readout_ms"] - at[last_least(costs[key].tolist())]) <= 1
