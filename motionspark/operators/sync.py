@@ -73,7 +73,8 @@ WEIGHTS, LEAST_RATE, BELIEVED = np.array([70.0, 70.0, 100.0]), 3.0, 0.9
 def alignment_costs(est_ms: np.ndarray, est: np.ndarray, gyro_us: np.ndarray, gyro: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Mean weighted square distance of the estimated rates, moved by each offset, to the gyro's first row at or after them.
 
-    Infinite unless more than half of the rows meet one with rates.
+    Infinite unless more than half of the rows meet one with rates.  Sums are exact until they are rounded, so offsets that meet
+    the same distances cost the same.
     """
     known = np.isfinite(gyro).all(axis=1)
     out = np.full(len(offsets), np.inf)
@@ -83,7 +84,8 @@ def alignment_costs(est_ms: np.ndarray, est: np.ndarray, gyro_us: np.ndarray, gy
         at, own = at[hit], est[hit]
         own, at = own[known[at]], at[known[at]]
         if len(at) > len(est_ms) // 2:
-            out[i] = (((gyro[at] - own) ** 2) @ WEIGHTS).sum() / len(at)
+            x, y, z = (((gyro[at] - own) ** 2) * WEIGHTS).T
+            out[i] = math.fsum(x + y + z) / len(at)
     return out
 
 

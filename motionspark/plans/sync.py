@@ -41,7 +41,8 @@ def syn04(spark: SparkSession, d: str) -> DataFrame:
     us = ((F.col("ts_us") - 1704067200000000) / HOUR).cast("double")
     s = known.select("recording_id", "seq", F.round(us).cast("long").alias("ts_us"), F.col("gx").alias("x"), F.col("gy").alias("y"), F.col("gz").alias("z"))
     found = sync.find_offsets(s.where("seq % 3 = 0"), s.withColumn("ts_us", F.col("ts_us") - SHIFT), sync.Grid(0.0, 10.0))
-    return found.select("recording_id", (F.round("offset_ms", 2) + 0).alias("offset_ms"), (F.round("cost", 4) + 0).alias("cost"))
+    cost = F.round(F.col("cost") * 10_000) / 10_000 + 0  # halves as the SQL rounds them: of the product, not of the decimal digits
+    return found.select("recording_id", (F.round("offset_ms", 2) + 0).alias("offset_ms"), cost.alias("cost"))
 
 
 @query("syn09_apply_offsets", f"""WITH {LENS_SQL}, o AS (SELECT user_id AS recording_id, epoch_us(ts) AS ts_us, (event_id % 11 - 5)::DOUBLE AS offset_ms FROM events WHERE event_type = 'purchase'),

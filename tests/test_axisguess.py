@@ -43,3 +43,25 @@ def test_planted_codes(spark):
     tie = spark.createDataFrame([(1, "XYZ", 1.0), (1, "zXy", 1.0), (1, "yxZ", 2.0)], "recording_id long, code string, cost double")
     assert axisguess.guess_orientation(tie).first()["code"] == "zXy"
     assert axisguess.orientation_costs(a.limit(0), b, sync.Grid(0.0, 10.0)).count() == 0
+
+
+def test_costs_do_not_hang_on_the_order_of_rows():
+    """A large distance swallows small ones that are added to it one by one."""
+    n = 2001
+    t = np.arange(n) + 100.0
+    g = np.ones((n, 3)) * [1.0, 0.0, 0.0]
+    g[0, 0] = 1e8
+    want = float(70 * 10**16 + 70 * (n - 1)) / n
+    for rows in (g, g[::-1]):
+        assert sync.alignment_costs(t, np.zeros((n, 3)), t * 1000, rows, np.array([0.0])).tolist() == [want]
+
+
+def test_costs_are_rounded_as_the_sql_rounds_them(spark, monkeypatch):
+    """DuckDB rounds ten thousand times the cost: 14547.677749999999 becomes 14547.6778."""
+    from motionspark.plans import sync as plan
+    from tests.conftest import SF
+
+    cost = 14547.677749999999
+    found = lambda *_: spark.createDataFrame([(1, 2.0, 3.5, cost)], "recording_id long, middle_ms double, offset_ms double, cost double")
+    monkeypatch.setattr(sync, "find_offsets", found)
+    assert plan.syn04(spark, SF).first()["cost"] == 14547.6778
