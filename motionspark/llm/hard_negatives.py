@@ -95,8 +95,8 @@ def packed(step: int) -> Callable[[pa.Table], pa.Table]:
 def blocks(rows: DataFrame, size: int, step: int, label: str) -> DataFrame:
     """(uid, id, label, q, windows) in blocks of about ``size`` rows, as a table.  A label with fewer than half as many rows shares its blocks with others."""
     counted = shared.keep(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= size / 2).select(F.col("label").alias("own"), "n"), "labels")
-    n = rows.count()
-    parts = F.ceil(F.coalesce(F.col("n"), F.lit(max(n, 1))) / size).cast("int")
+    shared_n = rows.count() - (counted.agg(F.sum("n")).first()[0] or 0)
+    parts = F.ceil(F.coalesce(F.col("n"), F.lit(max(shared_n, 1))) / size).cast("int")
     placed = rows.join(counted, F.col("label") == F.col("own"), "left").withColumn("part", F.pmod(F.xxhash64("uid"), parts))
     out = shared.keep(placed.select("own", "part", "uid", "id", "label", "q", "windows").groupBy("own", "part").applyInArrow(packed(step), BLOCK), label)
     shared.forget(counted)
